@@ -68,7 +68,7 @@ def spearman(rows: DataFrame) -> DataFrame:
         return F.rank().over(Window.partitionBy("user").orderBy(c)) + (F.count("*").over(Window.partitionBy("user", c)) - 1) / 2.0
 
     r = rows.withColumns({"a": average_rank("truth"), "b": average_rank("score")})
-    return r.groupBy("user").agg(F.coalesce(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")), F.lit(0.0)).alias("rho"))
+    return r.groupBy("user").agg((F.coalesce(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")), F.lit(0.0)) + 0.0).alias("rho"))
 
 
 def kendall(rows: DataFrame) -> DataFrame:
