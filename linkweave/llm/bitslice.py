@@ -9,7 +9,7 @@ import pyarrow as pa
 
 ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 #: (query, word of 64 lanes) cells compared at once; bounds the memory of one step.
-CELLS = 1 << 15
+CELLS = 1 << 13
 
 
 def planes_of(fps: np.ndarray) -> np.ndarray:

@@ -15,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections import OrderedDict
 from functools import partial
 
@@ -28,7 +29,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 MASK = np.uint32(0x1FF << 13)
 WINDOW, LEAST, MOST = 16, 64, 4096
 #: Characters of the chunks that a worker keeps.
-KEPT = 8_000_000
+KEPT = 4_000_000
 _gear = np.random.default_rng(3).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -59,7 +60,7 @@ class Codec:
         self.size = 0
         self.reused = 0
 
-    def chunk(self, text: str) -> tuple[list[int], int, int]:
+    def chunk(self, text: str) -> tuple[array, int, int]:
         """(tokens, head, tail) of a chunk: those of text[head:tail]; what lies outside is left to the joins.
 
         head and tail are spaces after something that isn't white space. No word of the splitting pattern goes on from there
@@ -76,7 +77,8 @@ class Codec:
             head = text.find(" ", head + 1)
         while 0 < head < tail and text[tail - 1].isspace():
             tail = text.rfind(" ", 0, tail)
-        got = (self.plain(text[head:tail]), head, tail) if 0 < head < tail else ([], 0, 0)
+        # Packed: a list of Python numbers would take several times the room.
+        got = (array("i", self.plain(text[head:tail])), head, tail) if 0 < head < tail else (array("i"), 0, 0)
         self.kept[text] = got
         self.size += len(text)
         while self.size > KEPT:
