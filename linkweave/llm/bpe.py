@@ -183,13 +183,17 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 def _id_batches(batches, path, at):
     c = codec(path)
     for batch in batches:
-        ids = [c.encode(x.as_py() or "") for x in batch.column(at)]
-        lost = [c.decode(i) != (x.as_py() or "") for i, x in zip(ids, batch.column(at))]
-        if any(lost):
-            raise ValueError("a text did not come back from its tokens")
-        yield pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, "token_ids"]
-        )
+        for lo in range(0, batch.num_rows, 128):  # few texts at once: their tokens are Python numbers until packed
+            part = batch.slice(lo, 128)
+            ids = []
+            for x in part.column(at):
+                text = x.as_py() or ""
+                ids.append(np.array(c.encode(text), np.int32))
+                if c.decode(ids[-1].tolist()) != text:
+                    raise ValueError("a text did not come back from its tokens")
+            yield pa.RecordBatch.from_arrays(
+                [*part.columns, pa.array(ids, pa.list_(pa.int32()))], [*part.schema.names, "token_ids"]
+            )
 
 
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
