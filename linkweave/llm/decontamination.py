@@ -3,7 +3,7 @@
 Numbers, names and units become typed placeholders, so a question that was asked again with other values keeps its template.
 Windows of WINDOW template words are hashed and joined with those of the benchmark items. Where enough windows of an item are
 found in a document, the values behind the placeholders are lined up: every value of the item must stand for one value of the
-document throughout, otherwise the match is a coincidence of form.
+document throughout, otherwise the match is a coincidence of form. Each place in the document is judged on its own.
 
 Edge cases: null texts and null item texts count as empty and match nothing; items shorter than a window are compared whole;
 a null doc_id or item_id stays null; rows repeated in documents give one row in the result; an empty table on either side
@@ -22,6 +22,8 @@ WINDOW = 8
 COVERED = 0.5
 #: Windows of the benchmark up to which their hashes are sent to all executors (16 bytes each).
 SENT = 2_000_000
+#: Stands for the first places of an item's windows, wherever they are.
+FIRST = -(1 << 40)
 NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
 # Units that may follow a number.
 UNITS = "km|m|cm|mm|mi|ft|kg|g|mg|lb|oz|l|ml|s|ms|min|h|hours?|days?|weeks?|months?|years?|usd|eur|dollars?|euros?|cents?|percent|kwh|kw|w|v|hz"
@@ -79,31 +81,37 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         each = rows.select("doc_id", "digest", F.lit(w).alias("width"), F.posexplode(windows(F.col("hashes"), w)).alias("dpos", "hash"))
         each = each.join(wanted, ["width", "hash"], "left_semi")
         found = each if found is None else found.unionByName(each)
-    # Copies of a document meet here, so a frequent text costs one.
-    found = materialise(found.groupBy("doc_id", "digest", "width", "hash").agg(F.min("dpos").alias("dpos")), "found")
-    held = found.join(grams, ["width", "hash"])
+    # Rows repeated in documents meet here; every place of a window stays, as another place may hold other values.
+    found = found.distinct()
+    held = materialise(found.join(grams, ["width", "hash"]).select("doc_id", "digest", "no", "width", "ipos", "dpos"), "held")
+    # Places of an item: windows at one distance from the item's, or, where words were put in between, the first of each window.
+    place = ["doc_id", "digest", "no", "align"]
+    first = held.groupBy("doc_id", "digest", "no", "width", "ipos").agg(F.min("dpos").alias("dpos"))
+    runs = held.withColumn("align", (F.col("dpos") - F.col("ipos")).cast("long")).unionByName(first.withColumn("align", F.lit(FIRST)))
     need = items.select("no", "item_id", "item", (F.size("item") - F.col("width") + 1).alias("of"))
-    per = held.groupBy("doc_id", "digest", "no").agg(F.count_distinct("ipos").alias("n"), F.min(F.struct("ipos", "dpos")).alias("a"))
+    per = runs.groupBy(*place).agg(F.count("*").alias("n"))
     per = small_join(per, materialise(need, "need"), ["no"], "inner").where(F.col("n") >= F.col("of") * COVERED)
     per = materialise(per, "covered")
 
     # Values behind the marks, window by window.
     texts = small_join(keyed(docs), materialise(per.select("digest").distinct(), "texts"), ["digest"], "left_semi")
     texts = texts.groupBy("digest").agg(F.first("text").alias("text")).select("digest", marked(F.col("text")).alias("words"))
-    spots = held.join(per.select("doc_id", "digest", "no", "n", "of", "item_id", "item").withColumnsRenamed({"doc_id": "d", "digest": "t"}),
-                      held.doc_id.eqNullSafe(F.col("d")) & (held.digest == F.col("t")) & (held.no == per.no)).drop("d", "t", per.no)
-    spots = spots.join(texts, "digest")
+    chosen = per.withColumnsRenamed({"doc_id": "d", "digest": "t"})
+    spots = runs.join(chosen, runs.doc_id.eqNullSafe(F.col("d")) & (runs.digest == F.col("t")) & (runs.no == chosen.no) & (runs.align == chosen.align))
+    spots = spots.drop("d", "t", chosen.no, chosen.align).join(texts, "digest")
     pair = F.transform(F.sequence(F.lit(0), F.col("width") - 1), lambda k: F.struct(F.get("item", F.col("ipos") + k).alias("a"), F.get("words", F.col("dpos") + k).alias("b")))
-    pairs = spots.select("doc_id", "digest", "item_id", "no", "n", "of", F.explode(pair).alias("p"))
+    whole = ["doc_id", "digest", "item_id", "no", "align", "n", "of"]
+    pairs = spots.select(*whole, F.explode(pair).alias("p"))
     slot = F.substring("p.a", 1, 1).isin(NUMBER, NAME, UNIT)
-    value = pairs.groupBy("doc_id", "digest", "item_id", "no", "n", "of", "p.a").agg(
+    value = pairs.groupBy(*whole, "p.a").agg(
         F.min(F.when(slot, F.col("p.b"))).alias("low"), F.max(F.when(slot, F.col("p.b"))).alias("high"),
         F.min(F.col("p.a") == F.col("p.b")).alias("same"),
     )
-    judged = value.groupBy("doc_id", "digest", "item_id", "no", "n", "of").agg(
+    judged = value.groupBy(*whole).agg(
         F.min(F.coalesce(F.col("low") == F.col("high"), F.lit(True))).alias("consistent"), F.min("same").alias("exact")
     )
-    return judged.where("consistent").select("doc_id", "item_id", F.col("n").alias("n_windows"), (F.col("n") / F.col("of")).alias("coverage"), "exact", "digest")
+    best = judged.where("consistent").groupBy("doc_id", "digest", "item_id", "no", "of").agg(F.max("n").alias("n"), F.max("exact").alias("exact"))
+    return best.select("doc_id", "item_id", F.col("n").alias("n_windows"), (F.col("n") / F.col("of")).alias("coverage"), "exact", "digest")
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -173,6 +173,10 @@ def test_decontamination(spark):
         "doc_id long, text string",
     )
     assert {(r.doc_id, r.item_id, r.exact) for r in decontamination.leaks(d, items).collect()} == {(1, 1, False), (3, 2, True)}
+    # The template's opening with other values, before the item itself: places are judged apart.
+    both = "If train A runs 75 km in 3 hours and then again it stops. " + items.first().text
+    again = spark.createDataFrame([(5, both), (5, both)], "doc_id long, text string")
+    assert [(r.doc_id, r.item_id, r.exact, r.coverage) for r in decontamination.leaks(again, items).collect()] == [(5, 1, True, 1.0)]
     docs, bench = read(spark, "documents"), read(spark, "benchmark")
     texts_ = {r.item_id: r.text for r in bench.collect()}
     want = {(r.doc_id, k) for r in docs.collect() for k, t in texts_.items() if t in r.text}
