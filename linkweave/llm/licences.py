@@ -1,9 +1,10 @@
 """Licence scan by a positional rare-token index: DataFrame functions only.
 
-Document frequencies of all licence words are counted over the whole table. Each file looks up its rarest licence words
-(highest IDF), joins their places to the postings of the licence templates, and keeps the (template, offset) alignments that
-several different words agree on; a template is reported where its mandatory key phrase stands at the aligned place. Plain
-key phrases are found besides, in all files.
+Document frequencies of the words of all mandatory key phrases are counted over the whole table. The rarest two of each key
+phrase (highest IDF) index its template, however common they are. Each file looks up the index words of every template of which
+it has all, joins their places to the postings of the licence templates, and keeps the (template, offset) alignments that
+both words agree on; a template is reported where its mandatory key phrase stands at the aligned place, so every such place is
+found and a file's answer doesn't depend on its neighbours. Plain key phrases are found besides, in all files.
 
 Edge cases: null text counts as empty (0 words, no places); a null doc_id stays null; repeated rows give repeated results; an
 empty table gives an empty result; other columns are ignored.
@@ -35,8 +36,8 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
 )
-#: Rarest licence words that a file looks up, the share of files up to which a word is rare, words that must agree.
-LOOKED_UP, RARE, AGREE = 8, 0.2, 2
+#: Index words of a template, all of which must agree on a place.
+AGREE = 2
 
 
 def words_of(text: Column) -> Column:
@@ -56,24 +57,29 @@ def places(words: Column, phrase: str) -> Column:
     return F.when(F.array_contains(words, parts[0]) & F.array_contains(words, parts[-1]), found).otherwise(none)
 
 
-def index_words(rows: DataFrame) -> list[str]:
-    """Licence words by rising document frequency, those of more than a share RARE left out. Bounded by the templates."""
-    vocabulary = sorted({w for _, t, _ in TEMPLATES for w in t.split()})
+def index_words(rows: DataFrame) -> list[list[str]]:
+    """For each template the AGREE words of its key phrase with the least document frequency, whatever that is.
+
+    A verified template has all words of its key phrase in place, so these words always agree on it: rarity only keeps the
+    look-up short.
+    """
+    vocabulary = sorted({w for _, _, key in TEMPLATES for w in key.split()})
     held = rows.select(F.explode(F.array_intersect("words", F.array(*map(F.lit, vocabulary)))).alias("w"))
     df = {r.w: r.n for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}  # at most one row a licence word
-    total = rows.count()
-    return sorted((w for w in vocabulary if df.get(w, 0) <= max(AGREE, RARE * total)), key=lambda w: (df.get(w, 0), w))
+    return [sorted(set(key.split()), key=lambda w: (df.get(w, 0), w))[:AGREE] for _, _, key in TEMPLATES]
 
 
-def aligned(rows: DataFrame, index: list[str]) -> DataFrame:
+def aligned(rows: DataFrame, index: list[list[str]]) -> DataFrame:
     """(doc_id, digest, method array<struct<label, score>>) of the files with verified templates."""
     spark = rows.sparkSession
-    if not index:
-        index = [""]
-    rare = F.slice(F.array_intersect(F.array(*map(F.lit, index)), F.col("words")), 1, LOOKED_UP)
-    held = rows.select("doc_id", "digest", "words", rare.alias("rare")).where(F.size("rare") >= AGREE)
+    # A file looks up the words of the templates of which it has all index words.
+    sets = F.array(*(F.array(*map(F.lit, ws)) for ws in index))
+    present = F.array_intersect(F.array(*map(F.lit, sorted({w for ws in index for w in ws}))), F.col("words"))
+    whole = F.transform(F.array(present), lambda h: F.flatten(F.filter(sets, lambda ws: F.size(F.array_except(ws, h)) == 0)))
+    rare = F.array_distinct(F.flatten(whole))
+    held = rows.select("doc_id", "digest", "words", rare.alias("rare")).where(F.size("rare") > 0)
     held = materialise(held.select("doc_id", "digest", "words", "rare").dropDuplicates(["doc_id", "digest"]), "held")
-    posting = [(t, w, p) for t, (_, text, _) in enumerate(TEMPLATES) for p, w in enumerate(text.split())]
+    posting = [(t, w, p) for t, (_, text, _) in enumerate(TEMPLATES) for p, w in enumerate(text.split()) if w in index[t]]
     postings = F.broadcast(spark.createDataFrame(posting, "template int, word string, at int"))  # bounded by the templates
     seen = held.select("doc_id", "digest", "rare", F.posexplode("words").alias("pos", "word")).where(F.array_contains("rare", F.col("word")))
     votes = seen.join(postings, "word").groupBy("doc_id", "digest", "template", (F.col("pos") - F.col("at")).alias("offset"))

@@ -147,6 +147,16 @@ def test_licences(docs):
         assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(w), len(at), min(at, default=None), max(at, default=None))
 
 
+def test_licences_whatever_their_frequency(spark):
+    header = "Licensed under the Apache License, Version 2.0"
+    every = ", ".join(t for _, t, _ in licences.TEMPLATES)
+    d = spark.createDataFrame([(k, f"{header} file {k}") for k in range(5)] + [(9, f"notice: {every}")], "doc_id long, text string")
+    for rows in (d, d.where("doc_id < 4"), d.where("doc_id in (0, 9)")):
+        for r in licences.scan_licences(rows).collect():
+            want = {"apache", "apache-2.0"} if r.doc_id < 9 else {x for x, _, _ in licences.TEMPLATES} | set(licences.PHRASES.values())
+            assert set(r.labels.split(",")) == want and r.score == 1.0
+
+
 def test_sharding(spark, docs):
     for d, limit in ((docs.select("doc_id", "text"), 50_000), (spark.createDataFrame([(7, "x" * 400)] * 50 + [(8, "y" * 5000)], "doc_id long, text string"), 1000)):
         found = sharding.shard_of(d, limit).collect()
