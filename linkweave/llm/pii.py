@@ -1,9 +1,10 @@
 """Personal data by pattern and by information: DataFrame functions only.
 
-Base spans are e-mail and IP addresses, card and phone numbers. The information-theoretic part looks at the words next to such
-entities: over all documents it counts how often a term occurs at all and how often beside each entity. A term that tells an
-entity with at least half certainty, and that lifts its odds by several bits over the corpus rate, discloses it: it becomes a
-span of kind "term" in the documents that hold the entity, and sanitise() replaces it by a general placeholder.
+Base spans are e-mail and IP addresses, card and phone numbers. The information-theoretic part looks at all words of the
+documents that hold such entities: over all documents it counts how many hold a term at all and how many hold it together with
+each entity, wherever in the document. A term that tells an entity with at least half certainty, and that lifts its odds by
+several bits over the corpus rate, discloses it: it becomes a span of kind "term" at every place of every document, with the
+entity or without it, and sanitise() replaces it by a general placeholder.
 
 Positions are code points, end exclusive. Spark has no function for the places of all matches, so they are summed up from the
 pieces between matches. The patterns are written so that each character is looked at a bounded number of times: possessive
@@ -30,16 +31,16 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: Characters and words looked at on each side of an entity.
-REACH, NEXT = 80, 5
-#: Different texts that must hold entity and term side by side, the least share of the term's documents, the least bits.
+#: Different texts that must hold entity and term, the least share of the term's documents, the least bits.
 MIN_TEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 3.0
-WORD = r"[\p{L}\p{N}]{4,}"
+#: A term is a whole run of letters and digits, none of them of an entity; HIDDEN stands for those of an entity.
+HIDDEN = "\ue000"
+WORD = rf"(?<![\p{{L}}\p{{N}}{HIDDEN}])[\p{{L}}\p{{N}}]{{4,}}+(?!{HIDDEN})"
 
 
-def located(text: Column, pattern: str) -> Column:
+def located(text: Column, pattern: Column) -> Column:
     """array<struct<start, end, value>> of the matches of pattern, leftmost first and without overlaps."""
-    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    found = F.regexp_extract_all(text, pattern, F.lit(0))
     between = F.split(text, pattern, -1)
     sized = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("value")))
     none = F.array().cast("array<struct<start:int,end:int,value:string>>")
@@ -51,7 +52,7 @@ def located(text: Column, pattern: str) -> Column:
         return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
 
     every = F.aggregate(sized, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), every).otherwise(none)
+    return F.when(F.rlike(text, pattern), every).otherwise(none)
 
 
 def valid(kind: str, value: Column) -> Column:
@@ -69,81 +70,76 @@ def base_spans(text: Column) -> Column:
     """array<struct<kind, start, end, value>> of all base kinds, by kind, then start."""
 
     def of(kind: str) -> Column:
-        kept = F.filter(located(text, PATTERNS[kind]), lambda s: valid(kind, s["value"]))
+        kept = F.filter(located(text, F.lit(PATTERNS[kind])), lambda s: valid(kind, s["value"]))
         return F.transform(kept, lambda s: F.struct(F.lit(kind).alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value")))
 
     return F.concat(*map(of, KINDS))
 
 
-def nearby(text: Column, spans: Column) -> Column:
-    """array<struct<entity, term, start, end>>: up to NEXT words on each side of every span; words cut by REACH are left out."""
-
-    def around(s):
-        lo = F.greatest(s["start"] - REACH, F.lit(0))
-        before, after = F.substring(text, lo + 1, s["start"] - lo), F.substring(text, s["end"] + 1, F.lit(REACH))
-        left = F.filter(located(before, WORD), lambda w: (w["start"] > 0) | (lo == 0))
-        left = F.slice(F.reverse(left), 1, NEXT)
-        right = F.slice(F.filter(located(after, WORD), lambda w: w["end"] < REACH), 1, NEXT)
-        entity = F.concat_ws(":", s["kind"], s["value"])
-
-        def named(at):
-            return lambda w: F.struct(entity.alias("entity"), F.lower(w["value"]).alias("term"), (w["start"] + at).alias("start"), (w["end"] + at).alias("end"))
-
-        return F.concat(F.transform(left, named(lo)), F.transform(right, named(s["end"])))
-
-    return F.flatten(F.transform(spans, around))
+def spellings(text: Column) -> Column:
+    """The different words of a text, as they are spelled."""
+    return F.array_distinct(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)))
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, spans, near) of every document, as a written table; near holds the words beside entities."""
+    """(doc_id, digest, spans, words) of every document, as a written table; words are those outside entities where there are any."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("spans", base_spans(F.col("text")))
-    none = F.array().cast("array<struct<entity:string,term:string,start:int,end:int>>")
-    near = F.when(F.size("spans") > 0, nearby(F.col("text"), F.col("spans"))).otherwise(none)
+    hidden = rewritten(F.col("text"), F.col("spans"), lambda kind, value: F.regexp_replace(value, r"[\p{L}\p{N}]+", HIDDEN))
+    words = F.array_distinct(F.transform(spellings(hidden), F.lower))
+    words = F.when(F.size("spans") > 0, words).otherwise(F.array().cast("array<string>"))
     digest = F.unhex(F.md5(F.col("text").cast("binary")))
-    return materialise(rows.select("doc_id", digest.alias("digest"), "spans", near.alias("near")), "spans")
+    return materialise(rows.select("doc_id", digest.alias("digest"), "spans", words.alias("words")), "spans")
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(entity, term, share, bits): terms that tell an entity beside which they stand, by counts over all documents."""
-    held = found.where(F.size("spans") > 0)
-    pair = F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"].alias("entity"), x["term"].alias("term"))))
-    # Copies of a text are one row with their number, so a frequent copy is never gathered.
-    texts = held.groupBy("digest").agg(F.first(pair).alias("pairs"), F.first("spans").alias("spans"), F.count("*").alias("copies"))
-    texts = materialise(texts.drop("digest"), "texts")
-    joint = texts.select("copies", F.explode("pairs").alias("p")).groupBy("p.entity", "p.term").agg(
-        F.count("*").alias("texts"), F.sum("copies").alias("joint")
-    )
-    once = F.array_distinct(F.col("pairs.term"))
-    beside = texts.select("copies", F.explode(once).alias("term")).groupBy("term").agg(F.sum("copies").alias("beside"))
-    entity = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))
-    rate = texts.select("copies", F.explode(entity).alias("entity")).groupBy("entity").agg(F.sum("copies").alias("with_entity"))
-    joint = joint.where(F.col("texts") >= MIN_TEXTS).join(beside, "term").join(rate, "entity")
-    n = found.count()
-
-    def telling(pairs: DataFrame, of: Column) -> DataFrame:
-        rated = pairs.withColumn("share", F.col("joint") / of)
-        rated = rated.withColumn("bits", F.log2(F.col("share") * F.lit(n) / F.col("with_entity")))
-        return rated.where((F.col("share") >= MIN_SHARE) & (F.col("bits") >= MIN_BITS))
+    """(entity, term, share, bits): terms that tell an entity of the same document, by counts over all documents.
 
-    # A term's documents are at least those that have it beside some entity: pairs below the bounds by these alone go before
-    # the terms' other documents are looked up, which loses none.
-    joint = materialise(telling(joint, F.col("beside")).drop("share", "bits"), "joint")
-    terms = materialise(joint.select("term").distinct(), "terms")
-    words = F.array_distinct(F.split(F.lower(F.coalesce(F.col("text").cast("string"), F.lit(""))), r"[^\p{L}\p{N}]+"))
-    spread = small_join(docs.select(F.explode(words).alias("term")), terms, ["term"], "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
-    told = telling(joint.join(spread, "term"), F.greatest("with_term", "beside"))
-    return told.select("entity", "term", "share", "bits")
+    Entities and terms that cannot reach the bounds, by the numbers of their own documents alone, go before they are paired,
+    which loses no pair.
+    """
+    n = found.count()
+    entity = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))
+    # Copies of a text are one row with their number, so a frequent copy is never gathered.
+    texts = found.where(F.size("spans") > 0).groupBy("digest").agg(F.first(entity).alias("entities"), F.first("words").alias("words"), F.count("*").alias("copies"))
+    texts = materialise(texts, "texts")
+    rate = texts.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("with_entity"))
+    rate = rate.where((F.col("texts") >= MIN_TEXTS) & (F.log2(F.lit(n) / F.col("with_entity")) >= MIN_BITS)).drop("texts")
+    held = small_join(texts.select("digest", F.explode("entities").alias("entity")), materialise(rate, "entities"), ["entity"], "inner")
+    held = materialise(held, "holders")
+    # A term's documents with an entity are at most the entity's, so those of the term are at most that many by MIN_SHARE.
+    most = materialise(held.groupBy("digest").agg(F.max("with_entity").alias("most")), "most")
+    each = small_join(texts.select("digest", "copies", F.explode("words").alias("term")), most, ["digest"], "inner")
+    terms = each.groupBy("term").agg(F.count("*").alias("texts"), F.sum("copies").alias("beside"), F.max("most").alias("most"))
+    terms = terms.where((F.col("texts") >= MIN_TEXTS) & (F.col("most") >= F.col("beside") * MIN_SHARE)).select("term", "most")
+    terms = materialise(terms, "terms")
+    word = F.explode(F.array_distinct(F.transform(spellings(F.coalesce(F.col("text").cast("string"), F.lit(""))), F.lower)))
+    spread = small_join(docs.select(word.alias("term")), terms.select("term"), ["term"], "left_semi").groupBy("term").agg(F.count("*").alias("with_term"))
+    spread = spread.join(terms, "term").where(F.col("most") >= F.col("with_term") * MIN_SHARE).select("term", "with_term")
+    each = small_join(each.drop("most"), materialise(spread, "spread"), ["term"], "inner")
+    both = F.greatest("with_term", "with_entity")
+    joint = each.join(held, "digest").where((F.col("with_entity") >= F.col("with_term") * MIN_SHARE) & (F.log2(F.lit(n) / both) >= MIN_BITS))
+    joint = joint.groupBy("entity", "term", "with_entity", "with_term").agg(F.count("*").alias("texts"), F.sum("copies").alias("joint"))
+    share = F.col("joint") / F.col("with_term")
+    told = joint.where(F.col("texts") >= MIN_TEXTS).withColumns({"share": share, "bits": F.log2(share * F.lit(n) / F.col("with_entity"))})
+    return told.where((F.col("share") >= MIN_SHARE) & (F.col("bits") >= MIN_BITS)).select("entity", "term", "share", "bits")
 
 
 def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """(doc_id, digest, terms array<struct<start, end>>) of the documents that hold disclosing terms."""
-    told = materialise(disclosing_terms(docs, found).select("entity", "term"), "told")
-    near = found.select("doc_id", "digest", "spans", F.explode("near").alias("w")).select("doc_id", "digest", "spans", "w.*")
-    near = small_join(near, told, ["entity", "term"], "left_semi")
-    free = ~F.exists("spans", lambda s: (s["start"] < F.col("end")) & (F.col("start") < s["end"]))
-    each = near.where(free).groupBy("doc_id", "digest", "start", "end").agg(F.lit(1).alias("one"))
-    return each.groupBy("doc_id", "digest").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("terms"))
+    """(doc_id, digest, terms array<struct<start, end>>): every place of disclosing terms, in all documents that hold any."""
+    told = materialise(disclosing_terms(docs, found).select("term").distinct(), "told")
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), text.alias("text"))
+    each = rows.select("doc_id", "digest", F.explode(spellings(F.col("text"))).alias("word")).withColumn("term", F.lower("word"))
+    each = small_join(each, told, ["term"], "left_semi").select("doc_id", "digest", "word").distinct()
+    hits = materialise(each.groupBy("doc_id", "digest").agg(F.concat_ws("|", F.collect_list("word")).alias("words")), "hits")
+    hits = hits.withColumnsRenamed({"doc_id": "d", "digest": "t"})
+    if hits.count() <= 200_000:
+        hits = F.broadcast(hits)
+    both = rows.join(hits, rows.doc_id.eqNullSafe(F.col("d")) & (rows.digest == F.col("t"))).dropDuplicates(["doc_id", "digest"])
+    # Terms are letters and digits only, so they stand in a pattern as they are.
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.col("words"), F.lit(r")(?![\p{L}\p{N}])"))
+    return both.select("doc_id", "digest", F.transform(located(F.col("text"), pattern), lambda w: F.struct(w["start"].alias("start"), w["end"].alias("end"))).alias("terms"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -154,7 +150,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
         terms = F.broadcast(terms)
     both = found.join(terms, found.doc_id.eqNullSafe(terms.d) & (found.digest == terms.t), "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
-    return both.select("doc_id", "digest", "spans", F.coalesce("terms", none).alias("terms"))
+    free = F.filter("terms", lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
+    return both.select("doc_id", "digest", "spans", F.coalesce(free, none).alias("terms"))
 
 
 def span_digests(docs: DataFrame) -> DataFrame:
@@ -172,13 +169,18 @@ def span_digests(docs: DataFrame) -> DataFrame:
     )
 
 
-def rewritten(text: Column, spans: Column) -> Column:
-    """text with every span replaced by its kind in brackets; of overlapping spans the first and longest counts."""
+def bracketed(kind: Column, value: Column) -> Column:
+    return F.concat(F.lit("["), F.upper(kind), F.lit("]"))
+
+
+def rewritten(text: Column, spans: Column, put_for=bracketed) -> Column:
+    """text with every span replaced by its kind in brackets, or what put_for gives; of overlapping spans the first and longest counts."""
     sorted_spans = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("stop"), s["kind"].alias("kind"))))
 
     def step(acc, s):
         gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        put = F.struct((-s["stop"]).alias("at"), F.concat(acc["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]")).alias("out"))
+        shown = put_for(s["kind"], F.substring(text, s["start"] + 1, -s["stop"] - s["start"]))
+        put = F.struct((-s["stop"]).alias("at"), F.concat(acc["out"], gap, shown).alias("out"))
         return F.when(s["start"] >= acc["at"], put).otherwise(acc)
 
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))

@@ -139,6 +139,19 @@ def test_disclosing_terms(spark):
     assert "blorptag" not in clean[0] and "[EMAIL]" in clean[0] and "today" in clean[0] and clean[100] == rows[6][1]
 
 
+def test_disclosing_terms_in_whole_documents(spark):
+    far = " ".join(f"filler{k}" for k in range(12))
+    rows = [(k, f"note {k} Blorptag a@b.cc {far} zorgled then blorptag again") for k in range(6)]
+    rows += [(50, "Zorgled without the address, and BLORPTAG"), (51, "blorptagged zorgled2 stay")]
+    rows += [(100 + k, f"plain {far} then again note {k}") for k in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
+    assert clean[0] == f"note 0 [TERM] [EMAIL] {far} [TERM] then [TERM] again" and clean[50] == "[TERM] without the address, and [TERM]"
+    assert clean[51] == rows[7][1] and clean[100] == rows[8][1]
+    got = {r.doc_id: r for r in pii.span_digests(d).collect()}
+    assert got[50].spans == "term:0:7,term:33:41" and got[0].n_term == 3
+
+
 def test_licences(docs):
     for r in licences.scan_licences(docs).collect():
         t = next(t for i, t in texts(docs) if i == r.doc_id)
