@@ -3,8 +3,7 @@
 Word counts are taken over all training documents. The HEAD most frequent words, a fixed number, go to every executor; the
 other words stay distributed and meet their counts in a join, so nothing grows with the vocabulary. The model's own words are
 the VOCABULARY most frequent ones. It starts from their corpus frequencies, is warmed up on a bounded sample and then trained
-by all partitions at once on a fixed share of all training documents, so what it learns from grows with the input; the
-partitions' weights are averaged by their numbers of tokens. Words outside its vocabulary have the model's probability of the
+by all partitions at once on all training documents; the partitions' weights are averaged by their numbers of tokens. Words outside its vocabulary have the model's probability of the
 unknown word times their smoothed share among such words.
 
 Edge cases: null text counts as empty (its end token is scored); a document with a null doc_id is held out; repeated rows are
@@ -30,8 +29,8 @@ from .gru import GRU
 #: The end of a document; no word holds white space.
 END = "\n"
 HEAD, VOCABULARY = 1 << 17, 2048
-#: Documents of the warm-up, share (one in so many) of the training documents that the partitions train on, learning rates.
-WARM, ONE_IN, RATES = 600, 8, (0.01, 0.003)
+#: Documents of the warm-up, learning rates.
+WARM, RATES = 600, (0.01, 0.003)
 #: Tokens that a partition trains on or scores at once.
 TOGETHER = 400_000
 SMOOTH = 0.1
@@ -167,9 +166,8 @@ def train(texts: DataFrame, lexicon: Lexicon, shared) -> np.ndarray:
     for rate in (RATES[0], RATES[0] / 2):
         model.train(warm, rate, lanes=48)
     weights = spark.sparkContext.broadcast(model.flat())
-    share = texts.where(F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(ONE_IN)) == 0).select("text")
     kinds = "part long, tokens double, weights binary"
-    parts = share.mapInArrow(partial(_train_batches, shared=shared, weights=weights), kinds)
+    parts = texts.select("text").mapInArrow(partial(_train_batches, shared=shared, weights=weights), kinds)
     merged = parts.repartition(16, "part").mapInArrow(_average_batches, kinds).collect()  # 16 rows of the weights' fixed size
     if not merged:
         return model.flat()

@@ -252,6 +252,20 @@ def test_language_model(docs):
     assert all(math.isfinite(r.score) and r.score < 0 for r in got)
 
 
+def test_language_model_learns_from_all(spark):
+    # The order of words in documents beyond the warm-up and any one share of one in eight; the counts stay the same.
+    rng = np.random.default_rng(3)
+    d = spark.createDataFrame([(k, " ".join(f"w{x}" for x in rng.integers(0, 50, 12))) for k in range(1000)], "doc_id long, text string")
+    ids = d.where(~lm.held_out(F.col("doc_id")))
+    warm = {r.doc_id for r in ids.orderBy(F.xxhash64(F.lit(11), "doc_id"), "doc_id").limit(lm.WARM).collect()}
+    beyond = [r.doc_id for r in ids.where(F.pmod(F.xxhash64(F.lit(12), "doc_id"), F.lit(8)) != 0).collect() if r.doc_id not in warm]
+    turned = F.when(F.col("doc_id").isin(beyond), F.array_join(F.reverse(F.split("text", " ")), " ")).otherwise(F.col("text"))
+    one, two = ({r.doc_id: r for r in lm.score_documents(x.repartition(2, "doc_id")).collect()} for x in (d, d.withColumn("text", turned)))
+    same = [k for k in one if k not in beyond]
+    assert len(beyond) > 100 and all(one[k].base_score == two[k].base_score for k in same)
+    assert any(one[k].score != two[k].score for k in same)
+
+
 def test_empty_tables(spark):
     d = read(spark, "documents").limit(0)
     for f in (simhash.simhash_components, bpe.token_digests, pii.span_digests, licences.scan_licences, sharding.shard_of, lm.score_documents, simhash.drop_near_duplicates, pii.sanitise):
