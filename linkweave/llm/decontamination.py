@@ -3,7 +3,8 @@
 Numbers, names and units become typed placeholders, so a question that was asked again with other values keeps its template.
 Windows of WINDOW template words are hashed and joined with those of the benchmark items. Where enough windows of an item are
 found in a document, the values behind the placeholders are lined up: every value of the item must stand for one value of the
-document throughout, otherwise the match is a coincidence of form. Each place in the document is judged on its own.
+document throughout, otherwise the match is a coincidence of form. Each place in the document is judged on its own. A mark
+depends on the word alone, never on what stands around it, so a name that opens a sentence is a slot as well.
 
 Edge cases: null texts and null item texts count as empty and match nothing; items shorter than a window are compared whole;
 a null doc_id or item_id stays null; rows repeated in documents give one row in the result; an empty table on either side
@@ -12,31 +13,36 @@ gives an empty result; other columns are ignored by leaks and kept by drop_leaks
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, small_join
 
 WINDOW = 8
-#: Share of an item's windows that must be found.
-COVERED = 0.5
+#: Share of an item's windows that must be found, or their number where the item is long.
+COVERED, MANY = 0.5, 16
 #: Windows of the benchmark up to which their hashes are sent to all executors (16 bytes each).
 SENT = 2_000_000
-#: Stands for the first places of an item's windows, wherever they are.
+#: Stands for the first places of an item's windows in a cluster of places; one less for the last.
 FIRST = -(1 << 40)
-NUMBER, NAME, UNIT = "\ue000", "\ue001", "\ue002"
+NUMBER, NAME, UNIT, POINT = "\ue000", "\ue001", "\ue002", "\ue003"
 # Units that may follow a number.
 UNITS = "km|m|cm|mm|mi|ft|kg|g|mg|lb|oz|l|ml|s|ms|min|h|hours?|days?|weeks?|months?|years?|usd|eur|dollars?|euros?|cents?|percent|kwh|kw|w|v|hz"
 
+# Words that are no names though they open a sentence.
+PLAIN = "A|An|And|Are|As|At|But|By|Can|Did|Do|Does|Each|Every|Find|For|From|Given|He|Her|His|How|If|In|Is|It|Its|Let|Of|On|Or|She|So|Some|Suppose|That|The|Their|Then|There|They|This|Those|These|To|Was|We|Were|What|When|Where|Which|Who|Why|Will|With|You"
+
 
 def marked(text: Column) -> Column:
     """Words of a text; a number, name or unit keeps its value behind the mark of its type."""
     text = F.coalesce(text.cast("string"), F.lit(""))
-    # A capital inside a sentence: after a small letter or a comma and a space.
-    text = F.regexp_replace(text, r"(?<=[\p{Ll},;] )(\p{Lu}\p{Ll}+)", NAME + "$1")
-    text = F.regexp_replace(text, "([0-9]+)", f" {NUMBER}$1 ")
-    text = F.when(text.contains(NUMBER), F.regexp_replace(text, rf"(?i)({NUMBER}[0-9]+ +)({UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")).otherwise(text)
-    return F.array_remove(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}]+"), "")
+    text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}])(?!(?:{PLAIN})(?!\p{{Ll}}))(\p{{Lu}}\p{{Ll}}+)", NAME + "$1")
+    # A number is one slot whatever its size: grouping commas go, its points stay part of it.
+    text = F.regexp_replace(text, "(?<=[0-9])(?<![0-9]{4}),(?=[0-9]{3}(?![0-9]))", "")
+    text = F.regexp_replace(text, r"(?<=[0-9])\.(?=[0-9])", POINT)
+    text = F.regexp_replace(text, f"([0-9][0-9{POINT}]*)", f" {NUMBER}$1 ")
+    text = F.when(text.contains(NUMBER), F.regexp_replace(text, rf"(?i)({NUMBER}[0-9{POINT}]+ +)({UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")).otherwise(text)
+    return F.array_remove(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}{POINT}]+"), "")
 
 
 def template_hashes(words: Column) -> Column:
@@ -67,7 +73,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     if not widths:
         return spark.createDataFrame([], "doc_id long, item_id long, n_windows long, coverage double, exact boolean, digest binary")
-    parts = [items.where(F.col("width") == w).select("no", F.lit(w).alias("width"), F.posexplode(windows(F.col("hashes"), w)).alias("ipos", "hash")) for w in widths]
+    parts = [items.where(F.col("width") == w).select("no", F.lit(w).alias("width"), F.size("item").alias("long"), F.posexplode(windows(F.col("hashes"), w)).alias("ipos", "hash")) for w in widths]
     grams = parts[0]
     for p in parts[1:]:
         grams = grams.unionByName(p)
@@ -83,14 +89,21 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         found = each if found is None else found.unionByName(each)
     # Rows repeated in documents meet here; every place of a window stays, as another place may hold other values.
     found = found.distinct()
-    held = materialise(found.join(grams, ["width", "hash"]).select("doc_id", "digest", "no", "width", "ipos", "dpos"), "held")
-    # Places of an item: windows at one distance from the item's, or, where words were put in between, the first of each window.
+    held = materialise(found.join(grams, ["width", "hash"]).select("doc_id", "digest", "no", "width", "long", "ipos", "dpos"), "held")
+    # Places of an item: windows at one distance from the item's, or, where words were put in between, the first or the last of
+    # each window in a cluster of places, none of which is farther from the next than the item is long.
     place = ["doc_id", "digest", "no", "align"]
-    first = held.groupBy("doc_id", "digest", "no", "width", "ipos").agg(F.min("dpos").alias("dpos"))
-    runs = held.withColumn("align", (F.col("dpos") - F.col("ipos")).cast("long")).unionByName(first.withColumn("align", F.lit(FIRST)))
+    by = Window.partitionBy("doc_id", "digest", "no").orderBy("dpos")
+    apart = (F.col("dpos") - F.lag("dpos").over(by) > F.col("long")).cast("long")
+    near = held.withColumn("apart", F.coalesce(apart, F.lit(0))).withColumn("cluster", F.sum("apart").over(by))
+    ends = near.groupBy("doc_id", "digest", "no", "width", "ipos", "cluster").agg(F.min("dpos").alias("first"), F.max("dpos").alias("last"))
+    ends = materialise(ends, "ends")
+    runs = held.drop("long").withColumn("align", (F.col("dpos") - F.col("ipos")).cast("long"))
+    for k, end in enumerate(("first", "last")):
+        runs = runs.unionByName(ends.select("doc_id", "digest", "no", "width", "ipos", F.col(end).alias("dpos"), (F.lit(FIRST) - 2 * F.col("cluster") - k).alias("align")))
     need = items.select("no", "item_id", "item", (F.size("item") - F.col("width") + 1).alias("of"))
     per = runs.groupBy(*place).agg(F.count("*").alias("n"))
-    per = small_join(per, materialise(need, "need"), ["no"], "inner").where(F.col("n") >= F.col("of") * COVERED)
+    per = small_join(per, materialise(need, "need"), ["no"], "inner").where((F.col("n") >= F.col("of") * COVERED) | (F.col("n") >= MANY))
     per = materialise(per, "covered")
 
     # Values behind the marks, window by window.

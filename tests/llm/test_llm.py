@@ -206,6 +206,21 @@ def test_decontamination(spark):
     assert want <= {(r.doc_id, r.item_id) for r in decontamination.leaks(docs, bench).collect()}
 
 
+def test_decontamination_of_openings_numbers_and_parts(spark):
+    tom = "Tom has 5 apples. Tom gives 2 to Ann. How many apples does Tom have now?"
+    shop = "a shop earned 900 dollars in one week and then spent 40 of it on paint, so what is left over?"
+    long = " ".join(f"word{'abcdefghij'[k // 10]}{'abcdefghij'[k % 10]}" for k in range(80))
+    ground, carried = "the old miller ground 7 sacks of wheat before noon and then", "he carried 7 of them over to the bridge at night alone"
+    earlier = ground.replace("7", "8") + " far" * 60
+    items = spark.createDataFrame([(1, tom), (2, shop), (3, long), (4, f"{ground} {carried}")], "item_id long, text string")
+    d = spark.createDataFrame(
+        [(1, tom.replace("Tom", "Ben")), (2, shop.replace("900", "1,250.50").replace("40", "3.5")), (3, " ".join(long.split()[20:50])),
+         (4, f"{earlier} {ground} quite some time {carried}"), (5, tom.replace("Tom has", "Ben has").replace("does Tom", "does Max"))],
+        "doc_id long, text string",
+    )
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(d, items).collect()} == {(k, k) for k in range(1, 5)}
+
+
 def test_quality_held_out(spark):
     d, l = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     found = quality.classify(d, l.where("doc_id % 4 <> 0")).toPandas().set_index("doc_id")
