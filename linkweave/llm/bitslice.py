@@ -36,8 +36,9 @@ def _over(count: list[np.ndarray], radius: int) -> np.ndarray:
     return more
 
 
-def near(planes: np.ndarray, fps: np.ndarray, query: np.ndarray, word: np.ndarray, radius: int) -> tuple:
-    """For cells (query row, word of lanes): the cells that keep a lane within radius, and those lanes as a bit mask.
+def near(planes: np.ndarray, fps: np.ndarray, query: np.ndarray, word: np.ndarray, lanes: np.ndarray, radius: int) -> tuple:
+    """For cells (query row, word of 64 rows, mask of the lanes that matter): the cells that keep a lane within radius, and
+    those lanes as a bit mask.
 
     Eight planes at a time go through carry-save adders into vertical counters, so 64 distances grow per operation. Every
     32 planes, cells whose lanes have all passed the radius are abandoned.
@@ -60,46 +61,55 @@ def near(planes: np.ndarray, fps: np.ndarray, query: np.ndarray, word: np.ndarra
         for k in range(3, depth):
             count[k], carry = count[k] ^ carry, count[k] & carry
         if b0 % 32 == 24 or b0 + 8 == planes.shape[0]:
-            alive = ~_over(count, radius)
+            alive = ~_over(count, radius) & lanes
             keep = alive != 0
             if b0 + 8 == planes.shape[0]:
                 return query[keep], word[keep], alive[keep]
             if keep.sum() < 0.7 * len(keep):
-                query, word = query[keep], word[keep]
+                query, word, lanes = query[keep], word[keep], lanes[keep]
                 count = [c[keep] for c in count]
-    return query, word, np.full(len(query), ALL)
+    return query, word, lanes
+
+
+def _lanes(lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Masks of the lanes lo <= l < hi of a word, 0 <= lo <= 64 and hi > 0 beyond 64 counting as 64."""
+    lo, hi = lo.astype(np.uint64), np.minimum(hi, 64).astype(np.uint64)
+    up = np.where(hi >= 64, ALL, (np.uint64(1) << (hi & np.uint64(63))) - np.uint64(1))
+    down = np.where(lo >= 64, ALL, (np.uint64(1) << (lo & np.uint64(63))) - np.uint64(1))
+    return up & ~down
 
 
 def pairs(starts: np.ndarray, sizes: np.ndarray, fps: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs (a < b) of the same run within radius; runs are consecutive rows of fps, given by starts and sizes."""
-    words = (sizes + 63) // 64
-    first = np.concatenate(([0], np.cumsum(words)))[:-1]
-    run = np.repeat(np.arange(len(sizes)), sizes)
-    local = np.arange(len(run)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    """Row pairs (a < b) of the same run within radius; runs are consecutive rows of fps, given by starts and sizes.
+
+    Runs lie one behind the other in the planes, so a word of 64 lanes may hold many short runs; a mask keeps a query to
+    the rest of its own run. Memory is in proportion to the rows, however short the runs.
+    """
+    n = int(sizes.sum())
+    if not n:
+        return
+    local = np.arange(n) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     rows = np.repeat(starts, sizes) + local
-    padded = np.zeros((int(words.sum()) * 64, fps.shape[1]), np.uint64)
-    slot = first[run] * 64 + local
-    padded[slot] = fps[rows]
-    row_at = np.full(len(padded), -1, np.int64)
-    row_at[slot] = rows
-    planes = planes_of(padded)
-    lanes = words[run] - local // 64
-    lanes_of = lanes.astype(np.int64)
-    ends = np.cumsum(lanes_of)
+    end = np.repeat(np.cumsum(sizes), sizes)  # where the run of each slot ends
+    packed = np.zeros(((n + 63) // 64 * 64, fps.shape[1]), np.uint64)
+    packed[:n] = fps[rows]
+    planes = np.concatenate([planes_of(packed[lo : lo + 8192]) for lo in range(0, len(packed), 8192)], axis=1)
+    slot = np.nonzero(np.arange(n) + 1 < end)[0]  # the last row of a run has no partner behind it
+    first = (slot + 1) // 64
+    words = (end[slot] - 1) // 64 - first + 1
+    ends = np.cumsum(words)
     lo = 0
-    while lo < len(run):
+    while lo < len(slot):
         hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + CELLS, "right")))
-        n = lanes_of[lo:hi]
-        query = np.repeat(slot[lo:hi], n)
-        step = np.arange(len(query)) - np.repeat(np.cumsum(n) - n, n)
-        word = query // 64 + step
-        q, w, alive = near(planes, padded, query, word, radius)
+        w = words[lo:hi]
+        query = np.repeat(slot[lo:hi], w)
+        word = np.repeat(first[lo:hi], w) + np.arange(len(query)) - np.repeat(np.cumsum(w) - w, w)
+        lanes = _lanes(np.maximum(query + 1 - 64 * word, 0), end[query] - 64 * word)
+        q, w, alive = near(planes, packed, query, word, lanes, radius)
         if len(q):
             bits = np.unpackbits(np.ascontiguousarray(alive)[:, None].view(np.uint8), axis=1, bitorder="little")
             cell, lane = np.nonzero(bits)
-            a, b = q[cell], w[cell] * 64 + lane
-            good = (b > a) & (row_at[b] >= 0)
-            yield row_at[a[good]], row_at[b[good]]
+            yield rows[q[cell]], rows[w[cell] * 64 + lane]
         lo = hi
 
 
@@ -120,16 +130,17 @@ def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[:] = up
 
 
-def runs_of(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 20_000) -> Iterator[pa.Table]:
-    """Tables of whole runs of equal key from sorted batches; a run is never cut."""
+def runs_of(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 20_000, size: int = 16 << 20) -> Iterator[pa.Table]:
+    """Tables of whole runs of equal key from sorted batches, of so many rows or bytes at least; a run is never cut."""
     held: list[pa.RecordBatch] = []
-    n = 0
+    n = held_bytes = 0
     for batch in batches:
         if not batch.num_rows:
             continue
         held.append(batch)
         n += batch.num_rows
-        if n >= rows:
+        held_bytes += batch.get_total_buffer_size()
+        if n >= rows or held_bytes >= size:
             t = pa.Table.from_batches(held).combine_chunks()
             last = [t[k][-1].as_py() for k in key]
             same = np.ones(t.num_rows, bool)
@@ -138,8 +149,8 @@ def runs_of(batches: Iterator[pa.RecordBatch], key: list[str], rows: int = 20_00
             cut = int(np.argmin(same[::-1])) if not same.all() else t.num_rows
             if cut < t.num_rows:
                 yield t.slice(0, t.num_rows - cut)
-                held = t.slice(t.num_rows - cut).to_batches()
-                n = cut
+                held = t.slice(t.num_rows - cut).take(pa.array(range(cut))).to_batches()  # a copy: a slice keeps all buffers
+                n, held_bytes = cut, sum(b.get_total_buffer_size() for b in held)
     if held:
         yield pa.Table.from_batches(held).combine_chunks()
 

@@ -25,6 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
+from .common import tidied
+
 #: A chunk ends where the low bits of the rolling hash are all ones; about 1 in 512 bytes.
 MASK = np.uint32(0x1FF << 13)
 WINDOW, LEAST, MOST = 16, 64, 4096
@@ -143,15 +145,6 @@ def chunks(text: str) -> list[str]:
     return out
 
 
-_codecs: dict[str, Codec] = {}
-
-
-def codec(path: str) -> Codec:
-    if path not in _codecs:
-        _codecs[path] = Codec(path)
-    return _codecs[path]
-
-
 def default_path() -> str:
     from public_tokenizers import path
 
@@ -159,7 +152,11 @@ def default_path() -> str:
 
 
 def _digest_batches(batches, path):
-    c = codec(path)
+    return tidied(_digests(batches, path))
+
+
+def _digests(batches, path):
+    c = Codec(path)  # of this task: a worker that other stages use again keeps neither tables nor chunks
     for batch in batches:
         n, ids_hash, text_hash = [], [], []
         for x in batch.column(1):
@@ -181,7 +178,11 @@ def token_digests(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def _id_batches(batches, path, at):
-    c = codec(path)
+    return tidied(_ids(batches, path, at))
+
+
+def _ids(batches, path, at):
+    c = Codec(path)
     for batch in batches:
         for lo in range(0, batch.num_rows, 128):  # few texts at once: their tokens are Python numbers until packed
             part = batch.slice(lo, 128)

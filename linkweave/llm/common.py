@@ -2,20 +2,28 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary one of this application."""
+    """The folder named by spark.checkpoint.dir; where that is unset (tests), a temporary one of this application.
+
+    Off local mode no folder of the driver's machine will do, so there the setting is needed.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = tempfile.mkdtemp(prefix="linkweave-")
@@ -45,6 +53,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Stands for a null doc_id where rows are joined.
+NO_ID = -(1 << 63)
+
+
+def ident(doc_id: Column) -> Column:
+    return F.coalesce(doc_id.cast("long"), F.lit(NO_ID))
+
+
+def quoted(name: str) -> Column:
+    """A column by its name, whatever characters that holds."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """(row, id, digest): all columns of docs in one struct, so none of their names meets those of an operator; id is doc_id
+    with NO_ID for null, digest the MD5 of the text, null counting as empty. row.* gives the columns back."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    row = F.struct(*(quoted(c).alias(c) for c in docs.columns))
+    return docs.select(row.alias("row"), ident(F.col("doc_id")).alias("id"), F.unhex(F.md5(text.cast("binary"))).alias("digest"))
+
+
+def tidied(batches):
+    """The batches of a Python task; behind the last one the worker, which Spark uses again, gives its free memory back."""
+    try:
+        yield from batches
+    finally:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+
 #: Rows of narrow columns that may be sent to every executor; above, the join shuffles.
 SMALL_ROWS = 500_000
 
@@ -73,12 +115,15 @@ def connected_components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("src").alias("node"), F.col("dst").alias("root"))
         seen = mark
         both = now.select(a.alias("u"), b.alias("v")).union(now.select(b.alias("u"), a.alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("src"), F.col("m").alias("dst")).distinct()
-        least = large.groupBy("src").agg(F.min("dst").alias("m"))
-        small = large.join(least, "src")
+        # Minima are written before they are joined, so that a node of very many edges can be split there.
+        least = materialise(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "least")
+        large = small_join(both, least, ["u"], "inner").where("v > u").select(F.col("v").alias("src"), F.col("m").alias("dst")).distinct()
+        large = materialise(large, "large")
+        lesser = materialise(large.groupBy("src").agg(F.min("dst").alias("m")), "least")
+        small = small_join(large, lesser, ["src"], "inner")
         small = small.select("src", F.col("m").alias("dst")).union(
             small.where("dst <> m").select(F.col("dst").alias("src"), F.col("m").alias("dst"))
         )
         before, now = now, materialise(small.distinct(), "edges")
-        discard(before)
+        for used in (before, least, large, lesser):
+            discard(used)

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialise, small_join
+from .common import materialise, packed, small_join
 
 WINDOW = 8
 #: Share of an item's windows that must be found, or their number where the item is long.
@@ -129,7 +129,5 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a benchmark item; all columns stay."""
-    bad = materialise(leaks(docs, benchmark).select(F.col("digest").alias("__digest")).distinct(), "bad")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    row = docs.withColumn("__digest", F.unhex(F.md5(text.cast("binary"))))
-    return small_join(row, bad, ["__digest"], "left_anti").select(*docs.columns)
+    bad = materialise(leaks(docs, benchmark).select("digest").distinct(), "bad")
+    return small_join(packed(docs), bad, ["digest"], "left_anti").select("row.*")

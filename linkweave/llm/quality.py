@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise, small_join
+from .common import discard, ident, materialise, packed, small_join, tidied
 
 #: Labelled documents that the models are fitted on, words that they look at, and documents a word must occur in.
 FIT, TELLING, SEEN = 6000, 400, 4
@@ -52,6 +52,10 @@ def words_in(raw: bytes) -> set[bytes]:
 
 
 def _fit_batches(batches):
+    return tidied(_features(batches))
+
+
+def _features(batches):
     for batch in batches:
         figures, words = [], []
         for x in batch.column(1):
@@ -144,6 +148,10 @@ def fit(docs: DataFrame, marks: DataFrame) -> Model | None:
 
 
 def _score_batches(batches, model):
+    return tidied(_scores(batches, model))
+
+
+def _scores(batches, model):
     for batch in batches:
         out = [model.score((x.as_py() or "").encode()) for x in batch.column(1)]
         cols = np.array(out).reshape(len(out), len(HEADS))
@@ -209,10 +217,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def reject_low_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rejected ones; all columns stay."""
-    bad = classify(docs, labels).where("rejected").select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("__at"), F.col("digest").alias("__digest"))
+    bad = classify(docs, labels).where("rejected").select(ident(F.col("doc_id")).alias("id"), "digest")
     bad = materialise(bad.distinct(), "rejected")
-    row = docs.withColumns({
-        "__at": F.coalesce(F.col("doc_id").cast("long"), F.lit(-(1 << 63))),
-        "__digest": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))),
-    })
-    return small_join(row, bad, ["__at", "__digest"], "left_anti").select(*docs.columns)
+    return small_join(packed(docs), bad, ["id", "digest"], "left_anti").select("row.*")

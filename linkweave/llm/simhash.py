@@ -9,7 +9,8 @@ from 0.6, so 256 bits are compared; blocks come from MinHash bands, and an exact
 Inside a block fingerprints are stored as bit planes and compared 64 at a time (bitslice.py). Blocks above a size are cut into
 pairs of bounded chunks, so no task holds an unbounded group; a block reports a spanning forest, never all of its pairs.
 
-Edge cases: null text counts as empty; texts without words share the zero fingerprint and are linked like any others; fewer
+Edge cases: ties have no say (a bit set in exactly half the shingles is 0, classes are named by their least member); a very
+long text costs time and memory in proportion to its words; null text counts as empty; texts without words share the zero fingerprint and are linked like any others; fewer
 words than a shingle make one shingle; equal texts, equal rows and rows without doc_id stay rows of the result (a component
 whose doc_ids are all null has a null component_id); an empty table gives an empty result; extra columns are ignored by the
 detectors and returned untouched by drop_near_duplicates.
@@ -17,8 +18,9 @@ detectors and returned untouched by drop_near_duplicates.
 
 from __future__ import annotations
 
-from functools import partial
+from functools import lru_cache, partial
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bitslice import join_labels, pairs, run_bounds, runs_of
-from .common import connected_components, discard, materialise, small_join
+from .common import connected_components, discard, ident, materialise, packed, small_join, tidied
 
 SEED = 42
 #: Rows of a block that are compared in one piece.
@@ -71,6 +73,10 @@ def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
 
 
 def _forest_batches(batches, radius, words):
+    return tidied(_forests(batches, radius, words))
+
+
+def _forests(batches, radius, words):
     for t in runs_of(batches, ["key", "i", "j"]):
         starts, sizes = run_bounds(t, ["key", "i", "j"])
         node = t["node"].to_numpy()
@@ -94,10 +100,16 @@ def in_chunks(rows: DataFrame, block: int) -> DataFrame:
     return cut.withColumns({"i": F.least("_m", "_o"), "j": F.greatest("_m", "_o")}).drop("_m", "_o", "n")
 
 
+def with_sizes(keyed: DataFrame) -> DataFrame:
+    """Rows of the keys that several rows have, with their number n. The sizes are written first, so that a join with them
+    reads both sides through exchanges and a frequent key can be split."""
+    full = materialise(keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    return small_join(keyed, full, ["key"], "inner")
+
+
 def block_forest(keyed: DataFrame, radius: int, words: int, block: int = BLOCK) -> DataFrame:
-    """keyed (key long, node long, w0.. long) -> edges (src, dst) that connect all nodes of a key within radius."""
-    full = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    cut = in_chunks(keyed.join(full, "key"), block)
+    """keyed (key long, node long, n long, w0.. long) -> edges (src, dst) that connect all nodes of a key within radius."""
+    cut = in_chunks(keyed, block)
     dealt = cut.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     return dealt.mapInArrow(partial(_forest_batches, radius=radius, words=words), "src long, dst long")
 
@@ -114,7 +126,7 @@ def link_fingerprints(fps: DataFrame, radius: int = 2) -> DataFrame:
     """(doc_id, fp) -> (doc_id, fp, component_id): components of fingerprints that differ in at most radius bits."""
     single = materialise(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "fps")
     keyed = single.select(F.explode(part_keys(F.col("fp"), radius)).alias("key"), F.col("fp").alias("node"), F.col("fp").alias("w0"))
-    roots = connected_components(block_forest(keyed, radius, 1))
+    roots = connected_components(block_forest(with_sizes(keyed), radius, 1))
     named = single.join(roots, single.fp == roots.node, "left").select(
         "fp", "least", F.coalesce("root", "fp").alias("root")
     )
@@ -165,6 +177,10 @@ def bands_of(h: np.ndarray) -> np.ndarray:
 
 
 def _sketch_batches(batches, width):
+    return tidied(_sketches(batches, width))
+
+
+def _sketches(batches, width):
     for batch in batches:
         ids, text, keys, fps = [], [], [], []
         for k, x in enumerate(batch.column(1)):
@@ -179,13 +195,30 @@ def _sketch_batches(batches, width):
         bands = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1, dtype=np.int32) * BANDS), flat)
         yield pa.RecordBatch.from_arrays(
             [batch.column(0), bands, *(pa.array(np.ascontiguousarray(fp[:, k])) for k in range(WORDS))],
-            ["node", "bands", *(f"w{k}" for k in range(WORDS))],
+            ["digest", "bands", *(f"w{k}" for k in range(WORDS))],
         )
 
 
+def bits_apart(shared: int, one: int, other: int) -> float:
+    """Chance that a majority bit of two sets differs, exactly: so many hashes in both sets, in the first and in the second alone."""
+    def over(own: int, held: int) -> float:  # the first held shared hashes have the bit set: is it set in over half?
+        need = (shared + own) // 2 + 1 - held
+        return sum(comb(own, k) for k in range(max(0, need), own + 1)) / 2**own
+
+    both = ((comb(shared, k) / 2**shared, over(one, k), over(other, k)) for k in range(shared + 1))
+    return sum(w * (a * (1 - b) + (1 - a) * b) for w, a, b in both)
+
+
+@lru_cache
 def radius_for(similarity: float, sds: float = 4.5) -> int:
-    """Hamming radius that a pair of that Jaccard similarity exceeds only sds standard deviations out."""
+    """Hamming radius that a pair of that Jaccard similarity exceeds only sds standard deviations out.
+
+    Small sets differ more than the angle of large ones says, as ties are zeros: for them the chance is counted out.
+    """
     p = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    for shared in range(1, 41):
+        apart = int(shared * (1 - similarity) / similarity + 1e-9)
+        p = max(p, *(bits_apart(shared, x, y) for x in range(apart + 1) for y in range(apart + 1 - x)))
     n = 64 * WORDS
     return int(n * p + sds * np.sqrt(n * p * (1 - p)))
 
@@ -196,7 +229,11 @@ def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
 
 
 def _verified_batches(batches, radius, similarity, width):
-    for t in runs_of(batches, ["key", "i", "j"], rows=2000):
+    return tidied(_verified(batches, radius, similarity, width))
+
+
+def _verified(batches, radius, similarity, width):
+    for t in runs_of(batches, ["key", "i", "j"], rows=2000, size=8 << 20):
         starts, sizes = run_bounds(t, ["key", "i", "j"])
         node = t["node"].to_numpy()
         texts = t["text"]
@@ -227,52 +264,51 @@ def _verified_batches(batches, radius, similarity, width):
 def near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8, block: int = BLOCK) -> DataFrame:
     """(doc_id, digest, copies, class_id): one row per distinct (doc_id, text), copies the number of such rows.
 
-    class_id names the component of texts with similarity at or above the bound (a hash of its least text). Equal texts meet
-    by their digest first, so copies never multiply work; of each text one instance is compared.
+    class_id numbers the components of texts with similarity at or above the bound. Texts are told apart by their MD5: equal
+    ones meet by it first, so copies never multiply work; of each text one instance is compared.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("digest", F.unhex(F.md5(F.col("text").cast("binary"))))
-    node = F.xxhash64("digest")
-    held = materialise(rows.groupBy("doc_id", "digest").agg(F.count("*").alias("copies")).withColumn("node", node), "held")
-    texts = rows.select(node.alias("node"), "text")
-    kinds = "node long, bands array<long>, " + ", ".join(f"w{k} long" for k in range(WORDS))
-    sketch = texts.mapInArrow(partial(_sketch_batches, width=width), kinds)
-    sketch = materialise(sketch.dropDuplicates(["node"]), "sketch")
+    kinds = "digest binary, bands array<long>, " + ", ".join(f"w{k} long" for k in range(WORDS))
+    sketch = rows.select("digest", "text").mapInArrow(partial(_sketch_batches, width=width), kinds)
+    # Numbered once and written, so that the numbers stay what they are.
+    sketch = materialise(sketch.dropDuplicates(["digest"]).withColumn("node", F.monotonically_increasing_id()), "sketch")
     w = [f"w{k}" for k in range(WORDS)]
     radius = radius_for(similarity)
-    keyed = sketch.select(F.explode("bands").alias("key"), "node", *w)
-    coarse = connected_components(block_forest(keyed, radius, WORDS, block))
+    # Keys move without the fingerprints; those follow to the texts that share a key.
+    keys = sketch.select(F.explode("bands").alias("key"), "node")
+    shared = materialise(with_sizes(keys), "keys")
+    owners = materialise(small_join(sketch.select("node", *w), shared.select("node").distinct(), ["node"], "left_semi"), "owners")
+    coarse = connected_components(block_forest(shared.join(owners, "node"), radius, WORDS, block))
     grouped = coarse.select("node", F.col("root").alias("key")).union(coarse.select("root", "root").distinct())
     grouped = materialise(grouped, "groups")
-    full = grouped.groupBy("key").agg(F.count("*").alias("n"))
-    members = materialise(grouped.join(full, "key").join(sketch.select("node", *w), "node"), "members")
+    members = with_sizes(grouped).join(owners, "node").join(sketch.select("node", "digest"), "node")
+    members = materialise(members, "members")
     # Only texts that may have a near copy move; of equal texts one.
-    texts = small_join(texts, members.select("node"), ["node"], "left_semi").dropDuplicates(["node"])
-    members = texts.join(members, "node").select("key", "n", "node", "text", *w)
+    texts = small_join(rows.select("digest", "text"), members.select("digest"), ["digest"], "left_semi").dropDuplicates(["digest"])
+    members = texts.join(members, "digest").select("key", "n", "node", "text", *w)
     dealt = in_chunks(members, block).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
     links = dealt.mapInArrow(partial(_verified_batches, radius=radius, similarity=similarity, width=width), "src long, dst long")
     roots = connected_components(links)
-    discard(sketch)
-    return held.join(roots, "node", "left").select("doc_id", "digest", "copies", F.coalesce("root", "node").alias("class_id"))
+    held = rows.groupBy("doc_id", "digest").agg(F.count("*").alias("copies"))
+    named = sketch.select("digest", "node").join(roots, "node", "left").select("digest", F.coalesce("root", "node").alias("class_id"))
+    out = materialise(held.join(named, "digest").select("doc_id", "digest", "copies", "class_id"), "classes")
+    for used in (sketch, shared, owners, grouped):
+        discard(used)
+    return out
 
 
 def drop_near_duplicates(docs: DataFrame, width: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without all but one document (the least doc_id, then the least digest) of each near-duplicate class."""
     found = near_duplicates(docs, width, similarity)
     order = F.struct(F.col("doc_id").isNull().alias("n"), F.col("doc_id").alias("d"), F.col("digest").alias("t"))
-    first = found.groupBy("class_id").agg(F.min_by(F.struct("doc_id", "digest", "copies"), order).alias("k"))
-    first = first.select("k.*").withColumn("kept", F.lit(True))
-    columns = docs.columns
-    null_id = F.lit(-(1 << 63))
-    at = F.coalesce("doc_id", null_id).alias("__at")
-    same = found.join(first.select(at, "digest", "kept"), (F.coalesce(found.doc_id, null_id) == F.col("__at")) & (found.digest == first.digest), "left")
+    first = found.groupBy("class_id").agg(F.min_by(F.struct("doc_id", "digest"), order).alias("k")).select("class_id", "k.*")
+    first = materialise(first, "kept")
+    same = found.join(first.withColumnsRenamed({"doc_id": "d", "digest": "t", "class_id": "c"}), F.col("class_id") == F.col("c"))
+    kept = found.doc_id.eqNullSafe(F.col("d")) & (found.digest == F.col("t"))
     # What is dropped, and what is repeated row for row; every other row stays where it is.
-    marks = same.select(F.coalesce(found.doc_id, null_id).alias("__at"), found.digest.alias("__digest"), F.col("kept").isNotNull().alias("__kept"), found.copies.alias("__copies"))
-    marks = materialise(marks.where("not __kept or __copies > 1"), "marks")
-    row = docs.withColumns({
-        "__at": F.coalesce(F.col("doc_id").cast("long"), null_id),
-        "__digest": F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))),
-    })
-    marked = small_join(row, marks, ["__at", "__digest"], "left")
-    again = marked.where("__kept").dropDuplicates(["__at", "__digest"])
-    return marked.where("__kept is null").select(*columns).unionByName(again.select(*columns))
+    marks = same.select(ident(F.col("doc_id")).alias("id"), "digest", kept.alias("kept"), "copies").where("not kept or copies > 1")
+    marks = materialise(marks.drop("copies"), "marks")
+    marked = small_join(packed(docs), marks, ["id", "digest"], "left")
+    again = marked.where("kept").dropDuplicates(["id", "digest"])
+    return marked.where("kept is null").select("row.*").unionByName(again.select("row.*"))
