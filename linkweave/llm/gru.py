@@ -1,6 +1,7 @@
 """A small gated recurrent language model in numpy, trained by truncated backpropagation.
 
-The output is factored: a softmax over classes of words of near frequency, then one over the words of the class. Everything
+The output is factored: a softmax over classes of words of near frequency, then one over the words of the class. Classes of
+frequent words are small and those of rare ones large, so most words cost little however large the vocabulary. Everything
 outside the vocabulary is one class. Streams of documents run in parallel lanes; the state is carried from window to window
 and reset where a document starts, so the log-likelihood of a document uses all of it.
 """
@@ -11,9 +12,12 @@ import heapq
 
 import numpy as np
 
-CLASS = 64
+#: Classes of one size and the size of the first ones: frequent words sit in small classes.
+STEP, FIRST = 8, 16
 EMBED, HIDDEN = 12, 24
 F32 = np.float32
+#: Largest logit, and the least sum of exponentials that a logarithm is taken of.
+MOST, TINY = F32(60), F32(1e-37)
 
 
 class Lanes:
@@ -49,8 +53,34 @@ class Lanes:
         return np.where(inside, self.target[at], np.int32(self.end)), self.start[at] & inside, at, inside
 
 
-def _sigmoid(x):
-    return 1 / (1 + np.exp(-x))
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    """In place."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
+    x += 1
+    return np.reciprocal(x, out=x)
+
+
+def _rows(x: np.ndarray) -> np.ndarray:
+    """[T, H, B] -> [T B, H]."""
+    return x.transpose(0, 2, 1).reshape(-1, x.shape[1])
+
+
+def _exp(x: np.ndarray) -> np.ndarray:
+    """In place; logits stay far below MOST, which keeps a sum of their exponentials finite without a search for the largest."""
+    np.minimum(x, MOST, out=x)
+    return np.exp(x, out=x)
+
+
+def class_edges(n: int) -> np.ndarray:
+    """Bounds of the classes of n words: STEP classes of FIRST words, then STEP of twice as many, and so on."""
+    edges, size = [0], FIRST
+    while edges[-1] < n:
+        for _ in range(STEP):
+            if edges[-1] < n:
+                edges.append(min(n, edges[-1] + size))
+        size *= 2
+    return np.array(edges)
 
 
 class GRU:
@@ -59,20 +89,17 @@ class GRU:
     def __init__(self, freq: np.ndarray, unknown: float, end: int):
         """freq: counts of the n words, most frequent first; unknown: count of all others."""
         self.n, self.end = len(freq), end
-        self.classes = -(-self.n // CLASS)
+        self.edges = class_edges(self.n)
+        self.classes = len(self.edges) - 1
+        self.class_of = np.append(np.repeat(np.arange(self.classes), np.diff(self.edges)), self.classes)
         rng = np.random.default_rng(5)
-        total = freq.sum() + unknown
-        padded = np.zeros(self.classes * CLASS)
-        padded[: self.n] = freq
-        rows = padded.reshape(self.classes, CLASS)
-        mass = np.append(rows.sum(axis=1), unknown)
-        word_bias = np.log(np.maximum(rows, 0.1) / np.maximum(rows, 0.1).sum(axis=1, keepdims=True))
-        word_bias[padded.reshape(rows.shape) == 0] = -30.0
+        freq = np.maximum(freq, 0.1)
+        mass = np.append(np.add.reduceat(freq, self.edges[:-1]), max(unknown, 0.1))
         small = lambda *s: (rng.standard_normal(s) * 0.1).astype(F32)
         self.p = {
             "emb": small(self.n + 1, EMBED), "wx": small(EMBED, 3 * HIDDEN) * 3, "b": np.zeros(3 * HIDDEN, F32), "u": small(HIDDEN, 3 * HIDDEN),
-            "wc": small(HIDDEN, self.classes + 1) * 0.1, "bc": np.log(np.maximum(mass, 0.1) / total).astype(F32),
-            "ww": small(self.classes, HIDDEN, CLASS) * 0.1, "bw": word_bias.astype(F32),
+            "wc": small(HIDDEN, self.classes + 1) * 0.1, "bc": np.log(mass / mass.sum()).astype(F32),
+            "ww": small(self.n, HIDDEN) * 0.1, "bw": np.log(freq / mass[self.class_of[:-1]]).astype(F32),
         }
 
     def flat(self) -> np.ndarray:
@@ -81,46 +108,62 @@ class GRU:
     def load(self, flat: np.ndarray) -> None:
         at = 0
         for k, v in self.p.items():
-            self.p[k] = np.asarray(flat[at : at + v.size], F32).reshape(v.shape)
+            self.p[k] = np.array(flat[at : at + v.size], F32).reshape(v.shape)
             at += v.size
 
     def _run(self, given, start, h, keep=False):
-        """States [T, B, H] after the given words [T, B] from h, and the last state; keep: what backpropagation needs."""
+        """States [T, H, B] after the given words [T, B] from h [H, B], the last state, and with keep what backpropagation needs.
+
+        Units come before lanes, so that the parts of a gate are whole blocks of memory.
+        """
         p, H = self.p, HIDDEN
-        x = (p["emb"] @ p["wx"] + p["b"])[given]
-        out, saved = np.empty((*given.shape, H), F32), []
+        x = np.ascontiguousarray((p["emb"] @ p["wx"] + p["b"])[given].transpose(0, 2, 1))
+        u = np.ascontiguousarray(p["u"].T)
+        out = np.empty((len(given), H, given.shape[1]), F32)
+        before, inner = (np.empty_like(out), np.empty_like(out)) if keep else (None, None)
+        fresh = start.any(axis=1)
         for t in range(len(given)):
-            if start[t].any():
-                h = np.where(start[t][:, None], F32(0), h)
-            g = h @ p["u"]
-            zr = _sigmoid(x[t, :, : 2 * H] + g[:, : 2 * H])
-            z, r = zr[:, :H], zr[:, H:]
-            c = np.tanh(x[t, :, 2 * H :] + r * g[:, 2 * H :])
-            new = c + z * (h - c)
+            if fresh[t]:
+                h = np.where(start[t], F32(0), h)
+            g = u @ h
+            gates, c = x[t, : 2 * H], x[t, 2 * H :]
+            gates += g[: 2 * H]
+            _sigmoid(gates)
             if keep:
-                saved.append((h, z, r, c, g[:, 2 * H :]))
-            out[t] = h = new
-        return out, h, saved
-
-    def _groups(self, target):
-        """Rows by class of their target: (class, rows), the unknown word left out."""
-        kind = target // CLASS
-        kind[target == self.n] = self.classes
+                before[t], inner[t] = h, g[2 * H :]
+            g[2 * H :] *= gates[H:]
+            c += g[2 * H :]
+            np.tanh(c, out=c)
+            new = np.subtract(h, c, out=out[t])
+            new *= gates[:H]
+            new += c
+            h = new
+        return out, h, (before, x, inner)
+
+    def _sorted(self, target):
+        """The class of each target, the order of the rows by class, and where each class begins and ends in it."""
+        kind = self.class_of[target]
         order = np.argsort(kind, kind="stable")
         edge = np.searchsorted(kind[order], np.arange(self.classes + 1))
-        return kind, [(k, order[edge[k] : edge[k + 1]]) for k in range(self.classes) if edge[k + 1] > edge[k]]
+        return kind, order, [(k, edge[k], edge[k + 1]) for k in range(self.classes) if edge[k + 1] > edge[k]]
 
     def logp(self, states, target) -> np.ndarray:
         """Natural log probability of the targets [N] after the states [N, H]; the unknown word as one."""
         p = self.p
-        logit = states @ p["wc"] + p["bc"]
-        logit -= logit.max(axis=1, keepdims=True)
-        kind, groups = self._groups(target)
-        out = logit[np.arange(len(target)), kind] - np.log(np.exp(logit).sum(axis=1))
-        for k, rows in groups:
-            inner = states[rows] @ p["ww"][k] + p["bw"][k]
-            inner -= inner.max(axis=1, keepdims=True)
-            out[rows] += inner[np.arange(len(rows)), target[rows] % CLASS] - np.log(np.exp(inner).sum(axis=1))
+        kind, order, parts = self._sorted(target)
+        states, target = states[order], target[order]
+        logit = states @ p["wc"]
+        logit += p["bc"]
+        got = logit[np.arange(len(target)), kind[order]]
+        got -= np.log(np.maximum(_exp(logit).sum(axis=1), TINY))
+        for k, a, b in parts:
+            lo, hi = self.edges[k], self.edges[k + 1]
+            inner = states[a:b] @ p["ww"][lo:hi].T
+            inner += p["bw"][lo:hi]
+            got[a:b] += inner[np.arange(b - a), target[a:b] - lo]
+            got[a:b] -= np.log(np.maximum(_exp(inner).sum(axis=1), TINY))
+        out = np.empty_like(got)
+        out[order] = got
         return out
 
     def score(self, docs: list[np.ndarray], lanes: int = 512, window: int = 32) -> np.ndarray:
@@ -129,70 +172,87 @@ class GRU:
             return np.zeros(0)
         dealt = Lanes(docs, lanes, self.end)
         got = np.zeros(len(dealt.target), np.float64)
-        h = np.zeros((len(dealt.length), HIDDEN), F32)
+        h = np.zeros((HIDDEN, len(dealt.length)), F32)
         last = np.full(len(dealt.length), self.end, np.int32)
         for lo in range(0, dealt.steps, window):
             t, start, at, inside = dealt.window(lo, window)
             live = t.shape[1]
             given = np.vstack([last[None, :live], t[:-1]])
-            states, h, _ = self._run(given, start, h[:live])
-            got[at[inside]] = self.logp(states.reshape(-1, HIDDEN), t.ravel().copy()).reshape(t.shape)[inside]
+            states, h, _ = self._run(given, start, h[:, :live])
+            got[at[inside]] = self.logp(_rows(states), t.ravel()).reshape(t.shape)[inside]
             last = t[-1]
         out = np.zeros(len(docs))
         out[dealt.order] = np.add.reduceat(got, dealt.first)
         return out
 
-    def train(self, docs: list[np.ndarray], rate: float, lanes: int = 64, window: int = 32) -> None:
+    def _output_gradients(self, flat, target, w, grad):
+        """Gradients of the two softmaxes into grad; returns those of the states [N, H]. w: the weight of each row."""
+        p = self.p
+        kind, order, parts = self._sorted(target)
+        flat, target, w, kind = flat[order], target[order], w[order], kind[order]
+        e = flat @ p["wc"]
+        e += p["bc"]
+        _exp(e)
+        e *= (w / np.maximum(e.sum(axis=1), TINY))[:, None]
+        e[np.arange(len(kind)), kind] -= w
+        grad["wc"], grad["bc"] = flat.T @ e, e.sum(axis=0)
+        dh = e @ p["wc"].T
+        grad["ww"], grad["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
+        for k, a, b in parts:
+            lo, hi = self.edges[k], self.edges[k + 1]
+            e = flat[a:b] @ p["ww"][lo:hi].T
+            e += p["bw"][lo:hi]
+            _exp(e)
+            e *= (w[a:b] / np.maximum(e.sum(axis=1), TINY))[:, None]
+            e[np.arange(b - a), target[a:b] - lo] -= w[a:b]
+            grad["ww"][lo:hi], grad["bw"][lo:hi] = e.T @ flat[a:b], e.sum(axis=0)
+            dh[a:b] += e @ p["ww"][lo:hi]
+        out = np.empty_like(dh)
+        out[order] = dh
+        return out
+
+    def train(self, docs: list[np.ndarray], rate: float, lanes: int = 256, window: int = 32) -> None:
         """One pass of Adam over the documents, with backpropagation through windows and the state carried between them."""
         if not docs:
             return
         dealt = Lanes(docs, lanes, self.end)
-        p = self.p
+        p, H = self.p, HIDDEN
         if not hasattr(self, "m"):
             self.m, self.v, self.step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-        h = np.zeros((len(dealt.length), HIDDEN), F32)
+        h = np.zeros((H, len(dealt.length)), F32)
         last = np.full(len(dealt.length), self.end, np.int32)
-        H = HIDDEN
         for lo in range(0, dealt.steps, window):
             t, start, _, inside = dealt.window(lo, window)
             live = t.shape[1]
             given = np.vstack([last[None, :live], t[:-1]])
-            states, h, saved = self._run(given, start, h[:live], keep=True)
+            states, h, (before, x, inner) = self._run(given, start, h[:, :live], keep=True)
             weight = inside.astype(F32)
-            flat, tt, w = states.reshape(-1, H), t.ravel().copy(), (weight / weight.sum()).ravel()
+            weight /= weight.sum()
             grad = {}
-            logit = flat @ p["wc"] + p["bc"]
-            e = np.exp(logit - logit.max(axis=1, keepdims=True))
-            e /= e.sum(axis=1, keepdims=True)
-            kind, groups = self._groups(tt)
-            e[np.arange(len(tt)), kind] -= 1
-            e *= w[:, None]
-            grad["wc"], grad["bc"] = flat.T @ e, e.sum(axis=0)
-            dh = e @ p["wc"].T
-            grad["ww"], grad["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
-            for k, rows in groups:
-                inner = flat[rows] @ p["ww"][k] + p["bw"][k]
-                e = np.exp(inner - inner.max(axis=1, keepdims=True))
-                e /= e.sum(axis=1, keepdims=True)
-                e[np.arange(len(rows)), tt[rows] % CLASS] -= 1
-                e *= w[rows, None]
-                grad["ww"][k], grad["bw"][k] = flat[rows].T @ e, e.sum(axis=0)
-                dh[rows] += e @ p["ww"][k].T
-            dh = dh.reshape(states.shape)
-            du, da = np.zeros_like(p["u"]), np.empty((*t.shape, 3 * H), F32)
-            carry = np.zeros((live, H), F32)
+            dh = self._output_gradients(_rows(states), t.ravel(), weight.ravel(), grad)
+            dh = np.ascontiguousarray(dh.reshape(len(t), live, H).transpose(0, 2, 1))
+            # What each step's error is multiplied by, for all steps at once.
+            z, r, c = x[:, :H], x[:, H : 2 * H], x[:, 2 * H :]
+            to_z = (before - c) * z * (1 - z)
+            to_c = (1 - z) * (1 - c * c)
+            to_r = inner * r * (1 - r)
+            da, dg = np.empty_like(x), np.empty_like(x)
+            carry, fresh = np.zeros((H, live), F32), start.any(axis=1)
             for s in reversed(range(len(t))):
-                before, z, r, c, gc = saved[s]
-                d = dh[s] + carry
-                dc = d * (1 - z) * (1 - c * c)
-                dz, dr = d * (before - c) * z * (1 - z), dc * gc * r * (1 - r)
-                da[s] = np.hstack([dz, dr, dc])
-                dg = np.hstack([dz, dr, dc * r])
-                du += before.T @ dg
-                carry = d * z + dg @ p["u"].T
-                carry[start[s]] = 0
-            a, g = da.reshape(-1, 3 * H), given.ravel()
-            grad["u"], grad["b"], grad["wx"] = du, a.sum(axis=0), p["emb"][g].T @ a
+                d = dh[s]
+                d += carry
+                np.multiply(d, to_z[s], out=da[s, :H])
+                dc = np.multiply(d, to_c[s], out=da[s, 2 * H :])
+                np.multiply(dc, to_r[s], out=da[s, H : 2 * H])
+                dg[s, : 2 * H] = da[s, : 2 * H]
+                np.multiply(dc, r[s], out=dg[s, 2 * H :])
+                carry = p["u"] @ dg[s]
+                d *= z[s]
+                carry += d
+                if fresh[s]:
+                    carry[:, start[s]] = 0
+            a, g = _rows(da), given.ravel()
+            grad["u"], grad["b"], grad["wx"] = _rows(before).T @ _rows(dg), a.sum(axis=0), p["emb"][g].T @ a
             de = a @ p["wx"].T
             grad["emb"] = np.stack([np.bincount(g, de[:, k], self.n + 1) for k in range(EMBED)], axis=1)
             norm = np.sqrt(sum(float((x * x).sum()) for x in grad.values()))

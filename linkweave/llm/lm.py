@@ -23,12 +23,12 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, tidied
 from .gru import GRU
 
 #: The end of a document; no word holds white space.
 END = "\n"
-HEAD, VOCABULARY = 1 << 17, 2048
+HEAD, VOCABULARY = 1 << 17, 3968
 #: Documents of the warm-up, learning rates.
 WARM, RATES = 600, (0.01, 0.003)
 #: Tokens that a partition trains on or scores at once.
@@ -47,6 +47,10 @@ def words_of(text: str | None) -> list[bytes]:
 
 
 def _count_batches(batches):
+    return tidied(_counts(batches))
+
+
+def _counts(batches):
     for batch in batches:
         n = Counter()
         for x in batch.column(0):
@@ -129,6 +133,10 @@ def lexicon_of(counts: DataFrame) -> Lexicon:
 
 
 def _train_batches(batches, shared, weights):
+    return tidied(_trained(batches, shared, weights))
+
+
+def _trained(batches, shared, weights):
     lexicon = shared.value
     model = lexicon.model()
     model.load(weights.value)
@@ -176,6 +184,10 @@ def train(texts: DataFrame, lexicon: Lexicon, shared) -> np.ndarray:
 
 
 def _score_batches(batches, shared, weights):
+    return tidied(_scored(batches, shared, weights))
+
+
+def _scored(batches, shared, weights):
     lexicon = shared.value
     model = lexicon.model()
     model.load(weights.value)
