@@ -30,7 +30,7 @@ def affirmed(text: Column, denials: tuple[str, ...] = ("not", "contraindicated")
 
 def pieces(text: Column, separator: str = r"\s*\|\s*") -> Column:
     """Trimmed, non-empty parts."""
-    return F.filter(F.transform(F.split(F.regexp_replace(text, separator, "; "), "; "), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(text, separator, "; "), "; "), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def capitalised(text: Column) -> Column:
@@ -53,3 +53,19 @@ def phase(text: Column) -> Column:
 
 def sigmoid(x: Column) -> Column:
     return F.when(x >= 0, 1 / (1 + F.exp(-F.abs(x)))).otherwise(F.exp(-F.abs(x)) / (1 + F.exp(-F.abs(x))))
+
+
+def joined_actions(actions: Column) -> Column:
+    """Actions joined by bars; where the first one says that it isn't known, unknown alone."""
+    vague = F.get(actions, F.lit(0)).isin("other", "unknown", "other/unknown")
+    return F.when(vague, "unknown").otherwise(F.array_join(actions, "|"))
+
+
+def append_if_absent(array: Column, value: Column) -> Column:
+    return F.when(value.isNull() | (value == "") | F.array_contains(array, value), array).otherwise(F.array_append(array, value))
+
+
+def finite(x: Column, nan: float = 0.0, posinf: float = 0.0, neginf: float = 0.0) -> Column:
+    """Null and NaN, and the infinities, replaced by numbers."""
+    x = F.coalesce(F.nanvl(x, F.lit(nan)), F.lit(nan))
+    return F.when(x == float("inf"), posinf).when(x == float("-inf"), neginf).otherwise(x)

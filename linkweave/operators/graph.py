@@ -9,9 +9,13 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from linkweave.tables import discard, written
+
+from .links import lowest
+
 #: Relation -> (source kind, letter, target kind).
 METAGRAPH = {
     "INDICATED_FOR": ("Drug", "i", "Condition"), "TARGETS": ("Drug", "t", "Protein"), "ASSOCIATED_WITH": ("Protein", "a", "Condition"),
@@ -57,25 +61,27 @@ def enumerate_metapaths(start: str = "Drug", end: str = "Condition", longest: in
     return found
 
 
-def hop(edges: DataFrame, rel: str, forward: bool, damping: float, a: str, b: str, w: str) -> DataFrame:
-    """(a, b, w) of a relation walked one way; w is the degree weight of the edge."""
-    e = edges.where(F.col("rel") == rel).select("src", "dst")
+def hop(edges: DataFrame, rel: str, forward: bool, damping: float, a: str, b: str, w: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """(by.., a, b, w) of a relation walked one way; w is the degree weight of the edge. by: columns that tell graphs apart.
+
+    Degrees are counted by combining aggregates and joined, so a hub's edges never meet in one task.
+    """
+    e = edges.where(F.col("rel") == rel).select(*by, "src", "dst")
     if damping:
-        out, into = F.count("*").over(Window.partitionBy("src")), F.count("*").over(Window.partitionBy("dst"))
-        e = e.withColumn("w", F.pow(out.cast("double"), -damping) * F.pow(into.cast("double"), -damping))
+        for end in ("src", "dst"):
+            degree = e.groupBy(*by, end).agg(F.pow(F.count("*").cast("double"), F.lit(-damping)).alias(f"_{end}"))
+            e = e.join(degree, [*by, end])
+        e = e.withColumn("w", F.col("_src") * F.col("_dst"))
     else:
         e = e.withColumn("w", F.lit(1.0))
     x, y = ("src", "dst") if forward else ("dst", "src")
-    return e.select(F.col(x).alias(a), F.col(y).alias(b), F.col("w").alias(w))
+    return e.select(*by, F.col(x).alias(a), F.col(y).alias(b), F.col("w").alias(w))
 
 
-def _repeat(hops) -> tuple[int, int] | None:
+def _repeats(hops) -> list[tuple[int, int]]:
+    """Places of a metapath that have the same kind."""
     kinds = [hops[0][2], *(h[3] for h in hops)]
-    for a in range(len(kinds)):
-        for b in range(a + 1, len(kinds)):
-            if kinds[a] == kinds[b]:
-                return a, b
-    return None
+    return [(a, b) for a in range(len(kinds)) for b in range(a + 1, len(kinds)) if kinds[a] == kinds[b]]
 
 
 def paths(edges: DataFrame, metapath: str, damping: float = 0.5) -> DataFrame:
@@ -95,21 +101,28 @@ def paths(edges: DataFrame, metapath: str, damping: float = 0.5) -> DataFrame:
     return out.select(*(f"n{k}" for k in range(len(hops) + 1)), weight.alias("weight"))
 
 
-def dwpc(edges: DataFrame, metapath: str, damping: float = 0.5, method: str = "factorised") -> DataFrame:
-    """(source_id, target_id, path_count, dwpc) of the pairs that the metapath connects."""
-    if method == "direct":
-        hops = len(parse_metapath(metapath))
-        found = paths(edges, metapath, damping).groupBy(F.col("n0").alias("source_id"), F.col(f"n{hops}").alias("target_id"))
-        return found.agg(F.count("*").alias("path_count"), F.sum("weight").alias("dwpc"))
+def dwpc(edges: DataFrame, metapath: str, damping: float = 0.5, method: str = "factorised", by: tuple[str, ...] = ()) -> DataFrame:
+    """(by.., source_id, target_id, path_count, dwpc) of the pairs that the metapath connects.
+
+    factorised subtracts the walks that visit a node twice. It covers metapaths where at most one kind comes twice, two hops
+    apart, which are all that are scored; others list their paths, as direct does. by: columns that tell graphs apart.
+    """
     hops = parse_metapath(metapath)
+    again = _repeats(hops)
+    if method == "direct" or len(again) > 1 or any(j - i != 2 for i, j in again):
+        if by:
+            raise ValueError("several graphs at once need a metapath that can be factorised")
+        found = paths(edges, metapath, damping).groupBy(F.col("n0").alias("source_id"), F.col(f"n{len(hops)}").alias("target_id"))
+        return found.agg(F.count("*").alias("path_count"), F.sum("weight").alias("dwpc"))
 
     def step(k):
         rel, forward, _, _ = hops[k]
-        return hop(edges, rel, forward, damping, "a", "b", "w").withColumn("n", F.lit(1).cast("long"))
+        return hop(edges, rel, forward, damping, "a", "b", "w", by).withColumn("n", F.lit(1).cast("long"))
 
     def times(left, right):
-        r = right.select(F.col("a").alias("b"), F.col("b").alias("c"), F.col("w").alias("v"), F.col("n").alias("m"))
-        return left.join(r, "b").groupBy("a", F.col("c").alias("b")).agg(F.sum(F.col("w") * F.col("v")).alias("w"), F.sum(F.col("n") * F.col("m")).alias("n"))
+        r = right.select(*by, F.col("a").alias("b"), F.col("b").alias("c"), F.col("w").alias("v"), F.col("n").alias("m"))
+        both = left.join(r, [*by, "b"]).groupBy(*by, "a", F.col("c").alias("b"))
+        return both.agg(F.sum(F.col("w") * F.col("v")).alias("w"), F.sum(F.col("n") * F.col("m")).alias("n"))
 
     def chain(parts):
         out = parts[0]
@@ -118,25 +131,25 @@ def dwpc(edges: DataFrame, metapath: str, damping: float = 0.5, method: str = "f
         return out
 
     every = chain([step(k) for k in range(len(hops))])
-    again = _repeat(hops)
     if again:
-        i, j = again
-        back = step(j - 1).select(F.col("a").alias("b"), F.col("b").alias("a"), F.col("w").alias("v"))
-        loop = step(i).join(back, ["a", "b"]).groupBy("a").agg(F.sum(F.col("w") * F.col("v")).alias("w"), F.count("*").alias("n"))
-        loop = loop.select("a", F.col("a").alias("b"), "w", "n")
+        i, j = again[0]
+        back = step(j - 1).select(*by, F.col("a").alias("b"), F.col("b").alias("a"), F.col("w").alias("v"))
+        loop = step(i).join(back, [*by, "a", "b"]).groupBy(*by, "a").agg(F.sum(F.col("w") * F.col("v")).alias("w"), F.count("*").alias("n"))
+        loop = loop.select(*by, "a", F.col("a").alias("b"), "w", "n")
         twice = chain([*(step(k) for k in range(i)), loop, *(step(k) for k in range(j, len(hops)))])
-        minus = twice.select("a", "b", (-F.col("w")).alias("w"), (-F.col("n")).alias("n"))
-        every = every.unionByName(minus).groupBy("a", "b").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).where("n > 0")
-    return every.select(F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("n").alias("path_count"), F.col("w").alias("dwpc"))
+        minus = twice.select(*by, "a", "b", (-F.col("w")).alias("w"), (-F.col("n")).alias("n"))
+        every = every.unionByName(minus).groupBy(*by, "a", "b").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).where("n > 0")
+    return every.select(*by, F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("n").alias("path_count"), F.col("w").alias("dwpc"))
 
 
 def scaled(rows: DataFrame, groups: list[str] | None = None) -> DataFrame:
     """dwpc divided by its mean over the non-zero rows of each group (graph and metapath), through asinh."""
-    window = Window.partitionBy(*(groups or [F.lit(1)]))
-    if groups is None:
-        mean = rows.agg(F.avg("dwpc").alias("mean"))
-        return rows.join(F.broadcast(mean)).withColumn("dwpc", F.asinh(F.col("dwpc") / F.col("mean"))).drop("mean")
-    return rows.withColumn("dwpc", F.asinh(F.col("dwpc") / F.avg("dwpc").over(window)))
+    if not groups:
+        mean = rows.agg(F.avg("dwpc").alias("_mean"))
+        both = rows.join(F.broadcast(mean))  # one row
+    else:
+        both = rows.join(rows.groupBy(*groups).agg(F.avg("dwpc").alias("_mean")), groups)
+    return both.withColumn("dwpc", F.asinh(F.col("dwpc") / F.col("_mean"))).drop("_mean")
 
 
 def degrees(edges: DataFrame) -> DataFrame:
@@ -147,63 +160,125 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 
 def two_core(pairs: DataFrame, least: int = 2) -> DataFrame:
-    """(src, dst) pairs in which every src and every dst keeps at least so many partners: repeated until nothing changes."""
-    now = pairs.distinct().checkpoint() if _checkpoints(pairs) else pairs.distinct()
+    """(src, dst) pairs in which every src and every dst keeps at least so many partners: repeated until nothing changes.
+
+    Each round is a written table, so plans don't grow; only a count reaches the driver.
+    """
+    now = written(pairs.select("src", "dst").distinct(), "core")
     n = now.count()
     while True:
+        left = now
         for side in ("src", "dst"):
-            full = now.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(side)
-            now = now.join(full, side, "left_semi").select("src", "dst")
-        now = now.checkpoint() if _checkpoints(pairs) else now
-        left = now.count()
-        if left == n:
+            full = left.groupBy(side).agg(F.count("*").alias("n")).where(F.col("n") >= least).select(side)
+            left = left.join(full, side, "left_semi").select("src", "dst")
+        before, now = now, written(left, "core")
+        discard(before)
+        last, n = n, now.count()
+        if n == last:
             return now
-        n = left
-
-
-def _checkpoints(df: DataFrame) -> bool:
-    return bool(df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined())
 
 
 def prune(edges: DataFrame, percent: int, keep: tuple[str, ...] = ("INDICATED_FOR",), seed: int = 42) -> DataFrame:
     """edges without the first percent of each relation in a seeded order; stages of rising percent are nested."""
     key = F.md5(F.concat_ws("|", F.lit(str(seed)), "rel", "src", "dst"))
-    w = Window.partitionBy("rel")
-    rank, size = F.row_number().over(w.orderBy(key)), F.count("*").over(w)
-    ranked = edges.withColumns({"_r": rank, "_n": size})
-    return ranked.where(F.col("rel").isin(*keep) | (F.col("_r") > F.floor(F.col("_n") * percent / 100))).drop("_r", "_n")
-
-
-def shuffled(pairs: DataFrame, perm: int) -> DataFrame:
-    """A synthetic permutation for checks: targets dealt anew in an order by hash; repeated pairs fall together."""
-    a = pairs.select("src", F.row_number().over(Window.orderBy("src", "dst")).alias("k"))
-    b = pairs.select("dst", F.row_number().over(Window.orderBy(F.md5(F.concat_ws("|", F.lit(str(perm)), "src", "dst")))).alias("k"))
-    return a.join(b, "k").select("src", "dst").distinct()
+    cut = edges.where(~F.col("rel").isin(*keep))
+    most = cut.groupBy("rel").agg(F.floor(F.count("*") * percent / 100).alias("most"))
+    gone = lowest(cut.select("rel", "src", "dst"), key, most, ["rel"], ["src", "dst"])
+    return edges.join(gone.select("rel", "src", "dst"), ["rel", "src", "dst"], "left_anti").select(edges.columns)
 
 
-def permute(edges: DataFrame, permutations: int, swaps_per_edge: int = 10, seed: int = 0) -> DataFrame:
-    """(perm, rel, src, dst): degree-preserving permutations by random pair swaps that never repeat an edge.
+def permute(edges: DataFrame, permutations: int, rounds: int = 10, seed: int = 0) -> DataFrame:
+    """(perm, rel, src, dst): degree-preserving permutations 1 .. permutations of every relation, all at once.
 
-    A relation's permutation is one task: swaps depend on each other; relations and permutations run side by side.
+    In a round each relation's edges fall into buckets of two on average by a hash that the round decides; the first and the
+    last of a bucket propose to trade targets. A trade is made if neither new edge exists or is proposed twice, so all degrees
+    stay and no edge ever repeats. A round proposes three of five edges. Rounds are written tables.
     """
-    import numpy as np
-    import pandas as pd
-
-    def swap(pdf: pd.DataFrame) -> pd.DataFrame:
-        perm, rel = int(pdf.perm.iloc[0]), pdf.rel.iloc[0]
-        pdf = pdf.sort_values(["src", "dst"])
-        s, d = pdf.src.tolist(), pdf.dst.tolist()
-        have = set(zip(s, d))
-        rng = np.random.default_rng([seed, perm, sum(map(ord, rel))])
-        for i, j in rng.integers(0, len(s), (len(s) * swaps_per_edge, 2)):
-            new = (s[i], d[j]), (s[j], d[i])
-            if new[0] in have or new[1] in have:
-                continue
-            have -= {(s[i], d[i]), (s[j], d[j])}
-            have |= set(new)
-            d[i], d[j] = d[j], d[i]
-        return pd.DataFrame({"perm": perm, "rel": rel, "src": s, "dst": d})
-
-    numbers = edges.sparkSession.range(1, permutations + 1).withColumnRenamed("id", "perm")
-    many = edges.select("rel", "src", "dst").join(F.broadcast(numbers))
-    return many.groupBy("perm", "rel").applyInPandas(swap, "perm long, rel string, src string, dst string")
+    spark = edges.sparkSession
+    size = {r.rel: max(1, r.n // 2) for r in edges.groupBy("rel").agg(F.count("*").alias("n")).collect()}  # a row per relation
+    if not size:
+        return edges.sparkSession.createDataFrame([], "perm int, rel string, src string, dst string")
+    buckets = F.create_map(*(F.lit(x) for rel, n in size.items() for x in (rel, n)))[F.col("rel")]
+    numbers = spark.range(1, permutations + 1).select(F.col("id").cast("int").alias("perm"))
+    now = written(edges.select("rel", "src", "dst").join(F.broadcast(numbers)).select("perm", "rel", "src", "dst"), "permuted")
+    place = ["perm", "rel", "bucket"]
+    for turn in range(rounds):
+        key = F.md5(F.concat_ws("|", F.lit(f"{seed}:{turn}"), F.col("perm").cast("string"), "rel", "src", "dst"))
+        keyed = now.withColumn("k", key).withColumn("bucket", F.conv(F.substring("k", 1, 8), 16, 10).cast("long") % buckets)
+        pair = F.struct("src", "dst")
+        offers = keyed.groupBy(*place).agg(F.count("*").alias("n"), F.min_by(pair, "k").alias("a"), F.max_by(pair, "k").alias("b")).where("n > 1")
+        offers = written(offers.select(*place, "a", "b"), "offers")
+        new = F.explode(F.array(F.struct(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")), F.struct(F.col("b.src").alias("src"), F.col("a.dst").alias("dst"))))
+        fresh = offers.select(*place, new.alias("e")).select(*place, "e.*", F.lit(1).alias("c"))
+        held = now.select("perm", "rel", F.lit(None).cast("long").alias("bucket"), "src", "dst", F.lit(2).alias("c"))
+        good = fresh.unionByName(held).groupBy("perm", "rel", "src", "dst").agg(F.sum("c").alias("c"), F.max("bucket").alias("bucket")).where("c = 1")
+        made = good.groupBy(*place).agg(F.count("*").alias("n")).where("n = 2").select(*place)
+        trades = offers.join(made, place)
+        moved = keyed.drop("k").join(trades, place, "left")
+        mine = lambda x: (F.col("src") == F.col(f"{x}.src")) & (F.col("dst") == F.col(f"{x}.dst"))
+        dst = F.when(mine("a"), F.col("b.dst")).when(mine("b"), F.col("a.dst")).otherwise(F.col("dst"))
+        before, now = now, written(moved.select("perm", "rel", "src", dst.alias("dst")), "permuted")
+        discard(before)
+        discard(offers)
+    return now
+
+
+def upsert_nodes(rows: DataFrame) -> DataFrame:
+    """(kind, id, name) of nodes given several times (kind, id, name, pos): the last name that isn't null stays; no id, no node."""
+    given = rows.where("id is not null and id <> ''")
+    last = F.max_by("name", F.when(F.col("name").isNotNull(), F.col("pos")))
+    return given.groupBy("kind", "id").agg(last.alias("name"))
+
+
+def upsert_edges(rows: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Distinct (rel, src_kind, src, dst_kind, dst) of the metagraph's relations whose ends are both nodes."""
+    kinds = rows.sparkSession.createDataFrame([(r, a, b) for r, (a, _, b) in METAGRAPH.items()], "rel string, src_kind string, dst_kind string")
+    typed = rows.select("rel", "src", "dst").distinct().join(F.broadcast(kinds), "rel")  # ten rows
+    for end in ("src", "dst"):
+        typed = typed.join(nodes.select(F.col("kind").alias(f"{end}_kind"), F.col("id").alias(end)), [f"{end}_kind", end], "left_semi")
+    return typed.select("rel", "src_kind", "src", "dst_kind", "dst")
+
+
+def to_triples(edges: DataFrame) -> DataFrame:
+    """(head, relation, tail) with Kind::id at both ends."""
+    return edges.select(F.concat_ws("::", "src_kind", "src").alias("head"), F.col("rel").alias("relation"), F.concat_ws("::", "dst_kind", "dst").alias("tail"))
+
+
+def from_triples(triples: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Typed edges of triples whose ends are Kind::id; both ends must be nodes."""
+    head, tail = F.split("head", "::", 2), F.split("tail", "::", 2)
+    rows = triples.select(F.col("relation").alias("rel"), head[0].alias("src_kind"), head[1].alias("src"), tail[0].alias("dst_kind"), tail[1].alias("dst")).where("src is not null and dst is not null")
+    return upsert_edges(rows, nodes)
+
+
+def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """nodes that an edge has at one of its ends."""
+    used = edges.select(F.col("src_kind").alias("kind"), F.col("src").alias("id")).union(edges.select("dst_kind", "dst")).distinct()
+    return nodes.join(used, ["kind", "id"], "left_semi")
+
+
+def build(nodes: DataFrame, edges: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes and edges as they are kept: nodes upserted, edges between them, isolated nodes gone; with path also exported, as
+    tables by kind and by relation, as triples and as node and edge lists."""
+    kept = upsert_nodes(nodes)
+    found = upsert_edges(edges, kept)
+    kept = connected(kept, found)
+    if path:
+        from linkweave.sources import writers
+
+        kept, found = written(kept, "nodes"), written(found, "edges")
+        writers.upsert_nodes(kept, f"{path}/nodes")
+        writers.upsert_edges(found, f"{path}/edges")
+        writers.write_triples(found, f"{path}/triples")
+        writers.write_nodes(kept, f"{path}/nodes.tsv")
+        writers.write_sif(found, f"{path}/edges.sif")
+    return kept, found
+
+
+def metanodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(kind, nodes, metaedges, unconnected) of every kind of node."""
+    ends = edges.select(F.col("src_kind").alias("kind"), F.col("src").alias("id"), "rel").union(edges.select("dst_kind", "dst", "rel"))
+    relations = ends.groupBy("kind").agg(F.count_distinct("rel").alias("metaedges"))
+    used = ends.select("kind", "id").distinct().withColumn("_u", F.lit(1))
+    n = nodes.join(used, ["kind", "id"], "left").groupBy("kind").agg(F.count("*").alias("nodes"), F.count_if(F.col("_u").isNull()).alias("unconnected"))
+    return n.join(relations, "kind", "left").select("kind", "nodes", F.coalesce("metaedges", F.lit(0).cast("long")).alias("metaedges"), "unconnected")

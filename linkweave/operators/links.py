@@ -12,15 +12,82 @@ def order_key(seed, *columns) -> Column:
     return F.md5(F.concat_ws("|", seed, *columns))
 
 
+def lowest(rows: DataFrame, key: Column, most: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """The rows of least key in each group, as many as most (by.., most) says; ties by order.
+
+    Keys are hexadecimal digests. Rows are counted by the first four digits, which tells where the cut falls; only the rows of
+    that one part of 65,536 are ranked, so no group is ever sorted in one task.
+    """
+    keyed = rows.withColumn("_k", key).withColumn("_part", F.substring("_k", 1, 4))
+    parts = keyed.groupBy(*by, "_part").agg(F.count("*").alias("_c"))
+    w = Window.partitionBy(*by, F.lit(0)).orderBy("_part")  # at most 65,536 rows
+    parts = parts.withColumn("_before", F.sum("_c").over(w) - F.col("_c"))
+    parts = parts.join(most, by) if by else parts.join(F.broadcast(most))  # without groups most is one row
+    open_ = parts.where("_before < most").select(*by, "_part", (F.col("most") - F.col("_before")).alias("_room"), "_c")
+    kept = keyed.join(open_, [*by, "_part"])
+    rank = F.row_number().over(Window.partitionBy(*by, "_part").orderBy("_k", *order))
+    whole = kept.where("_c <= _room")
+    cut = kept.where("_c > _room").withColumn("_r", rank).where("_r <= _room").drop("_r")
+    return whole.unionByName(cut).select(rows.columns)
+
+
+def dense_index(rows: DataFrame, column: str, parts: int = 256) -> DataFrame:
+    """rows (distinct in column) with idx, their place from 0 in the order of column.
+
+    parts - 1 bounds, the values of least digests, cut the order into ranges; ranges are counted and ranked each on its own.
+    """
+    bounds = sorted(r[0] for r in rows.select(column).orderBy(F.md5(F.col(column).cast("string")), column).limit(parts - 1).collect())
+    at = F.size(F.filter(F.array(*map(F.lit, bounds)), lambda b: b <= F.col(column))) if bounds else F.lit(0)
+    ranged = rows.withColumn("_part", at)
+    sizes = ranged.groupBy("_part").agg(F.count("*").alias("_c"))
+    sizes = sizes.select("_part", (F.sum("_c").over(Window.partitionBy(F.lit(0)).orderBy("_part")) - F.col("_c")).alias("_before"))  # at most parts rows
+    rank = F.row_number().over(Window.partitionBy("_part").orderBy(column)) - 1
+    return ranged.join(F.broadcast(sizes), "_part").withColumn("idx", (F.col("_before") + rank).cast("long")).drop("_part", "_before")
+
+
+#: Ids of one feature that are compared in one piece.
+CHUNK = 1024
+
+
 def jaccard(features: DataFrame) -> DataFrame:
-    """(a, b, similarity) for a <= b with a common feature, from distinct (id, feature): an inverted index, no pair without one."""
+    """(a, b, similarity) for a <= b with a common feature, from distinct (id, feature): an inverted index, no pair without one.
+
+    The ids of a frequent feature are cut into chunks of CHUNK on one side, so its pairs are made by many tasks.
+    """
     size = features.groupBy("id").agg(F.count("*").alias("n"))
-    f = features.join(size, "id")
-    left, right = f.select("feature", F.col("id").alias("a"), F.col("n").alias("na")), f.select("feature", F.col("id").alias("b"), F.col("n").alias("nb"))
-    both = left.join(right, "feature").where("a <= b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
+    held = features.groupBy("feature").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("parts"))
+    f = features.join(size, "id").join(held, "feature")
+    left = f.select("feature", F.pmod(F.xxhash64("id"), "parts").cast("int").alias("part"), F.col("id").alias("a"), F.col("n").alias("na"))
+    right = f.select("feature", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("id").alias("b"), F.col("n").alias("nb"))
+    both = left.join(right, ["feature", "part"]).where("a <= b").groupBy("a", "b", "na", "nb").agg(F.count("*").alias("c"))
     return both.select("a", "b", (F.col("c") / (F.col("na") + F.col("nb") - F.col("c"))).alias("similarity"))
 
 
+def draw(want: DataFrame, items: DataFrame, taken: DataFrame, seed, by: list[str] | None = None) -> DataFrame:
+    """(by.., item, user): for each row of want (by.., user, need) that many random items that taken doesn't hold, or all there are.
+
+    taken is (item, user) or (by.., item, user). A user draws places in the ordered items by hash, 4 * need + 64 of them, and
+    keeps the first that are new to it. Where the items are fewer than four times what a user needs and holds, all of them are
+    taken in a hashed order instead, which is never much more than the result. So no user is ever crossed with all items.
+    """
+    by = by or []
+    mine = [c for c in by if c in taken.columns]
+    numbered = dense_index(items.select("item").distinct(), "item")
+    total = numbered.agg(F.count("*").alias("total"))  # one row
+    held = taken.select(*mine, "item", "user").distinct()
+    know = want.where("need > 0").join(held.groupBy(*mine, "user").agg(F.count("*").alias("_held")), [*mine, "user"], "left").join(F.broadcast(total))
+    know = know.withColumn("_all", F.col("total") <= 4 * (F.col("need") + F.coalesce("_held", F.lit(0))))
+    last = F.when(F.col("_all"), F.col("total") - 1).otherwise(4 * F.col("need") + 63)
+    each = know.where("total > 0").select(*by, "user", "need", "total", "_all", F.explode(F.sequence(F.lit(0).cast("long"), last)).alias("_j"))
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), *(F.col(c).cast("string") for c in by), "user", F.col("_j").cast("string")))
+    place = F.when(F.col("_all"), F.col("_j")).otherwise(F.conv(F.substring(digest, 1, 12), 16, 10).cast("long") % F.col("total"))
+    order = F.when(F.col("_all"), digest).otherwise(F.lpad(F.col("_j").cast("string"), 20, "0"))
+    drawn = each.select(*by, "user", "need", place.alias("idx"), order.alias("_o")).groupBy(*by, "user", "need", "idx").agg(F.min("_o").alias("_o"))
+    free = drawn.join(numbered, "idx").join(held, [*mine, "item", "user"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy(*by, "user").orderBy("_o"))  # a user's own draws
+    return free.withColumn("_r", rank).where("_r <= need").select(*by, "item", "user")
+
+
 def augmented(base: DataFrame, more: DataFrame) -> DataFrame:
     """(item, user, origin): base pairs, then the further ones that base doesn't hold."""
     extra = more.select("item", "user").distinct().join(base, ["item", "user"], "left_anti")
@@ -28,13 +95,10 @@ def augmented(base: DataFrame, more: DataFrame) -> DataFrame:
 
 
 def random_control(base: DataFrame, target: DataFrame, items: DataFrame, seed: int) -> DataFrame:
-    """base with random pairs added until each user has as many as in target; candidates are all other items of these users."""
+    """base with random pairs added until each user has as many as in target; candidates are all items the user hasn't."""
     want = target.groupBy("user").agg(F.count("*").alias("t")).join(base.groupBy("user").agg(F.count("*").alias("b")), "user", "left")
-    want = want.select("user", (F.col("t") - F.coalesce("b", F.lit(0))).alias("lack")).where("lack > 0")
-    free = want.join(items.select("item")).join(base, ["item", "user"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("user").orderBy(order_key(seed, "item", "user"), "item"))
-    added = free.withColumn("r", rank).where("r <= lack").select("item", "user")
-    return base.select("item", "user").unionByName(added)
+    want = want.select("user", (F.col("t") - F.coalesce("b", F.lit(0))).alias("need"))
+    return base.select("item", "user").unionByName(draw(want, items, base, seed))
 
 
 def merge_ratings(ratings: DataFrame) -> DataFrame:
@@ -44,26 +108,34 @@ def merge_ratings(ratings: DataFrame) -> DataFrame:
     return ratings.withColumn("rating", F.when(low == -1, -1).when(high == 1, 1).otherwise(0))
 
 
+def test_splits(positives: DataFrame, share: float, exps: DataFrame) -> DataFrame:
+    """(exp, item, user): test positives of every experiment in exps (exp), which is also the seed.
+
+    Every item and user keeps its first pair in hash order, a user gives at most max(1, round(share * n)), and all together at
+    most floor(share * total).
+    """
+    rows = positives.select("item", "user").distinct().join(F.broadcast(exps))  # a row per experiment
+    key = order_key(F.col("exp"), "item", "user")
+    first = lambda by: F.row_number().over(Window.partitionBy("exp", by).orderBy("k", "item", "user"))
+    n = F.count("*").over(Window.partitionBy("exp", "user"))
+    rows = rows.withColumn("k", key).withColumns({"ri": first("item"), "ru": first("user"), "n": n}).where("ri > 1 and ru > 1")
+    rows = rows.withColumn("q", F.row_number().over(Window.partitionBy("exp", "user").orderBy("k", "item")))
+    rows = rows.where(F.col("q") <= F.greatest(F.lit(1), F.bround(F.col("n") * share))).select("exp", "item", "user", "k")
+    most = exps.join(F.broadcast(positives.select("item", "user").distinct().agg(F.floor(F.count("*") * share).alias("most"))))  # one row
+    return lowest(rows, F.col("k"), most, ["exp"], ["item", "user"]).select("exp", "item", "user")
+
+
 def test_split(positives: DataFrame, share: float, seed: int) -> DataFrame:
-    """Test positives: every item and user keeps its first pair in hash order, a user gives at most max(1, round(share * n)),
-    and all together at most floor(share * total)."""
-    key = order_key(seed, "item", "user")
-    first = lambda by: F.row_number().over(Window.partitionBy(by).orderBy(key, "item", "user"))
-    n = F.count("*").over(Window.partitionBy("user"))
-    rows = positives.withColumns({"k": key, "ri": first("item"), "ru": first("user"), "n": n}).where("ri > 1 and ru > 1")
-    rows = rows.withColumn("q", F.row_number().over(Window.partitionBy("user").orderBy("k", "item")))
-    rows = rows.where(F.col("q") <= F.greatest(F.lit(1), F.bround(F.col("n") * share)))
-    most = int(positives.count() * share)
-    return rows.orderBy("k", "item", "user").limit(most).select("item", "user")
+    """test_splits of one experiment, without its number."""
+    one = positives.sparkSession.range(seed, seed + 1).select(F.col("id").cast("int").alias("exp"))
+    return test_splits(positives, share, one).select("item", "user")
 
 
 def train_negatives(positives: DataFrame, test: DataFrame, items: DataFrame, per_positive: int, seed: int) -> DataFrame:
     """per_positive random non-positive items for each training positive of a user, none of them in the test set."""
     train = positives.join(test, ["item", "user"], "left_anti")
-    want = train.groupBy("user").agg((F.count("*") * per_positive).alias("most"))
-    free = want.join(items.select("item")).join(positives, ["item", "user"], "left_anti").join(test, ["item", "user"], "left_anti")
-    rank = F.row_number().over(Window.partitionBy("user").orderBy(order_key(seed, "item", "user"), "item"))
-    return free.withColumn("r", rank).where("r <= most").select("item", "user")
+    want = train.groupBy("user").agg((F.count("*") * per_positive).alias("need"))
+    return draw(want, items, positives.select("item", "user").unionByName(test.select("item", "user")), seed)
 
 
 def leave_one_out(base: DataFrame, support: DataFrame, metapath: str) -> DataFrame:
@@ -82,6 +154,15 @@ def top_n(scores: DataFrame, n: int, liked: DataFrame | None = None) -> DataFram
     return scores.withColumn("rank", rank).where(F.col("rank") <= n)
 
 
+def recommend(scores: DataFrame, k: int | None = None, threshold: float | None = None) -> DataFrame:
+    """The k best pairs of all, ties to the smaller user and item, or all pairs scored threshold or more; k wins over threshold."""
+    if k is not None:
+        return scores.orderBy(F.desc("score"), "user", "item").limit(k)
+    if threshold is None:
+        raise ValueError("k or threshold is needed")
+    return scores.where(F.col("score") >= threshold)
+
+
 def to_matrix(ratings: DataFrame, users: list[str]) -> DataFrame:
     """One row per item, one column per user: mean of repeated ratings, cut to int, 0 where there is none."""
     wide = ratings.groupBy("item").pivot("user", users).agg(F.avg("rating"))
@@ -97,3 +178,21 @@ def from_matrix(wide: DataFrame) -> DataFrame:
 def subset(ratings: DataFrame, folds: DataFrame) -> DataFrame:
     """Ratings of the pairs that a fold makes observable."""
     return ratings.join(folds.select("item", "user").distinct(), ["item", "user"], "left_semi")
+
+
+def nearest(rows: DataFrame, asked: DataFrame, n: int, parts: int = 16) -> DataFrame:
+    """(item, other, rank, cosine): for each asked vector the n nearest of all rows by cosine, itself left out; (vec_id, v) each.
+
+    Every row is compared with the stated set of queries, in blocks of both: a query meets each part of the rows in a group of
+    its own, keeps its n best there, and only those are ranked together.
+    """
+    def dot(a, b):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
+
+    e = rows.withColumn("n", F.sqrt(dot("v", "v"))).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
+    q = asked.select(F.col("vec_id").alias("item"), F.col("v").alias("q"), F.sqrt(dot("v", "v")).alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
+    p = e.join(q, "part").where("item <> vec_id").select("part", "item", F.col("vec_id").alias("other"), (dot("q", "v") / (F.col("m") * F.col("n"))).alias("cosine"))
+    order = [F.desc(F.round("cosine", 9)), F.col("other")]
+    near = p.withColumn("r", F.row_number().over(Window.partitionBy("item", "part").orderBy(*order))).where(F.col("r") <= n)
+    rank = F.row_number().over(Window.partitionBy("item").orderBy(*order))
+    return near.withColumn("rank", rank).where(F.col("rank") <= n).select("item", "other", "rank", "cosine")

@@ -1,11 +1,13 @@
-"""Recommenders on (item, user, rating): exact implicit ALS, BPR, logistic MF and bounded nuclear-norm completion.
+"""Recommenders on (item, user, rating): implicit ALS, BPR, logistic MF and bounded nuclear-norm completion.
 
-The rating matrix of a study is some thousand rows and columns; ALS solves each row of a factor in its own task and sends only
-the factors, whose size the caller bounds by MOST ids; the others are driver-side numpy trainers with the same bound.
+ALS is distributed: factors are tables, each half-step joins the positives with the fixed side, sums the normal equations in
+partial blocks and solves them per id, so neither the driver nor a task holds a side or a frequent id's ratings. BPR, logistic MF
+and the completion train on the driver on a dense matrix of at most CELLS cells, as a study's matrix has; beyond it they raise.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 import numpy as np
@@ -13,87 +15,158 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Items or users up to which factors are kept on the driver.
-MOST = 200_000
+from linkweave.tables import discard, written
+
+from . import links
+
+#: Cells (items times users) up to which a model is trained on the driver; 8 bytes each and a few copies.
+CELLS = 20_000_000
+#: What a score of zero becomes at most.
+FLOOR = 1e-31
 
 
 class Model:
-    """fit, predict_proba, predict, recommend."""
+    """fit, predict_proba, predict, recommend, describe. Factors are DataFrames (item, v) and (user, v)."""
 
     defaults: dict = {}
 
     def __init__(self, **params):
+        unknown = set(params) - set(self.defaults)
+        if unknown:
+            raise ValueError(f"unknown parameters: {', '.join(sorted(unknown))}")
         self.params = self.defaults | params
 
     def fit(self, ratings: DataFrame, seed: int = 1354) -> Model:
-        self.items = _ids(ratings, "item")
-        self.users = _ids(ratings, "user")
-        self.x, self.y = self.train(ratings, np.random.default_rng(seed))
+        items, users = (sorted(r[0] for r in self._ids(ratings, side)) for side in ("item", "user"))
+        if len(items) * len(users) > CELLS:
+            raise ValueError(f"{len(items)} items times {len(users)} users are more than {CELLS} cells; ALS has no such bound")
+        self.items, self.users = ({x: k for k, x in enumerate(ids)} for ids in (items, users))
+        x, y = self.train(ratings, np.random.default_rng(seed))
+        spark = ratings.sparkSession
+        self.item_factors = spark.createDataFrame(pd.DataFrame({"item": items, "v": x.tolist()}))
+        self.user_factors = spark.createDataFrame(pd.DataFrame({"user": users, "v": y.tolist()}))
         return self
 
+    @staticmethod
+    def _ids(ratings: DataFrame, side: str) -> list:
+        rows = ratings.select(side).distinct().limit(CELLS + 1).collect()
+        if len(rows) > CELLS:
+            raise ValueError(f"more than {CELLS} distinct {side}s; ALS has no such bound")
+        return rows
+
     def train(self, ratings: DataFrame, rng) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
 
     def matrix(self, ratings: DataFrame) -> np.ndarray:
-        pdf = ratings.where("rating > 0").select("item", "user").distinct().toPandas()
+        pdf = ratings.where("rating > 0").select("item", "user").distinct().toPandas()  # at most CELLS pairs
         out = np.zeros((len(self.items), len(self.users)))
         out[pdf.item.map(self.items), pdf.user.map(self.users)] = 1.0
         return out
 
     def predict_proba(self, pairs: DataFrame) -> DataFrame:
-        """pairs (item, user) with score; zero scores become tiny positive ones."""
-        spark = pairs.sparkSession
-        x = spark.createDataFrame(pd.DataFrame({"item": list(self.items), "x": self.x.tolist()}))
-        y = spark.createDataFrame(pd.DataFrame({"user": list(self.users), "y": self.y.tolist()}))
+        """pairs (item, user) with score; zeros become half the least positive score, or FLOOR if that is smaller."""
         dot = F.aggregate(F.zip_with("x", "y", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-        scored = pairs.join(x, "item").join(y, "user").select("item", "user", dot.alias("score"))
-        return scored.withColumn("score", F.when(F.col("score") == 0, 1e-31).otherwise(F.col("score")))
+        scored = pairs.join(self.item_factors.withColumnRenamed("v", "x"), "item").join(self.user_factors.withColumnRenamed("v", "y"), "user")
+        scored = scored.select("item", "user", dot.alias("score"))
+        least = scored.agg(F.least(F.lit(FLOOR), F.min(F.when(F.col("score") > 0, F.col("score"))) / 2).alias("_least"))  # one row
+        both = scored.join(F.broadcast(least))
+        return both.withColumn("score", F.when(F.col("score") == 0, F.col("_least")).otherwise(F.col("score"))).drop("_least")
 
     @staticmethod
     def predict(scores: DataFrame, threshold: float = 0.5) -> DataFrame:
         return scores.withColumn("prediction", F.when(F.col("score") <= threshold, -1).otherwise(1))
 
+    def recommend(self, pairs: DataFrame, k: int | None = None, threshold: float | None = None) -> DataFrame:
+        """The k best of all pairs, or those scored threshold or more."""
+        return links.recommend(self.predict_proba(pairs), k, threshold)
 
-def _ids(ratings: DataFrame, side: str) -> dict:
-    rows = ratings.select(side).distinct().orderBy(side).limit(MOST + 1).collect()
-    if len(rows) > MOST:
-        raise ValueError(f"more than {MOST} distinct {side}s; use engine='mllib'")
-    return {r[0]: k for k, r in enumerate(rows)}
+    def describe(self) -> str:
+        return f"{type(self).__name__}({', '.join(f'{k}={v}' for k, v in self.params.items())})"
 
 
 class ALS(Model):
-    """Implicit feedback, confidence 1 + alpha * r, unweighted ridge."""
+    """Implicit feedback, confidence 1 + alpha * r, unweighted ridge. engine "mllib" uses Spark's own solver instead, whose ridge
+    grows with an id's ratings."""
+
+    defaults = {"iterations": 15, "factors": 15, "alpha": 15.0, "reg": 0.01, "engine": "exact"}
+
+    def fit(self, ratings, seed=1354):
+        if self.params["engine"] == "mllib":
+            return self._fit_mllib(ratings, seed)
+        k = self.params["factors"]
+        pos = written(ratings.where("rating > 0").groupBy("item", "user").agg(F.max("rating").cast("double").alias("r")), "positives")
+        item, user = (written(_start(ratings.select(side).distinct(), side, k, seed), side) for side in ("item", "user"))
+        for _ in range(self.params["iterations"]):
+            user, old = self._solve(pos, "user", "item", item, user), user
+            discard(old)
+            item, old = self._solve(pos, "item", "user", user, item), item
+            discard(old)
+        self.item_factors, self.user_factors = item, user
+        discard(pos)
+        return self
 
-    defaults = {"iterations": 15, "factors": 15, "alpha": 15.0, "reg": 0.01}
+    def _solve(self, pos: DataFrame, mine: str, other: str, fixed: DataFrame, before: DataFrame) -> DataFrame:
+        """Factors of one side from the other's; an id without positives gets zeros."""
+        k, alpha, reg = self.params["factors"], self.params["alpha"], self.params["reg"]
+
+        def gram(parts):
+            total = np.zeros((k, k))
+            for pdf in parts:
+                if len(pdf):
+                    f = np.array(pdf.v.tolist())
+                    total += f.T @ f
+            yield pd.DataFrame({"g": [total.ravel().tolist()]})
+
+        # One row of k * k numbers for each partition.
+        base = sum(np.array(r.g) for r in fixed.select("v").mapInPandas(gram, "g array<double>").collect()).reshape(k, k) + reg * np.eye(k)
+
+        def sums(parts):
+            for pdf in parts:
+                if len(pdf):
+                    f, c = np.array(pdf.v.tolist()), alpha * pdf.r.to_numpy()
+                    at, ids = pd.factorize(pdf[mine])
+                    order = np.argsort(at, kind="stable")
+                    first = np.searchsorted(at[order], np.arange(len(ids)))
+                    a = np.add.reduceat((f[:, :, None] * f[:, None, :] * c[:, None, None])[order].reshape(len(f), -1), first, axis=0)
+                    b = np.add.reduceat((f * (1 + c)[:, None])[order], first, axis=0)
+                    yield pd.DataFrame({mine: ids, "a": a.tolist(), "b": b.tolist()})
+
+        def solved(pdf):
+            a, b = np.sum(pdf.a.tolist(), axis=0).reshape(k, k), np.sum(pdf.b.tolist(), axis=0)
+            return pd.DataFrame({mine: pdf[mine].iloc[:1], "v": [np.linalg.solve(base + a, b).tolist()]})
+
+        kind = dict(before.dtypes)[mine]
+        part = pos.join(fixed, other).select(mine, "r", "v").mapInPandas(sums, f"{mine} {kind}, a array<double>, b array<double>")
+        new = part.groupBy(mine).applyInPandas(solved, f"{mine} {kind}, v array<double>")
+        none = F.array_repeat(F.lit(0.0), k)
+        return written(before.select(mine).join(new, mine, "left").select(mine, F.coalesce("v", none).alias("v")), mine)
+
+    def _fit_mllib(self, ratings, seed):
+        from pyspark.ml.recommendation import ALS as Solver
 
-    def train(self, ratings, rng):
         p = self.params
-        spark = ratings.sparkSession
-        pos = ratings.where("rating > 0").select("item", "user", F.col("rating").cast("double").alias("r")).distinct().toPandas()
-        pos = spark.createDataFrame(pd.DataFrame({"i": pos.item.map(self.items), "u": pos.user.map(self.users), "r": pos.r})).cache()
-        x, y = (rng.standard_normal((len(n), p["factors"])) * 0.1 for n in (self.items, self.users))
-        for _ in range(p["iterations"]):
-            y = self._solve(pos, "u", "i", x, len(self.users))
-            x = self._solve(pos, "i", "u", y, len(self.items))
-        pos.unpersist()
-        return x, y
+        index = [links.dense_index(ratings.select(side).distinct(), side).select(side, F.col("idx").cast("int").alias(f"{side}_no")) for side in ("item", "user")]
+        rows = ratings.where("rating > 0").groupBy("item", "user").agg(F.max("rating").cast("float").alias("rating")).join(index[0], "item").join(index[1], "user")
+        model = Solver(
+            rank=p["factors"], maxIter=p["iterations"], regParam=p["reg"], alpha=p["alpha"], implicitPrefs=True, seed=seed, itemCol="item_no", userCol="user_no", ratingCol="rating",
+        ).fit(rows)
+        none = F.array_repeat(F.lit(0.0), p["factors"])
+        self.item_factors, self.user_factors = (
+            no.join(f.select(F.col("id").alias(f"{side}_no"), F.col("features").cast("array<double>").alias("v")), f"{side}_no", "left").select(side, F.coalesce("v", none).alias("v"))
+            for side, no, f in (("item", index[0], model.itemFactors), ("user", index[1], model.userFactors))
+        )
+        return self
 
-    def _solve(self, pos: DataFrame, mine: str, other: str, fixed: np.ndarray, n: int) -> np.ndarray:
-        p = self.params
-        gram = fixed.T @ fixed + p["reg"] * np.eye(fixed.shape[1])
-        sent = pos.sparkSession.sparkContext.broadcast((fixed, gram))
-        alpha = p["alpha"]
-
-        def one(pdf: pd.DataFrame) -> pd.DataFrame:
-            fixed, gram = sent.value
-            f, c = fixed[pdf[other].to_numpy()], alpha * pdf.r.to_numpy()
-            v = np.linalg.solve(gram + (f * c[:, None]).T @ f, ((1 + c)[:, None] * f).sum(axis=0))
-            return pd.DataFrame({"k": [int(pdf[mine].iloc[0])], "v": [v.tolist()]})
-
-        out = np.zeros((n, fixed.shape[1]))
-        for r in pos.groupBy(mine).applyInPandas(one, "k long, v array<double>").collect():
-            out[r.k] = r.v
-        return out
+
+def _start(ids: DataFrame, side: str, k: int, seed: int) -> DataFrame:
+    """(side, v): small normal numbers that depend on seed and id alone."""
+
+    def draw(parts):
+        for pdf in parts:
+            v = [(np.random.default_rng([seed, zlib.crc32(f"{side}|{x}".encode())]).standard_normal(k) * 0.1).tolist() for x in pdf[side]]
+            yield pd.DataFrame({side: pdf[side], "v": v})
+
+    return ids.mapInPandas(draw, f"{side} {dict(ids.dtypes)[side]}, v array<double>")
 
 
 class BPR(Model):
@@ -174,14 +247,38 @@ class BNNR(Model):
 MODELS: dict[str, Callable[..., Model]] = {"ALS": ALS, "BPR": BPR, "LMF": LogisticMF, "BNNR": BNNR}
 
 
-def run_pipeline(model: str, train: DataFrame, test: DataFrame, experiments: int = 3, k: int = 10, **params) -> DataFrame:
-    """(experiment, metric, average, standard_deviation) of a model fitted anew with each seed."""
+def run_pipeline(model: str, train: DataFrame, test: DataFrame, experiments: int = 3, k: int = 10, beta: float = 1.0, **params) -> DataFrame:
+    """(experiment, time_seconds, metric, average, standard_deviation) of a model fitted anew with each seed."""
+    import time
+
     from .metrics import per_user, summary
 
     out = None
     for seed in range(experiments):
+        began = time.time()
         fitted = MODELS[model](**params).fit(train, seed)
         scores = fitted.predict_proba(test.select("item", "user")).join(test, ["item", "user"])
-        one = summary(per_user(scores.select("user", "item", "truth", "score"), k)).select(F.lit(seed).alias("experiment"), "metric", "average", "standard_deviation")
+        took = round(time.time() - began, 3)
+        one = summary(per_user(scores.select("user", "item", "truth", "score"), k, beta), k, beta)
+        one = one.select(F.lit(seed).alias("experiment"), F.lit(took).alias("time_seconds"), "metric", "average", "standard_deviation")
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def run_experiments(splits: DataFrame, catalogue: list[dict], k: int = 10, beta: float = 1.0, **params) -> DataFrame:
+    """(model, dataset, experiment, metric, ..) of the rows of datasets.experiments() on splits (exp, set, dataset, item, user,
+    rating); one fit after another, each on its own training pairs and tested on the experiment's test set."""
+    from .metrics import per_user, summary
+
+    out = None
+    for row in catalogue:
+        for exp in range(row["runs"]):
+            one = splits.where(F.col("exp") == exp)
+            train = one.where((F.col("set") == "train") & (F.col("dataset") == row["dataset"])).select("item", "user", "rating")
+            test = one.where("set = 'test'").select("item", "user", (F.col("rating") > 0).cast("int").alias("truth"))
+            fitted = MODELS[row["model"]](**params.get(row["model"], {})).fit(train, exp)
+            scores = fitted.predict_proba(test.select("item", "user")).join(test, ["item", "user"])
+            found = summary(per_user(scores.select("user", "item", "truth", "score"), k, beta), k, beta)
+            found = found.select(F.lit(row["model"]).alias("model"), F.lit(row["dataset"]).alias("dataset"), F.lit(exp).alias("experiment"), "metric", "average", "standard_deviation")
+            out = found if out is None else out.unionByName(found)
+    return out

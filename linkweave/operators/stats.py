@@ -2,31 +2,82 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkweave.functions.special import gamma_upper
+from linkweave.tables import discard, written
+
+from . import graph
+
+
+#: What tells one null distribution from another.
+KEYS = ("metapath", "source_degree", "target_degree")
+
+
+def scores(edges: DataFrame, metapaths: list[str], permutations: int, rounds: int = 10, seed: int = 0) -> DataFrame:
+    """(perm, metapath, source_id, target_id, path_count, dwpc): scaled scores of the observed graph (perm 0) and of its
+    degree-preserving permutations, all in one frame; a written table."""
+    graphs = edges.select(F.lit(0).alias("perm"), "rel", "src", "dst").unionByName(graph.permute(edges, permutations, rounds, seed))
+    graphs = written(graphs, "graphs")
+    out = None
+    for m in metapaths:
+        one = graph.dwpc(graphs, m, by=("perm",)).withColumn("metapath", F.lit(m))
+        out = one if out is None else out.unionByName(one)
+    found = written(graph.scaled(out, ["perm", "metapath"]), "scores")
+    discard(graphs)
+    return found
+
+
+def with_degrees(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """rows (metapath, source_id, target_id, ..) with the degrees of both ends in the metapath's first and last relation.
+
+    Permutations keep degrees, so those of the observed graph hold for all.
+    """
+    out = None
+    for m in [r[0] for r in rows.select("metapath").distinct().collect()]:  # the metapaths of the study
+        hops = graph.parse_metapath(m)
+        one = rows.where(F.col("metapath") == m)
+        for (rel, forward, _, _), end, front in ((hops[0], "source", True), (hops[-1], "target", False)):
+            side = "src" if forward == front else "dst"
+            degree = edges.where(F.col("rel") == rel).groupBy(F.col(side).alias(f"{end}_id")).agg(F.count("*").alias(f"{end}_degree"))
+            one = one.join(degree, f"{end}_id")
+        out = one if out is None else out.unionByName(one)
+    return rows.withColumns({"source_degree": F.lit(0).cast("long"), "target_degree": F.lit(0).cast("long")}) if out is None else out
+
+
+def with_names(rows: DataFrame, nodes: DataFrame, source: str = "Drug", target: str = "Condition") -> DataFrame:
+    """rows with source_name and target_name from nodes (kind, id, name); null where an id has none."""
+    def names(kind, end):
+        return nodes.where(F.col("kind") == kind).select(F.col("id").alias(f"{end}_id"), F.col("name").alias(f"{end}_name"))
+
+    return rows.join(names(source, "source"), "source_id", "left").join(names(target, "target"), "target_id", "left")
+
+
+def degree_pairs(rows: DataFrame) -> DataFrame:
+    """The distinct pairs of degrees of each metapath."""
+    return rows.select(*KEYS).distinct()
 
 
 def zero_counts(observed: DataFrame, permuted: DataFrame, permutations: int) -> DataFrame:
-    """(source_id, target_id, zeros): in how many permutations an observed pair isn't connected."""
-    hits = permuted.groupBy("source_id", "target_id").agg(F.count_distinct("perm").alias("hits"))
-    both = observed.select("source_id", "target_id").join(hits, ["source_id", "target_id"], "left")
-    return both.select("source_id", "target_id", (F.lit(permutations) - F.coalesce("hits", F.lit(0))).alias("zeros"))
+    """(metapath, source_id, target_id, zeros): in how many permutations an observed pair isn't connected."""
+    pair = ["metapath", "source_id", "target_id"]
+    hits = permuted.groupBy(*pair).agg(F.count_distinct("perm").alias("hits"))
+    both = observed.select(*pair).join(hits, pair, "left")
+    return both.select(*pair, (F.lit(permutations) - F.coalesce("hits", F.lit(0))).alias("zeros"))
 
 
-def gamma_fit(null: DataFrame, zeros: DataFrame) -> DataFrame:
-    """(source_degree, target_degree, n, nnz, alpha, beta, single) by degree pair.
+def gamma_fit(null: DataFrame, zeros: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys.., n, nnz, alpha, beta, single) by metapath and degree pair.
 
-    null (source_degree, target_degree, dwpc) holds non-zero values; zeros (.., zeros) adds to n and is never materialised.
-    single is the common value when all values, zeros included, are one; else -1.
+    null (keys.., dwpc) holds non-zero values; zeros (keys.., zeros) adds to n and is never materialised. single is the common
+    value when all values, zeros included, are one; else -1.
     """
-    keys = ["source_degree", "target_degree"]
     some = null.groupBy(*keys).agg(
         F.count("*").alias("nnz"), F.avg("dwpc").alias("mean"), F.coalesce(F.var_samp("dwpc"), F.lit(0.0)).alias("var"), F.min("dwpc").alias("low"), F.max("dwpc").alias("high")
     )
     none = zeros.groupBy(*keys).agg(F.sum("zeros").alias("zeros"))
-    both = some.join(none, keys, "left").withColumn("zeros", F.coalesce("zeros", F.lit(0)))
+    both = some.join(none, list(keys), "left").withColumn("zeros", F.coalesce("zeros", F.lit(0)))
     # A spread within rounding of equal values is none.
     flat = F.col("high") - F.col("low") <= 1e-12 * F.abs("high")
     beta = F.when(flat, 0.0).otherwise(F.col("mean") / F.col("var"))
@@ -36,31 +87,83 @@ def gamma_fit(null: DataFrame, zeros: DataFrame) -> DataFrame:
     )
 
 
-def p_values(rows: DataFrame, fits: DataFrame) -> DataFrame:
+def p_values(rows: DataFrame, fits: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """rows with p_value: the share of non-zero nulls times the gamma tail; the constant case compares; no null gives 0."""
-    both = rows.join(fits, ["source_degree", "target_degree"], "left")
+    both = rows.join(fits, list(keys), "left")
     share = F.try_divide(F.col("nnz").cast("double"), F.col("n"))
     tail = gamma_upper(F.coalesce("alpha", F.lit(1.0)), F.coalesce(F.col("beta") * F.col("dwpc"), F.lit(1.0)))
     p = F.when(F.coalesce("nnz", F.lit(0)) == 0, 0.0).when(F.col("beta") == 0, F.when(F.col("dwpc") > F.col("single"), 0.0).otherwise(share)).otherwise(share * tail)
     return both.withColumn("p_value", p).drop("n", "nnz", "alpha", "beta", "single")
 
 
+def factors(metapaths: tuple[str, ...]) -> dict[str, int]:
+    """How many of the metapaths have the length of each: what its p-values are multiplied by."""
+    length = {m: len(graph.parse_metapath(m)) for m in metapaths}
+    return {m: list(length.values()).count(n) for m, n in length.items()}
+
+
+def results(edges: DataFrame, nodes: DataFrame, metapaths: list[str], permutations: int = 200, rounds: int = 10, seed: int = 0) -> DataFrame:
+    """Every connected pair of every metapath with names, degrees, path count, score, p-value and adjusted p-value.
+
+    Metapaths without any fitted null are left out. The correction counts the retained metapaths, whichever are asked for.
+    """
+    found = with_degrees(scores(edges, metapaths, permutations, rounds, seed), edges)
+    observed, permuted = found.where("perm = 0").drop("perm"), found.where("perm > 0")
+    zeros = zero_counts(observed, permuted, permutations).join(observed.select(*KEYS, "source_id", "target_id"), ["metapath", "source_id", "target_id"])
+    fits = written(gamma_fit(permuted, zeros), "fits")
+    fitted = observed.join(F.broadcast(fits.select("metapath").distinct()), "metapath", "left_semi")  # the metapaths of the study
+    rows = p_values(fitted, fits)
+    every = factors(graph.METAPATHS[1:])
+    times = F.create_map(*(F.lit(x) for m in metapaths for x in (m, every.get(m, 1))))[F.col("metapath")]
+    rows = rows.withColumn("adjusted_p_value", bonferroni(F.col("p_value"), times))
+    columns = ["source_id", "target_id", "source_name", "target_name", "source_degree", "target_degree", "path_count", "dwpc", "metapath", "p_value", "adjusted_p_value"]
+    return with_names(rows, nodes).select(columns)
+
+
+def significant(rows: DataFrame, most: float = 0.05) -> DataFrame:
+    return rows.where(F.col("adjusted_p_value") <= most)
+
+
 def bonferroni(p, factor):
     return F.least(p * factor, F.lit(1.0))
 
 
 def explain(path_rows: DataFrame, dwpc: DataFrame) -> DataFrame:
-    """Paths of significant pairs with their index, share of the pair's score and path score.
+    """Paths of significant pairs with their index, share of the pair's score and path score; further columns of paths stay.
 
     dwpc (source_id, target_id, dwpc, adjusted_p_value) comes filtered: paths are only listed for its pairs. A zero p-value has
     no logarithm: its path score is null.
     """
-    from pyspark.sql import Window
-
-    nodes = [c for c in path_rows.columns if c != "weight"]
+    nodes = [c for c in path_rows.columns if c[0] == "n" and c[1:].isdigit()]
+    more = [c for c in path_rows.columns if c not in nodes and c != "weight"]
     rows = path_rows.withColumns({"source_id": F.col(nodes[0]), "target_id": F.col(nodes[-1]), "path": F.concat_ws("->", *nodes)})
-    rows = rows.join(dwpc, ["source_id", "target_id"])
+    rows = rows.join(dwpc.select("source_id", "target_id", "dwpc", "adjusted_p_value"), ["source_id", "target_id"])
     percent = 100 * F.col("weight") / F.col("dwpc")
     score = F.when(F.col("adjusted_p_value") > 0, -F.log10(F.when(F.col("adjusted_p_value") > 0, F.col("adjusted_p_value"))) * percent)
     index = F.row_number().over(Window.partitionBy("source_id", "target_id").orderBy("path"))
-    return rows.select("source_id", "target_id", index.alias("path_index"), "path", percent.alias("percent_dwpc"), score.alias("path_score"))
+    return rows.select("source_id", "target_id", *more, index.alias("path_index"), "path", percent.alias("percent_dwpc"), score.alias("path_score"))
+
+
+def explanations(edges: DataFrame, nodes: DataFrame, rows: DataFrame) -> DataFrame:
+    """(source_id, target_id, metapath, path_index, path, path_extended, percent_dwpc, path_score) of the significant rows.
+
+    rows are those of results() that the cut left. Paths are listed only between their pairs: a metapath's first relation is
+    semi-joined with the sources and its last with the targets. path_extended has names in the place of ids, where there are any.
+    """
+    out = None
+    for m in [r[0] for r in rows.select("metapath").distinct().collect()]:  # the metapaths of the study
+        hops = graph.parse_metapath(m)
+        mine = rows.where(F.col("metapath") == m)
+        listed = graph.paths(edges, m).join(mine.select(F.col("source_id").alias("n0"), F.col("target_id").alias(f"n{len(hops)}")), ["n0", f"n{len(hops)}"], "left_semi")
+        kinds = [hops[0][2], *(h[3] for h in hops)]
+        for k, kind in enumerate(kinds):
+            names = nodes.where(F.col("kind") == kind).select(F.col("id").alias(f"n{k}"), F.col("name").alias(f"name{k}"))
+            listed = listed.join(names, f"n{k}", "left")
+        extended = F.concat_ws("->", *(F.coalesce(f"name{k}", f"n{k}") for k in range(len(kinds))))
+        listed = listed.withColumn("path_extended", extended).select(*(f"n{k}" for k in range(len(kinds))), "weight", "path_extended")
+        one = explain(listed, mine).withColumn("metapath", F.lit(m))
+        out = one if out is None else out.unionByName(one)
+    columns = ["source_id", "target_id", "metapath", "path_index", "path", "path_extended", "percent_dwpc", "path_score"]
+    if out is None:
+        return rows.sparkSession.createDataFrame([], "source_id string, target_id string, metapath string, path_index int, path string, path_extended string, percent_dwpc double, path_score double")
+    return out.select(columns)

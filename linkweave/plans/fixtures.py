@@ -46,6 +46,26 @@ def edges(spark: SparkSession, sf_dir: str, rels: list[str] | None = None) -> Da
     return out
 
 
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(kind, id, name) of drugs, conditions and proteins, and of every other end of an edge with its id as name."""
+    out = None
+    for kind, (name, key, label) in NODES.items():
+        one = table(spark, sf_dir, name).select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.col(label).alias("name"))
+        out = one if out is None else out.unionByName(one)
+    rest = edges(spark, sf_dir, [r for r in METAGRAPH if r.startswith("HAS_")]).select(F.col("dst_kind").alias("kind"), F.col("dst").alias("id"), F.col("dst").alias("name")).distinct()
+    return out.unionByName(rest)
+
+
+#: Kind -> (table, id, name).
+NODES = {"Drug": ("part", "p_partkey", "p_name"), "Condition": ("customer", "c_custkey", "c_name"), "Protein": ("supplier", "s_suppkey", "s_name")}
+
+
+def nodes_sql() -> str:
+    """A CTE body named nodes; needs edges of all relations."""
+    parts = [f"SELECT '{kind}' AS kind, CAST({key} AS VARCHAR) AS id, {label} AS name FROM {name}" for kind, (name, key, label) in NODES.items()]
+    return "nodes AS (" + " UNION ALL ".join(parts) + " UNION ALL SELECT DISTINCT dst_kind, dst, dst FROM edges WHERE rel LIKE 'HAS_%')"
+
+
 _LO = "lineitem JOIN orders ON l_orderkey = o_orderkey"
 _SOURCE = {
     "INDICATED_FOR": ("l_partkey", "o_custkey", f"{_LO} WHERE l_returnflag = 'R' AND l_discount >= 0.085"),

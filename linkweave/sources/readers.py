@@ -22,17 +22,20 @@ def id_keyed_json(spark: SparkSession, path: str, value: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("id", "value"))
 
 
-def zipped_texts(spark: SparkSession, path: str) -> DataFrame:
-    """(name, text) of the files in zip archives; an archive is one task's."""
+def zipped_texts(spark: SparkSession, path: str, ending: str = "", max_records: int | None = None) -> DataFrame:
+    """(pos, name, text) of the files in zip archives whose names end so, the first max_records of an archive; an archive is
+    one task's, read file by file."""
 
     def open_all(parts):
         for pdf in parts:
             for content in pdf.content:
                 with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    for name in z.namelist():
-                        yield pd.DataFrame({"name": [name], "text": [z.read(name).decode("utf-8", "replace")]})
+                    names = [n for n in z.namelist() if n.endswith(ending) and not n.endswith("/")][:max_records]
+                    for lo in range(0, len(names), 100):
+                        some = names[lo : lo + 100]
+                        yield pd.DataFrame({"pos": range(lo, lo + len(some)), "name": some, "text": [z.read(n).decode("utf-8", "replace") for n in some]})
 
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(open_all, "name string, text string")
+    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(open_all, "pos long, name string, text string")
 
 
 def obo_terms(spark: SparkSession, path: str) -> DataFrame:
@@ -71,3 +74,32 @@ def wide_matrix(spark: SparkSession, path: str) -> DataFrame:
 
 def table(spark: SparkSession, path: str, schema: str, sep: str = ",") -> DataFrame:
     return spark.read.csv(path, schema=schema, header=True, sep=sep)
+
+
+def count_matrix(spark: SparkSession, path: str) -> tuple[DataFrame, float]:
+    """((user, item, count), alpha) of a tab-separated file of counts; alpha is zero cells over the sum of counts."""
+    rows = spark.read.csv(path, sep="\t", schema="user long, item long, count double")
+    return rows, confidence_weight(rows)
+
+
+def confidence_weight(rows: DataFrame) -> float:
+    """Zero cells over the sum of counts, of (user, item, count)."""
+    n = rows.agg(F.count_distinct("user") * F.count_distinct("item") - F.count_if(F.col("count") != 0), F.sum("count")).first()
+    return float(n[0]) / n[1] if n[1] else 0.0
+
+
+def scores_table(spark: SparkSession, path: str, columns: list[str] | None = None) -> DataFrame:
+    """Metapath scores from a tab-separated file, or the named columns of it."""
+    schema = "source_id string, target_id string, source_name string, target_name string, source_degree int, target_degree int, path_count long, dwpc double, metapath string"
+    rows = spark.read.csv(path, sep="\t", header=True, schema=schema)
+    return rows.select(*columns) if columns else rows
+
+
+def splits(spark: SparkSession, path: str) -> DataFrame:
+    """(exp, set, dataset, item, user, label) of a JSON file {exp: {test_set: [..], train_sets: {dataset: [..]}}}."""
+    pair = "array<array<int>>"
+    text = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", f"map<string,struct<test_set:{pair},train_sets:map<string,{pair}>>>")).alias("exp", "s"))
+    test = text.select("exp", F.lit("test").alias("set"), F.lit(None).cast("string").alias("dataset"), F.explode("s.test_set").alias("t"))
+    train = text.select("exp", F.lit("train").alias("set"), F.explode("s.train_sets").alias("dataset", "p")).select("exp", "set", "dataset", F.explode("p").alias("t"))
+    t = F.col("t")
+    return test.unionByName(train).select(F.col("exp").cast("int").alias("exp"), "set", "dataset", t[0].alias("item"), t[1].alias("user"), t[2].alias("label"))
