@@ -87,15 +87,30 @@ def tidied(batches):
             pass
 
 
-#: Rows of narrow columns that may be sent to every executor; above, the join shuffles.
-SMALL_ROWS = 500_000
+#: Rows, and bytes as written, of a table that may be sent to every executor; above, the join shuffles.
+SMALL_ROWS, SMALL_BYTES = 500_000, 32 << 20
+
+
+def written_bytes(df: DataFrame) -> int:
+    """Bytes of the files of a table that materialise() wrote; 0 for others."""
+    path = getattr(df, "_written_at", None)
+    if not path:
+        return 0
+    jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+
+
+def sent(small: DataFrame, **renamed: str) -> DataFrame:
+    """small, columns renamed, with the hint to broadcast it if its rows and its bytes prove it small enough."""
+    fits = written_bytes(small) <= SMALL_BYTES and small.count() <= SMALL_ROWS
+    small = small.withColumnsRenamed(renamed) if renamed else small
+    return F.broadcast(small) if fits else small
 
 
 def small_join(big: DataFrame, small: DataFrame, keys: list[str], how: str) -> DataFrame:
-    """Join on keys where small is a written table of narrow rows: broadcast only if a count proves it small enough."""
-    if small.count() <= SMALL_ROWS:
-        small = F.broadcast(small)
-    return big.join(small, keys, how)
+    """Join on keys where small is a written table or narrow columns of one: broadcast only if it proves small enough."""
+    return big.join(sent(small), keys, how)
 
 
 def connected_components(edges: DataFrame) -> DataFrame:

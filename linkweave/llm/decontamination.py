@@ -6,19 +6,28 @@ found in a document, the values behind the placeholders are lined up: every valu
 document throughout, otherwise the match is a coincidence of form. Each place in the document is judged on its own. A mark
 depends on the word alone, never on what stands around it, so a name that opens a sentence is a slot as well.
 
-Edge cases: null texts and null item texts count as empty and match nothing; items shorter than a window are compared whole;
-a null doc_id or item_id stays null; rows repeated in documents give one row in the result; an empty table on either side
-gives an empty result; other columns are ignored by leaks and kept by drop_leaks.
+Windows of slots alone say nothing by their form: they don't count for an item that has others, and an item that has no others
+is found by its values, as a run of the same words. Items shorter than a window are compared whole; those of fewer than SHORT
+words, which prose is full of, are found only where they are all of a document.
+
+Edge cases: null texts and null item texts count as empty and match nothing; a null doc_id or item_id stays null; rows repeated
+in documents give one row in the result; a very long document is cut into windows like any other; of places that match equally
+well none is preferred, as an item is reported once a document; an empty table on either side gives an empty result; other
+columns, of any name, are ignored by leaks and kept by drop_leaks.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialise, packed, small_join
 
 WINDOW = 8
+#: Words below which an item must be all of a document.
+SHORT = 4
 #: Share of an item's windows that must be found, or their number where the item is long.
 COVERED, MANY = 0.5, 16
 #: Windows of the benchmark up to which their hashes are sent to all executors (16 bytes each).
@@ -34,12 +43,15 @@ PLAIN = "A|An|And|Are|As|At|But|By|Can|Did|Do|Does|Each|Every|Find|For|From|Give
 
 
 def marked(text: Column) -> Column:
-    """Words of a text; a number, name or unit keeps its value behind the mark of its type."""
+    """Words of a text; a number, name or unit keeps its value behind the mark of its type.
+
+    Each pattern begins with what is rare, so that most characters are passed after one look.
+    """
     text = F.coalesce(text.cast("string"), F.lit(""))
-    text = F.regexp_replace(text, rf"(?<![\p{{L}}\p{{N}}])(?!(?:{PLAIN})(?!\p{{Ll}}))(\p{{Lu}}\p{{Ll}}+)", NAME + "$1")
+    text = F.regexp_replace(text, rf"(?=\p{{Lu}})(?<![\p{{L}}\p{{N}}])(?!(?:{PLAIN})(?!\p{{Ll}}))(\p{{Lu}}\p{{Ll}}+)", NAME + "$1")
     # A number is one slot whatever its size: grouping commas go, its points stay part of it.
-    text = F.regexp_replace(text, "(?<=[0-9])(?<![0-9]{4}),(?=[0-9]{3}(?![0-9]))", "")
-    text = F.regexp_replace(text, r"(?<=[0-9])\.(?=[0-9])", POINT)
+    text = F.regexp_replace(text, ",(?=[0-9]{3}(?![0-9]))(?<=[0-9],)(?<![0-9]{4},)", "")
+    text = F.regexp_replace(text, r"\.(?=[0-9])(?<=[0-9]\.)", POINT)
     text = F.regexp_replace(text, f"([0-9][0-9{POINT}]*)", f" {NUMBER}$1 ")
     text = F.when(text.contains(NUMBER), F.regexp_replace(text, rf"(?i)({NUMBER}[0-9{POINT}]+ +)({UNITS})(?![\p{{L}}\p{{N}}])", f"$1{UNIT}$2")).otherwise(text)
     return F.array_remove(F.split(F.lower(text), rf"[^\p{{L}}\p{{N}}{NUMBER}{NAME}{UNIT}{POINT}]+"), "")
@@ -52,10 +64,27 @@ def template_hashes(words: Column) -> Column:
 
 
 def windows(hashes: Column, width: int) -> Column:
-    """Hashes of all windows of width words, in order."""
-    none = F.array().cast("array<bigint>")
-    every = F.transform(F.sequence(F.lit(0), F.size(hashes) - width), lambda i: F.xxhash64(*(F.get(hashes, i + k) for k in range(width))))
-    return F.when(F.size(hashes) >= width, every).otherwise(none)
+    """Hashes of all windows of width words, in order: windows of 1, 2, 4 .. words are joined to longer ones, pair by pair."""
+    def bound(value, use):  # use(value) with value evaluated once
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def joined(a, b, by):
+        # a[i] with b[i + by], as far as b goes.
+        n = F.greatest(F.size(b) - by, F.lit(0))
+        return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(by + 1), n), lambda x, y: F.xxhash64(x, y))
+
+    def grown(power, one, out, covered):
+        if width & one:
+            out, covered = (power if out is None else joined(out, power, covered)), covered + one
+        return out if 2 * one > width else bound(joined(power, power, one), lambda q: grown(q, 2 * one, out, covered))
+
+    return bound(hashes, lambda h: grown(h, 1, None, 0))
+
+
+def slots_only(words: Column, width: int) -> Column:
+    """For each window whether all its words are slots."""
+    slot = F.transform(words, lambda w: F.substring(w, 1, 1).isin(NUMBER, NAME, UNIT))
+    return F.transform(F.sequence(F.lit(0), F.size(words) - width), lambda i: F.forall(F.slice(slot, i + 1, F.lit(width)), lambda x: x))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -69,24 +98,33 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     items = items.where(F.size("item") > 0).withColumn("no", F.xxhash64("item_id", "item")).dropDuplicates(["no"])
     items = items.withColumn("width", F.least(F.lit(WINDOW), F.size("item")))
     items = materialise(items.withColumn("hashes", template_hashes(F.col("item"))), "items")
-    widths = [r.width for r in items.select("width").distinct().collect()]  # WINDOW values at most
+    widths = sorted(r.width for r in items.select("width").distinct().collect())  # WINDOW values at most
     spark = docs.sparkSession
     if not widths:
         return spark.createDataFrame([], "doc_id long, item_id long, n_windows long, coverage double, exact boolean, digest binary")
-    parts = [items.where(F.col("width") == w).select("no", F.lit(w).alias("width"), F.size("item").alias("long"), F.posexplode(windows(F.col("hashes"), w)).alias("ipos", "hash")) for w in widths]
-    grams = parts[0]
-    for p in parts[1:]:
-        grams = grams.unionByName(p)
-    grams = materialise(grams, "grams")
+    def cut(w):
+        both = F.arrays_zip(windows(F.col("hashes"), w).alias("hash"), slots_only(F.col("item"), w).alias("bare"))
+        each = items.where(F.col("width") == w).select("no", F.lit(w).alias("width"), F.size("item").alias("long"), F.posexplode(both).alias("ipos", "x"))
+        return each.select("no", "width", "long", "ipos", F.col("x.hash").alias("hash"), F.col("x.bare").alias("bare"))
+
+    grams = materialise(reduce(DataFrame.unionByName, map(cut, widths)), "grams")
+    counted = materialise(grams.where("not bare").groupBy("no").agg(F.count("*").alias("of")), "counted")
+    bare = materialise(items.join(counted, "no", "left_anti"), "bare")
+    grams = grams.where("not bare").drop("bare")
     wanted = grams.select("width", "hash").distinct()
     if wanted.count() <= SENT:
         wanted = F.broadcast(wanted)
     rows = keyed(docs).select("doc_id", "digest", template_hashes(marked(F.col("text"))).alias("hashes"))
-    found = None
-    for w in widths:
-        each = rows.select("doc_id", "digest", F.lit(w).alias("width"), F.posexplode(windows(F.col("hashes"), w)).alias("dpos", "hash"))
-        each = each.join(wanted, ["width", "hash"], "left_semi")
-        found = each if found is None else found.unionByName(each)
+
+    def here(w):
+        every = F.transform(windows(F.col("hashes"), w), lambda x, i: F.struct(F.lit(w).alias("width"), i.alias("dpos"), x.alias("hash")))
+        return every if w >= SHORT else F.when(F.size("hashes") == w, every).otherwise(F.array().cast("array<struct<width:int,dpos:int,hash:bigint>>"))
+
+    if widths == [WINDOW]:
+        found = rows.select("doc_id", "digest", F.lit(WINDOW).alias("width"), F.posexplode(windows(F.col("hashes"), WINDOW)).alias("dpos", "hash"))
+    else:  # all widths in one pass
+        found = rows.select("doc_id", "digest", F.explode(F.concat(*map(here, widths))).alias("x")).select("doc_id", "digest", "x.*")
+    found = found.join(wanted, ["width", "hash"], "left_semi")
     # Rows repeated in documents meet here; every place of a window stays, as another place may hold other values.
     found = found.distinct()
     held = materialise(found.join(grams, ["width", "hash"]).select("doc_id", "digest", "no", "width", "long", "ipos", "dpos"), "held")
@@ -101,7 +139,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     runs = held.drop("long").withColumn("align", (F.col("dpos") - F.col("ipos")).cast("long"))
     for k, end in enumerate(("first", "last")):
         runs = runs.unionByName(ends.select("doc_id", "digest", "no", "width", "ipos", F.col(end).alias("dpos"), (F.lit(FIRST) - 2 * F.col("cluster") - k).alias("align")))
-    need = items.select("no", "item_id", "item", (F.size("item") - F.col("width") + 1).alias("of"))
+    need = items.select("no", "item_id", "item").join(counted, "no")
     per = runs.groupBy(*place).agg(F.count("*").alias("n"))
     per = small_join(per, materialise(need, "need"), ["no"], "inner").where((F.col("n") >= F.col("of") * COVERED) | (F.col("n") >= MANY))
     per = materialise(per, "covered")
@@ -124,7 +162,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.min(F.coalesce(F.col("low") == F.col("high"), F.lit(True))).alias("consistent"), F.min("same").alias("exact")
     )
     best = judged.where("consistent").groupBy("doc_id", "digest", "item_id", "no", "of").agg(F.max("n").alias("n"), F.max("exact").alias("exact"))
-    return best.select("doc_id", "item_id", F.col("n").alias("n_windows"), (F.col("n") / F.col("of")).alias("coverage"), "exact", "digest")
+    told = best.select("doc_id", "item_id", F.col("n").alias("n_windows"), (F.col("n") / F.col("of")).alias("coverage"), "exact", "digest")
+    return told if bare.isEmpty() else told.unionByName(by_values(docs, bare))
+
+
+def by_values(docs: DataFrame, bare: DataFrame) -> DataFrame:
+    """leaks() of items of slots alone: their words must stand in a document one after another, as they are."""
+    literal = lambda words: F.transform(words, lambda w: F.xxhash64(w))
+    widths = sorted(r.width for r in bare.select("width").distinct().collect())  # WINDOW values at most
+    out = None
+    for w in widths:
+        mine = bare.where(F.col("width") == w).select("item_id", "item", F.get(windows(literal(F.col("item")), w), F.lit(0)).alias("hash"))
+        words = keyed(docs).select("doc_id", "digest", marked(F.col("text")).alias("words"))
+        words = words.where(F.size("words") == w) if w < SHORT else words
+        starts = words.select("doc_id", "digest", "words", F.posexplode(windows(literal(F.col("words")), w)).alias("dpos", "hash"))
+        both = small_join(starts, materialise(mine, "values"), ["hash"], "inner").where(F.slice("words", F.col("dpos") + 1, F.size("item")) == F.col("item"))
+        one = both.select("doc_id", "item_id", (F.size("item") - w + 1).cast("long").alias("n_windows"), F.lit(1.0).alias("coverage"), F.lit(True).alias("exact"), "digest").distinct()
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
