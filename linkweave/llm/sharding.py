@@ -6,32 +6,33 @@ prefixes are sums of those; prefixes still too large there are counted again at
 entries per shard and documents are read twice, whatever their number.
 
 Edge cases: null or empty texts have 0 bytes and are placed like others; a null doc_id hashes as an empty string; a document
-larger than the limit gets a shard of its own, the only kind above the limit; rows that share a doc_id hash alike and are cut
-into numbered parts once their prefix has all 60 bits; an empty table gives an empty result; extra columns are ignored by
-shard_of and kept by write_shards.
+larger than the limit, however long, gets a shard or part of its own, the only kind above the limit; rows that share a doc_id,
+repeated rows among them, hash alike and are cut into numbered parts once their prefix has all 60 bits (ties there go by the
+order of the written table); an empty table gives an empty result; extra columns, of any name, are ignored by shard_of and kept
+by write_shards.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_join
+from .common import materialise, quoted, small_join
 
 BITS = 60
 #: Bits counted beyond those that equal shards would need, and bits added where that isn't enough.
 SLACK, MORE = 4, 8
 
 
-def hashed(docs: DataFrame) -> DataFrame:
-    """(doc_id, bytes, h): h of 60 bits from the MD5 of the decimal doc_id."""
+def hashed(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, bytes, h, more..): h of 60 bits from the MD5 of the decimal doc_id."""
     ident = F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary"))
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.coalesce(F.octet_length(F.col("text").cast("string")), F.lit(0)).cast("long").alias("bytes"),
-        F.conv(F.substring(ident, 1, BITS // 4), 16, 10).cast("long").alias("h"),
+        F.conv(F.substring(ident, 1, BITS // 4), 16, 10).cast("long").alias("h"), *more,
     )
 
 
@@ -58,29 +59,43 @@ def directory(rows: DataFrame, limit: int) -> tuple[list[DataFrame], list[int]]:
         floor, at = at + 1, min(BITS, at + MORE)
 
 
-def shard_of(docs: DataFrame, limit: int = 1 << 20) -> DataFrame:
-    """(doc_id, bytes, depth, shard, part): shard the bits of the prefix as text, part numbers what hashes wholly alike."""
-    rows = materialise(hashed(docs), "hashed")
-    tables, depths = directory(rows, limit)
+def placed(rows: DataFrame, limit: int) -> DataFrame:
+    """rows (bytes, h, ..), a written table, with depth, shard (the bits of the prefix as text) and part.
+
+    Rows that no bit tells apart, as they share a doc_id, are numbered partition by partition of the written table: each part
+    is a run within one partition, so a doc_id that very many rows share is never gathered in a task.
+    """
+    tables, depths = directory(rows.select("bytes", "h"), limit)
+    rows = rows.withColumn("pid", F.spark_partition_id())
     out, left = [], rows
     for entry, at in zip(tables, depths, strict=True):
-        placed = small_join(left.withColumn("slot", F.shiftright("h", BITS - at)), entry, ["slot"], "inner").drop("slot")
-        out.append(placed.where("depth is not null"))
-        left = placed.where("depth is null").drop("depth")
+        found = small_join(left.withColumn("slot", F.shiftright("h", BITS - at)), entry, ["slot"], "inner").drop("slot")
+        out.append(found.where("depth is not null"))
+        left = found.where("depth is null").drop("depth")
     found = out[0]
     for more in out[1:]:
         found = found.unionByName(more)
     shard = F.when(F.col("depth") == 0, F.lit("")).otherwise(F.expr(f"lpad(conv(cast(shiftright(h, {BITS} - depth) as string), 10, 2), depth, '0')"))
     whole = found.where(F.col("depth") < BITS).withColumn("part", F.lit(0).cast("long"))
-    # Rows that no bit tells apart: each above half the limit alone, the others in runs of half the limit.
-    run = "partition by h order by bytes, doc_id rows between unbounded preceding and current row"
-    cut = F.expr(f"case when bytes * 2 > {limit} then {1 << 40} + row_number() over (partition by h order by bytes, doc_id) else (sum(bytes) over ({run}) * 2) div {limit} end")
+    # Above half the limit a row is a part alone, the others make runs of half the limit.
+    run = "partition by h, pid order by bytes rows between unbounded preceding and current row"
+    cut = F.expr(f"pid * {1 << 32} + case when bytes * 2 > {limit} then {1 << 31} + row_number() over (partition by h, pid order by bytes) else (sum(bytes) over ({run}) * 2) div {limit} end")
     alike = found.where(F.col("depth") == BITS).withColumn("part", cut.cast("long"))
-    return whole.unionByName(alike).select("doc_id", "bytes", F.col("depth").cast("int").alias("depth"), shard.alias("shard"), "part")
+    return whole.unionByName(alike).withColumns({"depth": F.col("depth").cast("int"), "shard": shard}).drop("pid", "h")
+
+
+def shard_of(docs: DataFrame, limit: int = 1 << 20) -> DataFrame:
+    """(doc_id, bytes, depth, shard, part): where every document goes."""
+    return placed(materialise(hashed(docs), "hashed"), limit).select("doc_id", "bytes", "depth", "shard", "part")
 
 
 def write_shards(docs: DataFrame, path: str, limit: int = 1 << 20) -> None:
-    """Write docs under path, a folder per shard; every row's columns are kept. Parts of one shard become files of its folder."""
-    named = materialise(shard_of(docs, limit).select(F.col("doc_id").alias("__id"), F.col("shard").alias("__shard")).distinct(), "named")
-    row = docs.withColumn("__of", F.col("doc_id").cast("long")).join(named, F.col("__of").eqNullSafe(F.col("__id")))
-    row.drop("__id", "__of").repartition("__shard").write.partitionBy("__shard").parquet(path)
+    """Write docs under path, a folder per shard and in it one per part; every row's columns are kept. The folders' columns are
+    called shard and part, with underscores before where docs has such columns."""
+    mark = ""
+    while {f"{mark}shard", f"{mark}part"} & set(docs.columns):
+        mark += "_"
+    row = F.struct(*(quoted(c).alias(c) for c in docs.columns)).alias("row")
+    rows = placed(materialise(hashed(docs, row), "hashed"), limit)
+    named = rows.select("row.*", F.concat(F.lit("s"), "shard").alias(f"{mark}shard"), F.col("part").alias(f"{mark}part"))
+    named.repartition(f"{mark}shard", f"{mark}part").write.partitionBy(f"{mark}shard", f"{mark}part").parquet(path)
