@@ -11,8 +11,9 @@ pieces between matches. The patterns are written so that each character is looke
 repeats never give back, and a match starts only at the start of its run of characters or where the last match ended.
 
 Edge cases: null text counts as empty (no spans); a null doc_id stays null; repeated rows give repeated results; terms need
-documents of MIN_TEXTS different texts, so copies alone never make a term; an empty table gives an empty result; sanitise
-returns all columns, of any name, and changes only the texts that hold spans.
+documents of MIN_TEXTS different texts, so copies alone never make a term; ties in the order of terms have no say, as all that
+reach the bounds count; a very long text with very many matches costs time in proportion to its length; an empty table gives an
+empty result; sanitise returns all columns, of any name, and changes only the texts that hold spans.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_join
+from .common import ident, materialise, packed, sent, small_join
 
 KINDS = ("email", "ip", "card", "phone")
+#: Matches that are gathered at once.
+BLOCK = 256
 #: Java patterns, equal to the plain ones: those start anywhere, but only a run's start or the end of a match can succeed.
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -38,21 +41,47 @@ HIDDEN = "\ue000"
 WORD = rf"(?<![\p{{L}}\p{{N}}{HIDDEN}])[\p{{L}}\p{{N}}]{{4,}}+(?!{HIDDEN})"
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value evaluated once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def folded(items: Column, state: Column, out: str, step, enter=None) -> Column:
+    """The items' results one after another, with a state carried along: step(state, item, of) -> (state, result).
+
+    Results are gathered in blocks of BLOCK, since an array that grows item by item is copied whole each time; of is what
+    enter(state, block) says. Returns struct<out, s>: the results and the last state.
+    """
+    blocks = bound(items, lambda z: F.transform(F.sequence(F.lit(0), F.floor((F.size(z) - 1) / BLOCK).cast("int")), lambda b: F.slice(z, b * BLOCK + 1, F.lit(BLOCK))))
+
+    def one_block(acc, block):
+        def go(of):
+            def one(a, x):
+                new, result = step(a["s"], x, of)
+                return F.struct(new.alias("s"), F.concat(a["out"], F.array(result)).alias("out"))
+
+            return F.aggregate(block, F.struct(acc["s"].alias("s"), F.array().cast(f"array<{out}>").alias("out")), one)
+
+        done = bound(enter(acc["s"], block) if enter else F.lit(0), go)
+        return bound(done, lambda r: F.struct(r["s"].alias("s"), F.concat(acc["out"], F.array(r["out"])).alias("out")))
+
+    start = F.struct(state.alias("s"), F.array().cast(f"array<array<{out}>>").alias("out"))
+    return F.aggregate(blocks, start, one_block, lambda acc: F.struct(F.flatten(acc["out"]).alias("out"), acc["s"].alias("s")))
+
+
 def located(text: Column, pattern: Column) -> Column:
     """array<struct<start, end, value>> of the matches of pattern, leftmost first and without overlaps."""
     found = F.regexp_extract_all(text, pattern, F.lit(0))
     between = F.split(text, pattern, -1)
     sized = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda a, b: F.struct(F.length(a).alias("gap"), b.alias("value")))
-    none = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
-    def step(acc, x):
-        start = acc["at"] + x["gap"]
+    def step(at, x, _):
+        start = at + x["gap"]
         end = start + F.length(x["value"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
-        return F.struct(end.alias("at"), F.concat(acc["out"], one).alias("out"))
+        return end, F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value"))
 
-    every = F.aggregate(sized, F.struct(F.lit(0).alias("at"), none.alias("out")), step, lambda acc: acc["out"])
-    return F.when(F.rlike(text, pattern), every).otherwise(none)
+    every = folded(sized, F.lit(0), "struct<start:int,end:int,value:string>", step)["out"]
+    return F.when(F.rlike(text, pattern), every).otherwise(F.array().cast("array<struct<start:int,end:int,value:string>>"))
 
 
 def valid(kind: str, value: Column) -> Column:
@@ -133,9 +162,7 @@ def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     each = rows.select("doc_id", "digest", F.explode(spellings(F.col("text"))).alias("word")).withColumn("term", F.lower("word"))
     each = small_join(each, told, ["term"], "left_semi").select("doc_id", "digest", "word").distinct()
     hits = materialise(each.groupBy("doc_id", "digest").agg(F.concat_ws("|", F.collect_list("word")).alias("words")), "hits")
-    hits = hits.withColumnsRenamed({"doc_id": "d", "digest": "t"})
-    if hits.count() <= 200_000:
-        hits = F.broadcast(hits)
+    hits = sent(hits, doc_id="d", digest="t")
     both = rows.join(hits, rows.doc_id.eqNullSafe(F.col("d")) & (rows.digest == F.col("t"))).dropDuplicates(["doc_id", "digest"])
     # Terms are letters and digits only, so they stand in a pattern as they are.
     pattern = F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.col("words"), F.lit(r")(?![\p{L}\p{N}])"))
@@ -145,10 +172,8 @@ def term_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, spans, terms) of every document: base spans and disclosing terms."""
     found = scanned(docs)
-    terms = materialise(term_spans(docs, found), "terms").withColumnsRenamed({"doc_id": "d", "digest": "t"})
-    if terms.count() <= 500_000:
-        terms = F.broadcast(terms)
-    both = found.join(terms, found.doc_id.eqNullSafe(terms.d) & (found.digest == terms.t), "left")
+    terms = sent(materialise(term_spans(docs, found), "terms"), doc_id="d", digest="t")
+    both = found.join(terms, found.doc_id.eqNullSafe(F.col("d")) & (found.digest == F.col("t")), "left")
     none = F.array().cast("array<struct<start:int,end:int>>")
     free = F.filter("terms", lambda w: ~F.exists("spans", lambda s: (s["start"] < w["end"]) & (w["start"] < s["end"])))
     return both.select("doc_id", "digest", "spans", F.coalesce(free, none).alias("terms"))
@@ -174,17 +199,26 @@ def bracketed(kind: Column, value: Column) -> Column:
 
 
 def rewritten(text: Column, spans: Column, put_for=bracketed) -> Column:
-    """text with every span replaced by its kind in brackets, or what put_for gives; of overlapping spans the first and longest counts."""
-    sorted_spans = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("stop"), s["kind"].alias("kind"))))
+    """text with every span replaced by its kind in brackets, or what put_for gives; of a span that begins in an earlier one
+    the rest is replaced, so no character of any span stays.
+
+    A block of spans looks at its own stretch of the text only, so the work is in proportion to the text.
+    """
+    ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), (-s["end"]).alias("stop"), s["kind"].alias("kind"))))
+
+    def enter(at, block):
+        last = F.array_max(F.transform(block, lambda s: -s["stop"]))
+        return F.struct(at.alias("base"), F.substring(text, at + 1, last - at).alias("text"))
 
-    def step(acc, s):
-        gap = F.substring(text, acc["at"] + 1, s["start"] - acc["at"])
-        shown = put_for(s["kind"], F.substring(text, s["start"] + 1, -s["stop"] - s["start"]))
-        put = F.struct((-s["stop"]).alias("at"), F.concat(acc["out"], gap, shown).alias("out"))
-        return F.when(s["start"] >= acc["at"], put).otherwise(acc)
+    def step(at, s, of):
+        begin, end = F.greatest(at, s["start"]), -s["stop"]
+        gap = F.substring(of["text"], at - of["base"] + 1, begin - at)
+        shown = put_for(s["kind"], F.substring(of["text"], begin - of["base"] + 1, end - begin))
+        return F.greatest(at, end), F.when(end > begin, F.concat(gap, shown)).otherwise("")
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    return F.aggregate(sorted_spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
+    done = folded(ordered, F.lit(0), "string", step, enter)
+    whole = bound(done, lambda r: F.concat(F.array_join(r["out"], ""), F.substring(text, r["s"] + 1, F.length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def sanitise(docs: DataFrame) -> DataFrame:
@@ -192,10 +226,8 @@ def sanitise(docs: DataFrame) -> DataFrame:
     terms = F.transform("terms", lambda s: F.struct(F.lit("term").alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     base = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
     hit = find_personal_data(docs).where("size(spans) > 0 or size(terms) > 0")
-    hit = materialise(hit.select(F.col("doc_id").alias("__id"), F.col("digest").alias("__digest"), F.concat(base, terms).alias("__spans")).dropDuplicates(["__id", "__digest"]), "hits")
-    if hit.count() <= 200_000:
-        hit = F.broadcast(hit)
-    row = docs.withColumn("__of", F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))))
-    row = row.join(hit, F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__of") == F.col("__digest")), "left")
-    text = F.when(F.col("__spans").isNull(), F.col("text")).otherwise(rewritten(F.col("text"), F.col("__spans")))
-    return row.select(*(text.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    hit = materialise(hit.select(ident(F.col("doc_id")).alias("id"), "digest", F.concat(base, terms).alias("spans")).dropDuplicates(["id", "digest"]), "hits")
+    rows = small_join(packed(docs), hit, ["id", "digest"], "left")
+    old = F.col("row")["text"]
+    text = F.when(F.col("spans").isNull(), old).otherwise(rewritten(old.cast("string"), F.col("spans")))
+    return rows.select(*(text.alias("text") if c == "text" else F.col("row")[c].alias(c) for c in docs.columns))
