@@ -7,7 +7,8 @@ both words agree on; a template is reported where its mandatory key phrase stand
 found and a file's answer doesn't depend on its neighbours. Plain key phrases are found besides, in all files.
 
 Edge cases: null text counts as empty (0 words, no places); a null doc_id stays null; repeated rows give repeated results; an
-empty table gives an empty result; other columns are ignored.
+empty table gives an empty result; other columns are ignored; the work on a very long text is in proportion to its words, and
+ties have no say, as all places and labels are returned.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import materialise, sent
 
 # Key phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
@@ -36,12 +37,13 @@ TEMPLATES = (
     ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
     ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
 )
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Index words of a template, all of which must agree on a place.
 AGREE = 2
 
 
 def words_of(text: Column) -> Column:
-    lowered = F.lower(F.coalesce(text.cast("string"), F.lit("")))
+    lowered = F.translate(F.coalesce(text.cast("string"), F.lit("")), UPPER, LOWER)
     return F.array_remove(F.split(lowered, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), "")
 
 
@@ -118,10 +120,7 @@ def scan_licences(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text")).alias("words"), F.unhex(F.md5(F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary"))).alias("digest"))
     found = [places(F.col("words"), p) for p in PHRASES]
     base = rows.select("doc_id", "digest", F.size("words").cast("long").alias("n_words"), *(x.alias(f"p{k}") for k, x in enumerate(found)))
-    method = materialise(aligned(rows, index_words(rows)), "method")
-    method = method.withColumnsRenamed({"doc_id": "d", "digest": "t"})
-    if method.count() <= 500_000:
-        method = F.broadcast(method)
+    method = sent(materialise(aligned(rows, index_words(rows)), "method"), doc_id="d", digest="t")
     both = base.join(method, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("t")), "left")
     every = F.concat(*(F.col(f"p{k}") for k in range(len(found))))
     plain = F.filter(F.array(*(F.when(F.size(f"p{k}") > 0, F.lit(label)) for k, label in enumerate(PHRASES.values()))), lambda x: x.isNotNull())
