@@ -2,8 +2,12 @@
 
 Codebooks of full dimension are fitted one after another on what the former leave of a bounded sample (FIT vectors, the least
 hashes). Every vector is encoded by a beam search over sums of one codeword from each book and stored as one byte a book with
-the ratio of its norm to that of the sum. A query scores codes by table lookups; its best SHORTLIST codes are scored again
-exactly. Queries and codes meet in blocks of bounded size, so no task or driver holds all of either.
+the ratio of its norm to that of the sum. Queries and codes meet in blocks of bounded size, so no task or driver holds all of
+either. In a block a query scores all codes by table lookups, its best SHORTLIST codes are scored again exactly by their vectors,
+which came along, and only its k best leave the block.
+
+Every query looks at every code: cells of a coarse partition would have to be probed by the half to keep nine in ten of the
+neighbours among vectors that lie evenly in all directions (README), so work is queries times rows, a lookup a book.
 
 Equal vectors are one index entry with their K + 1 least ids: as many as any query's result can name, so a vector that many
 rows share neither fills the shortlist nor gathers in a task.
@@ -24,18 +28,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bitslice import run_bounds, runs_of
-from .common import materialise
+from .common import materialise, tidied
 
 BOOKS, WORDS, BEAM = 24, 256, 2
 FIT = 8192
 SHORTLIST = 240
-CODES, QUERIES = 65536, 1024
+CODES, QUERIES = 65536, 4096
 
 
 def usable(rows: DataFrame, vec_id: str = "vec_id", embedding: str = "embedding") -> DataFrame:
-    """(vec_id, v array<double>) of the vectors that take part."""
-    v = F.col(embedding).cast("array<double>")
-    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), v.alias("v")).where("vec_id is not null and size(v) > 0")
+    """(vec_id, v) of the vectors that take part; v is array<float> where they are given so, else array<double>."""
+    kind = "array<float>" if dict(rows.dtypes)[embedding] == "array<float>" else "array<double>"
+    rows = rows.select(F.col(vec_id).cast("long").alias("vec_id"), F.col(embedding).cast(kind).alias("v")).where("vec_id is not null and size(v) > 0")
     good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = materialise(rows.where(good), "vectors")
     usual = rows.groupBy(F.size("v").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").limit(1).collect()
@@ -96,6 +100,10 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _encode_batches(batches, books):
+    return tidied(_encoded(batches, books))
+
+
+def _encoded(batches, books):
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -103,8 +111,8 @@ def _encode_batches(batches, books):
         parts = [encode(x[lo : lo + 1024], books) for lo in range(0, len(x), 1024)]
         codes, ratio = np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio.astype(np.float64))],
-            ["entry", "code", "ratio"],
+            [batch.column(0), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(ratio.astype(np.float64)), batch.column(1), batch.column(2)],
+            ["entry", "code", "ratio", "v", "ids"],
         )
 
 
@@ -117,27 +125,45 @@ def lookup_scores(queries: np.ndarray, codes: np.ndarray, ratio: np.ndarray, boo
     return out * ratio.astype(np.float32)
 
 
-def _block_batches(batches, books, shortlist):
+def exact_scores(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Inner products in double precision, summed component by component in order, so equal sums are equal numbers."""
+    out = np.zeros(len(vectors))
+    for d in range(len(query)):
+        out += vectors[:, d].astype(np.float64) * query[d]
+    return out
+
+
+def _block_batches(batches, books, shortlist, k):
+    return tidied(_blocks(batches, books, shortlist, k))
+
+
+def _blocks(batches, books, shortlist, k):
     for t in runs_of(batches, ["cb", "qb"], rows=1):
         for lo, n in zip(*run_bounds(t, ["cb", "qb"])):
             part = t.slice(lo, n)
             is_query = part["code"].is_null().to_numpy()
-            ids = part["id"].to_numpy()
-            entries, asked = ids[~is_query], ids[is_query]
-            if not len(entries) or not len(asked):
+            mask = pa.array(~is_query)
+            named, asked = part["ids"].filter(mask).combine_chunks(), part["id"].to_numpy()[is_query]
+            owner = part["own"].filter(pa.array(is_query)).to_numpy()
+            if not len(named) or not len(asked):
                 continue
-            code = part["code"].filter(pa.array(~is_query)).combine_chunks()
-            codes = np.frombuffer(b"".join(code.to_pylist()), np.uint8).reshape(len(entries), -1)
+            codes = np.frombuffer(b"".join(part["code"].filter(mask).to_pylist()), np.uint8).reshape(len(named), -1)
             ratio = part["ratio"].to_numpy()[~is_query]
-            q = _matrix(part["v"].filter(pa.array(is_query)).combine_chunks())
-            k = min(shortlist, len(entries))
+            v = _matrix(part["v"].combine_chunks())
+            x, q = v[~is_query], v[is_query].astype(np.float64)
+            ids, edge = named.flatten().to_numpy(), np.append(0, np.cumsum(named.value_lengths().to_numpy()))
+            short = min(shortlist, len(named))
             for at in range(0, len(asked), 128):
-                s = lookup_scores(q[at : at + 128], codes, ratio, books)
-                top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(asked[at : at + 128], k)), pa.array(entries[top.ravel()]), pa.array(np.take_along_axis(s, top, axis=1).ravel().astype(np.float64))],
-                    ["query_id", "entry", "guess"],
-                )
+                guess = lookup_scores(q[at : at + 128], codes, ratio, books)
+                top = np.argpartition(-guess, short - 1, axis=1)[:, :short]
+                out = []
+                for row, (no, own) in enumerate(zip(asked[at : at + 128].tolist(), owner[at : at + 128].tolist())):
+                    score = exact_scores(x[top[row]], q[at + row])
+                    best = top[row][np.lexsort((ids[edge[top[row]]], -score))[: k + 1]]
+                    score = exact_scores(x[best], q[at + row])
+                    found = [(-s, i) for s, e in zip(score.tolist(), best.tolist()) for i in ids[edge[e] : edge[e + 1]].tolist() if i != own]
+                    out += [(no, own, i, -s) for s, i in sorted(found)[:k]]
+                yield pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out) if out else ([], [], [], []), (pa.int64(), pa.int64(), pa.int64(), pa.float64()))], ["no", "query_id", "vec_id", "score"])
 
 
 def search(rows: DataFrame, every: int = 20, k: int = 20, shortlist: int = SHORTLIST) -> DataFrame:
@@ -148,32 +174,29 @@ def search(rows: DataFrame, every: int = 20, k: int = 20, shortlist: int = SHORT
     least = once.withColumn("r", F.row_number().over(Window.partitionBy("a", "b").orderBy("vec_id"))).where(F.col("r") <= k + 1)
     entry = least.groupBy("a", "b").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"), F.first("v").alias("v"))  # k + 1 ids
     entries = materialise(entry.select(F.col("ids")[0].alias("entry"), "ids", "v"), "entries")
-    queries = materialise(once.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.monotonically_increasing_id().alias("no"), F.col("vec_id").alias("query_id"), F.col("v").alias("q")), "queries")
+    queries = materialise(once.where(F.pmod("vec_id", F.lit(every)) == 0).select(F.monotonically_increasing_id().alias("no"), F.col("vec_id").alias("query_id"), "v"), "queries")
     kinds = "query_id long, rank int, vec_id long, score double"
     n, asked = entries.count(), queries.count()
     if not n or not asked:
         return rows.sparkSession.createDataFrame([], kinds)
     sample = entries.orderBy(F.xxhash64("v"), "entry").limit(FIT).select("v").toPandas()
     books = fit_books(np.array(sample.v.tolist()))
-    coded = materialise(entries.select("entry", "v").mapInArrow(partial(_encode_batches, books=books), "entry long, code binary, ratio double"), "codes")
+    kind = dict(entries.dtypes)["v"]
+    coded = entries.select("entry", "v", "ids").mapInArrow(partial(_encode_batches, books=books), f"entry long, code binary, ratio double, v {kind}, ids array<bigint>")
+    coded = materialise(coded, "codes")
 
     code_blocks, query_blocks = math.ceil(n / CODES), math.ceil(asked / QUERIES)
     none = F.lit(None)
     left = coded.select(
         F.pmod(F.xxhash64("entry"), F.lit(code_blocks)).alias("cb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1)).cast("array<bigint>")).alias("qb"),
-        F.col("entry").alias("id"), "code", "ratio", none.cast("array<double>").alias("v"),
+        F.col("entry").alias("id"), none.cast("long").alias("own"), "code", "ratio", "v", "ids",
     )
     right = queries.select(
         F.explode(F.sequence(F.lit(0), F.lit(code_blocks - 1)).cast("array<bigint>")).alias("cb"), F.pmod(F.xxhash64("no"), F.lit(query_blocks)).alias("qb"),
-        F.col("no").alias("id"), none.cast("binary").alias("code"), none.cast("double").alias("ratio"), F.col("q").alias("v"),
+        F.col("no").alias("id"), F.col("query_id").alias("own"), none.cast("binary").alias("code"), none.cast("double").alias("ratio"), "v", none.cast("array<bigint>").alias("ids"),
     )
     dealt = left.unionByName(right).repartition("cb", "qb").sortWithinPartitions("cb", "qb")
-    guesses = dealt.mapInArrow(partial(_block_batches, books=books, shortlist=shortlist), "query_id long, entry long, guess double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("guess"), "entry")
-    short = guesses.withColumn("r", F.row_number().over(order)).where(F.col("r") <= shortlist).select(F.col("query_id").alias("no"), "entry")
-    exact = short.join(entries, "entry").join(queries, "no")
-    score = F.aggregate(F.zip_with("q", "v", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
-    named = exact.select("no", "query_id", score.alias("score"), F.explode("ids").alias("vec_id")).where("vec_id <> query_id")
+    best = dealt.mapInArrow(partial(_block_batches, books=books, shortlist=shortlist, k=k), "no long, query_id long, vec_id long, score double")
     order = Window.partitionBy("no").orderBy(F.desc("score"), "vec_id")
-    ranked = named.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
