@@ -6,8 +6,9 @@ Chunks are joined by encoding the text around each join again, between certain w
 tokens agree exactly. No chunk is shuffled and the kept chunks are bounded, so memory doesn't depend on the input.
 
 Edge cases: null text counts as empty (no tokens, the hash of nothing); the end-of-text marker inside a text is one token, as
-the library reads it; repeated rows give repeated results; an empty table gives an empty result; other columns are ignored,
-except in encode_documents, which returns them.
+the library reads it; repeated rows give repeated results, and ties don't arise; a very long text costs time and memory in
+proportion to its length; an empty table gives an empty result; other columns, of any name, are ignored, except in
+encode_documents, which returns them.
 """
 
 from __future__ import annotations
@@ -200,5 +201,8 @@ def _ids(batches, path, at):
 def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
     """docs with token_ids array<int>; every text is decoded again and compared. A column of that name is replaced."""
     rows = docs.drop("token_ids")
-    schema = StructType([*rows.schema.fields, StructField("token_ids", ArrayType(IntegerType()))])
-    return rows.mapInArrow(partial(_id_batches, path=path or default_path(), at=rows.columns.index("text")), schema)
+    # Columns go through Python by number, so that their names may be anything.
+    names, numbered = rows.columns, rows.toDF(*(f"c{k}" for k in range(len(rows.columns))))
+    schema = StructType([*numbered.schema.fields, StructField("token_ids", ArrayType(IntegerType()))])
+    coded = numbered.mapInArrow(partial(_id_batches, path=path or default_path(), at=names.index("text")), schema)
+    return coded.toDF(*names, "token_ids")

@@ -7,7 +7,8 @@ by all partitions at once on all training documents; the partitions' weights are
 unknown word times their smoothed share among such words.
 
 Edge cases: null text counts as empty (its end token is scored); a document with a null doc_id is held out; repeated rows are
-scored each; without training documents all words are unknown; an empty table gives an empty result; other columns are ignored.
+scored each; without training documents all words are unknown; words of equal count are told apart by their spelling or its hash; a
+very long text is scored whole, in windows; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -132,6 +133,19 @@ def lexicon_of(counts: DataFrame) -> Lexicon:
     return Lexicon([r.word for r in rows], [r.c for r in rows], total or 0, distinct or 0)
 
 
+def _warm_batches(batches, shared):
+    return tidied(_warmed(batches, shared))
+
+
+def _warmed(batches, shared):
+    lexicon = shared.value
+    model = lexicon.model()
+    docs = [lexicon.targets(words_of(x.as_py())) for batch in batches for x in batch.column(0)]
+    for rate in (RATES[0], RATES[0] / 2):
+        model.train(docs, rate, lanes=48)
+    yield pa.RecordBatch.from_arrays([pa.array([model.flat().astype(np.float32).tobytes()])], ["weights"])
+
+
 def _train_batches(batches, shared, weights):
     return tidied(_trained(batches, shared, weights))
 
@@ -167,18 +181,18 @@ def _average_batches(batches):
 def train(texts: DataFrame, lexicon: Lexicon, shared) -> np.ndarray:
     """Weights of the model. texts: (doc_id, text) of the training documents."""
     spark = texts.sparkSession
-    model = lexicon.model()
     order = F.xxhash64(F.lit(11), "doc_id")
     ids = texts.select("doc_id").orderBy(order, "doc_id").limit(WARM).select("doc_id").distinct()
-    warm = [lexicon.targets(words_of(r.text)) for r in texts.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id").limit(WARM).collect()]
-    for rate in (RATES[0], RATES[0] / 2):
-        model.train(warm, rate, lanes=48)
-    weights = spark.sparkContext.broadcast(model.flat())
+    # The sample goes to one task, not to the driver, which gets the weights alone.
+    sample = texts.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id").limit(WARM).select("text").coalesce(1)
+    warm = sample.mapInArrow(partial(_warm_batches, shared=shared), "weights binary").first()
+    start = np.frombuffer(warm.weights, np.float32) if warm else lexicon.model().flat()
+    weights = spark.sparkContext.broadcast(start)
     kinds = "part long, tokens double, weights binary"
     parts = texts.select("text").mapInArrow(partial(_train_batches, shared=shared, weights=weights), kinds)
     merged = parts.repartition(16, "part").mapInArrow(_average_batches, kinds).collect()  # 16 rows of the weights' fixed size
     if not merged:
-        return model.flat()
+        return start
     tokens = sum(r.tokens for r in merged)
     return (sum(np.frombuffer(r.weights, np.float32).astype(np.float64) * r.tokens for r in merged) / tokens).astype(np.float32)
 

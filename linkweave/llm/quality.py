@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, ident, materialise, packed, small_join, tidied
+from .common import discard, ident, materialise, packed, sent, small_join, tidied
 
 #: Labelled documents that the models are fitted on, words that they look at, and documents a word must occur in.
 FIT, TELLING, SEEN = 6000, 400, 4
@@ -116,6 +116,9 @@ def fit(docs: DataFrame, marks: DataFrame) -> Model | None:
     chosen = materialise(chosen, "chosen")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     rows = small_join(rows, chosen.select("doc_id"), ["doc_id"], "left_semi")
+    # One text an id, the one of least digest, so that ids which many rows share don't pass the bound.
+    digest = F.md5(F.coalesce("text", F.lit("")).cast("binary"))
+    rows = rows.groupBy("doc_id").agg(F.min_by("text", digest).alias("text"))
     seen = rows.mapInArrow(_fit_batches, "doc_id long, figures array<float>, words array<string>")
     seen = materialise(seen, "features")
     # At most FIT documents: their words that occur often enough, by how unevenly the classes hold them.
@@ -203,9 +206,7 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     out = known
     for head in HEADS:
         rates, mean = site_rates(known, head)
-        rates = materialise(rates, "rates").withColumnsRenamed({"source": "rs", "lang": "rl"})
-        if rates.count() <= 200_000:
-            rates = F.broadcast(rates)
+        rates = sent(materialise(rates, "rates"), source="rs", lang="rl")
         out = out.join(rates, F.col("source").eqNullSafe(F.col("rs")) & F.col("lang").eqNullSafe(F.col("rl"))).drop("rs", "rl")
         rate = F.col(f"{head}_rate")
         shift = F.log(rate / (1 - rate)) - float(np.log(mean / (1 - mean)))

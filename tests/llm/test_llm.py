@@ -192,10 +192,10 @@ def test_urls(spark):
 def test_decontamination(spark):
     items = spark.createDataFrame([(1, "If train A runs 60 km in 2 hours and then again 60 km more, how far does Alice go in total today?"), (2, "short one"), (3, None)], "item_id long, text string")
     d = spark.createDataFrame(
-        [(1, "xx If train A runs 75 km in 3 hours and then again 75 km more, how far does Bob go in total today? yy"), (2, "If train A runs 75 km in 3 hours and then again 80 km more, how far does Bob go in total today?"), (3, "a short one b"), (4, None)],
+        [(1, "xx If train A runs 75 km in 3 hours and then again 75 km more, how far does Bob go in total today? yy"), (2, "If train A runs 75 km in 3 hours and then again 80 km more, how far does Bob go in total today?"), (3, "a short one b"), (4, None), (6, "short, one!")],
         "doc_id long, text string",
     )
-    assert {(r.doc_id, r.item_id, r.exact) for r in decontamination.leaks(d, items).collect()} == {(1, 1, False), (3, 2, True)}
+    assert {(r.doc_id, r.item_id, r.exact) for r in decontamination.leaks(d, items).collect()} == {(1, 1, False), (6, 2, True)}
     # The template's opening with other values, before the item itself: places are judged apart.
     both = "If train A runs 75 km in 3 hours and then again it stops. " + items.first().text
     again = spark.createDataFrame([(5, both), (5, both)], "doc_id long, text string")
@@ -301,3 +301,142 @@ def test_pipeline(spark):
     for r in out:
         assert not any(b in r.text for b in bench) and plain_spans(r.text) == "" and own.decode(r.token_ids) == r.text
     assert len({r.text for r in out}) == len(out)
+
+
+def test_decontamination_of_number_runs(spark):
+    run = " ".join(str(1000 + 7 * k) for k in range(100))
+    items = spark.createDataFrame([(k, run.replace("1000", str(k))) for k in range(5)] + [(9, "yes")], "item_id long, text string")
+    d = spark.createDataFrame([(1, " ".join(str(k) for k in range(3000))), (2, f"see {run.replace('1000', '3')} there"), (3, "oh yes it is"), (4, "yes.")], "doc_id long, text string")
+    assert {(r.doc_id, r.item_id) for r in decontamination.leaks(d, items).collect()} == {(2, 3), (4, 9)}
+
+
+def test_url_tree(spark):
+    def found(rows):
+        d = spark.createDataFrame([(k, u) for k, u in enumerate(rows)], "page_id long, url string")
+        return {r.template for r in urls.judged(d).collect()}
+
+    names = [f"http://a.org/p/{c * 3}" for c in "abcdefghij"]
+    assert found(names) == found(names * 3) == {"/p/*"}
+    pairs = [f"http://a.org/u/{a * 3}/{b * 4}" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrst"]
+    assert found(pairs) == {"/u/*/*"}
+    assert found(["http://a.org/x/1", "http://a.org/y"]) == {"/x/{n}", "/y"}
+    # Given labels: one branch is bad throughout, and pages of it without a label are blocked.
+    pages = spark.createDataFrame([(k, f"http://b.org/{'ads' if k % 2 else 'news'}/{k}x{k}.html") for k in range(60)], "page_id long, url string")
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "page_id long, bad int")
+    assert all((r.verdict == "block") == (r.page_id % 2 == 1) for r in urls.judged(pages, rules=(), labels=labels).collect())
+
+
+def test_very_many_matches_in_one_text(spark):
+    many = " ".join(f"u{k}@x{k}.cc" for k in range(30_000))
+    d = spark.createDataFrame([(1, many), (2, "call +1 (743) 555-3824 or a@b.cc")], "doc_id long, text string")
+    clean = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
+    assert clean[1] == " ".join(["[EMAIL]"] * 30_000) and clean[2] == "call [PHONE] or [EMAIL]"
+    assert {r.doc_id: r.n_email for r in pii.span_digests(d).collect()} == {1: 30_000, 2: 1}
+
+
+def test_overlapping_spans_leave_nothing(spark):
+    spans = F.array(*(F.struct(F.lit(k).alias("kind"), F.lit(a).alias("start"), F.lit(b).alias("end")) for k, a, b in (("card", 2, 8), ("phone", 5, 12), ("ip", 6, 7), ("email", 14, 15))))
+    one = spark.createDataFrame([("0123456789abcdefgh",)], "t string").select(pii.rewritten(F.col("t"), spans)).first()[0]
+    assert one == "01[CARD][PHONE]cd[EMAIL]fgh"
+
+
+def test_written_shards_keep_their_limit(spark, tmp_path):
+    rows = [(None, "x" * 400)] * 50 + [(k, "y" * 300) for k in range(40)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").withColumn("shard", F.lit(5)).repartition(3)
+    sharding.write_shards(d, str(tmp_path / "s"), 1000)
+    size = collections.defaultdict(int)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    for r in back.collect():
+        size[r._shard, r._part] += len(r.text)
+    assert back.count() == 90 and max(size.values()) <= 1000 and set(back.columns) == {"doc_id", "text", "shard", "_shard", "_part"}
+
+
+def test_directory_is_minimal(spark):
+    """A shard is split exactly if it is above the limit: brute force over the hashes."""
+    d = spark.createDataFrame([(k, "z" * (k % 90)) for k in range(400)], "doc_id long, text string")
+    limit = 700
+    rows = [(int(hashlib.md5(str(k).encode()).hexdigest()[:15], 16), k % 90, k) for k in range(400)]
+
+    def split(part, depth, prefix):
+        if sum(b for _, b, _ in part) <= limit or len(part) == 1:
+            return {i: prefix for _, _, i in part}
+        out = {}
+        for bit in "01":
+            out |= split([r for r in part if f"{r[0]:060b}"[depth] == bit], depth + 1, prefix + bit)
+        return out
+
+    assert {r.doc_id: r.shard for r in sharding.shard_of(d, limit).collect()} == split(rows, 0, "")
+
+
+CLASHING = ["__digest", "__at", "__id", "__of", "__spans", "a.b", "digest", "id", "row", "node", "kept", "x`y", "shard"]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    d = read(spark, "documents").limit(40)
+    d = d.withColumn("text", F.when(F.col("doc_id") % 7 == 0, None).otherwise(F.concat("text", F.lit(" mail a@b.cc now")))).unionByName(d)
+    for c in CLASHING:
+        d = d.withColumn(c, F.concat(F.lit(f"{c}:"), F.col("doc_id").cast("string")))
+    labels, bench = read(spark, "labels"), read(spark, "benchmark")
+    d = d.unionByName(d.limit(1).withColumns({"doc_id": F.lit(None).cast("long")})).cache()
+    stages = {
+        "quality": lambda x: quality.reject_low_quality(x, labels), "near": simhash.drop_near_duplicates, "leaks": lambda x: decontamination.drop_leaks(x, bench),
+        "pii": pii.sanitise, "bpe": lambda x: bpe.encode_documents(x).drop("token_ids"),
+    }
+    given = {(r[0], *r[5:]) for r in d.collect()}
+    for name, stage in stages.items():
+        out = stage(d)
+        assert out.columns == d.columns, name
+        got = out.collect()
+        assert got and {(r[0], *r[5:]) for r in got} <= given, name
+        assert stage(d.limit(0)).count() == 0, name
+    pages = read(spark, "pages").limit(20).withColumns({"host": F.lit("h"), "a.b": F.lit(1), "at": F.lit(2)})
+    assert urls.judged(pages).count() == 20
+    e = read(spark, "embeddings").limit(60).withColumns({"v": F.lit("h"), "a.b": F.lit(1), "entry": F.lit(2)})
+    assert ann.search(e).count() == 20 * e.where("vec_id % 20 = 0").count()
+    for f in (lm.score_documents, licences.scan_licences, bpe.token_digests, sharding.shard_of, pii.span_digests, simhash.simhash_components, lambda x: decontamination.leaks(x, bench), lambda x: quality.classify(x, labels)):
+        assert f(d).count() >= 0
+
+
+def test_small_sets_stay_within_the_radius():
+    rng = np.random.default_rng(5)
+    radius = simhash.radius_for(0.8)
+    lost = 0
+    for _ in range(3000):
+        shared = int(rng.choice([4, 8]))
+        h = rng.integers(0, 1 << 63, shared + shared // 4, dtype=np.uint64)
+        a, b = (simhash.majority(simhash.spread(x)) for x in (h, h[:shared]))
+        lost += sum(int(x).bit_count() for x in a ^ b) > radius
+    assert lost <= 1
+
+
+def test_repeated_ids_do_not_widen_the_sample(spark):
+    d = spark.createDataFrame([(1, f"text number {k}", "s", "en") for k in range(50)] + [(2, "other words", "s", "en")], "doc_id long, text string, source string, lang string")
+    marks = quality.labelled(d, spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int"))
+    assert quality.fit(d, marks) is not None
+    assert quality.classify(d, spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")).count() == 51
+
+
+def test_gradients_of_the_recurrent_model(monkeypatch):
+    from linkweave.llm import gru
+
+    for k, v in (("F32", np.float64), ("MOST", 60.0), ("TINY", 1e-300)):
+        monkeypatch.setattr(gru, k, v)
+    rng = np.random.default_rng(1)
+    m = gru.GRU(np.array([50.0, 40, 30, 20] + [3.0] * 30), 10.0, 2)
+    for k in m.p:
+        m.p[k] = m.p[k].astype(float) + rng.standard_normal(m.p[k].shape) * 0.2
+    docs = [rng.integers(0, 35, n).astype(np.int32) for n in (7, 5, 9)]
+    held = {k: v.copy() for k, v in m.p.items()}
+    m.train(docs, 1e-12, lanes=2, window=64)
+    grad, m.p = {k: v / 0.1 for k, v in m.m.items()}, held
+    norm = math.sqrt(sum((x * x).sum() for x in grad.values()))
+    assert norm < 1  # not clipped
+    for k, x in held.items():
+        for _ in range(4):
+            at = tuple(rng.integers(0, n) for n in x.shape)
+            was, loss = x[at], []
+            for step in (1e-5, -1e-5):
+                x[at] = was + step
+                loss.append(-m.score(docs, lanes=2, window=64).sum() / sum(map(len, docs)))
+            x[at] = was
+            assert abs((loss[0] - loss[1]) / 2e-5 - grad[k][at]) < 1e-6
