@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the one before kept; its result is written as Parquet
 in the shared folder and read again as the next one's docs. All but the last return the columns of documents.
+
+Edge cases, the same in every stage: a null text counts as empty and stays null where it is kept; null doc_ids, repeated rows and
+columns of any further name are kept as they are (near duplicates leave one row of equal texts, the least doc_id); a very long
+text is read whole; ties go to the least doc_id, then the least digest of the text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
