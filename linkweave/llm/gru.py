@@ -44,9 +44,13 @@ class Lanes:
         self.start[self.first] = True
         self.steps, self.end = int(self.length[0]), end
 
+    def live(self, lo: int) -> int:
+        """Lanes that reach beyond step lo."""
+        return int((self.length > lo).sum())
+
     def window(self, lo: int, size: int):
         """Targets, starts, places in the flat target and whether they are inside the lane, each [steps, lanes that go on]."""
-        live = int((self.length > lo).sum())
+        live = self.live(lo)
         step = np.arange(lo, min(lo + size, self.steps))[:, None]
         inside = step < self.length[None, :live]
         at = np.where(inside, self.base[None, :live] + step, 0)
@@ -66,10 +70,38 @@ def _rows(x: np.ndarray) -> np.ndarray:
     return x.transpose(0, 2, 1).reshape(-1, x.shape[1])
 
 
-def _exp(x: np.ndarray) -> np.ndarray:
-    """In place; logits stay far below MOST, which keeps a sum of their exponentials finite without a search for the largest."""
-    np.minimum(x, MOST, out=x)
-    return np.exp(x, out=x)
+def _rows_and_one(x: np.ndarray) -> np.ndarray:
+    """[T, H, B] -> [T B, H + 1], the last column 1: a matrix whose last row is a bias adds it within the product."""
+    out = np.empty((x.shape[0], x.shape[2], x.shape[1] + 1), F32)
+    out[..., :-1] = x.transpose(0, 2, 1)
+    out[..., -1] = 1
+    return out.reshape(-1, x.shape[1] + 1)
+
+
+class Softmax:
+    """Weights [H + 1, K], the last row the bias. Units are at most 1 in size, so the weights bound the logits; where that bound
+    is above MOST, logits are cut there, which keeps the sum of their exponentials finite without a search for the largest."""
+
+    def __init__(self, weights: np.ndarray):
+        self.w = weights
+        self.cut = bool(len(weights[0])) and float((np.abs(weights[:-1]).sum(axis=0) + weights[-1]).max()) > MOST
+        self.ones = np.ones(weights.shape[1], F32)
+
+    def of(self, states, lo=0, hi=None):
+        """Logits of columns lo to hi, as a new array."""
+        return states @ self.w[:, lo:hi]
+
+    def exp(self, x):
+        """Exponentials, in place, and their sums by row."""
+        if self.cut:
+            np.minimum(x, MOST, out=x)
+        np.exp(x, out=x)
+        return np.maximum(x @ self.ones[: x.shape[1]], TINY)
+
+
+def _pieces(docs: list[np.ndarray], most: int) -> list[np.ndarray]:
+    """All tokens of the documents in pieces of at most `most`."""
+    return [d[a : a + most] for d in docs for a in range(0, len(d), most)]
 
 
 def class_edges(n: int) -> np.ndarray:
@@ -91,7 +123,7 @@ class GRU:
         self.n, self.end = len(freq), end
         self.edges = class_edges(self.n)
         self.classes = len(self.edges) - 1
-        self.class_of = np.append(np.repeat(np.arange(self.classes), np.diff(self.edges)), self.classes)
+        self.class_of = np.append(np.repeat(np.arange(self.classes), np.diff(self.edges)), self.classes).astype(np.int16)
         rng = np.random.default_rng(5)
         freq = np.maximum(freq, 0.1)
         mass = np.append(np.add.reduceat(freq, self.edges[:-1]), max(unknown, 0.1))
@@ -117,7 +149,7 @@ class GRU:
         Units come before lanes, so that the parts of a gate are whole blocks of memory.
         """
         p, H = self.p, HIDDEN
-        x = np.ascontiguousarray((p["emb"] @ p["wx"] + p["b"])[given].transpose(0, 2, 1))
+        x = np.ascontiguousarray((p["emb"] @ p["wx"] + p["b"]).take(given, axis=0).transpose(0, 2, 1))
         u = np.ascontiguousarray(p["u"].T)
         out = np.empty((len(given), H, given.shape[1]), F32)
         before, inner = (np.empty_like(out), np.empty_like(out)) if keep else (None, None)
@@ -140,82 +172,90 @@ class GRU:
             h = new
         return out, h, (before, x, inner)
 
+    def _softmaxes(self) -> tuple[Softmax, Softmax]:
+        p = self.p
+        return Softmax(np.vstack([p["wc"], p["bc"]])), Softmax(np.vstack([p["ww"].T, p["bw"]]))
+
     def _sorted(self, target):
         """The class of each target, the order of the rows by class, and where each class begins and ends in it."""
         kind = self.class_of[target]
         order = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[order], np.arange(self.classes + 1))
+        kind = kind.take(order)
+        edge = np.searchsorted(kind, np.arange(self.classes + 1))
         return kind, order, [(k, edge[k], edge[k + 1]) for k in range(self.classes) if edge[k + 1] > edge[k]]
 
     def logp(self, states, target) -> np.ndarray:
-        """Natural log probability of the targets [N] after the states [N, H]; the unknown word as one."""
-        p = self.p
+        """Natural log probability of the targets [N] after the states and a one [N, H + 1]; the unknown word as one."""
         kind, order, parts = self._sorted(target)
-        states, target = states[order], target[order]
-        logit = states @ p["wc"]
-        logit += p["bc"]
-        got = logit[np.arange(len(target)), kind[order]]
-        got -= np.log(np.maximum(_exp(logit).sum(axis=1), TINY))
+        states, target = states.take(order, axis=0), target.take(order)
+        kinds, words = self._softmaxes()
+        logit = kinds.of(states)
+        got = logit[np.arange(len(target)), kind]
+        got -= np.log(kinds.exp(logit))
         for k, a, b in parts:
             lo, hi = self.edges[k], self.edges[k + 1]
-            inner = states[a:b] @ p["ww"][lo:hi].T
-            inner += p["bw"][lo:hi]
+            inner = words.of(states[a:b], lo, hi)
             got[a:b] += inner[np.arange(b - a), target[a:b] - lo]
-            got[a:b] -= np.log(np.maximum(_exp(inner).sum(axis=1), TINY))
+            got[a:b] -= np.log(words.exp(inner))
         out = np.empty_like(got)
         out[order] = got
         return out
 
     def score(self, docs: list[np.ndarray], lanes: int = 512, window: int = 32) -> np.ndarray:
-        """Natural log probability of each whole document."""
+        """Natural log probability of each whole document. A window has more steps where few lanes go on."""
         if not docs:
             return np.zeros(0)
         dealt = Lanes(docs, lanes, self.end)
         got = np.zeros(len(dealt.target), np.float64)
         h = np.zeros((HIDDEN, len(dealt.length)), F32)
         last = np.full(len(dealt.length), self.end, np.int32)
-        for lo in range(0, dealt.steps, window):
-            t, start, at, inside = dealt.window(lo, window)
+        lo = 0
+        while lo < dealt.steps:
+            t, start, at, inside = dealt.window(lo, min(32 * window, lanes * window // dealt.live(lo)))
+            lo += len(t)
             live = t.shape[1]
-            given = np.vstack([last[None, :live], t[:-1]])
+            given = np.where(start, np.int32(self.end), np.vstack([last[None, :live], t[:-1]]))
             states, h, _ = self._run(given, start, h[:, :live])
-            got[at[inside]] = self.logp(_rows(states), t.ravel()).reshape(t.shape)[inside]
+            got[at[inside]] = self.logp(_rows_and_one(states), t.ravel()).reshape(t.shape)[inside]
             last = t[-1]
         out = np.zeros(len(docs))
         out[dealt.order] = np.add.reduceat(got, dealt.first)
         return out
 
     def _output_gradients(self, flat, target, w, grad):
-        """Gradients of the two softmaxes into grad; returns those of the states [N, H]. w: the weight of each row."""
-        p = self.p
+        """Gradients of the two softmaxes into grad; returns those of the states. flat: states and a one [N, H + 1]; w: the weight of each row."""
+        H = HIDDEN
         kind, order, parts = self._sorted(target)
-        flat, target, w, kind = flat[order], target[order], w[order], kind[order]
-        e = flat @ p["wc"]
-        e += p["bc"]
-        _exp(e)
-        e *= (w / np.maximum(e.sum(axis=1), TINY))[:, None]
+        flat, target, w = flat.take(order, axis=0), target.take(order), w.take(order)
+        kinds, words = self._softmaxes()
+        e = kinds.of(flat)
+        e *= (w / kinds.exp(e))[:, None]
         e[np.arange(len(kind)), kind] -= w
-        grad["wc"], grad["bc"] = flat.T @ e, e.sum(axis=0)
-        dh = e @ p["wc"].T
-        grad["ww"], grad["bw"] = np.zeros_like(p["ww"]), np.zeros_like(p["bw"])
+        g = flat.T @ e
+        grad["wc"], grad["bc"] = g[:H], g[H]
+        dh = e @ self.p["wc"].T
+        grad["ww"], grad["bw"] = np.zeros_like(self.p["ww"]), np.zeros_like(self.p["bw"])
         for k, a, b in parts:
             lo, hi = self.edges[k], self.edges[k + 1]
-            e = flat[a:b] @ p["ww"][lo:hi].T
-            e += p["bw"][lo:hi]
-            _exp(e)
-            e *= (w[a:b] / np.maximum(e.sum(axis=1), TINY))[:, None]
+            e = words.of(flat[a:b], lo, hi)
+            e *= (w[a:b] / words.exp(e))[:, None]
             e[np.arange(b - a), target[a:b] - lo] -= w[a:b]
-            grad["ww"][lo:hi], grad["bw"][lo:hi] = e.T @ flat[a:b], e.sum(axis=0)
-            dh[a:b] += e @ p["ww"][lo:hi]
+            g = e.T @ flat[a:b]
+            grad["ww"][lo:hi], grad["bw"][lo:hi] = g[:, :H], g[:, H]
+            dh[a:b] += e @ self.p["ww"][lo:hi]
         out = np.empty_like(dh)
         out[order] = dh
         return out
 
     def train(self, docs: list[np.ndarray], rate: float, lanes: int = 256, window: int = 32) -> None:
-        """One pass of Adam over the documents, with backpropagation through windows and the state carried between them."""
+        """One pass of Adam over the documents, with backpropagation through windows and the state carried between them.
+
+        A document longer than the mean lane goes on in further lanes, from the state of a start, so that every step learns from
+        all lanes instead of from the longest documents alone.
+        """
         if not docs:
             return
-        dealt = Lanes(docs, lanes, self.end)
+        dealt = Lanes(_pieces(docs, -(-sum(map(len, docs)) // lanes)), lanes, self.end)
         p, H = self.p, HIDDEN
         if not hasattr(self, "m"):
             self.m, self.v, self.step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
@@ -224,12 +264,12 @@ class GRU:
         for lo in range(0, dealt.steps, window):
             t, start, _, inside = dealt.window(lo, window)
             live = t.shape[1]
-            given = np.vstack([last[None, :live], t[:-1]])
+            given = np.where(start, np.int32(self.end), np.vstack([last[None, :live], t[:-1]]))
             states, h, (before, x, inner) = self._run(given, start, h[:, :live], keep=True)
             weight = inside.astype(F32)
             weight /= weight.sum()
             grad = {}
-            dh = self._output_gradients(_rows(states), t.ravel(), weight.ravel(), grad)
+            dh = self._output_gradients(_rows_and_one(states), t.ravel(), weight.ravel(), grad)
             dh = np.ascontiguousarray(dh.reshape(len(t), live, H).transpose(0, 2, 1))
             # What each step's error is multiplied by, for all steps at once.
             z, r, c = x[:, :H], x[:, H : 2 * H], x[:, 2 * H :]

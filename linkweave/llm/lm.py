@@ -33,7 +33,7 @@ HEAD, VOCABULARY = 1 << 17, 3968
 #: Documents of the warm-up, learning rates.
 WARM, RATES = 600, (0.01, 0.003)
 #: Tokens that a partition trains on or scores at once.
-TOGETHER = 400_000
+TOGETHER, AT_ONCE = 400_000, 1_600_000
 SMOOTH = 0.1
 #: Frequency bands to a doubling and ranges of hashes by which the head words are told from the others.
 BANDS, RANGES = 64, 4096
@@ -213,7 +213,7 @@ def _scored(batches, shared, weights):
         done = 0
         while done < batch.num_rows:
             docs, out, n = [], [], 0
-            while done < batch.num_rows and n < TOGETHER:
+            while done < batch.num_rows and n < AT_ONCE:
                 words = words_of(batch.column(1)[done].as_py())
                 ids = lexicon.ids(words)
                 tail = ids == head
