@@ -440,3 +440,31 @@ def test_gradients_of_the_recurrent_model(monkeypatch):
                 loss.append(-m.score(docs, lanes=2, window=64).sum() / sum(map(len, docs)))
             x[at] = was
             assert abs((loss[0] - loss[1]) / 2e-5 - grad[k][at]) < 1e-6
+
+
+def test_long_documents_train_and_score_whole():
+    from linkweave.llm import gru
+
+    rng = np.random.default_rng(3)
+    docs = [np.append(rng.integers(0, 35, n), 2).astype(np.int32) for n in (900, 3, 0, 40, 41, 250)]
+    pieces = gru._pieces(docs, 100)
+    assert max(map(len, pieces)) <= 100 and np.array_equal(np.concatenate(pieces), np.concatenate(docs))
+    m = gru.GRU(np.array([50.0, 40, 30, 20] + [3.0] * 30), 10.0, 2)
+    before = m.score(docs).sum()
+    for _ in range(20):
+        m.train(docs, 0.01, lanes=4)
+    assert m.score(docs).sum() > before
+    # A document's score depends neither on its neighbours nor on the lanes or windows it is scored in.
+    alone = np.array([m.score([d])[0] for d in docs])
+    for lanes, window in ((1, 8), (3, 32), (512, 5)):
+        assert np.allclose(m.score(docs, lanes, window), alone, rtol=1e-4)
+
+
+def test_logits_beyond_the_bound_stay_finite():
+    from linkweave.llm import gru
+
+    m = gru.GRU(np.array([50.0, 40, 30, 20] + [3.0] * 30), 10.0, 2)
+    m.p["bw"][:] = 200
+    m.p["bc"][:] = 200
+    kinds, words = m._softmaxes()
+    assert kinds.cut and words.cut and np.isfinite(m.score([np.array([5, 6, 2], np.int32)])).all()
