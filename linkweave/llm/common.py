@@ -30,11 +30,12 @@ def shared_dir(spark: SparkSession) -> str:
     return _LOCAL[app]
 
 
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it again: later stages survive lost executors without recomputing it."""
+def materialise(df: DataFrame, label: str, *by: str) -> DataFrame:
+    """Write df as Parquet in the shared folder, divided by some columns if these are named, and read it again: later stages
+    survive lost executors without recomputing it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/linkweave/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_at = path
     return out
