@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, small_join, tidied
 
 K = 10
-#: Places of a list that band b goes from and up to: 0, 32, 128, 512, ... ; bands that are written at once.
-FIRST, GROWTH, AT_ONCE = 32, 4, 5
+#: Places of a list that band b goes from and up to: 0, 16, 64, 256, ... ; bands that are written at once.
+FIRST, GROWTH, AT_ONCE = 16, 4, 6
 #: Terms of the items that may go to every task, so that only these are indexed; with more, all are, and the join selects.
 VOCABULARY = 500_000
 
@@ -189,28 +189,34 @@ def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
     index = Index(docs, asked, k)
     weights = materialise(index.levels.groupBy("term").agg(F.first("w").alias("w")), "weights")
     asked = materialise(small_join(asked, weights, ["term"], "inner"), "weighted")  # terms that no document has drop out
-    still, best, lists, band = asked, None, None, 0
+    still, best, kth, lists, band = asked, None, None, None, 0
     while True:
         if band % AT_ONCE == 0:
             lists = index.heads(band)
-        shown = lists.where(F.col("band") == band).select("term", "digest")
-        met = materialise(small_join(shown, still.select("term", "item"), ["term"], "inner").select("item", "digest").distinct(), "met")
+        unseen = materialise(index.unseen(band + 1), "unseen")
+        still = materialise(small_join(still, unseen, ["term"], "inner"), "open")
+        threshold = materialise(still.groupBy("item").agg(F.sum("ahead").alias("threshold")), "threshold")
+        shown = small_join(lists.where(F.col("band") == band).select("term", "digest", "g"), still.select("term", "item", "w", "ahead"), ["term"], "inner")
+        met = shown.groupBy("item", "digest").agg(F.sum(F.col("w") * F.col("g") - F.col("ahead")).alias("above"))
+        if kth is not None:
+            # An entry that no earlier band has shown scores at most the threshold and what it showed above that: no look-up
+            # where this falls below the k-th score. (What earlier bands have shown was looked up then.)
+            met = small_join(small_join(met, threshold, ["item"], "inner"), kth, ["item"], "left")
+            met = met.where((F.coalesce(F.col("found"), F.lit(0)) < k) | (F.col("threshold") + F.col("above") >= F.col("kth")))
+        met = materialise(met.select("item", "digest"), "met")
         scored = materialise(_looked_up(index, met, still), "scored")
         # Ties of the k-th score stay until the ids are known.
         top = scored.withColumn("r", F.rank().over(Window.partitionBy("item").orderBy(F.desc("score")))).where(F.col("r") <= k).drop("r")
         top = small_join(index.ids, materialise(top, "top"), ["digest"], "inner")
         best = materialise(_best(top if best is None else top.unionByName(best).dropDuplicates(["item", "digest"]), k), "best")
-        kth = _documents(best, k).groupBy("item").agg(F.count("*").alias("found"), F.min("score").alias("kth"))
-        unseen = materialise(index.unseen(band + 1), "unseen")
-        threshold = small_join(still, unseen, ["term"], "inner").groupBy("item").agg(F.sum("ahead").alias("threshold"))
+        kth = materialise(_documents(best, k).groupBy("item").agg(F.count("*").alias("found"), F.min("score").alias("kth")), "kth")
         short = F.coalesce(F.col("found"), F.lit(0)) < k
-        going = threshold.join(kth, "item", "left").where((F.col("threshold") > 0) & (short | (F.col("threshold") >= F.col("kth"))))
-        going = materialise(going.select("item"), "going")
+        going = small_join(threshold.where("threshold > 0"), kth, ["item"], "left").where(short | (F.col("threshold") >= F.col("kth")))
+        still = materialise(small_join(still.drop("ahead"), materialise(going.select("item"), "going"), ["item"], "left_semi"), "still")
         for used in (met, scored, unseen):
             discard(used)
-        if not going.count():
+        if still.isEmpty():
             break
-        still = materialise(small_join(asked, going, ["item"], "left_semi"), "still")
         band += 1
     found = _documents(best, k).join(asked.select("item", "item_id").distinct(), "item")
     return found.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
