@@ -1,16 +1,17 @@
 """Ranked lexical search by Fagin's threshold algorithm.
 
-The corpus is read once into a forward index: for each different sequence of terms its length, and the terms that any item asks
-for with their counts; copies are one entry with the K least ids. Every asked term has a list of its entries, highest impact
-first. A list is read in bands of growing depth: round r reads band r of all lists of the items that are still open (round
-robin, a band at a time), looks up the entries met there in the forward index to get their whole scores, and closes an item
-once the threshold, which is the sum of the highest impacts that its lists have not shown yet, falls strictly below its K-th
-score. The heads of the lists, whose size the terms bound and not the documents, are written sorted and divided by band; deeper
-bands are written in the same way when an item needs them, down to the ends of the lists.
+The corpus is read once into a forward index: for each different sequence of terms the terms that items ask for, with their
+counts; copies are one entry with the K least ids. Every asked term has a list of its entries, highest impact first. A list is
+read in bands of growing depth: round r reads band r of all lists of the items that are still open (round robin, a band at a
+time), looks up the entries met there in the forward index to get their whole scores, and closes an item once the threshold,
+which is the sum of the highest impacts that its lists have not shown yet, falls strictly below its K-th score. The heads of the
+lists, whose size the terms bound and not the documents, are written sorted and divided by band; deeper bands are written in the
+same way when an item needs them, down to the ends of the lists.
 
 A place in a list comes from the counts of its impacts (fewer than 10^6 numbers a term) and, among equal impacts, from a hash of
-the entry, so no list is ever gathered or numbered in one task, however common its term. Only counts reach the driver, and the
-vocabulary of the items where it proves small.
+the entry, so no list is ever gathered or numbered in one task, however common its term. Items are taken in lots of about TERMS
+(item, term) pairs, which is what tasks and driver hold of them; each lot reads the corpus again. Else only counts reach the
+driver.
 
 Edge cases: null or empty texts have no terms: such documents count nowhere, such items get no rows; each row of either table
 counts as a document or an item of its own, also where ids are null or repeat; null ids rank behind others at equal scores;
@@ -19,8 +20,9 @@ an empty table gives an empty result; very long texts are read whole, a task hol
 
 from __future__ import annotations
 
+import math
 from collections import Counter
-from functools import partial
+from functools import partial, reduce
 from hashlib import md5
 
 import numpy as np
@@ -31,10 +33,10 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, small_join, tidied
 
 K = 10
-#: Places of a list that band b goes from and up to: 0, 16, 64, 256, ... ; bands that are written at once.
-FIRST, GROWTH, AT_ONCE = 16, 4, 6
-#: Terms of the items that may go to every task, so that only these are indexed; with more, all are, and the join selects.
-VOCABULARY = 500_000
+#: Places of a list that band b goes from and up to: 0, 16, 64, 256, 1024, ... ; bands that are written at once.
+FIRST, GROWTH, AT_ONCE = 16, 4, 4
+#: (item, term) pairs of a lot.
+TERMS = 500_000
 
 _fold = np.full(256, 0x20, np.uint8)
 for _lo, _hi in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
@@ -48,175 +50,208 @@ def depth(band: int) -> int:
     return FIRST * GROWTH ** (band - 1) if band else 0
 
 
-def _scan_batches(batches, wanted):
-    return tidied(_scans(batches, wanted))
+def term_list(text: pa.Scalar) -> list[bytes]:
+    return text.as_buffer().to_pybytes().translate(FOLD).split() if text.is_valid else []
 
 
-def _scans(batches, wanted):
+def _item_batches(batches):
+    for batch in batches:
+        terms = [sorted(set(term_list(t))) for t in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(terms, pa.list_(pa.binary()))], ["item_id", "terms"])
+
+
+def asked_terms(items: DataFrame) -> DataFrame:
+    """(item, item_id, terms): item numbers the rows that have terms."""
+    rows = items.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text"))
+    got = rows.mapInArrow(_item_batches, "item_id long, terms array<binary>").where("size(terms) > 0")
+    return materialise(got.withColumn("item", F.monotonically_increasing_id()), "asked")
+
+
+def _scan_batches(batches, number):
+    return tidied(_scans(batches, number))
+
+
+def _scans(batches, number):
     for batch in batches:
         for lo in range(0, batch.num_rows, 256):
             part = batch.slice(lo, 256)
             ids, digests, sizes, ends, terms, counts = [], [], [], [0], [], []
             for i, t in zip(part.column(0).to_pylist(), part.column(1)):
-                words = t.as_buffer().to_pybytes().translate(FOLD).split() if t.is_valid else []
+                words = term_list(t)
                 if not words:
                     continue
                 held = Counter(words)
-                for w in held if wanted is None else held.keys() & wanted:
-                    terms.append(w)
+                for w in held.keys() & number.keys():
+                    terms.append(number[w])
                     counts.append(held[w])
                 ids.append(i)
                 digests.append(md5(b" ".join(words)).digest())
                 sizes.append(len(words))
                 ends.append(len(terms))
-            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), x) for x in (pa.array(terms, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64()))]
+            lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind)) for x, kind in ((terms, pa.int32()), (counts, pa.int64()))]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(sizes, pa.int64()), *lists], ["id", "digest", "n", "terms", "counts"])
 
 
-def scan(rows: DataFrame, ident: str, text: str = "text", wanted: set[bytes] | None = None) -> DataFrame:
-    """(id, digest, n, terms, counts) of each row with a term: digest of its sequence of terms, n its terms with repeats, then
-    each different term, of the wanted ones if given, with its occurrences."""
-    rows = rows.select(F.col(ident).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(partial(_scan_batches, wanted=wanted), "id long, digest binary, n long, terms array<string>, counts array<long>")
-
-
-def asked_terms(items: DataFrame, ident: str) -> DataFrame:
-    """(item, item_id, term): item numbers the rows."""
-    got = scan(items, ident).withColumn("item", F.monotonically_increasing_id())
-    return materialise(got.select("item", F.col("id").alias("item_id"), F.explode("terms").alias("term")), "asked")
-
-
-def vocabulary(asked: DataFrame) -> set[bytes] | None:
-    """The terms of all items where they are few enough to be sent, else None."""
-    rows = asked.select("term").distinct().limit(VOCABULARY + 1).toPandas().term
-    return {t.encode() for t in rows} if len(rows) <= VOCABULARY else None
-
-
-def impact(counts: str) -> Column:
-    """What a term adds to a document's score, but for its weight."""
-    return F.expr(f"(1000000000 * {counts}) div (1000 * {counts} + 8 * m)")
+def scan(docs: DataFrame, number: dict[bytes, int]) -> DataFrame:
+    """(id, digest, n, terms, counts) of each document with a term: digest of its sequence of terms, n its terms with repeats,
+    then the numbered terms that it holds with their occurrences."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(partial(_scan_batches, number=number), "id long, digest binary, n long, terms array<int>, counts array<long>")
 
 
 def exploded(forward: DataFrame) -> DataFrame:
-    """(digest, copies, term, g) of each term of the entries."""
-    each = forward.select("digest", "copies", "m", F.explode(F.arrays_zip("terms", "counts")).alias("p"))
-    return each.select("digest", "copies", F.col("p.terms").alias("term"), impact("p.counts").alias("g"))
+    """(entry, copies, t, g) of each term of the entries; g is what the term adds to a score, but for its weight."""
+    each = forward.select("entry", "copies", "m", F.posexplode("terms").alias("at", "t"), "counts")
+    each = each.select("entry", "copies", "m", "t", F.get("counts", F.col("at")).alias("tf"))
+    return each.select("entry", "copies", "t", F.expr("(1000000000 * tf) div (1000 * tf + 8 * m)").cast("int").alias("g"))
 
 
 class Index:
-    """Forward index of a corpus for given terms.
+    """Forward index of a corpus for numbered terms.
 
-    forward: (digest, copies, m, terms, counts), an entry for each different sequence of terms;
-    ids: (digest, ids), the K least ids of each;
-    levels: (term, g, places, before, w): for each impact g of a term the entries with it and those with a higher one.
+    forward: (entry, copies, m, terms, counts), an entry for each different sequence of terms;
+    ids: (entry, ids), the k least ids of each;
+    levels: (t, g, places, before, w): for each impact g of a term the entries with it and those with a higher one.
     """
 
-    def __init__(self, docs: DataFrame, asked: DataFrame, k: int = K, ident: str = "doc_id"):
-        self.k = k
-        rows = materialise(scan(docs, ident, wanted=vocabulary(asked)).withColumn("row", F.monotonically_increasing_id()), "scanned")
-        least = Window.partitionBy("digest").orderBy(F.col("id").asc_nulls_last(), "row")
-        first = rows.select("digest", "id", "row").withColumn("r", F.row_number().over(least)).where(F.col("r") <= k)
-        self.ids = materialise(
-            first.groupBy("digest").agg(F.array_sort(F.collect_list(F.struct("r", "id"))).alias("x")).select("digest", F.col("x.id").alias("ids")), "ids"
-        )
+    def __init__(self, docs: DataFrame, number: dict[bytes, int], k: int = K):
+        rows = materialise(scan(docs, number).withColumn("row", F.monotonically_increasing_id()), "scanned")
+        order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
+        first = rows.select("digest", order.alias("o")).withColumn("r", F.row_number().over(Window.partitionBy("digest").orderBy("o"))).where(F.col("r") <= k)
+        kept = first.groupBy("digest").agg(F.array_sort(F.collect_list("o")).alias("o"))  # k rows
+        self.ids = materialise(kept.select(F.col("o")[0]["row"].alias("entry"), F.col("o.id").alias("ids")), "ids")
         size = rows.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(1)).alias("terms")).first()
         m = F.expr(f"10 + (90 * n * {size.docs}L) div {size.terms}L").alias("m")
-        once = rows.groupBy("digest").agg(F.count("*").alias("copies"), F.first(F.struct("n", "terms", "counts")).alias("one"))
-        self.forward = materialise(once.select("digest", "copies", "one.*").select("digest", "copies", m, "terms", "counts"), "forward")
+        once = rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min(order).alias("o"), F.first(F.struct("n", "terms", "counts")).alias("one"))
+        once = once.select(F.col("o.row").alias("entry"), "copies", "one.*").select("entry", "copies", m, "terms", "counts")
+        self.forward = materialise(once, "forward")
         discard(rows)
-        level = self.postings().groupBy("term", "g").agg(F.count("*").alias("places"), F.sum("copies").alias("copies"))
-        by = Window.partitionBy("term").orderBy(F.desc("g"))
-        level = level.withColumns({"before": F.sum("places").over(by) - F.col("places"), "df": F.sum("copies").over(Window.partitionBy("term"))})
+        level = exploded(self.forward).groupBy("t", "g").agg(F.count("*").alias("places"), F.sum("copies").alias("copies"))
+        by = Window.partitionBy("t").orderBy(F.desc("g"))
+        level = level.withColumns({"before": F.sum("places").over(by) - F.col("places"), "df": F.sum("copies").over(Window.partitionBy("t"))})
         w = F.floor(1000 * F.log((2.0 * size.docs + 2) / (2 * F.col("df").cast("double") + 1)))
-        self.levels = materialise(level.select("term", "g", "places", "before", w.cast("long").alias("w")), "levels")
-
-    def postings(self) -> DataFrame:
-        """(term, g, digest, copies) of the whole index."""
-        return exploded(self.forward)
+        self.levels = materialise(level.select("t", "g", "places", "before", w.cast("long").alias("w")), "levels")
 
     def heads(self, band: int) -> DataFrame:
-        """The sorted lists, (term, g, digest, band), from this band over AT_ONCE of them, written by band."""
+        """The sorted lists, (t, g, entry, band), from this band over AT_ONCE of them, divided by band. A list's part is bounded by depth."""
         lo, hi = depth(band), depth(band + AT_ONCE)
-        met = self.levels.where((F.col("before") < hi) & (F.col("before") + F.col("places") > lo))
-        ends = materialise(met.groupBy("term").agg(F.min("g").alias("least"), F.max("g").alias("most")), "ends")
-        some = small_join(self.postings(), ends, ["term"], "inner").where("g between least and most")
-        met = materialise(met.select("term", "g", "places", "before"), "met")
-        some = small_join(some, met, ["term", "g"], "inner")
-        among = F.shiftrightunsigned(F.xxhash64("digest"), 12) / F.lit(float(1 << 52))  # in [0, 1)
+        met = materialise(self.levels.where((F.col("before") < hi) & (F.col("before") + F.col("places") > lo)).select("t", "g", "places", "before"), "met")
+        ends = materialise(met.groupBy("t").agg(F.min("g").alias("least"), F.max("g").alias("most")), "ends")
+        some = small_join(exploded(self.forward).select("t", "g", "entry"), ends, ["t"], "inner").where("g between least and most").drop("least", "most")
+        some = small_join(some, met, ["t", "g"], "inner")
+        among = F.shiftrightunsigned(F.xxhash64("entry"), 12) / F.lit(float(1 << 52))  # in [0, 1)
         place = F.col("before") + F.floor(F.col("places") * among)
         at = F.lit(band)
         for b in range(band + 1, band + AT_ONCE):
-            at = F.when(place >= depth(b), F.lit(b)).otherwise(at)
-        some = some.where((place >= lo) & (place < hi)).select("term", "g", "digest", at.alias("band"))
-        some = materialise(some, "heads")
-        order = ("band", "term", F.desc("g"), "digest")
-        lists = materialise(some.repartitionByRange(*order).sortWithinPartitions(*order), "lists", "band")
-        for used in (ends, met, some):
-            discard(used)
+            at = F.when(F.col("place") >= depth(b), F.lit(b)).otherwise(at)
+        some = some.withColumn("place", place).where((F.col("place") >= lo) & (F.col("place") < hi)).select("t", "g", "entry", at.alias("band"))
+        lists = materialise(some.repartition("band", "t").sortWithinPartitions("band", "t", F.desc("g"), "entry"), "lists", "band")
+        discard(ends)
+        discard(met)
         return lists
 
     def unseen(self, band: int) -> DataFrame:
-        """(term, ahead): the highest weighted impact that bands below this one have not shown, 0 at the end of a list."""
+        """(t, ahead): the highest weighted impact that bands below this one have not shown, 0 at the end of a list."""
         ahead = F.max(F.when(F.col("before") + F.col("places") > depth(band), F.col("g")).otherwise(0))
-        return self.levels.groupBy("term").agg((F.first("w") * ahead).alias("ahead"))
+        return self.levels.groupBy("t").agg((F.first("w") * ahead).alias("ahead"))
 
 
-def _best(scored: DataFrame, k: int) -> DataFrame:
-    """The k best entries of each item: highest score, then least id."""
-    order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("ids")[0].asc_nulls_last(), "digest")
-    return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+def _look_up_batches(batches, sums, parts, weights):
+    return tidied(_look_ups(batches, sums, parts, weights))
+
+
+def _look_ups(batches, sums, parts, weights):
+    """Whole scores: sums[item] and the next one bound the item's terms in parts, each with its weight."""
+    impact = np.zeros(int(parts.max(initial=-1)) + 1, np.int64)
+    for batch in batches:
+        items, entries, scores = [], [], []
+        m, terms, counts, asked = (batch.column(batch.schema.get_field_index(c)) for c in ("m", "terms", "counts", "items"))
+        for k, entry in enumerate(batch.column(batch.schema.get_field_index("entry")).to_pylist()):
+            t, tf, who = terms[k].values.to_numpy(), counts[k].values.to_numpy(), asked[k].values.to_numpy()
+            impact[t] = 1_000_000_000 * tf // (1000 * tf + 8 * m[k].as_py())
+            size = sums[who + 1] - sums[who]
+            ends = np.cumsum(size)
+            at = np.arange(ends[-1]) + np.repeat(sums[who] - (ends - size), size)
+            scores.append(np.add.reduceat(weights[at] * impact[parts[at]], ends - size))
+            impact[t] = 0
+            items.append(who)
+            entries.append(np.full(len(who), entry))
+        if items:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (items, entries, scores)], ["item", "entry", "score"])
 
 
 def _documents(best: DataFrame, k: int) -> DataFrame:
     """(item, doc_id, score, rank): the k best documents, from entries with their ids."""
-    each = best.select("item", "score", "digest", F.posexplode("ids").alias("copy", "doc_id"))
-    order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "digest", "copy")
+    each = best.select("item", "score", "entry", F.posexplode("ids").alias("copy", "doc_id"))
+    order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "entry", "copy")
     return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item", "doc_id", "score", "rank")
 
 
-def _looked_up(index: Index, met: DataFrame, asked: DataFrame) -> DataFrame:
-    """(item, digest, score) of the pairs met: random look-ups of the entries in the forward index."""
-    once = materialise(met.select("digest").distinct(), "looked")
-    held = exploded(small_join(index.forward, once, ["digest"], "left_semi"))
-    pairs = small_join(met, asked.select("item", "term", "w"), ["item"], "inner")
-    parts = held.select("digest", "term", "g").join(pairs, ["digest", "term"])
-    return parts.groupBy("item", "digest").agg(F.sum(F.col("w") * F.col("g")).alias("score")).where("score > 0")
+def _top(scored: DataFrame, k: int) -> DataFrame:
+    """The k best entries of each item: highest score, then least id."""
+    order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("ids")[0].asc_nulls_last(), "entry")
+    return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = K) -> DataFrame:
-    """(item_id, rank, doc_id, score): the k highest-scoring documents of each item."""
-    asked = asked_terms(items, "item_id")
-    index = Index(docs, asked, k)
-    weights = materialise(index.levels.groupBy("term").agg(F.first("w").alias("w")), "weights")
-    asked = materialise(small_join(asked, weights, ["term"], "inner"), "weighted")  # terms that no document has drop out
-    still, best, kth, lists, band = asked, None, None, None, 0
+def search_lot(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(item_id, rank, doc_id, score) of the items asked, by number, which are few enough for one lot."""
+    spark = docs.sparkSession
+    lot = [(r.item_id, [bytes(t) for t in r.terms]) for r in asked.select("item_id", "terms").collect()]
+    terms = sorted({t for _, x in lot for t in x})
+    number = {t: k for k, t in enumerate(terms)}
+    index = Index(docs, number, k)
+    weight = {r.t: r.w for r in index.levels.groupBy("t").agg(F.first("w").alias("w")).collect()}  # of the lot's terms
+    own = [[number[t] for t in x if number[t] in weight] for _, x in lot]  # terms that no document has drop out
+    parts = np.array([t for x in own for t in x], np.int64)
+    sums = np.cumsum([0, *map(len, own)])
+    weights = np.array([weight[t] for t in parts.tolist()], np.int64)
+    pairs = [(i, t, weight[t]) for i, x in enumerate(own) for t in x]
+    still = materialise(spark.createDataFrame(pairs, "item long, t int, w long"), "open")
+    names = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(lot)], "item long, item_id long")
+    best = kth = lists = None
+    band = 0
     while True:
         if band % AT_ONCE == 0:
+            if lists is not None:
+                discard(lists)
             lists = index.heads(band)
         unseen = materialise(index.unseen(band + 1), "unseen")
-        still = materialise(small_join(still, unseen, ["term"], "inner"), "open")
+        still, before = materialise(small_join(still, unseen, ["t"], "inner"), "open"), still
         threshold = materialise(still.groupBy("item").agg(F.sum("ahead").alias("threshold")), "threshold")
-        shown = small_join(lists.where(F.col("band") == band).select("term", "digest", "g"), still.select("term", "item", "w", "ahead"), ["term"], "inner")
-        met = shown.groupBy("item", "digest").agg(F.sum(F.col("w") * F.col("g") - F.col("ahead")).alias("above"))
+        shown = small_join(lists.where(F.col("band") == band).select("t", "entry", "g"), still, ["t"], "inner")
+        met = shown.groupBy("item", "entry").agg(F.sum(F.col("w") * F.col("g") - F.col("ahead")).alias("above"))
         if kth is not None:
             # An entry that no earlier band has shown scores at most the threshold and what it showed above that: no look-up
             # where this falls below the k-th score. (What earlier bands have shown was looked up then.)
             met = small_join(small_join(met, threshold, ["item"], "inner"), kth, ["item"], "left")
             met = met.where((F.coalesce(F.col("found"), F.lit(0)) < k) | (F.col("threshold") + F.col("above") >= F.col("kth")))
-        met = materialise(met.select("item", "digest"), "met")
-        scored = materialise(_looked_up(index, met, still), "scored")
+        met = materialise(met.groupBy("entry").agg(F.collect_list("item").alias("items")), "met")  # at most the items of a lot
+        # Random look-ups of the whole scores in the forward index.
+        looked = small_join(index.forward.select("entry", "m", "terms", "counts"), met, ["entry"], "inner")
+        scored = looked.mapInArrow(partial(_look_up_batches, sums=sums, parts=parts, weights=weights), "item long, entry long, score long").where("score > 0")
         # Ties of the k-th score stay until the ids are known.
-        top = scored.withColumn("r", F.rank().over(Window.partitionBy("item").orderBy(F.desc("score")))).where(F.col("r") <= k).drop("r")
-        top = small_join(index.ids, materialise(top, "top"), ["digest"], "inner")
-        best = materialise(_best(top if best is None else top.unionByName(best).dropDuplicates(["item", "digest"]), k), "best")
+        scored = scored.withColumn("r", F.rank().over(Window.partitionBy("item").orderBy(F.desc("score")))).where(F.col("r") <= k).drop("r")
+        scored = materialise(scored, "scored")
+        top = small_join(index.ids, scored, ["entry"], "inner")
+        last, best = best, materialise(_top(top if best is None else top.unionByName(best).dropDuplicates(["item", "entry"]), k), "best")
         kth = materialise(_documents(best, k).groupBy("item").agg(F.count("*").alias("found"), F.min("score").alias("kth")), "kth")
         short = F.coalesce(F.col("found"), F.lit(0)) < k
         going = small_join(threshold.where("threshold > 0"), kth, ["item"], "left").where(short | (F.col("threshold") >= F.col("kth")))
-        still = materialise(small_join(still.drop("ahead"), materialise(going.select("item"), "going"), ["item"], "left_semi"), "still")
-        for used in (met, scored, unseen):
+        left = materialise(small_join(still.drop("ahead"), materialise(going.select("item"), "going"), ["item"], "left_semi"), "open")
+        for used in (met, scored, unseen, threshold, still, before, *([last] if last is not None else [])):
             discard(used)
+        still = left
         if still.isEmpty():
             break
         band += 1
-    found = _documents(best, k).join(asked.select("item", "item_id").distinct(), "item")
-    return found.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+    for used in (lists, index.forward, index.levels, index.ids):
+        discard(used)
+    return _documents(best, k).join(names, "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+
+
+def search(docs: DataFrame, items: DataFrame, k: int = K, terms: int = TERMS) -> DataFrame:
+    """(item_id, rank, doc_id, score): the k highest-scoring documents of each item."""
+    asked = asked_terms(items)
+    lots = max(1, math.ceil((asked.agg(F.sum(F.size("terms"))).first()[0] or 0) / terms))
+    lot = F.pmod(F.xxhash64("item"), F.lit(lots))
+    return reduce(DataFrame.unionByName, [search_lot(docs, asked.where(lot == n), k) for n in range(lots)])

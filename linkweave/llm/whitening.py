@@ -134,7 +134,7 @@ def eigenpairs(product, d: int, wanted: int, tolerance: float = TOLERANCE, round
 def deviations(x: np.ndarray, n: int, sums: list[int]) -> list[int | None]:
     """The sum over dimensions of (n x - S)^2 of each row, exact; None beyond a long."""
     about = ((n * x.astype(np.float64) - np.array(sums, np.float64)) ** 2).sum(axis=1)
-    if n * (np.abs(x).max(initial=0) + 1) < 1 << 62 and about.max(initial=0) < 4e18:
+    if n * (int(np.abs(x).max(initial=0)) + 1) < 1 << 62 and about.max(initial=0) < 4e18:
         return ((n * x - np.array(sums, np.int64)) ** 2).sum(axis=1).tolist()
     exact = [sum((n * c - s) ** 2 for c, s in zip(row, sums)) for row in x.tolist()]
     return [e if e < 1 << 63 else None for e in exact]
