@@ -33,6 +33,10 @@ MASK = np.uint32(0x1FF << 13)
 WINDOW, LEAST, MOST = 16, 64, 4096
 #: Characters of the chunks that a worker keeps.
 KEPT = 4_000_000
+#: Characters of a run of white space that the splitting pattern doesn't get to see whole; more than a chunk has.
+LONG_RUN = 10_000
+#: Fixed value: the characters that the splitting pattern takes for white space.
+_long_run = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]{%d,}" % LONG_RUN)
 _gear = np.random.default_rng(3).integers(0, 1 << 32, 256, dtype=np.uint32)
 
 
@@ -56,13 +60,31 @@ class Codec:
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         # Fixed value: the splitting pattern of byte-level vocabularies.
         pattern = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-        self.plain = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.library = tiktoken.Encoding("chunks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.table = {i: b for b, i in ranks.items()} | {i: t.encode() for t, i in self.special.items()}
         self.split = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
         self.kept: OrderedDict[str, tuple] = OrderedDict()
         self.size = 0
         self.reused = 0
 
+    def plain(self, text: str) -> list[int]:
+        """Tokens of a text in one piece.
+
+        The pattern would go too deep on a run of white space of a million characters. All of a run but its last character are one
+        word of the pattern, or all of it at the end of the text, so long runs are cut out and merged as that word.
+        """
+        if len(text) < LONG_RUN:
+            return self.library.encode_ordinary(text)
+        out: list[int] = []
+        done = 0
+        for m in _long_run.finditer(text):
+            lo, hi = m.span()
+            hi -= hi < len(text)
+            out += self.library.encode_ordinary(text[done:lo])
+            out += self.library._encode_single_piece(text[lo:hi])
+            done = hi
+        return out + self.library.encode_ordinary(text[done:])
+
     def chunk(self, text: str) -> tuple[array, int, int]:
         """(tokens, head, tail) of a chunk: those of text[head:tail]; what lies outside is left to the joins.
 

@@ -9,9 +9,9 @@ lists, whose size the terms bound and not the documents, are written sorted and
 same way when an item needs them, down to the ends of the lists.
 
 A place in a list comes from the counts of its impacts (fewer than 10^6 numbers a term) and, among equal impacts, from a hash of
-the entry, so no list is ever gathered or numbered in one task, however common its term. Items are taken in lots of about TERMS
-(item, term) pairs, which is what tasks and driver hold of them; each lot reads the corpus again. Else only counts reach the
-driver.
+the entry, so no list is ever gathered or numbered in one task, however common its term. Items are taken in lots of about LOT
+(item, term) pairs and results, which is what tasks and driver hold of them: the driver keeps the thresholds and the k best
+entries of the lot's items. Each lot reads the corpus again.
 
 Edge cases: null or empty texts have no terms: such documents count nowhere, such items get no rows; each row of either table
 counts as a document or an item of its own, also where ids are null or repeat; null ids rank behind others at equal scores;
@@ -26,6 +26,7 @@ from functools import partial, reduce
 from hashlib import md5
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,8 +36,8 @@ from .common import discard, materialise, small_join, tidied
 K = 10
 #: Places of a list that band b goes from and up to: 0, 16, 64, 256, 1024, ... ; bands that are written at once.
 FIRST, GROWTH, AT_ONCE = 16, 4, 4
-#: (item, term) pairs of a lot.
-TERMS = 500_000
+#: (item, term) pairs and results of a lot.
+LOT = 500_000
 
 _fold = np.full(256, 0x20, np.uint8)
 for _lo, _hi in ((0x30, 0x39), (0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF)):
@@ -109,7 +110,7 @@ def exploded(forward: DataFrame) -> DataFrame:
 class Index:
     """Forward index of a corpus for numbered terms.
 
-    forward: (entry, copies, m, terms, counts), an entry for each different sequence of terms;
+    forward: (entry, id, copies, m, terms, counts), an entry for each different sequence of terms; id is its least;
     ids: (entry, ids), the k least ids of each;
     levels: (t, g, places, before, w): for each impact g of a term the entries with it and those with a higher one.
     """
@@ -123,7 +124,7 @@ class Index:
         size = rows.agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(1)).alias("terms")).first()
         m = F.expr(f"10 + (90 * n * {size.docs}L) div {size.terms}L").alias("m")
         once = rows.groupBy("digest").agg(F.count("*").alias("copies"), F.min(order).alias("o"), F.first(F.struct("n", "terms", "counts")).alias("one"))
-        once = once.select(F.col("o.row").alias("entry"), "copies", "one.*").select("entry", "copies", m, "terms", "counts")
+        once = once.select(F.col("o.row").alias("entry"), "o.id", "copies", "one.*").select("entry", "id", "copies", m, "terms", "counts")
         self.forward = materialise(once, "forward")
         discard(rows)
         level = exploded(self.forward).groupBy("t", "g").agg(F.count("*").alias("places"), F.sum("copies").alias("copies"))
@@ -150,10 +151,12 @@ class Index:
         discard(met)
         return lists
 
-    def unseen(self, band: int) -> DataFrame:
-        """(t, ahead): the highest weighted impact that bands below this one have not shown, 0 at the end of a list."""
-        ahead = F.max(F.when(F.col("before") + F.col("places") > depth(band), F.col("g")).otherwise(0))
-        return self.levels.groupBy("t").agg((F.first("w") * ahead).alias("ahead"))
+    def unseen(self, band: int, terms: int) -> np.ndarray:
+        """By number of the lot's terms the highest impact that bands below this one have not shown, 0 at the end of a list."""
+        left = self.levels.where(F.col("before") + F.col("places") > depth(band)).groupBy("t").agg(F.max("g").alias("g")).collect()
+        out = np.zeros(terms, np.int64)
+        out[[r.t for r in left]] = [r.g for r in left]
+        return out
 
 
 def _look_up_batches(batches, sums, parts, weights):
@@ -164,9 +167,9 @@ def _look_ups(batches, sums, parts, weights):
     """Whole scores: sums[item] and the next one bound the item's terms in parts, each with its weight."""
     impact = np.zeros(int(parts.max(initial=-1)) + 1, np.int64)
     for batch in batches:
-        items, entries, scores = [], [], []
+        rows, items, scores = [], [], []
         m, terms, counts, asked = (batch.column(batch.schema.get_field_index(c)) for c in ("m", "terms", "counts", "items"))
-        for k, entry in enumerate(batch.column(batch.schema.get_field_index("entry")).to_pylist()):
+        for k in range(batch.num_rows):
             t, tf, who = terms[k].values.to_numpy(), counts[k].values.to_numpy(), asked[k].values.to_numpy()
             impact[t] = 1_000_000_000 * tf // (1000 * tf + 8 * m[k].as_py())
             size = sums[who + 1] - sums[who]
@@ -175,83 +178,89 @@ def _look_ups(batches, sums, parts, weights):
             scores.append(np.add.reduceat(weights[at] * impact[parts[at]], ends - size))
             impact[t] = 0
             items.append(who)
-            entries.append(np.full(len(who), entry))
-        if items:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (items, entries, scores)], ["item", "entry", "score"])
+            rows.append(np.full(len(who), k))
+        if rows:
+            same = pa.array(np.concatenate(rows))
+            own = [batch.column(batch.schema.get_field_index(c)).take(same) for c in ("entry", "id", "copies")]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(items)), *own, pa.array(np.concatenate(scores))], ["item", "entry", "id", "copies", "score"])
 
 
-def _documents(best: DataFrame, k: int) -> DataFrame:
-    """(item, doc_id, score, rank): the k best documents, from entries with their ids."""
-    each = best.select("item", "score", "entry", F.posexplode("ids").alias("copy", "doc_id"))
-    order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "entry", "copy")
-    return each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("item", "doc_id", "score", "rank")
+def _merged(best: dict, rows, k: int) -> None:
+    """Put rows among the k best entries of their items: highest score, then least id, null ids last."""
+    for r in rows:
+        best.setdefault(r.item, {})[r.entry] = (-r.score, r.id is None, r.id or 0, r.entry, r.copies)
+    for item in {r.item for r in rows}:
+        best[item] = {x[3]: x for x in sorted(best[item].values())[:k]}
 
 
-def _top(scored: DataFrame, k: int) -> DataFrame:
-    """The k best entries of each item: highest score, then least id."""
-    order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("ids")[0].asc_nulls_last(), "entry")
-    return scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).drop("r")
+def _kth(entries: dict, k: int) -> int | None:
+    """The k-th score of an item's documents; None if fewer are found."""
+    found = 0
+    for score, _, _, _, copies in sorted(entries.values()):
+        found += copies
+        if found >= k:
+            return -score
+    return None
 
 
 def search_lot(docs: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(item_id, rank, doc_id, score) of the items asked, by number, which are few enough for one lot."""
+    """(item_id, rank, doc_id, score) of the items asked, which are few enough for one lot."""
     spark = docs.sparkSession
     lot = [(r.item_id, [bytes(t) for t in r.terms]) for r in asked.select("item_id", "terms").collect()]
     terms = sorted({t for _, x in lot for t in x})
     number = {t: k for k, t in enumerate(terms)}
     index = Index(docs, number, k)
-    weight = {r.t: r.w for r in index.levels.groupBy("t").agg(F.first("w").alias("w")).collect()}  # of the lot's terms
+    weight = {r.t: r.w for r in index.levels.groupBy("t").agg(F.first("w").alias("w")).collect()}
     own = [[number[t] for t in x if number[t] in weight] for _, x in lot]  # terms that no document has drop out
     parts = np.array([t for x in own for t in x], np.int64)
     sums = np.cumsum([0, *map(len, own)])
     weights = np.array([weight[t] for t in parts.tolist()], np.int64)
-    pairs = [(i, t, weight[t]) for i, x in enumerate(own) for t in x]
-    still = materialise(spark.createDataFrame(pairs, "item long, t int, w long"), "open")
-    names = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(lot)], "item long, item_id long")
-    best = kth = lists = None
-    band = 0
-    while True:
+    item_of = np.repeat(np.arange(len(own)), np.diff(sums))
+    still = np.diff(sums) > 0
+    best: dict[int, dict] = {}
+    kth = np.full(len(own), -1)  # -1: fewer than k found
+    lists, band = None, 0
+    while still.any():
         if band % AT_ONCE == 0:
             if lists is not None:
                 discard(lists)
             lists = index.heads(band)
-        unseen = materialise(index.unseen(band + 1), "unseen")
-        still, before = materialise(small_join(still, unseen, ["t"], "inner"), "open"), still
-        threshold = materialise(still.groupBy("item").agg(F.sum("ahead").alias("threshold")), "threshold")
-        shown = small_join(lists.where(F.col("band") == band).select("t", "entry", "g"), still, ["t"], "inner")
-        met = shown.groupBy("item", "entry").agg(F.sum(F.col("w") * F.col("g") - F.col("ahead")).alias("above"))
-        if kth is not None:
-            # An entry that no earlier band has shown scores at most the threshold and what it showed above that: no look-up
-            # where this falls below the k-th score. (What earlier bands have shown was looked up then.)
-            met = small_join(small_join(met, threshold, ["item"], "inner"), kth, ["item"], "left")
-            met = met.where((F.coalesce(F.col("found"), F.lit(0)) < k) | (F.col("threshold") + F.col("above") >= F.col("kth")))
+        ahead = weights * index.unseen(band + 1, len(terms))[parts]
+        total = np.append(0, np.cumsum(ahead))
+        threshold = total[sums[1:]] - total[sums[:-1]]
+        # An entry that no earlier band has shown scores at most the threshold and what it showed above that: no look-up where
+        # this falls below the k-th score. (What earlier bands have shown was looked up then.)
+        lack = np.where(kth < 0, np.iinfo(np.int64).min, kth - threshold)
+        on = still[item_of]
+        opened = pd.DataFrame({"t": parts[on].astype(np.int32), "item": item_of[on], "w": weights[on], "ahead": ahead[on], "lack": lack[item_of[on]]})
+        opened = F.broadcast(spark.createDataFrame(opened))  # at most the pairs of a lot
+        shown = lists.where(F.col("band") == band).select("t", "entry", "g").join(opened, "t")
+        met = shown.groupBy("item", "entry").agg(F.sum(F.col("w") * F.col("g") - F.col("ahead")).alias("above"), F.first("lack").alias("lack")).where("above >= lack")
         met = materialise(met.groupBy("entry").agg(F.collect_list("item").alias("items")), "met")  # at most the items of a lot
         # Random look-ups of the whole scores in the forward index.
-        looked = small_join(index.forward.select("entry", "m", "terms", "counts"), met, ["entry"], "inner")
-        scored = looked.mapInArrow(partial(_look_up_batches, sums=sums, parts=parts, weights=weights), "item long, entry long, score long").where("score > 0")
-        # Ties of the k-th score stay until the ids are known.
-        scored = scored.withColumn("r", F.rank().over(Window.partitionBy("item").orderBy(F.desc("score")))).where(F.col("r") <= k).drop("r")
-        scored = materialise(scored, "scored")
-        top = small_join(index.ids, scored, ["entry"], "inner")
-        last, best = best, materialise(_top(top if best is None else top.unionByName(best).dropDuplicates(["item", "entry"]), k), "best")
-        kth = materialise(_documents(best, k).groupBy("item").agg(F.count("*").alias("found"), F.min("score").alias("kth")), "kth")
-        short = F.coalesce(F.col("found"), F.lit(0)) < k
-        going = small_join(threshold.where("threshold > 0"), kth, ["item"], "left").where(short | (F.col("threshold") >= F.col("kth")))
-        left = materialise(small_join(still.drop("ahead"), materialise(going.select("item"), "going"), ["item"], "left_semi"), "open")
-        for used in (met, scored, unseen, threshold, still, before, *([last] if last is not None else [])):
-            discard(used)
-        still = left
-        if still.isEmpty():
-            break
+        looked = small_join(index.forward, met, ["entry"], "inner")
+        scored = looked.mapInArrow(partial(_look_up_batches, sums=sums, parts=parts, weights=weights), "item long, entry long, id long, copies long, score long").where("score > 0")
+        order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("id").asc_nulls_last(), "entry")
+        _merged(best, scored.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k).collect(), k)
+        discard(met)
+        for item in np.nonzero(still)[0].tolist():
+            found = _kth(best.get(item, {}), k)
+            kth[item] = -1 if found is None else found
+        still &= (threshold > 0) & ((kth < 0) | (threshold >= kth))
         band += 1
-    for used in (lists, index.forward, index.levels, index.ids):
+    rows = [(lot[item][0], item, entry, -x[0]) for item, entries in best.items() for entry, x in entries.items()]
+    found = F.broadcast(spark.createDataFrame(rows, "item_id long, item long, entry long, score long"))  # the results of a lot
+    each = index.ids.join(found, "entry").select("item", "item_id", "score", "entry", F.posexplode("ids").alias("copy", "doc_id"))
+    order = Window.partitionBy("item").orderBy(F.desc("score"), F.col("doc_id").asc_nulls_last(), "entry", "copy")
+    ranked = each.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    for used in (index.forward, index.levels, *([lists] if lists is not None else [])):
         discard(used)
-    return _documents(best, k).join(names, "item").select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
+    return ranked.select("item_id", F.col("rank").cast("int").alias("rank"), "doc_id", "score")
 
 
-def search(docs: DataFrame, items: DataFrame, k: int = K, terms: int = TERMS) -> DataFrame:
+def search(docs: DataFrame, items: DataFrame, k: int = K, lot: int = LOT) -> DataFrame:
     """(item_id, rank, doc_id, score): the k highest-scoring documents of each item."""
     asked = asked_terms(items)
-    lots = max(1, math.ceil((asked.agg(F.sum(F.size("terms"))).first()[0] or 0) / terms))
-    lot = F.pmod(F.xxhash64("item"), F.lit(lots))
-    return reduce(DataFrame.unionByName, [search_lot(docs, asked.where(lot == n), k) for n in range(lots)])
+    lots = max(1, math.ceil((asked.agg(F.sum(F.size("terms") + k)).first()[0] or 0) / lot))
+    of = F.pmod(F.xxhash64("item"), F.lit(lots))
+    return reduce(DataFrame.unionByName, [search_lot(docs, asked.where(of == n), k) for n in range(lots)])

@@ -110,7 +110,7 @@ def test_ranked_search_of_the_tables(spark):
     docs, items = (spark.read.parquet(f"{SF}/{n}.parquet") for n in ("documents", "benchmark"))
     want = plain_ranking([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in items.collect()])
     assert ranked(docs, items) == want
-    assert ranked(docs, items, terms=800) == want  # several lots
+    assert ranked(docs, items, lot=1000) == want  # several lots
 
 
 def test_ranked_search_reads_lists_to_their_ends(spark, monkeypatch):
