@@ -3,8 +3,9 @@
 Document frequencies of the words of all mandatory key phrases are counted over the whole table. The rarest two of each key
 phrase (highest IDF) index its template, however common they are. Each file looks up the index words of every template of which
 it has all, joins their places to the postings of the licence templates, and keeps the (template, offset) alignments that
-both words agree on; a template is reported where its mandatory key phrase stands at the aligned place, so every such place is
-found and a file's answer doesn't depend on its neighbours. Plain key phrases are found besides, in all files.
+both words agree on; a template is reported where its mandatory key phrase stands at the aligned place and at least SHARE of all
+its words stand at theirs, so every such place is found and a file's answer doesn't depend on its neighbours. Versions are part of
+the key phrases. Plain key phrases are found besides, in all files.
 
 Edge cases: null text counts as empty (0 words, no places); a null doc_id stays null; repeated rows give repeated results; an
 empty table gives an empty result; other columns are ignored; the work on a very long text is in proportion to its words, and
@@ -22,21 +23,27 @@ from .common import materialise, sent
 
 # Key phrases and their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
-# Fixed values: (label, template, mandatory phrase of it).
+# Fixed values: (label, template, mandatory phrase of it, with its version where it has one).
 TEMPLATES = (
-    ("agpl-3.0", "licensed under the gnu affero general public license version 3", "gnu affero general public license"),
+    ("agpl-3.0", "licensed under the gnu affero general public license version 3", "gnu affero general public license version 3"),
     ("apache-2.0", "licensed under the apache license version 2 0", "apache license version 2 0"),
     ("bsd", "redistribution and use in source and binary forms with or without modification are permitted", "source and binary forms"),
     ("cc-by-4.0", "licensed under cc by 4 0", "cc by 4 0"),
     ("cc-by-nc-4.0", "licensed under cc by nc 4 0", "cc by nc 4 0"),
     ("cc-by-sa-4.0", "licensed under cc by sa 4 0", "cc by sa 4 0"),
     ("gpl-2.0", "licensed under the gnu general public license version 2", "gnu general public license version 2"),
+    ("gpl-2.0", "under the terms of the gnu general public license as published by the free software foundation either version 2 of the license", "free software foundation either version 2 of the license"),
     ("gpl-3.0", "licensed under the gnu general public license version 3", "gnu general public license version 3"),
-    ("lgpl-3.0", "licensed under the gnu lesser general public license version 3", "gnu lesser general public license"),
+    ("gpl-3.0", "under the terms of the gnu general public license as published by the free software foundation either version 3 of the license", "free software foundation either version 3 of the license"),
+    ("lgpl-2.1", "licensed under the gnu lesser general public license version 2 1", "gnu lesser general public license version 2 1"),
+    ("lgpl-2.1", "gnu lesser general public license v2 1", "gnu lesser general public license v2 1"),
+    ("lgpl-3.0", "licensed under the gnu lesser general public license version 3", "gnu lesser general public license version 3"),
     ("mit", "released under the mit license", "mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software", "hereby granted free of charge"),
-    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license"),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files", "hereby granted free of charge"),
+    ("mpl-2.0", "subject to the terms of the mozilla public license v 2 0", "mozilla public license v 2 0"),
 )
+#: Share of a template's words that must stand at their places for it to be reported.
+SHARE = 0.5
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Index words of a template, all of which must agree on a place.
 AGREE = 2
@@ -104,7 +111,7 @@ def aligned(rows: DataFrame, index: list[list[str]]) -> DataFrame:
         return F.struct(F.get(names, s["template"]).alias("label"), (F.size(same) / F.size(text)).alias("score"))
 
     both = held.join(spots.withColumnsRenamed({"doc_id": "d", "digest": "t"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("digest") == F.col("t")))
-    good = F.transform(F.filter("spots", verified), scored)
+    good = F.filter(F.transform(F.filter("spots", verified), scored), lambda m: m["score"] >= SHARE)
     return both.select("doc_id", "digest", F.array_distinct(good).alias("method")).where(F.size("method") > 0)
 
 
