@@ -11,7 +11,7 @@ pieces between matches. The patterns are written so that each character is looke
 repeats never give back, and a match starts only at the start of its run of characters or where the last match ended.
 
 Edge cases: null text counts as empty (no spans); a null doc_id stays null; repeated rows give repeated results; terms need
-documents of MIN_TEXTS different texts, so copies alone never make a term; ties in the order of terms have no say, as all that
+documents of MIN_TEXTS different texts, where near copies count as one, so copies never make a term; ties in the order of terms have no say, as all that
 reach the bounds count; a very long text with very many matches costs time in proportion to its length; an empty table gives an
 empty result; sanitise returns all columns, of any name, and changes only the texts that hold spans.
 """
@@ -21,7 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ident, materialise, packed, sent, small_join
+from .common import connected_components, ident, materialise, packed, sent, small_join
+from .decontamination import windows
 
 KINDS = ("email", "ip", "card", "phone")
 #: Matches that are gathered at once.
@@ -34,6 +35,10 @@ PATTERNS = {
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
+#: Near copies: windows of SHINGLE words, the least hash in each of 64 parts of the hashes' range, bands of four parts to find pairs
+#: that may be similar (at 0.9 all but 1 in 10^7), and the share of equal parts from which they are (standard error 0.05 at most), so
+#: that copies of 0.9 and more count as one and notes from one template each.
+SHINGLE, NEAR = 5, 0.85
 #: Different texts that must hold entity and term, the least share of the term's documents, the least bits.
 MIN_TEXTS, MIN_SHARE, MIN_BITS = 3, 0.5, 3.0
 #: A term is a whole run of letters and digits, none of them of an entity; HIDDEN stands for those of an entity.
@@ -111,14 +116,47 @@ def spellings(text: Column) -> Column:
 
 
 def scanned(docs: DataFrame) -> DataFrame:
-    """(doc_id, digest, spans, words) of every document, as a written table; words are those outside entities where there are any."""
+    """(doc_id, digest, spans, words, sketch) of every document, as a written table; words are those outside entities and sketch tells
+    near copies, where there are any."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("spans", base_spans(F.col("text")))
     hidden = rewritten(F.col("text"), F.col("spans"), lambda kind, value: F.regexp_replace(value, r"[\p{L}\p{N}]+", HIDDEN))
     words = F.array_distinct(F.transform(spellings(hidden), F.lower))
     words = F.when(F.size("spans") > 0, words).otherwise(F.array().cast("array<string>"))
     digest = F.unhex(F.md5(F.col("text").cast("binary")))
-    return materialise(rows.select("doc_id", digest.alias("digest"), "spans", words.alias("words")), "spans")
+    sketch = F.when(F.size("spans") > 0, sketched(F.col("text"))).otherwise(F.array().cast("array<bigint>"))
+    return materialise(rows.select("doc_id", digest.alias("digest"), "spans", words.alias("words"), sketch.alias("sketch")), "spans")
+
+
+def part(x: Column) -> Column:
+    return F.shiftrightunsigned(x, 58)
+
+
+def sketched(text: Column) -> Column:
+    """The least hash in each part, of those of all windows of SHINGLE words; of fewer words the hash of them all."""
+    words = F.transform(F.regexp_extract_all(text, F.lit(r"[\p{L}\p{N}]+"), F.lit(0)), lambda w: F.xxhash64(w))
+    hashes = bound(words, lambda h: F.when(F.size(h) < SHINGLE, F.array(F.xxhash64(h))).otherwise(windows(h, SHINGLE)))
+    first = lambda h: F.filter(h, lambda x, i: (i == 0) | (part(x) != part(F.get(h, i - 1))))
+    return bound(F.sort_array(hashes), first)
+
+
+def classes(texts: DataFrame) -> DataFrame:
+    """(digest, class) of near copies among texts (digest, sketch); texts without near copies are their own class."""
+    texts = texts.select("digest", F.xxhash64("digest").alias("node"), "sketch")
+
+    def key(band):
+        mine = F.filter("sketch", lambda x: F.shiftrightunsigned(x, 60) == band)
+        return F.when(F.size(mine) > 0, F.xxhash64(band, mine))
+
+    each = texts.select("node", F.explode(F.array_compact(F.transform(F.sequence(F.lit(0), F.lit(15)), key))).alias("key"))
+    shared = each.groupBy("key").agg(F.min("node").alias("root"), F.count("*").alias("n")).where("n > 1")
+    links = small_join(each, materialise(shared.select("key", "root"), "shared"), ["key"], "inner").where("node <> root").select("node", "root").distinct()
+    for end, name in (("node", "a"), ("root", "b")):
+        links = links.join(texts.select(F.col("node").alias(end), F.col("sketch").alias(name)), end)
+    parts = lambda c: F.transform(c, part)
+    equal = F.size(F.array_intersect("a", "b")) / F.size(F.array_union(parts("a"), parts("b")))
+    roots = connected_components(links.where(equal >= NEAR).select(F.col("node").alias("src"), F.col("root").alias("dst")))
+    return small_join(texts.select("digest", "node"), materialise(roots, "classes"), ["node"], "left").select("digest", F.coalesce("root", "node").alias("class"))
 
 
 def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -130,15 +168,16 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     n = found.count()
     entity = F.array_distinct(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))
     # Copies of a text are one row with their number, so a frequent copy is never gathered.
-    texts = found.where(F.size("spans") > 0).groupBy("digest").agg(F.first(entity).alias("entities"), F.first("words").alias("words"), F.count("*").alias("copies"))
+    texts = found.where(F.size("spans") > 0).groupBy("digest").agg(F.first(entity).alias("entities"), F.first("words").alias("words"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"))
     texts = materialise(texts, "texts")
+    texts = materialise(texts.drop("sketch").join(classes(texts.select("digest", "sketch")), "digest"), "texts")
     rate = texts.select("copies", F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("with_entity"))
     rate = rate.where((F.col("texts") >= MIN_TEXTS) & (F.log2(F.lit(n) / F.col("with_entity")) >= MIN_BITS)).drop("texts")
     held = small_join(texts.select("digest", F.explode("entities").alias("entity")), materialise(rate, "entities"), ["entity"], "inner")
     held = materialise(held, "holders")
     # A term's documents with an entity are at most the entity's, so those of the term are at most that many by MIN_SHARE.
     most = materialise(held.groupBy("digest").agg(F.max("with_entity").alias("most")), "most")
-    each = small_join(texts.select("digest", "copies", F.explode("words").alias("term")), most, ["digest"], "inner")
+    each = small_join(texts.select("digest", "class", "copies", F.explode("words").alias("term")), most, ["digest"], "inner")
     terms = each.groupBy("term").agg(F.count("*").alias("texts"), F.sum("copies").alias("beside"), F.max("most").alias("most"))
     terms = terms.where((F.col("texts") >= MIN_TEXTS) & (F.col("most") >= F.col("beside") * MIN_SHARE)).select("term", "most")
     terms = materialise(terms, "terms")
@@ -148,7 +187,7 @@ def disclosing_terms(docs: DataFrame, found: DataFrame) -> DataFrame:
     each = small_join(each.drop("most"), materialise(spread, "spread"), ["term"], "inner")
     both = F.greatest("with_term", "with_entity")
     joint = each.join(held, "digest").where((F.col("with_entity") >= F.col("with_term") * MIN_SHARE) & (F.log2(F.lit(n) / both) >= MIN_BITS))
-    joint = joint.groupBy("entity", "term", "with_entity", "with_term").agg(F.count("*").alias("texts"), F.sum("copies").alias("joint"))
+    joint = joint.groupBy("entity", "term", "with_entity", "with_term").agg(F.count_distinct("class").alias("texts"), F.sum("copies").alias("joint"))
     share = F.col("joint") / F.col("with_term")
     told = joint.where(F.col("texts") >= MIN_TEXTS).withColumns({"share": share, "bits": F.log2(share * F.lit(n) / F.col("with_entity"))})
     return told.where((F.col("share") >= MIN_SHARE) & (F.col("bits") >= MIN_BITS)).select("entity", "term", "share", "bits")
