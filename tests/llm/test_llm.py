@@ -468,3 +468,85 @@ def test_logits_beyond_the_bound_stay_finite():
     m.p["bc"][:] = 200
     kinds, words = m._softmaxes()
     assert kinds.cut and words.cut and np.isfinite(m.score([np.array([5, 6, 2], np.int32)])).all()
+
+
+@pytest.mark.parametrize("space", [" ", "\n", "\t"])
+def test_bpe_of_long_white_space(space):
+    """Runs of white space that the splitting pattern can't take whole."""
+    from tokenizers import Tokenizer
+
+    lib, own = Tokenizer.from_file(bpe.default_path()), bpe.Codec(bpe.default_path())
+    for n in (9_999, 10_000, 100_000, 1_000_000, 3_000_000):
+        run = space * n
+        for t in (run, "a" + run + "b", "word " * 2000 + run + "1" + run + "'s") if n < 3_000_000 else (run + "x",):
+            want = lib.encode(t, add_special_tokens=False).ids
+            got = own.encode(t)
+            assert got == want and own.decode(got) == t
+
+
+def test_pipeline_stages_take_long_white_space(spark):
+    docs = spark.createDataFrame([(1, "a" + " " * 1_000_000 + "b", "en", "s", 1), (2, "\n" * 1_000_000, "en", "s", 1)], "doc_id long, text string, lang string, source string, n_chars long")
+    coded = bpe.encode_documents(pii.sanitise(docs))
+    assert {r.doc_id: len(r.token_ids) for r in coded.collect()} == {r.doc_id: r.n_tokens for r in bpe.token_digests(docs).collect()}
+
+
+def plain_labels(text):
+    """Base and method labels and the score, by trying every template at every place."""
+    words = re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (text or "").translate({c: c + 32 for c in range(65, 91)}))
+    at = lambda phrase: [i for i in range(len(words)) if words[i : i + len(phrase.split())] == phrase.split()]
+    base = {label for phrase, label in licences.PHRASES.items() if at(phrase)}
+    labels, best = set(base), 0.5 if base else 0.0
+    for label, template, key in licences.TEMPLATES:
+        own, lead = template.split(), template[: template.index(key)].split()
+        for i in at(key):
+            first = i - len(lead)
+            share = sum(0 <= first + k < len(words) and words[first + k] == w for k, w in enumerate(own)) / len(own)
+            if share >= licences.SHARE:
+                labels.add(label)
+                best = max(best, share)
+    return ",".join(sorted(labels)), best
+
+
+def test_licence_labels_by_brute_force(spark, docs):
+    false = ["ships in source and binary forms", "hereby granted free of charge entry to the museum", "the mozilla public license is discussed", "the free software foundation"]
+    true = {
+        "GNU Lesser General Public License v2.1": "lgpl-2.1", "Licensed under the Apache License, Version 2.0 (the License)": "apache,apache-2.0", "MIT License": "mit", "under CC-BY-NC 4.0.": "cc-by,cc-by-nc-4.0",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software": "mit", "Mozilla Public License, v. 2.0": "mpl-2.0", "the GNU General Public License, version 2 or 3": "gpl,gpl-2.0",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd", "mit license " * 50: "mit",
+    }
+    rng = np.random.default_rng(4)
+    words = sorted({w for _, t, _ in licences.TEMPLATES for w in t.split()})
+    noise = [" ".join(" ".join(licences.TEMPLATES[k][1].split()[rng.integers(0, 4) :]) if k < len(licences.TEMPLATES) else rng.choice(words) for k in rng.integers(0, 40, 12)) for _ in range(60)]
+    texts = [*false, *true, *noise]
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in licences.scan_licences(d).collect()}
+    for i, t in enumerate(texts):
+        assert (got[i].labels, got[i].score) == plain_labels(t), t
+    assert [got[i].labels for i in range(len(false))] == [""] * len(false)
+    assert [got[len(false) + i].labels for i in range(len(true))] == list(true.values())
+    for r in licences.scan_licences(docs).collect():
+        if r.doc_id is not None:
+            assert (r.labels, r.score) in {plain_labels(t) for i, t in texts_of(docs) if i == r.doc_id}
+
+
+def texts_of(docs):
+    return [(r.doc_id, r.text) for r in docs.collect()]
+
+
+def test_near_copies_with_an_entity_keep_their_text(spark):
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"word{x}" for x in rng.integers(0, 3000, 200))) for i in range(100)]
+    base = [f"plain{x}" for x in rng.integers(0, 10**6, 1500)]
+    for k in range(5):  # five near copies that alone hold an address and their words
+        words = list(base)
+        for at in rng.integers(0, 1500, 3):
+            words[at] = f"changed{k}x{at}"
+        rows.append((1000 + k, " ".join(words) + " write to someone@example.org"))
+    for k in range(4):  # four different texts that share an address and a term that tells it
+        rows.append((2000 + k, " ".join(f"word{x}" for x in rng.integers(0, 3000, 300)) + " Zyxwvut lives there, other@example.com"))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r for r in pii.span_digests(d).collect()}
+    assert all(got[1000 + k].n_term == 0 and got[1000 + k].n_email == 1 for k in range(5))
+    assert all(got[2000 + k].n_term >= 1 for k in range(4))
+    text = {r.doc_id: r.text for r in pii.sanitise(d).collect()}
+    assert all("[TERM]" in text[2000 + k] and "Zyxwvut" not in text[2000 + k] for k in range(4)) and text[1000].startswith("plain")
