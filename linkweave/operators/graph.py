@@ -1,20 +1,21 @@
 """Typed property graphs as edge tables: summaries, pruning, metapath queries and permutations.
 
 Edges are (rel, src_kind, src, dst_kind, dst). A metapath such as "Dt>PRa>CO" compiles to a chain of equi-joins. Counts and
-weights are aggregated after every hop (a sparse matrix product), and walks that visit a node twice are subtracted, so the
+weights are aggregated place by place (sparse matrix products), and walks that visit a node twice are subtracted, so the
 intermediate result is the number of reachable pairs rather than of paths; "direct" lists the paths instead.
 """
 
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.tables import discard, written
+from linkweave.tables import discard, sent, written
 
-from .links import lowest
+from .links import dense_index, lowest
 
 #: Relation -> (source kind, letter, target kind).
 METAGRAPH = {
@@ -64,24 +65,74 @@ def enumerate_metapaths(start: str = "Drug", end: str = "Condition", longest: in
 def hop(edges: DataFrame, rel: str, forward: bool, damping: float, a: str, b: str, w: str, by: tuple[str, ...] = ()) -> DataFrame:
     """(by.., a, b, w) of a relation walked one way; w is the degree weight of the edge. by: columns that tell graphs apart.
 
-    Degrees are counted by combining aggregates and joined, so a hub's edges never meet in one task.
+    Degrees are counted by combining aggregates and joined, so a hub's edges never meet in one task. Edges that come with their
+    weight as w keep it.
     """
-    e = edges.where(F.col("rel") == rel).select(*by, "src", "dst")
-    if damping:
-        for end in ("src", "dst"):
-            degree = e.groupBy(*by, end).agg(F.pow(F.count("*").cast("double"), F.lit(-damping)).alias(f"_{end}"))
-            e = e.join(degree, [*by, end])
-        e = e.withColumn("w", F.col("_src") * F.col("_dst"))
-    else:
-        e = e.withColumn("w", F.lit(1.0))
+    e = edges.where(F.col("rel") == rel)
+    if "w" not in edges.columns:
+        e = weighted(e.select(*by, "src", "dst"), damping, by)
     x, y = ("src", "dst") if forward else ("dst", "src")
     return e.select(*by, F.col(x).alias(a), F.col(y).alias(b), F.col("w").alias(w))
 
 
-def _repeats(hops) -> list[tuple[int, int]]:
-    """Places of a metapath that have the same kind."""
-    kinds = [hops[0][2], *(h[3] for h in hops)]
-    return [(a, b) for a in range(len(kinds)) for b in range(a + 1, len(kinds)) if kinds[a] == kinds[b]]
+def weighted(edges: DataFrame, damping: float, by: tuple[str, ...] = ()) -> DataFrame:
+    """edges (by.., src, dst) with w, the damped degrees of both ends in the graph that by names."""
+    if not damping:
+        return edges.withColumn("w", F.lit(1.0))
+    e = edges
+    for end in ("src", "dst"):
+        degree = edges.groupBy(*by, end).agg(F.pow(F.count("*").cast("double"), F.lit(-damping)).alias(f"_{end}"))
+        e = e.join(degree, [*by, end])
+    return e.withColumn("w", F.col("_src") * F.col("_dst")).drop("_src", "_dst")
+
+
+def coincidences(kinds: list[str]) -> list[tuple[int, list[int]]]:
+    """[(coefficient, block of each place)]: which places of a metapath may be the same node, and how the walks in which they are
+    count, so that all together count the walks in which no node comes twice (Moebius inversion over set partitions)."""
+    out: list[tuple[int, list[int]]] = [(1, [])]
+    for place, kind in enumerate(kinds):
+        more = []
+        for c, blocks in out:
+            more.append((c, [*blocks, place]))
+            for first in sorted({x for x in blocks if kinds[x] == kind}):
+                more.append((-c * blocks.count(first), [*blocks, first]))
+        out = more
+    return out
+
+
+def _times(left, right, by):
+    """The product of two factors (variables, rows): joined where they share variables."""
+    (xs, a), (ys, b) = left, right
+    b = b.withColumnsRenamed({"w": "_w", "n": "_n"})
+    both = a.join(b, [*by, *(f"v{x}" for x in sorted(xs & ys))])
+    names = [f"v{x}" for x in sorted(xs | ys)]
+    return xs | ys, both.select(*by, *names, (F.col("w") * F.col("_w")).alias("w"), (F.col("n") * F.col("_n")).alias("n"))
+
+
+def _contracted(factors, ends: set[int], by, cost) -> DataFrame:
+    """Sum the product of factors over all variables but ends, one variable after another: the one that leaves the narrowest
+    factor first, then the one whose join is the smallest."""
+    while inner := set().union(*(xs for xs, _ in factors)) - ends:
+        v = min(inner, key=lambda v: (len(set().union(*(xs for xs, _ in factors if v in xs))), cost.get(v, 0), v))
+        xs, rows = reduce(lambda f, g: _times(f, g, by), [f for f in factors if v in f[0]])
+        rest = xs - {v}
+        rows = rows.groupBy(*by, *(f"v{x}" for x in sorted(rest))).agg(F.sum("w").alias("w"), F.sum("n").alias("n"))
+        factors = [f for f in factors if v not in f[0]] + [(rest, rows)]
+    return reduce(lambda f, g: _times(f, g, by), sorted(factors, key=lambda f: -len(f[0])))[1]
+
+
+def join_rows(edges: DataFrame, metapath: str) -> dict[int, int]:
+    """Rows of the join at each inner place of a metapath: the products of its nodes' degrees, summed."""
+    hops = parse_metapath(metapath)
+    out = None
+    for k in range(1, len(hops)):
+        sides = []
+        for (rel, forward, _, _), into in ((hops[k - 1], True), (hops[k], False)):
+            end = "dst" if forward == into else "src"
+            sides.append(edges.where(F.col("rel") == rel).groupBy(F.col(end).alias("id")).agg(F.count("*").alias("n" if into else "m")))
+        one = sides[0].join(sides[1], "id").agg(F.lit(k).alias("k"), F.coalesce(F.sum(F.col("n") * F.col("m")), F.lit(0)).alias("rows"))
+        out = one if out is None else out.unionByName(one)
+    return {r.k: r.rows for r in out.collect()} if out is not None else {}
 
 
 def paths(edges: DataFrame, metapath: str, damping: float = 0.5) -> DataFrame:
@@ -101,44 +152,36 @@ def paths(edges: DataFrame, metapath: str, damping: float = 0.5) -> DataFrame:
     return out.select(*(f"n{k}" for k in range(len(hops) + 1)), weight.alias("weight"))
 
 
-def dwpc(edges: DataFrame, metapath: str, damping: float = 0.5, method: str = "factorised", by: tuple[str, ...] = ()) -> DataFrame:
+def dwpc(edges: DataFrame, metapath: str, damping: float = 0.5, method: str = "factorised", by: tuple[str, ...] = (), cost: dict[int, int] | None = None) -> DataFrame:
     """(by.., source_id, target_id, path_count, dwpc) of the pairs that the metapath connects.
 
-    factorised subtracts the walks that visit a node twice. It covers metapaths where at most one kind comes twice, two hops
-    apart, which are all that are scored; others list their paths, as direct does. by: columns that tell graphs apart.
+    factorised never lists a path: walks are counted by joins that are summed up place by place, and walks in which places
+    coincide are counted likewise and taken off, for any metapath; direct lists the paths. by: columns that tell graphs apart.
+    cost: join_rows of the graphs, where known.
     """
     hops = parse_metapath(metapath)
-    again = _repeats(hops)
-    if method == "direct" or len(again) > 1 or any(j - i != 2 for i, j in again):
+    if method == "direct":
         if by:
-            raise ValueError("several graphs at once need a metapath that can be factorised")
+            raise ValueError("paths are listed of one graph at a time")
         found = paths(edges, metapath, damping).groupBy(F.col("n0").alias("source_id"), F.col(f"n{len(hops)}").alias("target_id"))
         return found.agg(F.count("*").alias("path_count"), F.sum("weight").alias("dwpc"))
-
-    def step(k):
-        rel, forward, _, _ = hops[k]
-        return hop(edges, rel, forward, damping, "a", "b", "w", by).withColumn("n", F.lit(1).cast("long"))
-
-    def times(left, right):
-        r = right.select(*by, F.col("a").alias("b"), F.col("b").alias("c"), F.col("w").alias("v"), F.col("n").alias("m"))
-        both = left.join(r, [*by, "b"]).groupBy(*by, "a", F.col("c").alias("b"))
-        return both.agg(F.sum(F.col("w") * F.col("v")).alias("w"), F.sum(F.col("n") * F.col("m")).alias("n"))
-
-    def chain(parts):
-        out = parts[0]
-        for p in parts[1:]:
-            out = times(out, p)
-        return out
-
-    every = chain([step(k) for k in range(len(hops))])
-    if again:
-        i, j = again[0]
-        back = step(j - 1).select(*by, F.col("a").alias("b"), F.col("b").alias("a"), F.col("w").alias("v"))
-        loop = step(i).join(back, [*by, "a", "b"]).groupBy(*by, "a").agg(F.sum(F.col("w") * F.col("v")).alias("w"), F.count("*").alias("n"))
-        loop = loop.select(*by, "a", F.col("a").alias("b"), "w", "n")
-        twice = chain([*(step(k) for k in range(i)), loop, *(step(k) for k in range(j, len(hops)))])
-        minus = twice.select(*by, "a", "b", (-F.col("w")).alias("w"), (-F.col("n")).alias("n"))
-        every = every.unionByName(minus).groupBy(*by, "a", "b").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).where("n > 0")
+    if cost is None:
+        cost = {} if by or len(hops) < 3 else join_rows(edges, metapath)
+    every = None
+    terms = coincidences([hops[0][2], *(h[3] for h in hops)])
+    for coefficient, block in terms:
+        factors = []
+        for k, (rel, forward, _, _) in enumerate(hops):
+            x, y = block[k], block[k + 1]
+            one = hop(edges, rel, forward, damping, f"v{x}", "_to" if x == y else f"v{y}", "w", by)
+            one = one.where(F.col(f"v{x}") == F.col("_to")).drop("_to") if x == y else one
+            factors.append(({x, y}, one.withColumn("n", F.lit(1).cast("long"))))
+        rows = _contracted(factors, {block[0], block[-1]}, by, cost)
+        c = F.lit(coefficient)
+        rows = rows.select(*by, F.col(f"v{block[0]}").alias("a"), F.col(f"v{block[-1]}").alias("b"), (F.col("w") * c).alias("w"), (F.col("n") * c).alias("n"))
+        every = rows if every is None else every.unionByName(rows)
+    if len(terms) > 1:
+        every = every.groupBy(*by, "a", "b").agg(F.sum("w").alias("w"), F.sum("n").alias("n")).where("n > 0")
     return every.select(*by, F.col("a").alias("source_id"), F.col("b").alias("target_id"), F.col("n").alias("path_count"), F.col("w").alias("dwpc"))
 
 
@@ -187,40 +230,92 @@ def prune(edges: DataFrame, percent: int, keep: tuple[str, ...] = ("INDICATED_FO
     return edges.join(gone.select("rel", "src", "dst"), ["rel", "src", "dst"], "left_anti").select(edges.columns)
 
 
-def permute(edges: DataFrame, permutations: int, rounds: int = 10, seed: int = 0) -> DataFrame:
-    """(perm, rel, src, dst): degree-preserving permutations 1 .. permutations of every relation, all at once.
+#: Fixed values of the mixing of a round: the prime 2^31 - 1 and multipliers of congruential generators.
+_PRIME, _MIX = 2147483647, ((48271, 69621), (40014, 52774))
+#: An edge is one number: source times _WIDE plus target, so a graph has at most 2^31 nodes.
+_WIDE = 1 << 32
+
+
+def bucket_expression(seed: int, turn: int, buckets: str) -> str:
+    """SQL of the bucket that an edge (perm, s, d) falls into in a round; the same in every engine with whole numbers of 64 bits."""
+    x = f"((s * 48271 + d * 69621 + CAST(perm AS BIGINT) * 40692 + {(seed * 1000 + turn + 1) * 16807}) % {_PRIME})"
+    for a, b in _MIX:
+        x = f"(({x} * {x} % {_PRIME} * {a} + {x} * {b} + 11) % {_PRIME})"
+    return f"({x} % {buckets})"
+
+
+def round_salt(seed: int, turn: int) -> int:
+    """The number that a round compares edges under, by exclusive or, so that each prefers other ones."""
+    x = seed * 1000 + turn + 1
+    for _ in range(4):
+        x = (x * 6364136223846793005 + 1442695040888963407) % (1 << 62)
+    return x
+
 
-    In a round each relation's edges fall into buckets of two on average by a hash that the round decides; the first and the
-    last of a bucket propose to trade targets. A trade is made if neither new edge exists or is proposed twice, so all degrees
-    stay and no edge ever repeats. A round proposes three of five edges. Rounds are written tables.
+def coded(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rel, s, d) with numbers in place of ids, and the written table (id, idx) that says which."""
+    ends = edges.select(F.col("src").alias("id")).union(edges.select("dst")).distinct()
+    numbers = written(dense_index(written(ends, "ids"), "id"), "numbers")
+    for end, name in (("src", "s"), ("dst", "d")):
+        edges = edges.join(sent(numbers).select(F.col("id").alias(end), F.col("idx").alias(name)), end)
+    return edges.select("rel", "s", "d"), numbers
+
+
+def _source(edge):
+    return F.shiftright(edge, 32)
+
+
+def _target(edge):
+    return edge.bitwiseAND(F.lit(_WIDE - 1))
+
+
+def permute_coded(edges: DataFrame, permutations: int, rounds: int = 10, seed: int = 0, first: int = 1) -> DataFrame:
+    """(perm, rel, s, d): degree-preserving permutations first, first + 1, .. of every relation of (rel, s, d), all at once.
+
+    In a round each relation's edges fall into buckets of two on average by a hash that the round decides; the least and the
+    greatest of a bucket, as a round compares them, propose to trade targets. A trade is made if neither new edge exists or is
+    proposed twice, so all degrees stay and no edge ever repeats. Edges are numbers, so all aggregates are of fixed width; the
+    shuffle by bucket serves proposals and trades alike. A round is a written table.
     """
     spark = edges.sparkSession
     size = {r.rel: max(1, r.n // 2) for r in edges.groupBy("rel").agg(F.count("*").alias("n")).collect()}  # a row per relation
     if not size:
-        return edges.sparkSession.createDataFrame([], "perm int, rel string, src string, dst string")
-    buckets = F.create_map(*(F.lit(x) for rel, n in size.items() for x in (rel, n)))[F.col("rel")]
-    numbers = spark.range(1, permutations + 1).select(F.col("id").cast("int").alias("perm"))
-    now = written(edges.select("rel", "src", "dst").join(F.broadcast(numbers)).select("perm", "rel", "src", "dst"), "permuted")
-    place = ["perm", "rel", "bucket"]
+        return spark.createDataFrame([], "perm int, rel string, s long, d long")
+    names = sorted(size)
+    number = F.create_map(*(F.lit(x) for k, rel in enumerate(names) for x in (rel, k)))[F.col("rel")]
+    buckets = F.create_map(*(F.lit(x) for k, rel in enumerate(names) for x in (k, size[rel])))[F.col("r")]
+    perms = spark.range(first, first + permutations).select(F.col("id").cast("int").alias("perm"))
+    now = edges.select(number.alias("r"), (F.col("s") * _WIDE + F.col("d")).alias("e")).join(F.broadcast(perms)).select("perm", "r", "e")
+    now = written(now, "permuted")
+    place, e, x = ["perm", "r", "bucket"], F.col("e"), F.col("x")
     for turn in range(rounds):
-        key = F.md5(F.concat_ws("|", F.lit(f"{seed}:{turn}"), F.col("perm").cast("string"), "rel", "src", "dst"))
-        keyed = now.withColumn("k", key).withColumn("bucket", F.conv(F.substring("k", 1, 8), 16, 10).cast("long") % buckets)
-        pair = F.struct("src", "dst")
-        offers = keyed.groupBy(*place).agg(F.count("*").alias("n"), F.min_by(pair, "k").alias("a"), F.max_by(pair, "k").alias("b")).where("n > 1")
-        offers = written(offers.select(*place, "a", "b"), "offers")
-        new = F.explode(F.array(F.struct(F.col("a.src").alias("src"), F.col("b.dst").alias("dst")), F.struct(F.col("b.src").alias("src"), F.col("a.dst").alias("dst"))))
-        fresh = offers.select(*place, new.alias("e")).select(*place, "e.*", F.lit(1).alias("c"))
-        held = now.select("perm", "rel", F.lit(None).cast("long").alias("bucket"), "src", "dst", F.lit(2).alias("c"))
-        good = fresh.unionByName(held).groupBy("perm", "rel", "src", "dst").agg(F.sum("c").alias("c"), F.max("bucket").alias("bucket")).where("c = 1")
+        salt = F.lit(round_salt(seed, turn))
+        keyed = now.select("perm", "r", "e", _source(e).alias("s"), _target(e).alias("d"), buckets.alias("m"))
+        keyed = keyed.select("perm", "r", F.expr(bucket_expression(seed, turn, "m")).alias("bucket"), e.bitwiseXOR(salt).alias("x")).repartition(*place)
+        offers = keyed.groupBy(*place).agg(F.min("x").alias("a"), F.max("x").alias("b")).where("a < b")
+        offers = offers.select(*place, "a", "b", F.col("a").bitwiseXOR(salt).alias("p"), F.col("b").bitwiseXOR(salt).alias("q"))
+        p, q = F.col("p"), F.col("q")
+        new = F.explode(F.array(_source(p) * _WIDE + _target(q), _source(q) * _WIDE + _target(p)))
+        fresh = offers.select(*place, new.alias("e")).withColumn("c", F.lit(1))
+        held = now.select("perm", "r", F.lit(None).cast("long").alias("bucket"), "e", F.lit(2).alias("c"))
+        good = fresh.unionByName(held).groupBy("perm", "r", "e").agg(F.sum("c").alias("c"), F.max("bucket").alias("bucket")).where("c = 1")
         made = good.groupBy(*place).agg(F.count("*").alias("n")).where("n = 2").select(*place)
-        trades = offers.join(made, place)
-        moved = keyed.drop("k").join(trades, place, "left")
-        mine = lambda x: (F.col("src") == F.col(f"{x}.src")) & (F.col("dst") == F.col(f"{x}.dst"))
-        dst = F.when(mine("a"), F.col("b.dst")).when(mine("b"), F.col("a.dst")).otherwise(F.col("dst"))
-        before, now = now, written(moved.select("perm", "rel", "src", dst.alias("dst")), "permuted")
+        moved = keyed.join(offers.join(made, place), place, "left")
+        target = F.when(x == F.col("a"), _target(q)).when(x == F.col("b"), _target(p))
+        kept = x.bitwiseXOR(salt)
+        before, now = now, written(moved.select("perm", "r", F.coalesce(_source(kept) * _WIDE + target, kept).alias("e")), "permuted")
         discard(before)
-        discard(offers)
-    return now
+    rel = F.array(*map(F.lit, names))[F.col("r")]
+    return now.select("perm", rel.alias("rel"), _source(e).alias("s"), _target(e).alias("d"))
+
+
+def permute(edges: DataFrame, permutations: int, rounds: int = 10, seed: int = 0) -> DataFrame:
+    """(perm, rel, src, dst): degree-preserving permutations 1 .. permutations of every relation, all at once."""
+    by_number, numbers = coded(edges)
+    out = permute_coded(by_number, permutations, rounds, seed)
+    for end, name in (("src", "s"), ("dst", "d")):
+        out = out.join(sent(numbers).select(F.col("id").alias(end), F.col("idx").alias(name)), name)
+    return out.select("perm", "rel", "src", "dst")
 
 
 def upsert_nodes(rows: DataFrame) -> DataFrame:
@@ -258,17 +353,16 @@ def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def build(nodes: DataFrame, edges: DataFrame, path: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """Nodes and edges as they are kept: nodes upserted, edges between them, isolated nodes gone; with path also exported, as
-    tables by kind and by relation, as triples and as node and edge lists."""
+    """Nodes and edges as they are kept: nodes upserted, edges between them, isolated nodes gone; with path also exported: merged
+    into the graph kept there, as triples and as node and edge lists."""
     kept = upsert_nodes(nodes)
     found = upsert_edges(edges, kept)
     kept = connected(kept, found)
     if path:
-        from linkweave.sources import writers
+        from linkweave.sources import store, writers
 
         kept, found = written(kept, "nodes"), written(found, "edges")
-        writers.upsert_nodes(kept, f"{path}/nodes")
-        writers.upsert_edges(found, f"{path}/edges")
+        store.upsert(kept.sparkSession, f"{path}/graph", kept, found)
         writers.write_triples(found, f"{path}/triples")
         writers.write_nodes(kept, f"{path}/nodes.tsv")
         writers.write_sif(found, f"{path}/edges.sif")

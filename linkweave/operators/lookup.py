@@ -9,9 +9,6 @@ from pyspark.sql import functions as F
 
 from linkweave.tables import written
 
-#: Levels beyond which ancestors are compared with those found before, as the parents may run in a circle.
-LONGEST = 50
-
 
 def aliases(vocabulary: DataFrame, fold: bool = True) -> DataFrame:
     """(alias, id): the first entry, by pos, that has the alias as name or synonym. vocabulary (id, pos, name, synonyms)."""
@@ -47,19 +44,22 @@ def prefix_parents(codes: DataFrame) -> DataFrame:
 
 
 def ancestors(parents: DataFrame) -> DataFrame:
-    """(code, ancestor, depth) of all ancestors, one written round of joins per level; a code met again on its way up ends there."""
-    up = written(parents.where("parent is not null").select("code", "parent"), "parents")
-    found = written(up.select("code", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "level")
-    levels = [found]
+    """(code, ancestor, depth) of all ancestors at their least depth; parents may run in circles, and no code is its own ancestor.
+
+    Semi-naive: a round joins only the pairs that the last one found with their parents and keeps those that no round has found
+    yet. Rounds are written tables; they end when nothing is new, at the latest after the longest way without a repeat.
+    """
+    up = written(parents.where("parent is not null and parent <> code").select("code", "parent").distinct(), "parents")
+    new = written(up.select("code", F.col("parent").alias("ancestor"), F.lit(1).alias("depth")), "level")
+    levels = [new]
     while True:
-        more = levels[-1].join(up.select(F.col("code").alias("ancestor"), "parent"), "ancestor").where("parent <> code")
-        more = more.select("code", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth"))
-        for seen in levels if len(levels) > LONGEST else ():
-            more = more.join(seen, ["code", "ancestor"], "left_anti")
-        more = written(more, "level")
-        if more.isEmpty():
+        more = new.join(up.select(F.col("code").alias("ancestor"), "parent"), "ancestor").where("parent <> code")
+        more = more.select("code", F.col("parent").alias("ancestor"), (F.col("depth") + 1).alias("depth")).distinct()
+        found = reduce(DataFrame.unionByName, levels).select("code", "ancestor")
+        new = written(more.join(found, ["code", "ancestor"], "left_anti"), "level")
+        if new.isEmpty():
             return reduce(DataFrame.unionByName, levels)
-        levels.append(more)
+        levels.append(new)
 
 
 def tree_parents(numbers: DataFrame) -> DataFrame:
@@ -71,12 +71,3 @@ def tree_parents(numbers: DataFrame) -> DataFrame:
 
 def two_hop(left: DataFrame, right: DataFrame, by: str) -> DataFrame:
     return left.join(right, by).drop(by).distinct()
-
-
-def extracted(rows: DataFrame, key: str, text: str, vocabulary: DataFrame) -> DataFrame:
-    """(key, ids): the sorted ids of vocabulary words in the text of rows whose groups hold approved; others get none."""
-    approved = rows.where(F.array_contains("groups", "approved"))
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text)), F.lit("[a-z]+"), F.lit(0))))
-    found = approved.select(key, words.alias("alias")).join(aliases(vocabulary), "alias").groupBy(key).agg(F.array_sort(F.collect_set("id")).alias("ids"))
-    kind = dict(found.dtypes)["ids"]
-    return rows.select(key).join(found, key, "left").select(key, F.coalesce("ids", F.array().cast(kind)).alias("ids"))

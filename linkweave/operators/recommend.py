@@ -1,12 +1,14 @@
 """Recommenders on (item, user, rating): implicit ALS, BPR, logistic MF and bounded nuclear-norm completion.
 
 ALS is distributed: factors are tables, each half-step joins the positives with the fixed side, sums the normal equations in
-partial blocks and solves them per id, so neither the driver nor a task holds a side or a frequent id's ratings. BPR, logistic MF
-and the completion train on the driver on a dense matrix of at most CELLS cells, as a study's matrix has; beyond it they raise.
+partial blocks and solves them per id, so neither the driver nor a task holds a side or a frequent id's ratings. BPR and logistic
+MF train in blocks of both sides. The completion trains on the driver on a dense matrix of at most CELLS cells, as a study's matrix
+has; beyond it it raises.
 """
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Callable
 
@@ -15,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkweave.tables import discard, written
+from linkweave.tables import discard, exists, sent, shared_dir, written
 
 from . import links
 
@@ -39,7 +41,7 @@ class Model:
     def fit(self, ratings: DataFrame, seed: int = 1354) -> Model:
         items, users = (sorted(r[0] for r in self._ids(ratings, side)) for side in ("item", "user"))
         if len(items) * len(users) > CELLS:
-            raise ValueError(f"{len(items)} items times {len(users)} users are more than {CELLS} cells; ALS has no such bound")
+            raise ValueError(f"{len(items)} items times {len(users)} users are more than {CELLS} cells; the other models have no such bound")
         self.items, self.users = ({x: k for k, x in enumerate(ids)} for ids in (items, users))
         x, y = self.train(ratings, np.random.default_rng(seed))
         spark = ratings.sparkSession
@@ -49,10 +51,10 @@ class Model:
 
     @staticmethod
     def _ids(ratings: DataFrame, side: str) -> list:
-        rows = ratings.select(side).distinct().limit(CELLS + 1).collect()
-        if len(rows) > CELLS:
-            raise ValueError(f"more than {CELLS} distinct {side}s; ALS has no such bound")
-        return rows
+        ids = ratings.select(side).distinct()
+        if ids.count() > CELLS:
+            raise ValueError(f"more than {CELLS} distinct {side}s; the other models have no such bound")
+        return ids.collect()
 
     def train(self, ratings: DataFrame, rng) -> tuple[np.ndarray, np.ndarray]:
         raise NotImplementedError
@@ -169,55 +171,177 @@ def _start(ids: DataFrame, side: str, k: int, seed: int) -> DataFrame:
     return ids.mapInPandas(draw, f"{side} {dict(ids.dtypes)[side]}, v array<double>")
 
 
-class BPR(Model):
-    """Pairwise ranking by mini-batch gradient steps; users are ranked over items."""
+#: Ids of a side that a block holds at most.
+BLOCK = 5_000
 
-    defaults = {"iterations": 160, "factors": 15, "rate": 0.1, "reg": 0.01, "batch": 100}
 
-    def train(self, ratings, rng):
-        p, m = self.params, self.matrix(ratings)
-        x, y = rng.standard_normal((len(self.items), p["factors"])) * 0.1, rng.standard_normal((len(self.users), p["factors"])) * 0.1
-        liked = [np.nonzero(m[:, u])[0] for u in range(m.shape[1])]
-        users = [u for u, v in enumerate(liked) if 0 < len(v) < len(self.items)]
-        for _ in range(p["iterations"] if users else 0):
-            for _ in range(max(1, len(users) // p["batch"])):
-                u = rng.choice(users, min(p["batch"], len(users)), replace=False)
-                i = np.array([rng.choice(liked[k]) for k in u])
-                j = rng.integers(0, len(self.items), len(u))
-                fair = m[j, u] == 0
-                u, i, j = u[fair], i[fair], j[fair]
-                g = 1 / (1 + np.exp(np.clip(((x[i] - x[j]) * y[u]).sum(axis=1), -30, 30)))[:, None]
-                dx, dy = g * y[u], g * (x[i] - x[j])
-                np.add.at(y, u, p["rate"] * (dy - p["reg"] * y[u]))
-                np.add.at(x, i, p["rate"] * (dx - p["reg"] * x[i]))
+class Blocked(Model):
+    """Models whose factors are tables (no, v) in blocks of at most BLOCK ids a side; tasks hold a block of items, a block of users
+    and the positives between them, whatever the number of ids. Needs no bound on cells."""
+
+    def _number(self, ratings: DataFrame) -> None:
+        self.index = {side: written(links.dense_index(written(ratings.select(side).distinct(), side), side), side) for side in ("item", "user")}
+        pos = ratings.where("rating > 0").select("item", "user").distinct()
+        for side, no in (("item", "i"), ("user", "u")):
+            pos = pos.join(sent(self.index[side]).withColumnRenamed("idx", no), side)
+        self.sizes = {side: index.count() for side, index in self.index.items()}
+        self.blocks = max(1, min(self.params["blocks"], *self.sizes.values()), -(-max(self.sizes.values()) // BLOCK))
+        self.positives = written(pos.select("i", "u"), "positives")
+
+    def _start(self, side: str, k: int, seed: int) -> DataFrame:
+        salt = ("item", "user").index(side)
+
+        def draw(parts):
+            for pdf in parts:
+                yield pd.DataFrame({"no": pdf.idx, "v": [(np.random.default_rng([seed, salt, x]).standard_normal(k) * 0.1).tolist() for x in pdf.idx]})
+
+        return written(self.index[side].select("idx").mapInPandas(draw, "no long, v array<double>"), "factors")
+
+    def _keep(self, item: DataFrame, user: DataFrame) -> None:
+        self.item_factors, self.user_factors = (
+            f.join(sent(self.index[side]).withColumnRenamed("idx", "no"), "no").select(side, "v") for side, f in (("item", item), ("user", user))
+        )
+
+
+class BPR(Blocked):
+    """Pairwise ranking by stochastic gradient steps in strata.
+
+    A round gives every task one block of users and one block of items that no other task of the round has, so steps of different
+    tasks never touch the same factors; after as many rounds as blocks every user block has met every item block. A visit makes
+    passes: in each a user draws one of its positives on average over all blocks, and an item of the block that isn't one.
+    """
+
+    defaults = {"iterations": 160, "factors": 15, "rate": 0.1, "reg": 0.01, "batch": 100, "blocks": 2, "passes": 20}
+
+    def fit(self, ratings, seed=1354):
+        p = self.params
+        self._number(ratings)
+        n = F.lit(self.blocks)
+        item, user = (self._start(side, p["factors"], seed) for side in ("item", "user"))
+        liked = self.positives.groupBy("u").agg((1 / F.count("*")).alias("share"))
+        pos = self.positives.join(liked, "u").select(F.lit(2).alias("side"), F.col("u").alias("a"), F.col("i").alias("b"), "share", F.lit(None).cast("array<double>").alias("v"))
+        pos = written(pos, "positives")
+        rounds = -(-p["iterations"] // p["passes"])
+        for epoch in range(rounds):
+            for shift in range(self.blocks):
+                def block(f, side, move):
+                    cell = F.pmod(F.col("no") - move, n)
+                    return f.select(cell.alias("cell"), F.lit(side).alias("side"), F.col("no").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("double").alias("share"), "v")
+
+                met = pos.where(F.pmod(F.col("b") - shift, n) == F.pmod("a", n)).select(F.pmod("a", n).alias("cell"), *pos.columns)
+                cells = block(user, 0, 0).unionByName(block(item, 1, shift)).unionByName(met)
+                passes = min(p["passes"], p["iterations"] - epoch * p["passes"])
+                new = written(cells.groupBy("cell").applyInPandas(_visit(p, passes, (seed, epoch, shift)), "side int, no long, v array<double>"), "factors")
+                item, user, old = new.where("side = 1").select("no", "v"), new.where("side = 0").select("no", "v"), (item, user)
+                for f in old if epoch or shift else ():
+                    discard(getattr(f, "_from", f))
+                item._from = user._from = new
+        self._keep(item, user)
+        return self
+
+
+def _visit(p: dict, passes: int, seeds: tuple[int, ...]):
+    """The steps of a task: factors of its users and items after passes over the positives between them."""
+
+    def step(key, pdf):
+        rng = np.random.default_rng([*seeds, int(key[0])])
+        users, items, pos = (pdf[pdf.side == k].sort_values(["a", "b"]) for k in range(3))
+        y, x = (np.array(f.v.tolist(), float).reshape(len(f), -1) for f in (users, items))
+        u, i = np.searchsorted(users.a.to_numpy(), pos.a.to_numpy()), np.searchsorted(items.a.to_numpy(), pos.b.to_numpy(dtype=np.int64))
+        held = np.sort(u * max(1, len(x)) + i)
+        for _ in range(passes if len(pos) else 0):
+            drawn = rng.permutation(np.nonzero(rng.random(len(u)) < pos.share.to_numpy())[0])
+            for lo in range(0, len(drawn), p["batch"]):
+                at = drawn[lo : lo + p["batch"]]
+                j = rng.integers(0, len(x), len(at))
+                code = u[at] * len(x) + j
+                fair = held[np.minimum(np.searchsorted(held, code), len(held) - 1)] != code
+                a, b, j = u[at][fair], i[at][fair], j[fair]
+                g = 1 / (1 + np.exp(np.clip(((x[b] - x[j]) * y[a]).sum(axis=1), -30, 30)))[:, None]
+                dx, dy = g * y[a], g * (x[b] - x[j])
+                np.add.at(y, a, p["rate"] * (dy - p["reg"] * y[a]))
+                np.add.at(x, b, p["rate"] * (dx - p["reg"] * x[b]))
                 np.add.at(x, j, p["rate"] * (-dx - p["reg"] * x[j]))
-        return x, y
+        return pd.DataFrame({"side": [0] * len(users) + [1] * len(items), "no": np.concatenate([users.a, items.a]).astype(np.int64), "v": [*y.tolist(), *x.tolist()]})
 
+    return step
 
-class LogisticMF(Model):
-    """Logistic factorisation with biases, alternating adaptive gradient ascent; confidence = zeros / positives."""
 
-    defaults = {"iterations": 30, "factors": 2, "reg": 0.6, "gamma": 1.0}
+class LogisticMF(Blocked):
+    """Logistic factorisation with biases, alternating adaptive gradient ascent; confidence = zeros / positives.
 
-    def train(self, ratings, rng):
-        p, m = self.params, self.matrix(ratings)
-        c = m * ((m.size - m.sum()) / max(1.0, m.sum()))
-        k = p["factors"]
-        x, y = rng.standard_normal((m.shape[0], k + 2)) * 0.1, rng.standard_normal((m.shape[1], k + 2)) * 0.1
-        x[:, k + 1], y[:, k] = 1.0, 1.0  # biases: x[:, k] for items, y[:, k + 1] for users
-        sx, sy = np.full_like(x, 1e-9), np.full_like(y, 1e-9)
+    Half a round computes the gradient of one side: a task takes a tile, which is a block of that side, a block of the other and
+    the positives between them, and gives the sums of its rows; sums of tiles are added by combiners. The squares that adapt the
+    steps are a column of the factor table. likelihood holds the penalised likelihood after each round.
+    """
+
+    defaults = {"iterations": 30, "factors": 2, "reg": 0.6, "gamma": 1.0, "blocks": 2}
+
+    def fit(self, ratings, seed=1354):
+        p = self.params
+        self._number(ratings)
+        k, n = p["factors"] + 2, self.positives.count()
+        confidence = (self.sizes["item"] * self.sizes["user"] - n) / max(1.0, n)
+        flat = F.array(*(F.lit(1e-9) for _ in range(k)))
+        sides = {}
+        for side, held in (("item", k - 1), ("user", k - 2)):  # biases: place k - 2 of items and k - 1 of users; the other is 1
+            one = F.transform("v", lambda x, at: F.when(at == held, 1.0).otherwise(x))  # noqa: B023
+            sides[side] = written(self._start(side, k, seed).select("no", one.alias("v"), flat.alias("s")), "factors")
         self.likelihood = []
-        for _ in range(p["iterations"]):
-            for a, b, s, mat, held in ((y, x, sy, c.T, k), (x, y, sx, c, k + 1)):
-                z = np.clip(a @ b.T, -30, 30)
-                e = 1 / (1 + np.exp(-z))
-                g = mat @ b - ((1 + mat) * e) @ b - p["reg"] * a
-                g[:, held] = 0
-                s += g * g
-                a += p["gamma"] * g / np.sqrt(s)
-            z = np.clip(x @ y.T, -30, 30)
-            self.likelihood.append(float((c * z - (1 + c) * np.log1p(np.exp(z))).sum() - p["reg"] / 2 * ((x**2).sum() + (y**2).sum())))
-        return x, y
+        for turn in range(p["iterations"] + 1):
+            last = turn == p["iterations"]
+            for mine, other, held in (("user", "item", k - 2), ("item", "user", k - 1)):
+                tiles = self._tiles(sides[mine], sides[other], mine).groupBy("m", "o").applyInPandas(_gradients(confidence), "no long, g array<double>, l double")
+                sums = tiles.groupBy("no").agg(F.array(*(F.sum(F.col("g")[c]) for c in range(k))).alias("g"), F.sum("l").alias("l"))
+                g = F.zip_with("g", "v", lambda g, v: g - p["reg"] * v)
+                g = F.transform(g, lambda x, at: F.when(at == held, 0.0).otherwise(x))  # noqa: B023
+                new = sides[mine].join(sums, "no").select("no", "v", "s", g.alias("g"), "l").withColumn("s", F.zip_with("s", "g", lambda s, g: s + g * g))
+                step = F.zip_with("g", "s", lambda g, s: p["gamma"] * g / F.sqrt(s))
+                squares = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+                new = written(new.select("no", F.zip_with("v", step, lambda v, d: v + d).alias("v"), "s", "l", squares.alias("n")), "factors")
+                if mine == "user" and turn:  # what the round before has reached
+                    fit_, norms = new.agg(F.sum("l"), F.sum("n")).first()
+                    theirs = sides["item"].agg(F.sum(F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+                    self.likelihood.append(fit_ - p["reg"] / 2 * (norms + theirs))
+                if last:
+                    break
+                sides[mine], old = new.select("no", "v", "s"), sides[mine]
+                sides[mine]._from = new
+                discard(getattr(old, "_from", old))
+        self._keep(sides["item"].select("no", "v"), sides["user"].select("no", "v"))
+        return self
+
+    def _tiles(self, mine: DataFrame, other: DataFrame, side: str) -> DataFrame:
+        """(m, o, kind, a, b, v): every pair of blocks with its factors of this side (0), of the other (1) and its positives (2)."""
+        n, all_blocks = F.lit(self.blocks), F.explode(F.sequence(F.lit(0), F.lit(self.blocks - 1)).cast("array<bigint>"))
+        none, own = F.lit(None).cast("array<double>"), F.pmod("no", n)
+        a, b = ("u", "i") if side == "user" else ("i", "u")
+        left = mine.select(own.alias("m"), all_blocks.alias("o"), F.lit(0).alias("kind"), F.col("no").alias("a"), F.lit(0).cast("long").alias("b"), "v")
+        right = other.select(all_blocks.alias("m"), own.alias("o"), F.lit(1).alias("kind"), F.col("no").alias("a"), F.lit(0).cast("long").alias("b"), "v")
+        pos = self.positives.select(F.pmod(a, n).alias("m"), F.pmod(b, n).alias("o"), F.lit(2).alias("kind"), F.col(a).alias("a"), F.col(b).alias("b"), none.alias("v"))
+        return left.unionByName(right).unionByName(pos)
+
+
+def _gradients(confidence: float):
+    """Of a tile: for each row of this side the gradient of the likelihood without its penalty, and its likelihood."""
+
+    def step(key, pdf):
+        mine, other, pos = (pdf[pdf.kind == k].sort_values(["a", "b"]) for k in range(3))
+        y, x = (np.array(f.v.tolist(), float).reshape(len(f), -1) for f in (mine, other))
+        if not len(y):
+            return pd.DataFrame({"no": [], "g": [], "l": []})
+        u, i = np.searchsorted(mine.a.to_numpy(), pos.a.to_numpy()), np.searchsorted(other.a.to_numpy(), pos.b.to_numpy())
+        g, likely = np.zeros_like(y), np.zeros(len(y))
+        for lo in range(0, len(x), 1024):  # pairs count as negatives first
+            z = np.clip(y @ x[lo : lo + 1024].T, -30, 30)
+            likely -= np.log1p(np.exp(z)).sum(axis=1)
+            g -= (1 / (1 + np.exp(-z))) @ x[lo : lo + 1024]
+        z = np.clip((y[u] * x[i]).sum(axis=1), -30, 30)
+        np.add.at(g, u, (confidence * (1 - 1 / (1 + np.exp(-z))))[:, None] * x[i])
+        np.add.at(likely, u, confidence * (z - np.log1p(np.exp(z))))
+        return pd.DataFrame({"no": mine.a.to_numpy(), "g": g.tolist(), "l": likely})
+
+    return step
 
 
 class BNNR(Model):
@@ -251,34 +375,47 @@ def run_pipeline(model: str, train: DataFrame, test: DataFrame, experiments: int
     """(experiment, time_seconds, metric, average, standard_deviation) of a model fitted anew with each seed."""
     import time
 
-    from .metrics import per_user, summary
-
     out = None
     for seed in range(experiments):
         began = time.time()
         fitted = MODELS[model](**params).fit(train, seed)
-        scores = fitted.predict_proba(test.select("item", "user")).join(test, ["item", "user"])
         took = round(time.time() - began, 3)
-        one = summary(per_user(scores.select("user", "item", "truth", "score"), k, beta), k, beta)
-        one = one.select(F.lit(seed).alias("experiment"), F.lit(took).alias("time_seconds"), "metric", "average", "standard_deviation")
+        one = _scored_summary(fitted, test, k, beta).select(F.lit(seed).alias("experiment"), F.lit(took).alias("time_seconds"), "metric", "average", "standard_deviation")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-def run_experiments(splits: DataFrame, catalogue: list[dict], k: int = 10, beta: float = 1.0, **params) -> DataFrame:
+def run_experiments(splits: DataFrame, catalogue: list[dict], k: int = 10, beta: float = 1.0, path: str | None = None, at_once: int = 4, **params) -> DataFrame:
     """(model, dataset, experiment, metric, ..) of the rows of datasets.experiments() on splits (exp, set, dataset, item, user,
-    rating); one fit after another, each on its own training pairs and tested on the experiment's test set."""
+    rating): each fit on its own training pairs, tested on the experiment's test set.
+
+    at_once fits run at the same time. Each writes its result to a folder of its own under path as it ends, and a fit whose result
+    is there whole isn't made again: a study that was stopped goes on where it was when it is started with the same path.
+    """
+    from concurrent.futures import ThreadPoolExecutor
+
+    spark = splits.sparkSession
+    path = path or f"{shared_dir(spark)}/linkweave/study-{uuid.uuid4().hex}"
+    places = {(row["model"], row["dataset"], exp): f"{path}/model={row['model']}/dataset={row['dataset']}/experiment={exp}" for row in catalogue for exp in range(row["runs"])}
+    missing = [key for key, at in places.items() if not exists(spark, f"{at}/_SUCCESS")]
+
+    def fit(key):
+        model, dataset, exp = key
+        one = splits.where(F.col("exp") == exp)
+        train = one.where((F.col("set") == "train") & (F.col("dataset") == dataset)).select("item", "user", "rating")
+        test = one.where("set = 'test'").select("item", "user", (F.col("rating") > 0).cast("int").alias("truth"))
+        _scored_summary(MODELS[model](**params.get(model, {})).fit(train, exp), test, k, beta).write.mode("overwrite").parquet(places[key])
+
+    with ThreadPoolExecutor(at_once) as pool:
+        list(pool.map(fit, missing))
+    every = spark.read.schema("model string, dataset string, experiment int, metric string, average double, standard_deviation double").parquet(path)
+    asked = spark.createDataFrame(list(places), "model string, dataset string, experiment int")
+    return every.join(F.broadcast(asked), ["model", "dataset", "experiment"], "left_semi")  # a row a fit
+
+
+def _scored_summary(fitted: Model, test: DataFrame, k: int, beta: float) -> DataFrame:
+    """(metric, average, standard_deviation) of a fitted model on test (item, user, truth)."""
     from .metrics import per_user, summary
 
-    out = None
-    for row in catalogue:
-        for exp in range(row["runs"]):
-            one = splits.where(F.col("exp") == exp)
-            train = one.where((F.col("set") == "train") & (F.col("dataset") == row["dataset"])).select("item", "user", "rating")
-            test = one.where("set = 'test'").select("item", "user", (F.col("rating") > 0).cast("int").alias("truth"))
-            fitted = MODELS[row["model"]](**params.get(row["model"], {})).fit(train, exp)
-            scores = fitted.predict_proba(test.select("item", "user")).join(test, ["item", "user"])
-            found = summary(per_user(scores.select("user", "item", "truth", "score"), k, beta), k, beta)
-            found = found.select(F.lit(row["model"]).alias("model"), F.lit(row["dataset"]).alias("dataset"), F.lit(exp).alias("experiment"), "metric", "average", "standard_deviation")
-            out = found if out is None else out.unionByName(found)
-    return out
+    scores = fitted.predict_proba(test.select("item", "user")).join(test, ["item", "user"])
+    return summary(per_user(scores.select("user", "item", "truth", "score"), k, beta), k, beta).select("metric", "average", "standard_deviation")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from linkweave.functions.special import gamma_upper
-from linkweave.tables import discard, written
+from linkweave.tables import discard, sent, written
 
 from . import graph
 
@@ -15,18 +15,97 @@ from . import graph
 KEYS = ("metapath", "source_degree", "target_degree")
 
 
-def scores(edges: DataFrame, metapaths: list[str], permutations: int, rounds: int = 10, seed: int = 0) -> DataFrame:
-    """(perm, metapath, source_id, target_id, path_count, dwpc): scaled scores of the observed graph (perm 0) and of its
-    degree-preserving permutations, all in one frame; a written table."""
-    graphs = edges.select(F.lit(0).alias("perm"), "rel", "src", "dst").unionByName(graph.permute(edges, permutations, rounds, seed))
-    graphs = written(graphs, "graphs")
-    out = None
-    for m in metapaths:
-        one = graph.dwpc(graphs, m, by=("perm",)).withColumn("metapath", F.lit(m))
-        out = one if out is None else out.unionByName(one)
-    found = written(graph.scaled(out, ["perm", "metapath"]), "scores")
-    discard(graphs)
-    return found
+#: Edges of permuted graphs that are held at once.
+BATCH_EDGES = 20_000_000
+
+
+def _ends(edges: DataFrame, metapath: str) -> list[DataFrame]:
+    """(id, degree) of the sources and of the targets of a metapath in its first and last relation."""
+    hops = graph.parse_metapath(metapath)
+    out = []
+    for (rel, forward, _, _), front in ((hops[0], True), (hops[-1], False)):
+        side = "src" if forward == front else "dst"
+        out.append(edges.where(F.col("rel") == rel).groupBy(F.col(side).alias("id")).agg(F.count("*").alias("degree")))
+    return out
+
+
+def _scaled_pairs(graphs: DataFrame, metapath: str, cost: dict[int, int], ends: list[DataFrame]) -> DataFrame:
+    """(perm, source_id, target_id, path_count, dwpc, source_degree, target_degree) of every graph; the mean of a graph comes from
+    the same shuffle as its pairs."""
+    pairs = graph.dwpc(graphs, metapath, by=("perm",), cost=cost)
+    mean = pairs.groupBy("perm").agg(F.avg("dwpc").alias("_mean"))
+    out = pairs.join(F.broadcast(mean), "perm").withColumn("dwpc", F.asinh(F.col("dwpc") / F.col("_mean"))).drop("_mean")  # a row a graph
+    for end, degree in zip(("source", "target"), ends):
+        out = out.join(sent(degree).select(F.col("id").alias(f"{end}_id"), F.col("degree").alias(f"{end}_degree")), f"{end}_id")
+    return out
+
+
+def study(edges: DataFrame, metapaths: list[str], permutations: int = 200, rounds: int = 10, seed: int = 0, batch: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(observed, zeros, fits) of metapaths against degree-preserving permutations of edges (rel, src, dst).
+
+    observed: (metapath, source_id, target_id, path_count, dwpc, source_degree, target_degree), scores scaled by their graph's
+    mean through asinh; zeros: (metapath, source_id, target_id, zeros), in how many permutations an observed pair isn't connected;
+    fits: as of fit().
+
+    Permutations are folded batch by batch into statistics that add up: numbers, means and spreads of each pair of degrees, and
+    hits of observed pairs. No permuted pair is ever written, and a batch holds BATCH_EDGES edges at most. Permutations keep
+    degrees, so edge weights and degrees are those of the observed graph.
+    """
+    coded, numbers = graph.coded(edges)
+    coded = written(coded.select("rel", F.col("s").alias("src"), F.col("d").alias("dst")), "coded")
+    damped = {end: written(coded.groupBy("rel", end).agg(F.pow(F.count("*").cast("double"), F.lit(-0.5)).alias(f"_{end}")), "damped") for end in ("src", "dst")}
+    batch = batch or max(1, BATCH_EDGES // max(1, coded.count()))
+
+    def with_weights(e):
+        for end, w in damped.items():
+            e = e.join(sent(w), ["rel", end])
+        return e.select("perm", "rel", "src", "dst", (F.col("_src") * F.col("_dst")).alias("w"))
+
+    now = written(with_weights(coded.withColumn("perm", F.lit(0))), "graph")
+    plans = {m: (graph.join_rows(coded, m), [written(x, "ends") for x in _ends(coded, m)]) for m in metapaths}
+    observed = {m: written(_scaled_pairs(now, m, *plan).drop("perm"), "observed") for m, plan in plans.items()}
+    folded = None
+    for first in range(1, permutations + 1, batch):
+        graphs = graph.permute_coded(coded.select("rel", F.col("src").alias("s"), F.col("dst").alias("d")), min(batch, permutations + 1 - first), rounds, seed, first)
+        graphs = written(with_weights(graphs.withColumnsRenamed({"s": "src", "d": "dst"})), "graphs")
+        for m, plan in plans.items():
+            pairs = _scaled_pairs(graphs, m, *plan)
+            spread = pairs.groupBy("source_degree", "target_degree").agg(
+                F.count("*").alias("n"), F.avg("dwpc").alias("mean"), F.var_pop("dwpc").alias("var"), F.min("dwpc").alias("low"), F.max("dwpc").alias("high")
+            )
+            hits = pairs.select("source_id", "target_id").join(observed[m].select("source_id", "target_id"), ["source_id", "target_id"]).groupBy("source_id", "target_id").agg(F.count("*").alias("n"))
+            part = written(spread.unionByName(hits, allowMissingColumns=True).withColumn("metapath", F.lit(m)), "folded")
+            folded = part if folded is None else folded.unionByName(part)
+        discard(graphs)
+    names = lambda end: sent(numbers).select(F.col("idx").alias(f"{end}_id"), F.col("id").alias(f"_{end}"))
+
+    def named(rows):
+        rows = rows.join(names("source"), "source_id").join(names("target"), "target_id")
+        return rows.drop("source_id", "target_id").withColumnsRenamed({"_source": "source_id", "_target": "target_id"})
+
+    every = None
+    for m, rows in observed.items():
+        one = rows.withColumn("metapath", F.lit(m))
+        every = one if every is None else every.unionByName(one)
+    pair = ["metapath", "source_id", "target_id"]
+    hits = folded.where("source_degree is null").groupBy(*pair).agg(F.sum("n").alias("hits"))
+    missed = every.join(hits, pair, "left").withColumn("zeros", F.lit(permutations) - F.coalesce("hits", F.lit(0))).drop("hits")
+    missed = written(missed, "missed")
+    fits = written(fit(merged(folded.where("source_degree is not null")), missed.select(*KEYS, "zeros")), "fits")
+    missed = written(named(missed), "study")
+    return missed.drop("zeros"), missed.select(*pair, "zeros"), fits
+
+
+def merged(parts: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """(keys.., nnz, mean, var, low, high) of parts (keys.., n, mean, var, low, high) with variances of whole parts; the result's is
+    of a sample. Deviations from the common mean are added up, so nothing cancels."""
+    mean = parts.groupBy(*keys).agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("_mean"))
+    off = F.col("mean") - F.col("_mean")
+    some = parts.join(mean, list(keys)).groupBy(*keys).agg(
+        F.sum("n").alias("nnz"), F.first("_mean").alias("mean"), F.sum(F.col("n") * (F.col("var") + off * off)).alias("_squares"), F.min("low").alias("low"), F.max("high").alias("high")
+    )
+    var = F.when(F.col("nnz") > 1, F.col("_squares") / (F.col("nnz") - 1)).otherwise(0.0)
+    return some.select(*keys, "nnz", "mean", var.alias("var"), "low", "high")
 
 
 def with_degrees(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -59,23 +138,20 @@ def degree_pairs(rows: DataFrame) -> DataFrame:
     return rows.select(*KEYS).distinct()
 
 
-def zero_counts(observed: DataFrame, permuted: DataFrame, permutations: int) -> DataFrame:
-    """(metapath, source_id, target_id, zeros): in how many permutations an observed pair isn't connected."""
-    pair = ["metapath", "source_id", "target_id"]
-    hits = permuted.groupBy(*pair).agg(F.count_distinct("perm").alias("hits"))
-    both = observed.select(*pair).join(hits, pair, "left")
-    return both.select(*pair, (F.lit(permutations) - F.coalesce("hits", F.lit(0))).alias("zeros"))
+def gamma_fit(null: DataFrame, zeros: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+    """fit() of non-zero values null (keys.., dwpc)."""
+    some = null.groupBy(*keys).agg(
+        F.count("*").alias("nnz"), F.avg("dwpc").alias("mean"), F.coalesce(F.var_samp("dwpc"), F.lit(0.0)).alias("var"), F.min("dwpc").alias("low"), F.max("dwpc").alias("high")
+    )
+    return fit(some, zeros, keys)
 
 
-def gamma_fit(null: DataFrame, zeros: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
+def fit(some: DataFrame, zeros: DataFrame, keys: tuple[str, ...] = KEYS) -> DataFrame:
     """(keys.., n, nnz, alpha, beta, single) by metapath and degree pair.
 
-    null (keys.., dwpc) holds non-zero values; zeros (keys.., zeros) adds to n and is never materialised. single is the common
+    some (keys.., nnz, mean, var, low, high) tells of the non-zero values; zeros (keys.., zeros) adds to n. single is the common
     value when all values, zeros included, are one; else -1.
     """
-    some = null.groupBy(*keys).agg(
-        F.count("*").alias("nnz"), F.avg("dwpc").alias("mean"), F.coalesce(F.var_samp("dwpc"), F.lit(0.0)).alias("var"), F.min("dwpc").alias("low"), F.max("dwpc").alias("high")
-    )
     none = zeros.groupBy(*keys).agg(F.sum("zeros").alias("zeros"))
     both = some.join(none, list(keys), "left").withColumn("zeros", F.coalesce("zeros", F.lit(0)))
     # A spread within rounding of equal values is none.
@@ -107,10 +183,7 @@ def results(edges: DataFrame, nodes: DataFrame, metapaths: list[str], permutatio
 
     Metapaths without any fitted null are left out. The correction counts the retained metapaths, whichever are asked for.
     """
-    found = with_degrees(scores(edges, metapaths, permutations, rounds, seed), edges)
-    observed, permuted = found.where("perm = 0").drop("perm"), found.where("perm > 0")
-    zeros = zero_counts(observed, permuted, permutations).join(observed.select(*KEYS, "source_id", "target_id"), ["metapath", "source_id", "target_id"])
-    fits = written(gamma_fit(permuted, zeros), "fits")
+    observed, _, fits = study(edges, metapaths, permutations, rounds, seed)
     fitted = observed.join(F.broadcast(fits.select("metapath").distinct()), "metapath", "left_semi")  # the metapaths of the study
     rows = p_values(fitted, fits)
     every = factors(graph.METAPATHS[1:])

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from linkweave.functions import text as tx
-from linkweave.operators import graph, links, lookup, metrics, stats
+from linkweave.operators import graph, links, lookup, mentions, metrics, stats
 
 from .fixtures import edges, edges_sql, relation, table
 from .registry import LIFT, QUERIES, query, r6, r6w
@@ -39,11 +39,6 @@ def _(s, d):
     return e.select(F.concat_ws(" ", F.concat_ws("::", "src_kind", "src"), "rel", F.concat_ws("::", "dst_kind", "dst")).alias("line"))
 
 
-@query("s26_dummy_shape", "SELECT CASE WHEN range < 50 THEN 1 ELSE -1 END AS block, COUNT(*) AS items FROM range(120) GROUP BY 1")
-def _(s, d):
-    return s.range(120).select(F.when(F.col("id") < 50, 1).otherwise(-1).alias("block")).groupBy("block").agg(F.count("*").alias("items"))
-
-
 @query("s27_names", "SELECT 'Part::' || CAST(p_partkey AS VARCHAR) AS node, CAST(p_partkey AS VARCHAR) AS id, p_name AS name FROM part")
 def _(s, d):
     p = table(s, d, "part").select(F.concat(F.lit("Part::"), F.col("p_partkey").cast("string")).alias("node"), F.col("p_name").alias("name"))
@@ -111,6 +106,24 @@ def _(s, d):
     return table(s, d, "documents").select("doc_id", F.size(tx.sentences(F.col("text"))).cast("long").alias("sentences"))
 
 
+_CUT = r"string_split(regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))"
+
+
+@query("f02_sentence_rows", f"SELECT doc_id, i - 1 AS pos, s[i] AS sentence FROM (SELECT doc_id, {_CUT} AS s FROM documents), range(1, len(s) + 1) t(i)")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", F.posexplode(tx.sentences(F.col("text"))).alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("f03_piece_rows", r"SELECT doc_id, i - 1 AS pos, p[i] AS piece FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(text, '\s*\|\s*', '; ', 'g'), '; '), lambda x: trim(x, ' ')), lambda x: x <> '') AS p FROM documents), range(1, len(p) + 1) t(i)")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", F.posexplode(tx.pieces(F.col("text"))).alias("pos", "piece")).withColumn("pos", F.col("pos").cast("long"))
+
+
+@query("p19_affirmed_rows", f"SELECT doc_id, i - 1 AS pos, s[i] AS sentence FROM (SELECT doc_id, list_filter({_CUT}, lambda x: NOT contains(lower(x), 'not') AND NOT contains(lower(x), 'contraindicated')) AS s FROM documents), range(1, len(s) + 1) t(i)")
+def _(s, d):
+    return table(s, d, "documents").select("doc_id", F.posexplode(tx.affirmed(F.col("text"))).alias("pos", "sentence")).withColumn("pos", F.col("pos").cast("long"))
+
+
 @query("f03_pieces", r"SELECT doc_id, CAST(len(list_filter(list_transform(string_split(regexp_replace(text, '\s*\|\s*', '; ', 'g'), '; '), lambda x: trim(x, ' ')), lambda x: x <> '')) AS BIGINT) AS pieces FROM documents")
 def _(s, d):
     return table(s, d, "documents").select("doc_id", F.size(tx.pieces(F.col("text"))).cast("long").alias("pieces"))
@@ -259,11 +272,36 @@ def _(s, d):
     return t.join(i, "id", "full").select("id", F.coalesce("a", F.lit(0)).alias("targets"), F.coalesce("b", F.lit(0)).alias("indications"))
 
 
-@query("l13_dictionary_ner", r"WITH w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z]+')) AS alias FROM documents), v AS (SELECT lower(trim(x)) AS alias, min(n_nationkey) AS id FROM (SELECT n_nationkey, unnest(['the', 'idiot', 'license', n_name]) AS x FROM nation) GROUP BY 1) SELECT doc_id, alias, id FROM w JOIN v USING (alias)")
+def names_sql(sentences: str) -> str:
+    """CTEs ending in mention(doc_id, good, no, x), x with start, words, surface and id: the names of benchmark items in sentences
+    (doc_id, good, no, sentence), greedily from the left, the longest first."""
+    return (
+        f"v AS (SELECT item_id AS id, regexp_extract_all(lower(text), '[\\pL\\pN]+') AS t FROM benchmark), "
+        "n AS (SELECT array_to_string(p, ' ') AS phrase, len(p)::int AS words, min(id) AS id FROM (SELECT id, unnest([t[1:3], t[1:2], t[4:4], t[5:7], t[6:9]]) AS p FROM v) WHERE len(p) > 0 GROUP BY 1, 2), "
+        f"{sentences}, st AS (SELECT doc_id, good, no, regexp_extract_all(sentence, '[\\pL\\pN]+') AS t FROM sentence), "
+        "m AS MATERIALIZED (SELECT doc_id, good, no, struct_pack(start := start, w := -words, words := words, surface := surface, id := n.id) AS x FROM (SELECT doc_id, good, no, i::int AS start, array_to_string(t[i + 1 : i + l], ' ') AS surface, l FROM (SELECT *, unnest(range(len(t))) AS i FROM st), (SELECT DISTINCT words AS l FROM n) WHERE i + l <= len(t)) JOIN n ON lower(surface) = phrase AND words = l), "
+        "mention(doc_id, good, no, x) AS (SELECT doc_id, good, no, min(x) FROM m GROUP BY 1, 2, 3 UNION ALL SELECT m.doc_id, m.good, m.no, min(m.x) FROM mention p JOIN m ON p.doc_id = m.doc_id AND p.good = m.good AND p.no = m.no WHERE m.x.start >= p.x.start + p.x.words GROUP BY 1, 2, 3)"
+    )
+
+
+def benchmark_names(s, d):
+    """(id, pos, name, synonyms): names of one to four words from the benchmark's items."""
+    t = table(s, d, "benchmark").select("item_id", mentions.tokens(F.lower("text")).alias("t"))
+    name = lambda a, n: F.array_join(F.slice("t", a, n), " ")
+    return t.select(F.col("item_id").alias("id"), F.col("item_id").alias("pos"), name(1, 3).alias("name"), F.array(name(1, 2), name(4, 1), name(5, 3), name(6, 4)).alias("synonyms"))
+
+
+@query("l13_dictionary_ner", f"WITH RECURSIVE {names_sql('sentence AS (SELECT doc_id, true AS good, 0 AS no, text AS sentence FROM documents)')} SELECT doc_id, x.start AS start, x.words AS words, x.surface AS surface, x.id AS item_id FROM mention")
+def _(s, d):
+    found = mentions.mentions(table(s, d, "documents").select("doc_id", F.col("text").alias("sentence")), benchmark_names(s, d))
+    return found.withColumnRenamed("id", "item_id")
+
+
+@query("g17_circle", "WITH RECURSIVE parents AS (SELECT 'C' || c_custkey AS code, 'N' || c_nationkey AS parent FROM customer UNION SELECT 'N' || n_nationkey, 'N' || (n_nationkey + 5) % 25 FROM nation UNION SELECT 'N' || n_nationkey, 'R' || n_regionkey FROM nation), up AS (SELECT code, parent AS ancestor, 1 AS depth FROM parents UNION SELECT u.code, p.parent, u.depth + 1 FROM up u JOIN parents p ON u.ancestor = p.code WHERE u.depth < 30) SELECT code, ancestor, min(depth)::int AS depth FROM up WHERE code <> ancestor GROUP BY 1, 2")
 def _(s, d):
-    v = table(s, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_nationkey").alias("pos"), F.col("n_name").alias("name"), F.array(*map(F.lit, ("the", "idiot", "license"))).alias("synonyms"))
-    words = table(s, d, "documents").select("doc_id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0)))).alias("alias"))
-    return words.join(lookup.aliases(v), "alias").select("doc_id", "alias", "id")
+    c = table(s, d, "customer").selectExpr("concat('C', c_custkey) as code", "concat('N', c_nationkey) as parent")
+    n = table(s, d, "nation").selectExpr("concat('N', n_nationkey)", "explode(array(concat('N', (n_nationkey + 5) % 25), concat('R', n_regionkey)))")
+    return lookup.ancestors(c.union(n))
 
 
 # ---------------------------------------------------------------- aggregates and profiles
@@ -651,3 +689,16 @@ def _(s, d):
     x = table(s, d, "embeddings").select(F.posexplode(F.col("embedding").cast("array<double>")).alias("pos", "v"))
     v = x.groupBy(F.col("pos").cast("long").alias("pos")).agg(F.var_pop("v").alias("variance")).orderBy(F.desc("variance")).limit(8)
     return v.withColumn("variance", r6("variance"))
+
+
+_PATHS = {"repeated_ends": "Di>CO<iDi>CO", "far_conditions": "Di>CO<aPRa>CO", "three_conditions": "Dt>PRa>CO<aPRa>CO", "far_drugs": "Dt>PR<tDt>PRa>CO"}
+
+
+def _general(metapath, s, d):
+    found = graph.dwpc(edges(s, d, sorted({h[0] for h in graph.parse_metapath(metapath)})), metapath)
+    return found.groupBy("source_id").agg(F.count("*").alias("pairs"), F.sum("path_count").alias("paths"), r6(F.sum("dwpc") * float(LIFT)).alias("dwpc"))
+
+
+for _name, _metapath in _PATHS.items():
+    _n = len(graph.parse_metapath(_metapath))
+    query(f"g09_{_name}", f"WITH {path_sql(_metapath)} SELECT n0 AS source_id, COUNT(DISTINCT n{_n}) AS pairs, COUNT(*) AS paths, round(sum(weight) * {LIFT}, 6) AS dwpc FROM paths GROUP BY 1")(partial(_general, _metapath))

@@ -3,13 +3,17 @@ expressions as files; the SQL says what they hold from the columns alone."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from linkweave.functions import text as tx
-from linkweave.operators import graph, lookup
+from linkweave.operators import graph, lookup, mentions
 from linkweave.operators.graph import METAGRAPH
-from linkweave.sources import records
+from linkweave.sources import records, store
+from linkweave.tables import shared_dir
 
+from .catalogue import benchmark_names, names_sql
 from .fixtures import NODES, edges, edges_sql, nodes, nodes_sql, relation, table
 from .registry import query, r6
 
@@ -276,11 +280,34 @@ def _(s, d):
     return table(s, d, "events").select("event_id", tx.finite(odd, 0.0, 9.0, -9.0).alias("v"))
 
 
-@query("l15_extraction", r"WITH t AS (SELECT doc_id, lang, lower(text) AS x FROM documents) SELECT doc_id, CASE WHEN lang = 'en' THEN list_sort(list_filter([CASE WHEN list_contains(regexp_extract_all(x, '[a-z]+'), 'license') THEN 1 END, CASE WHEN list_contains(regexp_extract_all(x, '[a-z]+'), 'the') THEN 2 END], lambda v: v IS NOT NULL)) ELSE [] END AS found FROM t")
+_CLEAN = r"translate(regexp_replace(regexp_replace(told, '\[[^\]]*\]', '', 'g'), '\(PubMed:[^)]*\)', '', 'g'), chr(13) || chr(10), '  ')"
+_TOLD = (
+    "told AS (SELECT doc_id, true AS good, text AS told FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, false, regexp_replace(text, '[.!?]', ';', 'g') FROM documents WHERE lang = 'en'), "
+    rf"cut AS (SELECT doc_id, good, unnest(string_split(regexp_replace({_CLEAN}, '([.!?])\s+', '\1' || chr(1), 'g'), chr(1))) AS sentence FROM told), "
+    "sentence AS (SELECT doc_id, good, row_number() OVER () AS no, sentence FROM cut WHERE NOT contains(lower(sentence), 'not') AND NOT contains(lower(sentence), 'contraindicated'))"
+)
+_ITEM = "list_sort(list(DISTINCT id) FILTER (good = {}))"
+
+
+@query("l15_extraction", f"WITH RECURSIVE {names_sql(_TOLD)}, e AS (SELECT doc_id, good, x.id AS id FROM mention WHERE NOT (upper(x.surface) = x.surface AND lower(x.surface) <> x.surface)), g AS (SELECT doc_id, {_ITEM.format('true')} AS treats, {_ITEM.format('false')} AS not_treats FROM e GROUP BY 1) SELECT doc_id, COALESCE(treats, []) AS treats, COALESCE(not_treats, []) AS not_treats FROM documents LEFT JOIN g USING (doc_id)")
 def _(s, d):
-    v = s.createDataFrame([(1, 1, "license", []), (2, 2, "the", ["License"])], "id int, pos int, name string, synonyms array<string>")
-    docs = table(s, d, "documents").withColumn("groups", F.array(F.when(F.col("lang") == "en", "approved").otherwise("other")))
-    return lookup.extracted(docs, "doc_id", "text", v).withColumnsRenamed({"ids": "found"})
+    groups = F.array(F.when(F.col("lang") == "en", "approved").otherwise("other")).alias("groups")
+    docs = table(s, d, "documents").select("doc_id", groups, F.col("text").alias("indication"), F.regexp_replace("text", "[.!?]", ";").alias("toxicity"))
+    return mentions.treatments(docs, "doc_id", benchmark_names(s, d))
+
+
+@query("k05_upsert", f"WITH {edges_sql()}, {nodes_sql()}, n AS (SELECT kind, id, CASE WHEN kind = 'Drug' AND TRY_CAST(id AS BIGINT) % 2 = 0 AND TRY_CAST(id AS BIGINT) % 3 <> 0 THEN 'renamed' ELSE name END AS name FROM nodes) SELECT rel, src, dst, a.name AS src_name, b.name AS dst_name FROM edges JOIN n a ON a.kind = src_kind AND a.id = src JOIN n b ON b.kind = dst_kind AND b.id = dst")
+def _(s, d):
+    path = f"{shared_dir(s)}/linkweave/graph-{uuid.uuid4().hex}"
+    n, e = nodes(s, d), edges(s, d).select("rel", "src", "dst")
+    half = F.pmod(F.xxhash64("src", "dst"), F.lit(2)) == 0
+    store.upsert(s, path, n, e.where(half))
+    number = F.expr("try_cast(id as bigint)")
+    again = n.where("kind = 'Drug'").where(number % 2 == 0).withColumn("name", F.when(number % 3 != 0, "renamed"))
+    store.upsert(s, path, again, e.where(~half))
+    names = store.nodes(s, path)
+    name = lambda end: names.select(F.col("kind").alias(f"{end}_kind"), F.col("id").alias(end), F.col("name").alias(f"{end}_name"))
+    return store.edges(s, path).join(name("src"), ["src_kind", "src"]).join(name("dst"), ["dst_kind", "dst"]).select("rel", "src", "dst", "src_name", "dst_name")
 
 
 # ---------------------------------------------------------------- graph build and export
@@ -347,12 +374,6 @@ def _(s, d):
     return relation(s, d, "INDICATED_FOR").groupBy(F.col("dst").alias("condition")).agg(F.array_sort(F.collect_set("src")).alias("drugs"))
 
 
-@query("g08_metapaths", "SELECT * FROM (VALUES (1, 1), (2, 1), (3, 7), (4, 12)) t(hops, metapaths)")
-def _(s, d):
-    rows = [(len(graph.parse_metapath(m)),) for m in graph.enumerate_metapaths()]
-    return s.createDataFrame(rows, "hops int").groupBy("hops").agg(F.count("*").cast("int").alias("metapaths"))
-
-
 @query("j09_external_pairs", f"WITH {edges_sql(['INDICATED_FOR'])}, more AS (SELECT DISTINCT CAST(l_partkey AS VARCHAR) AS src, CAST(o_custkey AS VARCHAR) AS dst FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_returnflag = 'R' AND l_discount >= 0.08) SELECT (SELECT COUNT(*) FROM more) AS pairs, (SELECT COUNT(*) FROM more WHERE (src, dst) NOT IN (SELECT (src, dst) FROM edges)) AS kept, (SELECT COUNT(*) FROM more WHERE (src, dst) IN (SELECT (src, dst) FROM edges)) AS overlap")
 def _(s, d):
     l = table(s, d, "lineitem").where("l_returnflag = 'R' and l_discount >= 0.08").join(table(s, d, "orders"), F.expr("l_orderkey = o_orderkey"))

@@ -13,29 +13,31 @@ from .fixtures import edges, edges_sql, nodes, nodes_sql, relation, table
 from .registry import LIFT, query, r6, r6w
 
 PERMUTATIONS, ROUNDS = 200, 5
-#: One metapath of each length: with all ten the permuted scores of the fixture are 10^8 rows, too many for a check in SQL.
-SCORED = ("Dt>PRa>CO", "Dh>CH<hDi>CO", "Dt>PRh>M<hPRa>CO")
-_RELS = sorted({h[0] for m in SCORED for h in graph.parse_metapath(m)})
 
 
 def permute_sql(permutations: int, rounds: int, seed: int = 0) -> str:
-    """CTEs ending in perms(perm, rel, src, dst): the trades of graph.permute, round by round, from edges."""
-    parts = [f"e0 AS MATERIALIZED (SELECT CAST(p AS INT) AS perm, rel, src, dst FROM edges, range(1, {permutations + 1}) t(p))"]
+    """CTEs ending in ids(id, i) and perms(perm, rel, s, d): the trades of graph.permute_coded, round by round, from edges."""
+    parts = [
+        "ids AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) - 1 AS i FROM (SELECT src AS id FROM edges UNION SELECT dst FROM edges))",
+        "numbered AS MATERIALIZED (SELECT rel, a.i AS s, b.i AS d, greatest(1, COUNT(*) OVER (PARTITION BY rel) // 2) AS m FROM edges JOIN ids a ON a.id = src JOIN ids b ON b.id = dst)",
+        f"e0 AS MATERIALIZED (SELECT CAST(p AS INT) AS perm, rel, s, d, m FROM numbered, range(1, {permutations + 1}) t(p))",
+    ]
     for r in range(rounds):
-        parts.append(f"k{r} AS (SELECT *, md5(concat_ws('|', '{seed}:{r}', CAST(perm AS VARCHAR), rel, src, dst)) AS k, greatest(1, COUNT(*) OVER (PARTITION BY perm, rel) // 2) AS m FROM e{r})")
-        parts.append(f"c{r} AS MATERIALIZED (SELECT perm, rel, src, dst, k, CAST(('0x' || substr(k, 1, 8)) AS BIGINT) % m AS bucket FROM k{r})")
-        parts.append(f"o{r} AS MATERIALIZED (SELECT perm, rel, bucket, arg_min(src, k) AS s1, arg_min(dst, k) AS d1, arg_max(src, k) AS s2, arg_max(dst, k) AS d2 FROM c{r} GROUP BY 1, 2, 3 HAVING COUNT(*) > 1)")
-        parts.append(f"n{r} AS (SELECT perm, rel, bucket, s1 AS src, d2 AS dst FROM o{r} UNION ALL SELECT perm, rel, bucket, s2, d1 FROM o{r})")
-        parts.append(f"u{r} AS (SELECT *, COUNT(*) OVER (PARTITION BY perm, rel, src, dst) AS u FROM n{r})")
-        parts.append(f"g{r} AS (SELECT u.perm, u.rel, u.bucket FROM u{r} u LEFT JOIN e{r} e ON u.perm = e.perm AND u.rel = e.rel AND u.src = e.src AND u.dst = e.dst WHERE u = 1 AND e.src IS NULL GROUP BY ALL HAVING COUNT(*) = 2)")
+        salt = graph.round_salt(seed, r)
+        parts.append(f"c{r} AS MATERIALIZED (SELECT perm, rel, s, d, m, xor(s * 4294967296 + d, {salt}) AS x, {graph.bucket_expression(seed, r, 'm')} AS bucket FROM e{r})")
+        parts.append(f"v{r} AS (SELECT perm, rel, bucket, xor(min(x), {salt}) AS p, xor(max(x), {salt}) AS q FROM c{r} GROUP BY 1, 2, 3 HAVING COUNT(*) > 1)")
+        parts.append(f"o{r} AS MATERIALIZED (SELECT perm, rel, bucket, p // 4294967296 AS s1, p % 4294967296 AS d1, q // 4294967296 AS s2, q % 4294967296 AS d2 FROM v{r})")
+        parts.append(f"n{r} AS (SELECT perm, rel, bucket, s1 AS s, d2 AS d FROM o{r} UNION ALL SELECT perm, rel, bucket, s2, d1 FROM o{r})")
+        parts.append(f"u{r} AS (SELECT *, COUNT(*) OVER (PARTITION BY perm, rel, s, d) AS u FROM n{r})")
+        parts.append(f"g{r} AS (SELECT u.perm, u.rel, u.bucket FROM u{r} u LEFT JOIN e{r} e ON u.perm = e.perm AND u.rel = e.rel AND u.s = e.s AND u.d = e.d WHERE u = 1 AND e.s IS NULL GROUP BY ALL HAVING COUNT(*) = 2)")
         parts.append(f"t{r} AS (SELECT o.* FROM o{r} o JOIN g{r} g ON o.perm = g.perm AND o.rel = g.rel AND o.bucket = g.bucket)")
-        parts.append(f"e{r + 1} AS MATERIALIZED (SELECT c.perm, c.rel, c.src, CASE WHEN c.src = t.s1 AND c.dst = t.d1 THEN t.d2 WHEN c.src = t.s2 AND c.dst = t.d2 THEN t.d1 ELSE c.dst END AS dst FROM c{r} c LEFT JOIN t{r} t ON c.perm = t.perm AND c.rel = t.rel AND c.bucket = t.bucket)")
-    return ", ".join(parts) + f", perms AS (SELECT perm, rel, src, dst FROM e{rounds})"
+        parts.append(f"e{r + 1} AS MATERIALIZED (SELECT c.perm, c.rel, c.s, CASE WHEN c.s = t.s1 AND c.d = t.d1 THEN t.d2 WHEN c.s = t.s2 AND c.d = t.d2 THEN t.d1 ELSE c.d END AS d, c.m FROM c{r} c LEFT JOIN t{r} t ON c.perm = t.perm AND c.rel = t.rel AND c.bucket = t.bucket)")
+    return ", ".join(parts) + f", perms AS (SELECT perm, rel, s, d FROM e{rounds})"
 
 
-@query("g10_permute", f"WITH {edges_sql(['TARGETS', 'ASSOCIATED_WITH'])}, {permute_sql(20, ROUNDS)} SELECT perm, rel, src, dst FROM perms")
+@query("g10_permute", f"WITH {edges_sql()}, {permute_sql(20, ROUNDS)} SELECT perm, rel, a.id AS src, b.id AS dst FROM perms JOIN ids a ON a.i = s JOIN ids b ON b.i = d")
 def _(s, d):
-    return graph.permute(edges(s, d, ["TARGETS", "ASSOCIATED_WITH"]), 20, ROUNDS)
+    return graph.permute(edges(s, d), 20, ROUNDS)
 
 
 @query("g10_degrees_kept", f"WITH {edges_sql(['TARGETS'])} SELECT p AS perm, COUNT(*) AS edges, COUNT(*) AS pairs, COUNT(DISTINCT src) AS sources, 0 AS changed FROM edges, range(1, 11) t(p) GROUP BY p")
@@ -50,7 +52,7 @@ def _(s, d):
 
 
 def _score_sql(metapaths) -> str:
-    """CTEs ending in x: scaled scores of the observed graph (0) and the permuted ones, with degrees, by plain path joins."""
+    """CTEs ending in x: scaled scores of the observed graph (0) and the permuted ones, with degrees, by plain path joins; ends are numbers."""
     rels = sorted({h[0] for m in metapaths for h in graph.parse_metapath(m)})
     parts, ends = [], []
     for i, m in enumerate(metapaths):
@@ -58,7 +60,7 @@ def _score_sql(metapaths) -> str:
         kinds = [hops[0][2], *(h[3] for h in hops)]
         joins, where = "", []
         for k, (rel, forward, _, _) in enumerate(hops):
-            a, b = ("src", "dst") if forward else ("dst", "src")
+            a, b = ("s", "d") if forward else ("d", "s")
             view = f"(SELECT perm, {a} AS a, {b} AS b, w FROM w WHERE rel = '{rel}') h{k}"
             joins += view if k == 0 else f" JOIN {view} ON h{k - 1}.perm = h{k}.perm AND h{k - 1}.b = h{k}.a"
             at = lambda j: "h0.a" if j == 0 else f"h{j - 1}.b"
@@ -67,14 +69,15 @@ def _score_sql(metapaths) -> str:
         cond = " WHERE " + " AND ".join(where) if where else ""
         parts.append(f"SELECT h0.perm, '{m}' AS metapath, h0.a AS source_id, h{len(hops) - 1}.b AS target_id, COUNT(*) AS path_count, sum({weight}) AS dwpc FROM {joins}{cond} GROUP BY 1, 2, 3, 4")
         for (rel, forward, _, _), end, front in ((hops[0], "source", True), (hops[-1], "target", False)):
-            side = "src" if forward == front else "dst"
-            ends.append(f"SELECT '{m}' AS metapath, '{end}' AS e, {side} AS id, COUNT(*) AS degree FROM edges WHERE rel = '{rel}' GROUP BY {side}")
+            side = "s" if forward == front else "d"
+            ends.append(f"SELECT '{m}' AS metapath, '{end}' AS e, {side} AS id, COUNT(*) AS degree FROM numbered WHERE rel = '{rel}' GROUP BY {side}")
     return (
-        f"{edges_sql(rels)}, {permute_sql(PERMUTATIONS, ROUNDS)}, every AS (SELECT 0 AS perm, rel, src, dst FROM edges UNION ALL SELECT * FROM perms), "
-        "w AS MATERIALIZED (SELECT perm, rel, src, dst, pow(COUNT(*) OVER (PARTITION BY perm, rel, src), -0.5) * pow(COUNT(*) OVER (PARTITION BY perm, rel, dst), -0.5) AS w FROM every), "
-        f"raw AS ({' UNION ALL '.join(parts)}), z AS (SELECT perm, metapath, source_id, target_id, path_count, asinh(dwpc / avg(dwpc) OVER (PARTITION BY perm, metapath)) AS dwpc FROM raw), "
+        f"{edges_sql(rels)}, {permute_sql(PERMUTATIONS, ROUNDS)}, every AS (SELECT 0 AS perm, rel, s, d FROM numbered UNION ALL SELECT * FROM perms), "
+        "ws AS (SELECT rel, s, pow(COUNT(*), -0.5) AS a FROM numbered GROUP BY 1, 2), wd AS (SELECT rel, d, pow(COUNT(*), -0.5) AS b FROM numbered GROUP BY 1, 2), "
+        "w AS MATERIALIZED (SELECT perm, rel, s, d, a * b AS w FROM every JOIN ws USING (rel, s) JOIN wd USING (rel, d)), "
+        f"raw AS MATERIALIZED ({' UNION ALL '.join(parts)}), means AS (SELECT perm, metapath, avg(dwpc) AS mean FROM raw GROUP BY 1, 2), z AS (SELECT raw.* EXCLUDE (dwpc), asinh(dwpc / mean) AS dwpc FROM raw JOIN means USING (perm, metapath)), "
         f"ends AS ({' UNION ALL '.join(ends)}), "
-        "x AS MATERIALIZED (SELECT z.*, a.degree AS source_degree, b.degree AS target_degree FROM z JOIN ends a ON a.e = 'source' AND a.metapath = z.metapath AND a.id = source_id JOIN ends b ON b.e = 'target' AND b.metapath = z.metapath AND b.id = target_id)"
+        "x AS (SELECT z.*, a.degree AS source_degree, b.degree AS target_degree FROM z JOIN ends a ON a.e = 'source' AND a.metapath = z.metapath AND a.id = source_id JOIN ends b ON b.e = 'target' AND b.metapath = z.metapath AND b.id = target_id)"
     )
 
 
@@ -103,36 +106,32 @@ def _p_sql(metapaths) -> str:
 
 
 _ONE = ("Dt>PRa>CO",)
+_IDS = "JOIN ids a ON a.i = source_id JOIN ids b ON b.i = target_id"
 
 
-def _scored(s, d, metapaths=_ONE):
-    e = edges(s, d, sorted({h[0] for m in metapaths for h in graph.parse_metapath(m)}))
-    return stats.with_degrees(stats.scores(e, list(metapaths), PERMUTATIONS, ROUNDS), e)
+def _relations(metapaths):
+    return sorted({h[0] for m in metapaths for h in graph.parse_metapath(m)})
 
 
-def _zeros(x):
-    o = x.where("perm = 0")
-    return stats.zero_counts(o, x.where("perm > 0"), PERMUTATIONS).join(o.select(*stats.KEYS, "source_id", "target_id"), ["metapath", "source_id", "target_id"])
+def _studied(s, d, metapaths=_ONE):
+    return stats.study(edges(s, d, _relations(metapaths)), list(metapaths), PERMUTATIONS, ROUNDS)
 
 
-@query("t02_zero_counts", f"WITH {_score_sql(_ONE)}, {_FIT_SQL} SELECT source_id, target_id, zeros FROM zc")
+@query("t02_zero_counts", f"WITH {_score_sql(_ONE)}, {_FIT_SQL} SELECT a.id AS source_id, b.id AS target_id, zeros FROM zc {_IDS}")
 def _(s, d):
-    return _zeros(_scored(s, d)).select("source_id", "target_id", "zeros")
+    return _studied(s, d)[1].select("source_id", "target_id", "zeros")
 
 
 @query("t04_gamma_fit", f"WITH {_score_sql(_ONE)}, {_FIT_SQL} SELECT source_degree, target_degree, n, nnz, round(CASE WHEN flat THEN 0 ELSE ln(mean * mean / v) END, 5) AS log_alpha, round(CASE WHEN flat THEN 0 ELSE ln(mean / v) END, 5) AS log_beta, round(CASE WHEN flat AND zeros = 0 THEN hi ELSE -1 END, 6) AS single FROM fit")
 def _(s, d):
-    x = _scored(s, d)
-    f = stats.gamma_fit(x.where("perm > 0"), _zeros(x))
     log = lambda c: F.round(F.when(F.col(c) == 0, 0.0).otherwise(F.log(c)), 5)
-    return f.select("source_degree", "target_degree", "n", "nnz", log("alpha").alias("log_alpha"), log("beta").alias("log_beta"), r6("single").alias("single"))
+    return _studied(s, d)[2].select("source_degree", "target_degree", "n", "nnz", log("alpha").alias("log_alpha"), log("beta").alias("log_beta"), r6("single").alias("single"))
 
 
-@query("t05_p_values", f"WITH {_p_sql(_ONE)} SELECT source_id, target_id, round(dwpc, 6) AS dwpc, round(p_value, 4) AS p_value FROM r")
+@query("t05_p_values", f"WITH {_p_sql(_ONE)} SELECT a.id AS source_id, b.id AS target_id, round(dwpc, 6) AS dwpc, round(p_value, 4) AS p_value FROM r {_IDS}")
 def _(s, d):
-    x = _scored(s, d)
-    p = stats.p_values(x.where("perm = 0"), stats.gamma_fit(x.where("perm > 0"), _zeros(x)))
-    return p.select("source_id", "target_id", r6("dwpc").alias("dwpc"), F.round("p_value", 4).alias("p_value"))
+    observed, _, fits = _studied(s, d)
+    return stats.p_values(observed, fits).select("source_id", "target_id", r6("dwpc").alias("dwpc"), F.round("p_value", 4).alias("p_value"))
 
 
 @query("a11_degree_pairs", f"WITH {edges_sql(['TARGETS', 'ASSOCIATED_WITH'])}, ds AS (SELECT src, COUNT(*) AS n FROM edges WHERE rel = 'TARGETS' GROUP BY 1), dt AS (SELECT dst, COUNT(*) AS n FROM edges WHERE rel = 'ASSOCIATED_WITH' GROUP BY 1) SELECT DISTINCT 'Dt>PRa>CO' AS metapath, ds.n AS source_degree, dt.n AS target_degree FROM edges t JOIN edges a ON t.dst = a.src AND t.rel = 'TARGETS' AND a.rel = 'ASSOCIATED_WITH' JOIN ds ON ds.src = t.src JOIN dt ON dt.dst = a.dst")
@@ -142,16 +141,25 @@ def _(s, d):
     return stats.degree_pairs(stats.with_degrees(rows, e))
 
 
-def _results(s, d):
-    return stats.results(edges(s, d, _RELS), nodes(s, d), list(SCORED), PERMUTATIONS, ROUNDS)
+def _results(metapath, s, d):
+    rows = stats.results(edges(s, d, _relations([metapath])), nodes(s, d), [metapath], PERMUTATIONS, ROUNDS)
+    return rows.withColumns({"dwpc": r6("dwpc"), "p_value": F.round("p_value", 4), "adjusted_p_value": F.round("adjusted_p_value", 4)})
 
 
-_NAMED = f"WITH {_p_sql(SCORED)}, names AS (SELECT CAST(p_partkey AS VARCHAR) AS source_id, p_name AS source_name FROM part), ills AS (SELECT CAST(c_custkey AS VARCHAR) AS target_id, c_name AS target_name FROM customer)"
+def _results_sql(metapath) -> str:
+    return (
+        f"WITH {_p_sql((metapath,))}, names AS (SELECT CAST(p_partkey AS VARCHAR) AS id, p_name AS source_name FROM part), ills AS (SELECT CAST(c_custkey AS VARCHAR) AS id, c_name AS target_name FROM customer) "
+        "SELECT a.id AS source_id, b.id AS target_id, source_name, target_name, source_degree, target_degree, path_count, round(dwpc, 6) AS dwpc, metapath, round(p_value, 4) AS p_value, round(adjusted_p_value, 4) AS adjusted_p_value "
+        f"FROM r {_IDS} LEFT JOIN names ON names.id = a.id LEFT JOIN ills ON ills.id = b.id"
+    )
 
 
-@query("g11_results", _NAMED + " SELECT r.source_id, r.target_id, source_name, target_name, source_degree, target_degree, path_count, round(dwpc, 6) AS dwpc, metapath, round(p_value, 4) AS p_value, round(adjusted_p_value, 4) AS adjusted_p_value FROM r LEFT JOIN names USING (source_id) LEFT JOIN ills USING (target_id)")
-def _(s, d):
-    return _results(s, d).withColumns({"dwpc": r6("dwpc"), "p_value": F.round("p_value", 4), "adjusted_p_value": F.round("adjusted_p_value", 4)})
+#: Names of the ten scored metapaths.
+STUDIED = dict(zip(graph.METAPATHS[1:], (
+    "target_association", "shared_target", "shared_therapeutic", "shared_pharmacological", "shared_chemical", "shared_category", "shared_condition", "process", "component", "function",
+)))
+for _metapath, _name in STUDIED.items():
+    query(f"g11_results_{_name}", _results_sql(_metapath))(partial(_results, _metapath))
 
 
 @query("p14_significant", "SELECT event_id FROM events WHERE value / 1000 <= 0.05")
@@ -160,11 +168,6 @@ def _(s, d):
     return stats.significant(rows).select("event_id")
 
 
-@query("t06_factors", "SELECT * FROM (VALUES " + ", ".join(f"('{m}', {n})" for m, n in (("Dt>PRa>CO", 1), ("Dt>PR<tDi>CO", 6), ("Dh>T<hDi>CO", 6), ("Dh>PH<hDi>CO", 6), ("Dh>CH<hDi>CO", 6), ("Dh>CA<hDi>CO", 6), ("Di>CO<aPRa>CO", 6), ("Dt>PRh>B<hPRa>CO", 3), ("Dt>PRh>CE<hPRa>CO", 3), ("Dt>PRh>M<hPRa>CO", 3))) + ") t(metapath, factor)")
-def _(s, d):
-    return s.createDataFrame(list(stats.factors(graph.METAPATHS[1:]).items()), "metapath string, factor int")
-
-
 @query("j19_end_degrees", f"WITH {path_sql('Dt>PRa>CO')} SELECT DISTINCT n0 AS source_id, n2 AS target_id, a.n AS source_degree, b.n AS target_degree FROM paths JOIN (SELECT src, COUNT(*) AS n FROM edges WHERE rel = 'TARGETS' GROUP BY 1) a ON a.src = n0 JOIN (SELECT dst, COUNT(*) AS n FROM edges WHERE rel = 'ASSOCIATED_WITH' GROUP BY 1) b ON b.dst = n2")
 def _(s, d):
     e = edges(s, d, ["TARGETS", "ASSOCIATED_WITH"])

@@ -6,8 +6,9 @@ from functools import partial
 
 from pyspark.sql import functions as F
 
-from linkweave.operators import datasets, features, links, metrics
+from linkweave.operators import datasets, features, links, metrics, recommend
 from linkweave.sources import readers
+from linkweave.tables import written
 
 from .catalogue import _METRIC_SQL, _PAIRS, _RANKED, _RATE_SQL, _SCORES, _base, _more, _ratings, _score_rows, draw_sql
 from .fixtures import edges, edges_sql, relation, table
@@ -159,10 +160,17 @@ def _(s, d):
     return rows.groupBy("exp", "set", "dataset").agg(F.count("*").alias("pairs"), F.sum("rating").alias("positive"))
 
 
-@query("l16_experiments", "SELECT * FROM (VALUES ('ALS', 17, 1200), ('BPR', 17, 1200), ('LMF', 17, 1200), ('BNNR', 17, 85)) t(model, experiments, runs)")
-def _(s, d):
-    rows = [(r["model"], r["regime"], r["dataset"], r["runs"]) for r in datasets.experiments()]
-    return s.createDataFrame(rows, "model string, regime string, dataset string, runs int").groupBy("model").agg(F.count("*").cast("int").alias("experiments"), F.sum("runs").cast("int").alias("runs"))
+def _fitted(model, params, s, d):
+    """Ranking metrics by user of a model that was fitted on one experiment's training set, on its test set."""
+    one = _splits(s, d).where(F.col("exp") == 0)
+    train = one.where("set = 'train' and dataset = 'baseline'").select("item", "user", F.col("label").alias("rating"))
+    test = one.where("set = 'test'").select("item", "user", (F.col("label") > 0).cast("int").alias("truth"))
+    fitted = recommend.MODELS[model](**params).fit(written(train, "train"), 1)
+    return metrics.per_user(fitted.predict_proba(test.select("item", "user")).join(test, ["item", "user"]), 10)
+
+
+for _name, _model, _params in (("l04_als", "ALS", {"iterations": 5}), ("l05_bpr", "BPR", {"iterations": 60}), ("l06_logistic_mf", "LMF", {"iterations": 8})):
+    query(_name, None)(partial(_fitted, _model, _params))
 
 
 # ---------------------------------------------------------------- features

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import io
 import zipfile
+import zlib
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkweave.tables import written
+
 
 def xml_records(spark: SparkSession, path: str, tag: str, schema=None) -> DataFrame:
     """One row per element of that name; attributes are _name, text beside attributes _VALUE."""
@@ -22,20 +24,71 @@ def id_keyed_json(spark: SparkSession, path: str, value: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", f"map<string,{value}>")).alias("id", "value"))
 
 
-def zipped_texts(spark: SparkSession, path: str, ending: str = "", max_records: int | None = None) -> DataFrame:
-    """(pos, name, text) of the files in zip archives whose names end so, the first max_records of an archive; an archive is
-    one task's, read file by file."""
+#: Bytes of an archive, as compressed, that a task reads.
+SPAN = 32 << 20
+
+
+def _opened(path: str):
+    """A file of any store that Arrow knows, for reading at any place; path is a URI as Spark gives it."""
+    from pyarrow import fs
+
+    store, at = fs.FileSystem.from_uri(path)
+    return store.open_input_file(at)
+
+
+def zip_members(spark: SparkSession, path: str, ending: str = "", max_records: int | None = None) -> DataFrame:
+    """(path, pos, name, offset, packed, size, method, crc) of the members whose names end so, the first max_records of an archive:
+    from the central directories at the archives' ends, whatever their size; of an archive one task reads that alone."""
+
+    def listed(parts):
+        for pdf in parts:
+            for uri in pdf.path:
+                with _opened(uri) as f, zipfile.ZipFile(f) as z:
+                    found = [m for m in z.infolist() if m.filename.endswith(ending) and not m.is_dir()][:max_records]
+                for lo in range(0, len(found), 10_000):
+                    some = found[lo : lo + 10_000]
+                    yield pd.DataFrame({
+                        "path": uri, "pos": range(lo, lo + len(some)), "name": [m.filename for m in some], "offset": [m.header_offset for m in some], "packed": [m.compress_size for m in some],
+                        "size": [m.file_size for m in some], "method": [m.compress_type for m in some], "crc": [m.CRC for m in some],
+                    })
+
+    archives = spark.read.format("binaryFile").load(path).select("path")
+    return archives.repartition("path").mapInPandas(listed, "path string, pos long, name string, offset long, packed long, size long, method int, crc long")
+
+
+def zipped_texts(spark: SparkSession, path: str, ending: str = "", max_records: int | None = None, span: int = SPAN) -> DataFrame:
+    """(pos, name, text) of the files in zip archives whose names end so, the first max_records of an archive.
+
+    Members are read by their places in the archive, spans of about span bytes to a task, so an archive may be of any size and
+    is read by many tasks. Stored and deflated members; others raise, as do damaged ones.
+    """
 
-    def open_all(parts):
+    def read(parts):
         for pdf in parts:
-            for content in pdf.content:
-                with zipfile.ZipFile(io.BytesIO(content)) as z:
-                    names = [n for n in z.namelist() if n.endswith(ending) and not n.endswith("/")][:max_records]
-                    for lo in range(0, len(names), 100):
-                        some = names[lo : lo + 100]
-                        yield pd.DataFrame({"pos": range(lo, lo + len(some)), "name": some, "text": [z.read(n).decode("utf-8", "replace") for n in some]})
-
-    return spark.read.format("binaryFile").load(path).select("content").mapInPandas(open_all, "pos long, name string, text string")
+            for uri, some in pdf.groupby("path"):
+                with _opened(uri) as f:
+                    for lo in range(0, len(some), 100):
+                        rows = some.iloc[lo : lo + 100]
+                        yield pd.DataFrame({"pos": rows.pos, "name": rows.name, "text": [_member(f, r) for r in rows.itertuples()]})
+
+    members = written(zip_members(spark, path, ending, max_records), "members")
+    total = members.agg(F.coalesce(F.sum("packed"), F.lit(0))).first()[0]
+    dealt = members.repartition(max(1, -(-total // span)), "path", F.floor(F.col("offset") / span)).sortWithinPartitions("path", "offset")
+    return dealt.mapInPandas(read, "pos long, name string, text string")
+
+
+def _member(f, m) -> str:
+    """The text of a member, from its local header on."""
+    f.seek(m.offset)
+    head = f.read(30)
+    if head[:4] != b"PK\x03\x04" or m.method not in (zipfile.ZIP_STORED, zipfile.ZIP_DEFLATED):
+        raise ValueError(f"cannot read {m.name}: not a stored or deflated member")
+    f.seek(m.offset + 30 + int.from_bytes(head[26:28], "little") + int.from_bytes(head[28:30], "little"))
+    data = f.read(m.packed)
+    data = zlib.decompress(data, -15) if m.method == zipfile.ZIP_DEFLATED else data
+    if len(data) != m.size or zlib.crc32(data) != m.crc:
+        raise ValueError(f"{m.name} is damaged")
+    return data.decode("utf-8", "replace")
 
 
 def obo_terms(spark: SparkSession, path: str) -> DataFrame:

@@ -37,16 +37,6 @@ def write_matrix(ratings: DataFrame, path: str, users: list[str]) -> None:
     write_csv(ratings.groupBy("item").pivot("user", users).agg(F.first("rating")).fillna(0), path)
 
 
-def upsert_edges(edges: DataFrame, path: str) -> None:
-    """Distinct edges, a folder per relation."""
-    edges.dropDuplicates(["rel", "src", "dst"]).write.mode("overwrite").partitionBy("rel").parquet(path)
-
-
-def upsert_nodes(nodes: DataFrame, path: str) -> None:
-    """Distinct nodes, a folder per kind."""
-    nodes.dropDuplicates(["kind", "id"]).write.mode("overwrite").partitionBy("kind").parquet(path)
-
-
 def tsv_to_parquet(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL: dict[str, str] = {}
 
@@ -43,3 +44,20 @@ def discard(df: DataFrame) -> None:
         jvm, sc = df.sparkSession._jvm, df.sparkSession.sparkContext
         at = jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+#: Rows, and bytes as written, of a table that may be sent to every executor.
+SMALL_ROWS, SMALL_BYTES = 500_000, 32 << 20
+
+
+def sent(small: DataFrame) -> DataFrame:
+    """A written table with the hint to broadcast it if its rows and bytes prove it small enough."""
+    jvm, sc = small.sparkSession._jvm, small.sparkSession.sparkContext
+    at = jvm.org.apache.hadoop.fs.Path(small._written_at)
+    size = at.getFileSystem(sc._jsc.hadoopConfiguration()).getContentSummary(at).getLength()
+    return F.broadcast(small) if size <= SMALL_BYTES and small.count() <= SMALL_ROWS else small
