@@ -180,18 +180,26 @@ def subset(ratings: DataFrame, folds: DataFrame) -> DataFrame:
     return ratings.join(folds.select("item", "user").distinct(), ["item", "user"], "left_semi")
 
 
+#: Vectors of either side that meet in a group.
+MET = 20_000
+
+
 def nearest(rows: DataFrame, asked: DataFrame, n: int, parts: int = 16) -> DataFrame:
     """(item, other, rank, cosine): for each asked vector the n nearest of all rows by cosine, itself left out; (vec_id, v) each.
 
-    Every row is compared with the stated set of queries, in blocks of both: a query meets each part of the rows in a group of
-    its own, keeps its n best there, and only those are ranked together.
+    Every row is compared with the stated set of queries, in blocks of both, of which there are as many as MET vectors a block
+    need (parts of rows at least): a group is a block of rows and a block of queries, a query keeps its n best there, and only
+    those are ranked together.
     """
+    parts, blocks = max(parts, -(-rows.count() // MET)), max(1, -(-asked.count() // MET))
+
     def dot(a, b):
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda t, x: t + x)
 
-    e = rows.withColumn("n", F.sqrt(dot("v", "v"))).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
-    q = asked.select(F.col("vec_id").alias("item"), F.col("v").alias("q"), F.sqrt(dot("v", "v")).alias("m"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))).alias("part"))
-    p = e.join(q, "part").where("item <> vec_id").select("part", "item", F.col("vec_id").alias("other"), (dot("q", "v") / (F.col("m") * F.col("n"))).alias("cosine"))
+    every = lambda k: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(k - 1).cast("long")))
+    e = rows.withColumn("n", F.sqrt(dot("v", "v"))).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts))).withColumn("block", every(blocks))
+    q = asked.select(F.col("vec_id").alias("item"), F.col("v").alias("q"), F.sqrt(dot("v", "v")).alias("m"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), every(parts).alias("part"))
+    p = e.join(q, ["part", "block"]).where("item <> vec_id").select("part", "item", F.col("vec_id").alias("other"), (dot("q", "v") / (F.col("m") * F.col("n"))).alias("cosine"))
     order = [F.desc(F.round("cosine", 9)), F.col("other")]
     near = p.withColumn("r", F.row_number().over(Window.partitionBy("item", "part").orderBy(*order))).where(F.col("r") <= n)
     rank = F.row_number().over(Window.partitionBy("item").orderBy(*order))

@@ -162,10 +162,10 @@ def _(s, d):
 
 def _fitted(model, params, s, d):
     """Ranking metrics by user of a model that was fitted on one experiment's training set, on its test set."""
-    one = _splits(s, d).where(F.col("exp") == 0)
+    one = written(_splits(s, d).where(F.col("exp") == 0), "splits")
     train = one.where("set = 'train' and dataset = 'baseline'").select("item", "user", F.col("label").alias("rating"))
     test = one.where("set = 'test'").select("item", "user", (F.col("label") > 0).cast("int").alias("truth"))
-    fitted = recommend.MODELS[model](**params).fit(written(train, "train"), 1)
+    fitted = recommend.MODELS[model](**params).fit(train, 1)
     return metrics.per_user(fitted.predict_proba(test.select("item", "user")).join(test, ["item", "user"]), 10)
 
 

@@ -10,7 +10,7 @@ import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
-from linkweave.operators import graph, lookup, mentions, stats
+from linkweave.operators import datasets, graph, lookup, mentions, stats
 from linkweave.plans import fixtures
 from linkweave.sources import store
 
@@ -154,6 +154,16 @@ def test_several_graphs_at_once(spark):
     assert rows(got.where("perm = 0")) == rows(want)
 
 
+def test_tables_of_the_study_layer():
+    """Enumerated metapaths by length, correction factors by length, the experiment catalogue."""
+    assert collections.Counter(len(graph.parse_metapath(m)) for m in graph.enumerate_metapaths()) == {1: 1, 2: 1, 3: 7, 4: 12}
+    assert collections.Counter(stats.factors(graph.METAPATHS[1:]).values()) == {1: 1, 6: 6, 3: 3}
+    rows = collections.defaultdict(list)
+    for r in datasets.experiments():
+        rows[r["model"]].append(r["runs"])
+    assert {m: (len(x), sum(x)) for m, x in rows.items()} == {"ALS": (17, 1200), "BPR": (17, 1200), "LMF": (17, 1200), "BNNR": (17, 85)}
+
+
 def test_coincidences():
     for kinds in ("abab", "aaa", "abcab", "abaca"):
         for n in (2, 3):

@@ -60,7 +60,7 @@ def test_metrics_by_hand(spark):
 def test_models_recover_blocks(spark):
     pairs = [(f"i{i}", f"u{u}", int(i // 5 == u // 5)) for i in range(10) for u in range(10)]
     rows = spark.createDataFrame(pairs, "item string, user string, rating int")
-    for name, params in (("ALS", {"iterations": 3, "factors": 3}), ("ALS", {"iterations": 5, "factors": 3, "engine": "mllib"}), ("BPR", {"iterations": 60, "factors": 4}), ("LMF", {}), ("BNNR", {"iterations": 50})):
+    for name, params in (("ALS", {"iterations": 3, "factors": 3}), ("ALS", {"iterations": 5, "factors": 3, "engine": "mllib"}), ("BPR", {"iterations": 60, "factors": 4}), ("LMF", {"iterations": 12}), ("BNNR", {"iterations": 50})):
         m = recommend.MODELS[name](**params).fit(rows, 1)
         assert m.recommend(rows.select("item", "user"), k=7).count() == 7 and m.describe().startswith(type(m).__name__)
         s = {(r.item, r.user): r.score for r in m.predict_proba(rows).collect()}
@@ -118,7 +118,7 @@ def test_too_large_for_the_driver(spark, monkeypatch):
     monkeypatch.setattr(recommend, "CELLS", 3)
     rows = spark.createDataFrame([("a", "u", 1), ("b", "v", 1)], "item string, user string, rating int")
     with pytest.raises(ValueError):
-        recommend.BPR().fit(rows)
+        recommend.BNNR().fit(rows)
 
 
 def test_drawn_items_are_new_distinct_and_enough(spark):

@@ -9,7 +9,7 @@ from conftest import SF
 from linkweave.plans import ORACLES, QUERIES
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-KEYS = ["g08_dwpc_target_association", "g08_dwpc_shared_condition", "g08_dwpc_component", "g09_direct_function", "j05_first_match", "j12_prefix_parent", "g17_ancestors", "g16_two_core", "g15_prune_40", "r01_test_split", "e12_auc", "e10_ndcg", "t08_kendall", "u07_leave_one_metapath_out", "g10_degrees_kept", "s02_drugs", "s10_studies", "g03_edge_upsert", "r02_train_negatives", "r03_random_control", "l08_scaler", "e17_summary", "w11_roc_grid", "a15_dataset_summary", "g19_explained_shared_target"]
+KEYS = ["g08_dwpc_target_association", "g08_dwpc_shared_condition", "g08_dwpc_component", "g09_direct_function", "j05_first_match", "j12_prefix_parent", "g17_ancestors", "g16_two_core", "g15_prune_40", "r01_test_split", "e12_auc", "e10_ndcg", "t08_kendall", "u07_leave_one_metapath_out", "g10_degrees_kept", "s02_drugs", "s10_studies", "g03_edge_upsert", "r02_train_negatives", "r03_random_control", "l08_scaler", "e17_summary", "w11_roc_grid", "a15_dataset_summary", "g19_explained_shared_target", "g17_circle", "l13_dictionary_ner", "l15_extraction", "k05_upsert", "g09_far_drugs", "f03_piece_rows", "p19_affirmed_rows", "w07_neighbours", "g11_results_function"]
 
 
 def plain(v):
