@@ -40,9 +40,9 @@ def test_p_value_branches(spark):
 
 def test_permutation_keeps_degrees(spark):
     e = fixtures.edges(spark, SF, ["TARGETS"])
+    p = graph.permute(e, 2, rounds=5).cache()
     for r in ("src", "dst"):
         a = {x[0]: x[1] for x in e.groupBy(r).count().collect()}
-        p = graph.permute(e, 2)
         for perm in (1, 2):
             assert a == {x[0]: x[1] for x in p.where(F.col("perm") == perm).groupBy(r).count().collect()}
     assert p.count() == p.distinct().count() == 2 * e.count()
@@ -247,7 +247,7 @@ def test_results_skip_metapaths_without_null(spark):
 def test_run_pipeline(spark):
     rows = spark.createDataFrame([(f"i{i}", f"u{u}", int(i // 6 == u // 6)) for i in range(12) for u in range(12)], "item string, user string, rating int")
     test = rows.withColumn("truth", F.col("rating")).drop("rating")
-    out = recommend.run_pipeline("LMF", rows, test, experiments=2, k=5, iterations=10)
+    out = recommend.run_pipeline("LMF", rows, test, experiments=2, k=5, iterations=6)
     assert out.select("experiment").distinct().count() == 2 and out.where("metric = 'auc'").first().average > 0.9
     splits = rows.withColumns({"exp": F.lit(0), "set": F.lit("train"), "dataset": F.lit("base")}).unionByName(rows.withColumns({"exp": F.lit(0), "set": F.lit("test"), "dataset": F.lit("base")}))
     done = recommend.run_experiments(splits, [{"model": "LMF", "dataset": "base", "runs": 1}], k=5, LMF={"iterations": 5})
