@@ -252,6 +252,23 @@ def test_neighbours(spark):
     assert [(r.query_id, r.vec_id) for r in ann.search(odd).orderBy("query_id", "rank").collect()] == [(0, 60), (0, 1), (60, 0), (60, 1)]
 
 
+@pytest.mark.parametrize("kind", ["wide", "lengths"])
+def test_neighbours_are_exact(spark, kind):
+    """More dimensions than the codes have bits for and vectors of very different lengths: the same rows as brute force."""
+    rng = np.random.default_rng(5)
+    n, d = (4000, 128) if kind == "wide" else (3000, 32)
+    x = rng.normal(size=(n, d)) * (1 if kind == "wide" else 10 ** rng.uniform(-3, 3, n)[:, None])
+    e = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in ann.search(e).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    assert len(got) == n // 20
+    for k in range(0, n, 20):
+        s = ann.exact_scores(x, x[k])
+        s[k] = -np.inf
+        assert got[k] == np.lexsort((np.arange(n), -s))[:20].tolist()
+
+
 def test_language_model(docs):
     c = collections.Counter()
     for i, t in texts(docs):
