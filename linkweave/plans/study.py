@@ -12,7 +12,7 @@ from linkweave.tables import written
 
 from .catalogue import _METRIC_SQL, _PAIRS, _RANKED, _RATE_SQL, _SCORES, _base, _more, _ratings, _score_rows, draw_sql
 from .fixtures import edges, edges_sql, relation, table
-from .registry import query, r6
+from .registry import query, r6, rounded
 
 # ---------------------------------------------------------------- datasets
 
@@ -230,7 +230,7 @@ def _(s, d):
 @query("j24_joined_vectors", _SIDES + " SELECT src AS item, dst AS user, [round(COALESCE(i.price, 0), 6), i.size, round(u.price, 6), u.size] AS x FROM edges JOIN i ON src = item JOIN u ON dst = user")
 def _(s, d):
     pairs, i, u = _sides(s, d)
-    return features.joined_vectors(pairs, i, u).select("item", "user", F.transform("x", lambda v: F.round(F.coalesce(v, F.lit(0.0)), 6)).alias("x"))
+    return features.joined_vectors(pairs, i, u).select("item", "user", F.transform("x", lambda v: rounded(F.coalesce(v, F.lit(0.0)), 6)).alias("x"))
 
 
 for _op in ("*", "+", "-"):

@@ -30,11 +30,22 @@ def test_query_matches_sql(spark, key):
     compare(spark, key, ORACLES[key])
 
 
-def compare(spark, key, sql):
+@pytest.mark.parametrize("key", ["j24_joined_vectors"])
+def test_negative_zero_matches_sql(spark, key, tmp_path):
+    """Balances that round to zero from below."""
+    for t in TABLES:
+        if t != "customer":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    balance = "CASE c_custkey % 3 WHEN 0 THEN -0.0::double WHEN 1 THEN -1e-9 ELSE 0.0 END"
+    duckdb.connect().execute(f"COPY (SELECT * REPLACE ({balance} AS c_acctbal) FROM '{SF}/customer.parquet') TO '{tmp_path}/customer.parquet'")
+    compare(spark, key, ORACLES[key], str(tmp_path))
+
+
+def compare(spark, key, sql, folder=SF):
     con = duckdb.connect()
     for t in TABLES:
-        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
-    df = QUERIES[key](spark, SF)
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    df = QUERIES[key](spark, folder)
     got = sorted(tuple(plain(r[c]) for c in sorted(df.columns)) for r in df.collect())
     res = con.execute(sql)
     names = [x[0] for x in res.description]
