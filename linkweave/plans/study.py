@@ -235,7 +235,7 @@ def _(s, d):
 
 for _op in ("*", "+", "-"):
     query(f"l10_same_features_{ {'*': 'product', '+': 'sum', '-': 'difference'}[_op] }", _SIDES + f" SELECT src AS item, dst AS user, [round(COALESCE(i.price, 1) {_op} u.price, 4), round(i.size {_op} u.size, 4)] AS x FROM edges JOIN i ON src = item JOIN u ON dst = user")(
-        lambda s, d, op=_op: (lambda p, i, u: features.prepare("same_feature_preprocessing", p, i.withColumn("value", F.coalesce("value", F.lit(1.0))), u, operator=op))(*_sides(s, d)).select("item", "user", F.transform("x", lambda v: F.round(v, 4)).alias("x"))
+        lambda s, d, op=_op: (lambda p, i, u: features.prepare("same_feature_preprocessing", p, i.withColumn("value", F.coalesce("value", F.lit(1.0))), u, operator=op))(*_sides(s, d)).select("item", "user", F.transform("x", lambda v: rounded(v, 4)).alias("x"))
     )
 
 

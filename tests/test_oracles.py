@@ -30,7 +30,7 @@ def test_query_matches_sql(spark, key):
     compare(spark, key, ORACLES[key])
 
 
-@pytest.mark.parametrize("key", ["j24_joined_vectors"])
+@pytest.mark.parametrize("key", ["j24_joined_vectors", "l10_same_features_product"])
 def test_negative_zero_matches_sql(spark, key, tmp_path):
     """Balances that round to zero from below."""
     for t in TABLES:
