@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from linkweave.operators import metrics, recommend
 from linkweave.sources import matlab, public_sets, readers
+from linkweave.tables import spread
 
 # ---------------------------------------------------------------- archives
 
@@ -228,3 +229,11 @@ def test_a_stopped_study_goes_on(spark, tmp_path, monkeypatch):
     found = recommend.run_experiments(splits, study, path=str(tmp_path / "s"), at_once=2, **params)
     assert calls == [0, 1, 2, 2]  # only what was missing
     assert {(r.model, r.dataset, r.experiment) for r in found.collect()} == {("ALS", "base", e) for e in range(3)}
+
+
+def test_spread_tables_are_read_by_many_tasks(spark):
+    one = spark.range(20_000).coalesce(1)
+    dealt = spread(one)
+    assert one.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() >= 4
+    assert dealt.agg({"id": "sum"}).first()[0] == 20_000 * 19_999 // 2
+    assert spread(one.limit(10)).count() == 10
