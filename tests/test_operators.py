@@ -133,6 +133,14 @@ def test_drawn_items_are_new_distinct_and_enough(spark):
     assert links.draw(want, items.limit(0), taken, 1).count() == 0
 
 
+def test_draws_are_not_shuffled(spark):
+    """Only what is drawn in the end leaves a user's row: no aggregate, window or join over places that aren't taken."""
+    items, want = spark.range(5000).selectExpr("cast(id as string) as item"), spark.range(50).selectExpr("cast(id as string) as user", "10L as need")
+    taken = want.selectExpr("'1' as item", "user")
+    plan = links.draw(want, items, taken, 1)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Generate explode") == 1 and plan.count("array_except") >= 2
+
+
 def test_lowest_and_dense_index(spark):
     rows = spark.createDataFrame([("a", k) for k in range(50)] + [("b", k) for k in range(3)], "g string, k int")
     most = spark.createDataFrame([("a", 10), ("b", 5)], "g string, most long")
