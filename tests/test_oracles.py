@@ -41,6 +41,17 @@ def test_negative_zero_matches_sql(spark, key, tmp_path):
     compare(spark, key, ORACLES[key], str(tmp_path))
 
 
+def test_cross_pairs_match_sql_with_nulls(spark, tmp_path):
+    """Lines without a supplier; and no order's lines are held as arrays."""
+    nulls = "CASE WHEN l_partkey % 3 > 0 THEN l_suppkey END"
+    for t in TABLES:
+        if t != "lineitem":
+            (tmp_path / f"{t}.parquet").symlink_to(f"{SF}/{t}.parquet")
+    duckdb.connect().execute(f"COPY (SELECT * REPLACE ({nulls} AS l_suppkey) FROM '{SF}/lineitem.parquet') TO '{tmp_path}/lineitem.parquet'")
+    compare(spark, "j23_cross_arrays", ORACLES["j23_cross_arrays"], str(tmp_path))
+    assert "collect" not in QUERIES["j23_cross_arrays"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+
+
 def compare(spark, key, sql, folder=SF):
     con = duckdb.connect()
     for t in TABLES:
