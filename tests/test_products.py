@@ -82,3 +82,30 @@ def test_reach_adds_up(spark):
         want[r.source_id] += (1, r.path_count, r.dwpc)
     got = {r.source_id: (r.pairs, r.path_count, r.dwpc) for r in graph.reach(e, "Di>CO<iDi>CO").collect()}
     assert got.keys() == want.keys() and all(np.allclose(got[k], want[k]) for k in want)
+
+
+def test_nearest_by_brute_force(spark, monkeypatch):
+    """Several blocks of both sides; copies, a null vector, one holding null, one too short; no pair of vectors is a row of a join."""
+    from linkweave.operators import links
+
+    monkeypatch.setattr(links, "MET", 30)
+    rnd = np.random.default_rng(3)
+    v = {k: [float(x) for x in rnd.integers(-3, 4, 6)] for k in range(200)}
+    v |= {k: [1.0, 2.0, 0.0, 0.0, 1.0, 1.0] for k in range(200, 260)} | {260: None, 261: [1.0, None, 0.0, 0.0, 0.0, 0.0], 262: [1.0]}
+    rows = spark.createDataFrame(list(v.items()), "vec_id long, v array<double>").where("v is null or size(v) < 6 or exists(v, x -> x is null or x <> 0)")
+    ids = sorted(r.vec_id for r in rows.collect())
+    asked = rows.where("vec_id % 5 = 0")
+    found = links.nearest(rows, asked, 5, 3)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.item, r.rank): (r.other, None if r.cosine is None else round(r.cosine, 9)) for r in found.collect()}
+    want = {}
+    for item in (k for k in ids if k % 5 == 0):
+        near = []
+        for other in ids:
+            a, b = v[item], v[other]
+            if other != item:
+                ok = a is not None and b is not None and len(a) == len(b) and None not in a + b
+                near.append((-round(float(np.dot(a, b) / np.sqrt(np.dot(a, a) * np.dot(b, b))), 9) if ok else 9, other))
+        for rank, (c, other) in enumerate(sorted(near)[:5], 1):
+            want[item, rank] = other, None if c == 9 else -c
+    assert got == want
