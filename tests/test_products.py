@@ -109,3 +109,24 @@ def test_nearest_by_brute_force(spark, monkeypatch):
         for rank, (c, other) in enumerate(sorted(near)[:5], 1):
             want[item, rank] = other, None if c == 9 else -c
     assert got == want
+
+
+@pytest.mark.parametrize("metapath", ["Di>CO", "Dt>PRa>CO", "Dt>PR<tDi>CO", "Di>CO<aPRa>CO", "Dt>PRa>CO<aPRa>CO"])
+def test_paths_between_pairs(spark, metapath):
+    """Only paths of the asked pairs are listed, and the whole graph's are never joined first."""
+    rnd = random.Random(5)
+    some = {(r, f"{a}{rnd.randrange(6)}", f"{b}{rnd.randrange(6)}") for r, a, b in (("INDICATED_FOR", "d", "c"), ("TARGETS", "d", "p"), ("ASSOCIATED_WITH", "p", "c")) for _ in range(16)}
+    e = spark.createDataFrame(sorted(some), "rel string, src string, dst string")
+    nodes = spark.createDataFrame([(k, f"{x}{i}", f"{k} {i}") for k, x in (("Drug", "d"), ("Condition", "c"), ("Protein", "p")) for i in range(5)], "kind string, id string, name string")
+    n = len(graph.parse_metapath(metapath))
+    places = [f"n{k}" for k in range(n + 1)]
+    want = [r for r in graph.paths(e, metapath).collect()]
+    keep = sorted({(r["n0"], r[f"n{n}"]) for r in want})[::2]
+    mine = spark.createDataFrame([(*k, 7) for k in keep], f"n0 string, n{n} string, seven int")
+    got = graph.paths_between(e, metapath, mine, nodes).collect()
+    flat = lambda rows: sorted((*(r[p] for p in places), round(r["weight"], 9)) for r in rows)
+    assert flat(got) == flat([r for r in want if (r["n0"], r[f"n{n}"]) in keep])
+    kind = {"d": "Drug", "c": "Condition", "p": "Protein"}
+    for r in got:
+        assert r["seven"] == 7
+        assert all(r[f"name{k}"] == (None if r[p][1] == "5" else f"{kind[r[p][0]]} {r[p][1]}") for k, p in enumerate(places))
