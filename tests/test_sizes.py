@@ -1,9 +1,12 @@
 """What is kept, shuffled or made at once, and results that don't depend on it."""
 
+import collections
+
+import numpy as np
 from conftest import SF
 from pyspark.sql import functions as F
 
-from linkweave.operators import graph
+from linkweave.operators import graph, products, stats
 from linkweave.plans import QUERIES, fixtures
 from linkweave.tables import written
 
@@ -36,3 +39,35 @@ def test_permutations_are_the_same_in_batches(spark, monkeypatch):
 def test_degrees_are_counted_without_repeating_rows(spark):
     plan = QUERIES["g10_degrees_kept"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan
+
+
+def test_statistics_folded_in_blocks_are_those_of_listed_pairs(spark, monkeypatch):
+    """Numbers, means, spreads, extremes and hits of permuted graphs in several blocks, against all their pairs."""
+    monkeypatch.setattr(products, "GRAPHS", 2)
+    monkeypatch.setattr(products, "FOLDED_PRODUCTS", 20_000)
+    m = "Dt>PRh>CE<hPRa>CO"
+    e = fixtures.edges(spark, SF, ["TARGETS", "HAS_COMPONENT", "ASSOCIATED_WITH"])
+    by_number = written(graph.coded(e)[0], "coded")
+    ends = [written(x, "ends") for x in stats._ends(by_number.withColumnsRenamed({"s": "src", "d": "dst"}), m)]
+    graphs = graph.permute_coded(by_number, 3, 2).unionByName(by_number.withColumn("perm", F.lit(0))).withColumnsRenamed({"s": "src", "d": "dst"})
+    graphs = written(graph.weighted(graphs, 0.5, ("perm", "rel")).select("perm", "rel", "src", "dst", "w"), "graphs")
+    out = graph.fold(graphs, m, ends, True).collect()
+    pairs = [r for r in out if r.source_degree is None]
+    listed = stats._scaled_pairs(graphs, m, {}, ends).collect()
+    seen = {(r.source_id, r.target_id) for r in listed if not r.perm}
+    null, hits = collections.defaultdict(list), collections.Counter()
+    for r in listed:
+        if r.perm:
+            null[r.source_degree, r.target_degree].append(r.dwpc)
+            hits[r.source_id, r.target_id] += (r.source_id, r.target_id) in seen
+    found = collections.Counter()
+    for r in pairs:
+        found[r.source_id, r.target_id] += r.n
+    assert found == +hits and len(pairs) > len(found) > 0
+    known = spark.createDataFrame([r for r in out if r.source_degree is not None], "source_id long, target_id long, source_degree long, target_degree long, n long, mean double, var double, low double, high double, hits long")
+    assert known.count() > len(null) and known.agg(F.sum("hits")).first()[0] == sum(hits.values())
+    for r in stats.merged(known.where("n > 0"), ("source_degree", "target_degree")).collect():
+        v = np.array(null.pop((r.source_degree, r.target_degree)))
+        assert r.nnz == v.size and np.allclose([r.mean, r.low, r.high], [v.mean(), v.min(), v.max()], rtol=1e-9)
+        assert abs(r["var"] - (v.var(ddof=1) if v.size > 1 else 0)) <= 1e-9
+    assert not null
