@@ -6,7 +6,7 @@ import numpy as np
 from conftest import SF
 from pyspark.sql import functions as F
 
-from linkweave.operators import graph, products, stats
+from linkweave.operators import graph, products, recommend, stats
 from linkweave.plans import QUERIES, fixtures
 from linkweave.tables import written
 
@@ -71,3 +71,11 @@ def test_statistics_folded_in_blocks_are_those_of_listed_pairs(spark, monkeypatc
         assert r.nnz == v.size and np.allclose([r.mean, r.low, r.high], [v.mean(), v.min(), v.max()], rtol=1e-9)
         assert abs(r["var"] - (v.var(ddof=1) if v.size > 1 else 0)) <= 1e-9
     assert not null
+
+
+def test_pairwise_training_makes_few_rounds(spark):
+    """Rounds move all factors, so their number must not follow the ids where a block has room for them."""
+    rows = spark.range(12_000).select(F.col("id").alias("item"), (F.col("id") % 3).alias("user"), F.lit(1).alias("rating"))
+    model = recommend.BPR()
+    model._number(rows)
+    assert model.blocks == 2 and recommend.LogisticMF.block == recommend.BLOCK
