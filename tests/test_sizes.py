@@ -6,7 +6,7 @@ import numpy as np
 from conftest import SF
 from pyspark.sql import functions as F
 
-from linkweave.operators import graph, products, recommend, stats
+from linkweave.operators import graph, mentions, products, recommend, stats
 from linkweave.plans import QUERIES, fixtures
 from linkweave.tables import written
 
@@ -79,3 +79,13 @@ def test_pairwise_training_makes_few_rounds(spark):
     model = recommend.BPR()
     model._number(rows)
     assert model.blocks == 2 and recommend.LogisticMF.block == recommend.BLOCK
+
+
+def test_mentions_do_not_depend_on_the_places_of_tokens(spark, monkeypatch):
+    """Runs that can't be names are left out; where all tokens share one place, none is, and mentions are the same."""
+    names = spark.createDataFrame([(1, 1, "Big Red Dog", ["dog"]), (2, 2, "Été Rouge", None)], "id int, pos int, name string, synonyms array<string>")
+    texts = spark.createDataFrame([(1, "a BIG red dog, a dog; éTÉ rouge"), (2, "red"), (3, ""), (4, None)], "doc int, sentence string")
+    few = sorted(map(tuple, mentions.mentions(texts, names).collect()))
+    assert [r[:3] for r in few] == [(1, 1, 3), (1, 5, 1), (1, 6, 2)]
+    monkeypatch.setattr(mentions, "PLACES", 1)
+    assert sorted(map(tuple, mentions.mentions(texts, names).collect())) == few
