@@ -36,6 +36,22 @@ def test_permutations_are_the_same_in_batches(spark, monkeypatch):
     assert len(whole) == 5 * e.count() and {(r, s, d) for _, r, s, d in whole if r != "TARGETS"} == {(r, s, d) for r, s, d in map(tuple, e.collect()) if r != "TARGETS"}
 
 
+def test_bounded_relations_are_permuted_without_rounds_of_shuffles(spark, monkeypatch):
+    """All rounds in a task, all by shuffles, or one relation of each: the same edges; only rounds by shuffles write tables."""
+    e = graph.coded(fixtures.edges(spark, SF, ["TARGETS", "HAS_PROCESS", "ASSOCIATED_WITH"]))[0]
+    e = written(e, "coded")
+    tables = []
+    monkeypatch.setattr(graph, "written", lambda df, label: tables.append(label) or written(df, label))
+    made = lambda: sorted(map(tuple, graph.permute_coded(e, 4, 3, seed=1, first=2).collect()))
+    whole = made()
+    assert not tables and len(whole) == 4 * e.count()
+    size = {r.rel: r["count"] for r in e.groupBy("rel").count().collect()}
+    for most in (min(size.values()), 0):
+        monkeypatch.setattr(graph, "WHOLE_EDGES", most)
+        assert made() == whole and len(tables) == 3
+        tables.clear()
+
+
 def test_degrees_are_counted_without_repeating_rows(spark):
     plan = QUERIES["g10_degrees_kept"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan
