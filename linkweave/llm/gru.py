@@ -273,9 +273,15 @@ class GRU:
             dh = np.ascontiguousarray(dh.reshape(len(t), live, H).transpose(0, 2, 1))
             # What each step's error is multiplied by, for all steps at once.
             z, r, c = x[:, :H], x[:, H : 2 * H], x[:, 2 * H :]
-            to_z = (before - c) * z * (1 - z)
-            to_c = (1 - z) * (1 - c * c)
-            to_r = inner * r * (1 - r)
+            rest = np.subtract(F32(1), z)
+            to_z = before - c
+            to_z *= z
+            to_z *= rest
+            to_c = np.multiply(c, c, out=c)
+            np.subtract(F32(1), to_c, out=to_c)
+            to_c *= rest
+            to_r = np.multiply(inner, r, out=inner)
+            to_r *= np.subtract(F32(1), r, out=rest)
             da, dg = np.empty_like(x), np.empty_like(x)
             carry, fresh = np.zeros((H, live), F32), start.any(axis=1)
             for s in reversed(range(len(t))):
@@ -291,17 +297,29 @@ class GRU:
                 carry += d
                 if fresh[s]:
                     carry[:, start[s]] = 0
-            a, g = _rows(da), given.ravel()
-            grad["u"], grad["b"], grad["wx"] = _rows(before).T @ _rows(dg), a.sum(axis=0), p["emb"][g].T @ a
-            de = a @ p["wx"].T
-            grad["emb"] = np.stack([np.bincount(g, de[:, k], self.n + 1) for k in range(EMBED)], axis=1)
-            norm = np.sqrt(sum(float((x * x).sum()) for x in grad.values()))
+            # Step by step with lanes last, as they are held: nothing is copied into rows.
+            lanes_first = da.transpose(0, 2, 1)
+            grad["u"], grad["b"] = (before @ dg.transpose(0, 2, 1)).sum(axis=0), da.sum(axis=(0, 2))
+            grad["wx"] = (p["emb"].take(given, axis=0).transpose(0, 2, 1) @ lanes_first).sum(axis=0)
+            de, g = p["wx"] @ da, given.ravel()
+            grad["emb"] = np.stack([np.bincount(g, de[:, k].ravel(), self.n + 1) for k in range(EMBED)], axis=1).astype(F32)
+            norm = np.sqrt(sum(float(np.vdot(x, x)) for x in grad.values()))
             clip = min(1.0, 1.0 / max(norm, 1e-9))
             self.step += 1
             fix = rate * np.sqrt(1 - 0.999**self.step) / (1 - 0.9**self.step)
             for k, x in grad.items():
-                x = x.astype(F32) * F32(clip)
-                self.m[k] += F32(0.1) * (x - self.m[k])
-                self.v[k] += F32(0.001) * (x * x - self.v[k])
-                p[k] -= F32(fix) * self.m[k] / (np.sqrt(self.v[k]) + F32(1e-6))
+                m, v = self.m[k], self.v[k]
+                x = x * F32(clip)
+                by = x * x
+                x -= m
+                x *= F32(0.1)
+                m += x
+                by -= v
+                by *= F32(0.001)
+                v += by
+                np.sqrt(v, out=by)
+                by += F32(1e-6)
+                np.divide(m, by, out=by)
+                by *= F32(fix)
+                p[k] -= by
             last = t[-1]

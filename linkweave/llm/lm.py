@@ -32,8 +32,8 @@ END = "\n"
 HEAD, VOCABULARY = 1 << 17, 3968
 #: Documents of the warm-up, learning rates.
 WARM, RATES = 600, (0.01, 0.003)
-#: Tokens that a partition trains on or scores at once.
-TOGETHER, AT_ONCE = 400_000, 1_600_000
+#: Tokens that a partition trains on or scores at once, and words of a batch of numbered documents.
+TOGETHER, AT_ONCE, NUMBERED = 400_000, 1_600_000, 1_000_000
 SMOOTH = 0.1
 #: Frequency bands to a doubling and ranges of hashes by which the head words are told from the others.
 BANDS, RANGES = 64, 4096
@@ -94,8 +94,9 @@ class Lexicon:
         """Head index of each word; those not of the head get the number of head words."""
         return np.fromiter(map(self.index.get, words, repeat(len(self.index))), np.int32, len(words))
 
-    def targets(self, words: list[bytes]) -> np.ndarray:
-        return np.append(self.model_id[self.ids(words)], np.int32(self.end))
+    def targets(self, ids: np.ndarray) -> np.ndarray:
+        """The model's numbers of a document's words and its end."""
+        return np.append(self.model_id[ids], np.int32(self.end))
 
     def model(self) -> GRU:
         freq = self.freq if len(self.freq) else np.array([1.0])
@@ -133,6 +134,35 @@ def lexicon_of(counts: DataFrame) -> Lexicon:
     return Lexicon([r.word for r in rows], [r.c for r in rows], total or 0, distinct or 0)
 
 
+def _number_batches(batches, shared):
+    return tidied(_numbered(batches, shared))
+
+
+def _numbered(batches, shared):
+    lexicon = shared.value
+    head, row = len(lexicon.index), TaskContext.get().partitionId() << 36
+    for batch in batches:
+        done = 0
+        while done < batch.num_rows:
+            rows, ids, tails, n, first = [], [], [], 0, done
+            while done < batch.num_rows and n < NUMBERED:
+                words = words_of(batch.column(1)[done].as_py())
+                some = lexicon.ids(words)
+                rows.append(row)
+                ids.append(some.tobytes())
+                tails.append([words[k].decode() for k in np.flatnonzero(some == head)])
+                n, row, done = n + len(words), row + 1, done + 1
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(rows, pa.int64()), batch.column(0).slice(first, len(rows)), pa.array(ids, pa.binary()), pa.array(tails, pa.list_(pa.string()))], ["row", "doc_id", "ids", "tails"]
+            )
+
+
+def numbered(docs: DataFrame, shared) -> DataFrame:
+    """(row, doc_id, ids, tails) of all documents, as a written table: the head index of each word as bytes, and the words that
+    have none. Texts are cut into words once for training and scoring."""
+    return materialise(docs.mapInArrow(partial(_number_batches, shared=shared), "row long, doc_id long, ids binary, tails array<string>"), "numbered")
+
+
 def _warm_batches(batches, shared):
     return tidied(_warmed(batches, shared))
 
@@ -140,7 +170,7 @@ def _warm_batches(batches, shared):
 def _warmed(batches, shared):
     lexicon = shared.value
     model = lexicon.model()
-    docs = [lexicon.targets(words_of(x.as_py())) for batch in batches for x in batch.column(0)]
+    docs = [lexicon.targets(np.frombuffer(x.as_buffer(), np.int32)) for batch in batches for x in batch.column(0)]
     for rate in (RATES[0], RATES[0] / 2):
         model.train(docs, rate, lanes=48)
     yield pa.RecordBatch.from_arrays([pa.array([model.flat().astype(np.float32).tobytes()])], ["weights"])
@@ -157,7 +187,7 @@ def _trained(batches, shared, weights):
     docs, n, seen = [], 0, 0
     for batch in batches:
         for x in batch.column(0):
-            docs.append(lexicon.targets(words_of(x.as_py())))
+            docs.append(lexicon.targets(np.frombuffer(x.as_buffer(), np.int32)))
             n += len(docs[-1])
             if n >= TOGETHER:
                 model.train(docs, RATES[1])
@@ -178,18 +208,18 @@ def _average_batches(batches):
         yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([tokens]), pa.array([(total / tokens).astype(np.float32).tobytes()])], ["part", "tokens", "weights"])
 
 
-def train(texts: DataFrame, lexicon: Lexicon, shared) -> np.ndarray:
-    """Weights of the model. texts: (doc_id, text) of the training documents."""
-    spark = texts.sparkSession
+def train(docs: DataFrame, lexicon: Lexicon, shared) -> np.ndarray:
+    """Weights of the model. docs: (doc_id, ids) of the training documents."""
+    spark = docs.sparkSession
     order = F.xxhash64(F.lit(11), "doc_id")
-    ids = texts.select("doc_id").orderBy(order, "doc_id").limit(WARM).select("doc_id").distinct()
+    ids = docs.select("doc_id").orderBy(order, "doc_id").limit(WARM).select("doc_id").distinct()
     # The sample goes to one task, not to the driver, which gets the weights alone.
-    sample = texts.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id").limit(WARM).select("text").coalesce(1)
+    sample = docs.join(F.broadcast(ids), "doc_id", "left_semi").orderBy("doc_id").limit(WARM).select("ids").coalesce(1)
     warm = sample.mapInArrow(partial(_warm_batches, shared=shared), "weights binary").first()
     start = np.frombuffer(warm.weights, np.float32) if warm else lexicon.model().flat()
     weights = spark.sparkContext.broadcast(start)
     kinds = "part long, tokens double, weights binary"
-    parts = texts.select("text").mapInArrow(partial(_train_batches, shared=shared, weights=weights), kinds)
+    parts = docs.select("ids").mapInArrow(partial(_train_batches, shared=shared, weights=weights), kinds)
     merged = parts.repartition(16, "part").mapInArrow(_average_batches, kinds).collect()  # 16 rows of the weights' fixed size
     if not merged:
         return start
@@ -205,7 +235,7 @@ def _scored(batches, shared, weights):
     lexicon = shared.value
     model = lexicon.model()
     model.load(weights.value)
-    head, row = len(lexicon.index), TaskContext.get().partitionId() << 36
+    head = len(lexicon.index)
     inside = np.append(lexicon.model_id[:-1] < len(lexicon.freq), True)  # tail words are summed in the join
     log_count = lexicon.log_count.copy()
     log_count[head] = 0.0
@@ -214,27 +244,23 @@ def _scored(batches, shared, weights):
         while done < batch.num_rows:
             docs, out, n = [], [], 0
             while done < batch.num_rows and n < AT_ONCE:
-                words = words_of(batch.column(1)[done].as_py())
-                ids = lexicon.ids(words)
-                tail = ids == head
-                tails = [words[k].decode() for k in np.nonzero(tail)[0]]
-                known = len(words) - len(tails)
+                ids = np.frombuffer(batch.column(2)[done].as_buffer(), np.int32)
+                known = int((ids != head).sum())
                 logs = log_count[ids]
                 base = logs.sum() - known * lexicon.base_norm + lexicon.end_log - lexicon.base_norm
                 rare = ~inside[ids]
                 plus = logs[rare].sum() - rare.sum() * lexicon.rest_norm
-                docs.append(np.append(lexicon.model_id[ids], np.int32(lexicon.end)))
-                out.append((row, len(words) + 1, known + lexicon.end_known, base, plus, tails))
-                n += len(words) + 1
-                row += 1
+                docs.append(lexicon.targets(ids))
+                out.append((ids.size + 1, known + lexicon.end_known, base, plus))
+                n += ids.size + 1
                 done += 1
             lp = model.score(docs) / math.log(10)
             first = done - len(out)
             cols = list(zip(*out))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(cols[0], pa.int64()), batch.column(0).slice(first, len(out)), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
-                 pa.array(np.array(cols[3], np.float64)), pa.array(np.array(cols[4], np.float64) + lp), pa.array(cols[5], pa.list_(pa.string()))],
-                ["row", "doc_id", "n_tokens", "n_known", "base_score", "score", "tails"],
+                [batch.column(0).slice(first, len(out)), batch.column(1).slice(first, len(out)), pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()),
+                 pa.array(np.array(cols[2], np.float64)), pa.array(np.array(cols[3], np.float64) + lp)],
+                ["row", "doc_id", "n_tokens", "n_known", "base_score", "score"],
             )
 
 
@@ -246,14 +272,15 @@ def score_documents(docs: DataFrame) -> DataFrame:
     counts = count_words(learn.select("text"))
     lexicon = lexicon_of(counts)
     shared = spark.sparkContext.broadcast(lexicon)
-    weights = spark.sparkContext.broadcast(train(learn, lexicon, shared) if lexicon.total else lexicon.model().flat())
-    kinds = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double, tails array<string>"
-    first = materialise(rows.mapInArrow(partial(_score_batches, shared=shared, weights=weights), kinds), "scores")
-    tails = first.select("row", F.explode("tails").alias("word"))
+    known = numbered(rows, shared)
+    weights = spark.sparkContext.broadcast(train(known.where(~held_out(F.col("doc_id"))), lexicon, shared) if lexicon.total else lexicon.model().flat())
+    kinds = "row long, doc_id long, n_tokens long, n_known long, base_score double, score double"
+    first = materialise(known.select("row", "doc_id", "ids").mapInArrow(partial(_score_batches, shared=shared, weights=weights), kinds), "scores")
+    tails = known.select("row", F.explode("tails").alias("word"))
     met = tails.join(counts, "word", "left").groupBy("row").agg(
         F.sum(F.log10(F.coalesce("c", F.lit(0)) + F.lit(SMOOTH))).alias("logs"), F.count("c").alias("met"), F.count("*").alias("of")
     )
-    both = first.drop("tails").join(met, "row", "left")
+    both = first.join(met, "row", "left")
     logs, met_n, of = (F.coalesce(c, F.lit(0)) for c in ("logs", "met", "of"))
     return both.select(
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "n_tokens", (F.col("n_known") + met_n).alias("n_known"),

@@ -11,6 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from linkweave.llm import ann, bpe, decontamination, licences, lm, pii, quality, sharding, simhash, urls
+from linkweave.llm.common import materialise
 
 SF = "/root/testdata/sf0.001"
 
@@ -433,6 +434,19 @@ def test_repeated_ids_do_not_widen_the_sample(spark):
     assert quality.classify(d, spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")).count() == 51
 
 
+def test_texts_are_cut_into_words_once_for_training_and_scoring(spark, monkeypatch):
+    """Besides the count, one pass cuts texts into words; training and scoring read the numbers that it wrote."""
+    asked = []
+    monkeypatch.setattr(lm, "materialise", lambda df, label, *by: asked.append((label, df.schema.names)) or materialise(df, label, *by))
+    docs = spark.createDataFrame([(1, "a b a \u00e9 A"), (2, None), (3, "c" * 50 + " a"), (None, "b zz")], "doc_id long, text string")
+    monkeypatch.setattr(lm, "HEAD", 2)
+    rows = {r.doc_id: r for r in lm.score_documents(docs).collect()}
+    assert [c for label, c in asked if label == "numbered"] == [["row", "doc_id", "ids", "tails"]]
+    assert all("text" not in c for _, c in asked) and {k: r.n_tokens for k, r in rows.items()} == {1: 6, 2: 1, 3: 3, None: 3}
+    learnt = [k for k, r in rows.items() if not r.held_out]
+    assert rows[learnt[0]].train_tokens == sum(rows[k].n_tokens for k in learnt) and all(rows[k].n_known == rows[k].n_tokens for k in learnt)
+
+
 def test_gradients_of_the_recurrent_model(monkeypatch):
     from linkweave.llm import gru
 
