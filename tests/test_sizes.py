@@ -52,6 +52,19 @@ def test_bounded_relations_are_permuted_without_rounds_of_shuffles(spark, monkey
         tables.clear()
 
 
+def test_more_walks_are_listed_by_more_tasks(spark, monkeypatch):
+    """Listed pairs are those of the products; partitions follow the counted walks."""
+    m = "Dt>PR<tDi>CO"
+    e = fixtures.edges(spark, SF, ["TARGETS", "INDICATED_FOR"])
+    t, i = (e.where(F.col("rel") == rel).select("src", "dst") for rel in ("TARGETS", "INDICATED_FOR"))
+    n = t.join(t.withColumnsRenamed({"src": "drug"}), "dst").join(i.select(F.col("src").alias("drug")), "drug").count()
+    assert graph.walks(e, m) == n > 20
+    monkeypatch.setattr(graph, "TASK_WALKS", n // 20)
+    listed = graph.dwpc(e, m, method="direct")
+    rounded = lambda rows: sorted((r.source_id, r.target_id, r.path_count, round(r.dwpc, 9)) for r in rows.collect())
+    assert listed.rdd.getNumPartitions() == -(-n // (n // 20)) and rounded(listed) == rounded(graph.dwpc(e, m))
+
+
 def test_degrees_are_counted_without_repeating_rows(spark):
     plan = QUERIES["g10_degrees_kept"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan
