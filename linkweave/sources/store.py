@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from linkweave.operators import graph
+from linkweave.tables import discard, written
 
 BUCKETS = 64
 SCHEMAS = {"nodes": "kind string, id string, name string", "edges": "rel string, src_kind string, src string, dst_kind string, dst string"}
@@ -89,7 +90,9 @@ def _merged(spark: SparkSession, path: str, kind: str, new: DataFrame, now: dict
     if not touched:
         return now[kind]
     folder = f"{kind}/{now['version'] + 1:012d}-{uuid.uuid4().hex}"
-    rows = merge(_read(spark, path, kind, now, touched), new).withColumn("bucket", bucket)
+    # Keys of new are distinct, so what goes to a folder that holds nothing yet is new as it is.
+    held = touched & {int(b) for b in now[kind]}
+    rows = (merge(_read(spark, path, kind, now, touched), new) if held else new).withColumn("bucket", bucket)
     rows.repartition(F.col("bucket")).write.partitionBy("bucket").parquet(f"{path}/{folder}")
     return now[kind] | {str(b): folder for b in touched}
 
@@ -103,11 +106,13 @@ def upsert(spark: SparkSession, path: str, new_nodes: DataFrame | None = None, n
     now = manifest(spark, path)
     then = dict(now, version=now["version"] + 1)
     if new_nodes is not None:
-        given = graph.upsert_nodes(new_nodes if "pos" in new_nodes.columns else new_nodes.withColumn("pos", F.lit(1)))
+        given = written(graph.upsert_nodes(new_nodes if "pos" in new_nodes.columns else new_nodes.withColumn("pos", F.lit(1))), "given")
         then["nodes"] = _merged(spark, path, "nodes", given, now, _named)
+        discard(given)
     if new_edges is not None:
-        given = graph.upsert_edges(new_edges, _read(spark, path, "nodes", then))
+        given = written(graph.upsert_edges(new_edges, _read(spark, path, "nodes", then)), "given")
         then["edges"] = _merged(spark, path, "edges", given, now, lambda old, new: old.unionByName(new).distinct())
+        discard(given)
     _commit(spark, path, then)
     return then["version"]
 

@@ -65,6 +65,24 @@ def test_more_walks_are_listed_by_more_tasks(spark, monkeypatch):
     assert listed.rdd.getNumPartitions() == -(-n // (n // 20)) and rounded(listed) == rounded(graph.dwpc(e, m))
 
 
+def test_upserts_make_their_rows_once(spark, tmp_path):
+    """What an upsert is given is made once, though its buckets are told before it is merged."""
+    from linkweave.sources import store
+
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    rows = spark.range(40).select(F.lit("Drug").alias("kind"), F.col("id").cast("string").alias("id"), F.lit("x").alias("name"))
+    for turn in (1, 2):
+        store.upsert(spark, str(tmp_path / "g"), rows.mapInArrow(counted, rows.schema))
+        assert made.value == 40 * turn
+    assert store.nodes(spark, str(tmp_path / "g")).count() == 40
+
+
 def test_degrees_are_counted_without_repeating_rows(spark):
     plan = QUERIES["g10_degrees_kept"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     assert "Expand" not in plan
