@@ -120,6 +120,14 @@ def test_statistics_folded_in_blocks_are_those_of_listed_pairs(spark, monkeypatc
     assert not null
 
 
+def test_graphs_without_pairs_are_folded(spark):
+    """A graph that connects nothing has no mean, which is no error."""
+    side = lambda rows: spark.createDataFrame(rows, "perm int, p long, q long, w double, n long")
+    ends = [written(spark.createDataFrame([(k, 1)], "id long, degree long"), "ends") for k in (1, 3)]
+    left, right = side([(0, 1, 2, 1.0, 1), (1, 1, 2, 1.0, 1)]), side([(0, 2, 3, 1.0, 1), (1, 4, 3, 1.0, 1)])
+    assert products.folded([(left, right, None)], ends, False).agg(F.sum("n")).first()[0] in (None, 0)
+
+
 def test_pairwise_training_makes_few_rounds(spark):
     """Rounds move all factors, so their number must not follow the ids where a block has room for them."""
     rows = spark.range(12_000).select(F.col("id").alias("item"), (F.col("id") % 3).alias("user"), F.lit(1).alias("rating"))
