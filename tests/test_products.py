@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from conftest import SF
+from pyspark.sql import functions as F
 
 from linkweave.operators import graph, products
 from linkweave.plans import QUERIES
@@ -52,6 +53,31 @@ def test_a_block(monkeypatch, shape, held):
     assert got == brute(terms)
 
 
+@pytest.mark.parametrize("held", [1, 300])
+def test_pairs_are_counted_without_weights(monkeypatch, held):
+    """Few cells of many, some of them several times and some taken off: the same pairs with weights and without."""
+    monkeypatch.setattr(products, "HELD", held)
+    rng = np.random.default_rng(5)
+    left, right = (np.unique(rng.integers(0, n, (400, 2)), axis=0) for n in (150, 150))
+    one = (left[:, 0], left[:, 1], rng.random(len(left)), np.ones(len(left), int), right[:, 0], right[:, 1], rng.random(len(right)), np.ones(len(right), int))
+    paths = defaultdict(list)
+    for x, v, a in zip(*one[:3]):
+        for u, y, b in zip(*one[4:7]):
+            if u == v:
+                paths[x, y].append(a * b)
+    gone = [k for k in paths if sum(k) % 3 == 0]
+    off = np.array([k[0] for k in gone]), np.array([k[1] for k in gone]), np.array([-paths[k][0] for k in gone]), np.full(len(gone), -1)
+    graph_ = products.Graph([one], off, 150, 150, 150)
+    want = {k: sum(v[k in gone :]) for k, v in paths.items() if len(v) > (k in gone)}
+    got, counted = {}, 0
+    for a, b in products._cut(graph_.made, 150):
+        where, w, n = graph_.pairs(a, b)
+        got |= dict(zip(zip((where // 150 + a).tolist(), (where % 150).tolist()), w.tolist()))
+        counted += graph_.pairs(a, b, False)[0].size
+    assert got.keys() == want.keys() and counted == len(want) and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    assert abs(graph_.total() - sum(want.values())) < 1e-9
+
+
 def test_blocks_hold_few_rows():
     for left, right, met in ((10, 10, 10), (1_600_000, 78_000_000, 2 * 10**9), (10**8, 10**3, 10**10), (10**7, 10**7, 10**9)):
         nx, ny = products.blocks(left, right, met)
@@ -75,6 +101,13 @@ def test_pairs_are_not_shuffled(spark, monkeypatch):
     assert "Aggregate" not in plan
 
 
+def test_few_products_are_dealt_to_all_cores(spark, monkeypatch):
+    """What one block could hold isn't one task, so neither is what follows the pairs."""
+    monkeypatch.setattr(products, "LEAST_PRODUCTS", 50)
+    rows = spark.createDataFrame([(k, k % 7, 1.0, 1) for k in range(300)], "p long, q long, w double, n long")
+    assert products.summed([(rows, rows.select(F.col("q").alias("p"), F.col("p").alias("q"), "w", "n"), None)]).rdd.getNumPartitions() >= 16
+
+
 def test_reach_adds_up(spark):
     e = spark.createDataFrame([("INDICATED_FOR", f"d{a}", f"c{(a * b) % 7}") for a in range(8) for b in range(1, 4)], "rel string, src string, dst string").distinct()
     want = defaultdict(lambda: np.zeros(3))

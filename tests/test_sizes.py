@@ -120,6 +120,20 @@ def test_statistics_folded_in_blocks_are_those_of_listed_pairs(spark, monkeypatc
     assert not null
 
 
+def test_small_relations_are_folded_where_they_are_permuted(spark, monkeypatch):
+    """Zeros and fits of whole graphs in tasks are those of blocks, and no permuted graph is written."""
+    m = "Dt>PR<tDi>CO"
+    e = fixtures.edges(spark, SF, ["TARGETS", "INDICATED_FOR"])
+    labels, was = [], stats.written
+    monkeypatch.setattr(stats, "written", lambda df, label: labels.append(label) or was(df, label))
+    rows = lambda found: [sorted(tuple(round(x, 6) if isinstance(x, float) else x for x in r) for r in df.collect()) for df in found[1:]]
+    whole = rows(stats.study(e, [m], 3, 2))
+    assert "graphs" not in labels
+    monkeypatch.setattr(graph, "WHOLE_PAIRS", 1)
+    monkeypatch.setattr(products, "ONCE", 0)
+    assert rows(stats.study(e, [m], 3, 2)) == whole and "graphs" in labels and all(whole)
+
+
 def test_graphs_without_pairs_are_folded(spark):
     """A graph that connects nothing has no mean, which is no error."""
     side = lambda rows: spark.createDataFrame(rows, "perm int, p long, q long, w double, n long")
