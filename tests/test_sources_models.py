@@ -237,3 +237,16 @@ def test_spread_tables_are_read_by_many_tasks(spark):
     assert one.rdd.getNumPartitions() == 1 and dealt.rdd.getNumPartitions() >= 4
     assert dealt.agg({"id": "sum"}).first()[0] == 20_000 * 19_999 // 2
     assert spread(one.limit(10)).count() == 10
+
+
+def test_all_pairs_of_a_tile_count_as_negatives(monkeypatch):
+    """Gradients and likelihoods of rows in pieces, far scores too, against the plain sums; no logarithm for each pair."""
+    rng = np.random.default_rng(2)
+    y, x = rng.standard_normal((150, 4)), rng.standard_normal((1100, 4))
+    y[0], y[1] = 40.0, -40.0
+    z = np.clip(y @ x.T, -30, 30)
+    monkeypatch.delattr(np, "log1p")
+    g, likely = recommend._negatives(y, x, True)
+    assert np.allclose(g, -(1 / (1 + np.exp(-z))) @ x, rtol=1e-9)
+    assert np.allclose(likely, -np.log(1 + np.exp(z)).sum(axis=1), rtol=1e-9)
+    assert np.array_equal(recommend._negatives(y, x, False)[0], g) and not recommend._negatives(y, x, False)[1].any()
