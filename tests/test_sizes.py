@@ -3,6 +3,7 @@
 import collections
 
 import numpy as np
+import pytest
 from conftest import SF
 from pyspark.sql import functions as F
 
@@ -142,6 +143,35 @@ def test_graphs_without_pairs_are_folded(spark):
     assert products.folded([(left, right, None)], ends, False).agg(F.sum("n")).first()[0] in (None, 0)
 
 
+def test_one_split_is_that_of_all(spark):
+    from linkweave.plans import study
+
+    one, every = study._first_split(spark, SF), study._splits(spark, SF).where("exp = 0 and (set = 'test' or dataset = 'baseline')")
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_normal_equations_are_solved_as_rows_pass(spark, monkeypatch):
+    """An id's rows in several batches; no group is a call of its own, and factors are those of a plain solve."""
+    monkeypatch.setattr(type(spark.range(1)), "groupBy", lambda *a: pytest.fail("grouped"))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rng = np.random.default_rng(4)
+        fixed = {f"i{k}": rng.standard_normal(3).tolist() for k in range(30)}
+        pos = [(f"i{k}", f"u{u}", 1.0 + u) for u in range(5) for k in range(30) if (k * 7 + u) % (u + 2)]
+        model = recommend.ALS(factors=3, alpha=2.0, reg=0.1)
+        before = spark.createDataFrame([(f"u{u}", [0.0] * 3) for u in range(6)], "user string, v array<double>")
+        out = model._solve(spark.createDataFrame(pos, "item string, user string, r double"), "user", "item", spark.createDataFrame(list(fixed.items()), "item string, v array<double>"), before)
+        got = {r.user: r.v for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    x = np.array(list(fixed.values()))
+    for u in range(5):
+        mine = np.array([fixed[i] for i, v, _ in pos if v == f"u{u}"])
+        c = 2.0 * (1 + u)
+        assert np.allclose(got[f"u{u}"], np.linalg.solve(x.T @ x + 0.1 * np.eye(3) + c * mine.T @ mine, (1 + c) * mine.sum(axis=0)))
+    assert got["u5"] == [0.0] * 3 and len(got) == 6
+
+
 def test_pairwise_training_makes_few_rounds(spark):
     """Rounds move all factors, so their number must not follow the ids where a block has room for them."""
     rows = spark.range(12_000).select(F.col("id").alias("item"), (F.col("id") % 3).alias("user"), F.lit(1).alias("rating"))
